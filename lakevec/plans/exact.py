@@ -1,0 +1,23 @@
+"""Exact nearest neighbours as a registered query."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lakevec.operators.exact import knn
+
+
+def exact_knn_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every row for each vec_id divisible by 50."""
+    base = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS vec")
+    queries = base.where("id % 50 = 0").selectExpr("id AS qid", "vec AS qvec")
+    return knn(queries, base, k=10).selectExpr("qid", "rank", "id", "round(dist, 9) AS dist")
+
+
+EXACT_KNN_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings),
+d AS (SELECT q.vec_id AS qid, b.vec_id AS id, list_sum(list_transform(list_zip(q.v, b.v), z -> (z[1] - z[2]) * (z[1] - z[2]))) AS dist
+      FROM e q, e b WHERE q.vec_id % 50 = 0)
+SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS INTEGER) AS rank, id, round(dist, 9) AS dist
+FROM d QUALIFY rank <= 10
+"""
