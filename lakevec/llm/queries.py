@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from lakevec.llm import line_dedup
+from lakevec.llm import decontaminate, line_dedup, mixing
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
+    "op2_decontamination": decontaminate.op2,
+    "op8_mixing": mixing.op8,
 }
 
 ORACLES = {
     "op1_line_dedup": line_dedup.OP1_SQL,
+    "op2_decontamination": decontaminate.OP2_SQL,
+    "op8_mixing": mixing.OP8_SQL,
 }
