@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lakevec.llm import decontaminate, line_dedup, mixing
+from lakevec.llm import decontaminate, language_id, line_dedup, mixing
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
     "op2_decontamination": decontaminate.op2,
     "op8_mixing": mixing.op8,
+    "op10_language_id": language_id.op10,
 }
 
 ORACLES = {
