@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lakevec.llm import decontaminate, language_id, line_dedup, mixing, toxicity
+from lakevec.llm import decontaminate, html_text, language_id, line_dedup, mixing, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
     "op2_decontamination": decontaminate.op2,
     "op5_toxicity": toxicity.op5,
+    "op6_html_extraction": html_text.op6,
     "op8_mixing": mixing.op8,
     "op10_language_id": language_id.op10,
 }
