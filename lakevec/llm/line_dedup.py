@@ -115,9 +115,29 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_batch
     Only hashes move in the counting; lines of frequent keys come back as
     positions by document, and the texts meet them in one join.
     """
+    both = with_drops(docs.select("doc_id", "text"), min_docs, min_chars, n_batches, fanout).drop("r1", "r2")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_lines long, n_dropped long, kept_sha256 string" + ", kept_text string" * with_text
+    return both.mapInArrow(lambda it: _drop_lines(it, with_text), schema)
+
+
+def kept_documents(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_batches: int = 4, fanout: int = 4) -> DataFrame:
+    """docs in their own columns, the text without the lines that dedup_lines drops. Null texts stay null."""
+    both = with_drops(docs, min_docs, min_chars, n_batches, fanout)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t if not d else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in g) for t, d in zip(b.column("text").to_pylist(), b.column("drops").to_pylist(), strict=True) for g in [set(d or ())]]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if x == "text" else b.column(x) for x in docs.columns], names=docs.columns)
+
+    return both.select(*docs.columns, "drops").mapInArrow(keep, docs.schema)
+
+
+def with_drops(docs: DataFrame, min_docs: int, min_chars: int, n_batches: int, fanout: int) -> DataFrame:
+    """docs with r1, r2 and drops: the positions of the lines whose key at least min_docs documents hold."""
     spark = docs.sparkSession
     folder = work_folder(spark, "lines")
-    docs = with_row_key(docs.select("doc_id", "text"))
+    docs = with_row_key(docs)
     keyed = F.transform(text_lines(F.col("text")), line_key)
     long_enough = F.length("key") >= min_chars
     batch = F.pmod(F.xxhash64("r1", F.lit(31)), F.lit(n_batches)).cast("int").alias("batch")
@@ -131,10 +151,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_batch
     discard(spark, f"{folder}/runs")
     lines = docs.select("r1", "r2", F.posexplode(keyed).alias("pos", "key")).where(long_enough).select("r1", "r2", "pos", *hash_pair(F.col("key")))
     drops = lines.join(frequent, ["h1", "h2"], "left_semi").groupBy("r1", "r2").agg(F.collect_set("pos").alias("drops"))
-    both = docs.join(drops, ["r1", "r2"], "left").select("doc_id", "text", "drops")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_lines long, n_dropped long, kept_sha256 string" + ", kept_text string" * with_text
-    return both.mapInArrow(lambda it: _drop_lines(it, with_text), schema)
+    return docs.join(drops, ["r1", "r2"], "left")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
