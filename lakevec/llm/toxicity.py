@@ -11,7 +11,7 @@ labelled rows.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lakevec.llm.common import crc_remainder
 
 #: Labelled rows of each class to learn from, about; rows are picked by a hash of their id. Longer texts are left out of the sample.
-MAX_TOXIC, MAX_ORDINARY, MAX_SAMPLE_CHARS = 2000, 4000, 50_000
+MAX_TOXIC, MAX_ORDINARY, MAX_SAMPLE_CHARS = 1500, 3000, 50_000
 #: Bytes of a window and from one window to the next.
 WINDOW, STEP = 128, 112
 LEVEL, BASE_BYTES = 3, 16_384
@@ -68,18 +68,35 @@ def probability(f: np.ndarray, model: ToxicModel) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30)))
 
 
-def _holders(texts: list[str]) -> dict[str, set[int]]:
-    """The texts that hold a segment (a word or its beginning), each (segment, word before, word) at its first text alone.
+def _words(text: str) -> list[str]:
+    return re.findall(r"[^\W_]+", text.lower())
+
+
+def _segments(word: str) -> set[str]:
+    """A word's beginnings and, up to 32 characters, the word itself."""
+    return {x for n in range(SEGMENT[0], SEGMENT[1] + 1) if len(x := word[:n]) >= SEGMENT[0]} | ({word[:32]} if len(word) >= SEGMENT[0] else set())
+
+
+def _frequencies(texts: list[str], among: set[str] | None = None) -> Counter[str]:
+    """How many texts hold each segment."""
+    out: Counter[str] = Counter()
+    for text in texts:
+        found = set().union(*map(_segments, set(_words(text))))
+        out.update(found if among is None else found & among)
+    return out
+
+
+def _holders(texts: list[str], among: set[str]) -> dict[str, set[int]]:
+    """The texts that hold a segment, each (segment, word before, word) at its first text alone.
 
     So near copies of one text don't make its segments look common.
     """
     first: dict[tuple[str, str, str], int] = {}
     for i, text in enumerate(texts):
-        w = re.findall(r"[^\W_]+", text.lower())
+        w = _words(text)
         for before, word in zip(["", *w], w, strict=False):
-            for k in {word[:n] for n in range(SEGMENT[0], SEGMENT[1] + 1)} | {word[:32]}:
-                if len(k) >= SEGMENT[0]:
-                    first.setdefault((k, before, word), i)
+            for k in _segments(word) & among:
+                first.setdefault((k, before, word), i)
     out: dict[str, set[int]] = defaultdict(set)
     for (k, _, _), i in first.items():
         out[k].add(i)
@@ -88,13 +105,16 @@ def _holders(texts: list[str]) -> dict[str, set[int]]:
 
 def toxic_segments(toxic: list[str], ordinary: list[str]) -> list[str]:
     """Segments that stand in clearly more toxic than ordinary texts, by what they newly cover."""
-    t, o = _holders(toxic), _holders(ordinary)
 
-    def excess(k: str) -> float:
-        a, b = len(t[k]) + 0.5, len(o.get(k, ())) + 0.5
-        return np.log(a / len(toxic)) - np.log(b / max(1, len(ordinary))) - 2.5 * np.sqrt(1 / a + 1 / b)
+    def excess(a: int, b: int) -> float:
+        return np.log((a + 0.5) / len(toxic)) - np.log((b + 0.5) / max(1, len(ordinary))) - 2.5 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
 
-    left = {k: (v, e) for k, v in t.items() if len(v) >= MIN_DOCS and (e := excess(k)) > np.log(2)}
+    frequent = {k: v for k, v in _frequencies(toxic).items() if v >= MIN_DOCS}
+    elsewhere = _frequencies(ordinary, set(frequent))
+    among = {k for k, v in frequent.items() if excess(v, elsewhere[k]) > 0}
+    t, o = _holders(toxic, among), _holders(ordinary, among)
+    found = {k: (v, excess(len(v), len(o.get(k, ())))) for k, v in t.items() if len(v) >= MIN_DOCS}
+    left = {k: x for k, x in found.items() if x[1] > np.log(2)}
     need, chosen = np.full(len(toxic), COVER), []
     while left:
         k = max(left, key=lambda x: (sum(need[i] > 0 for i in left[x][0]) * left[x][1], len(x), x))
