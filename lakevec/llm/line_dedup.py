@@ -123,14 +123,14 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_batch
 
 def kept_documents(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_batches: int = 4, fanout: int = 4) -> DataFrame:
     """docs in their own columns, the text without the lines that dedup_lines drops. Null texts stay null."""
-    both = with_drops(docs, min_docs, min_chars, n_batches, fanout)
+    both, names, schema = with_drops(docs, min_docs, min_chars, n_batches, fanout), docs.columns, docs.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t if not d else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in g) for t, d in zip(b.column("text").to_pylist(), b.column("drops").to_pylist(), strict=True) for g in [set(d or ())]]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if x == "text" else b.column(x) for x in docs.columns], names=docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if x == "text" else b.column(x) for x in names], names=names)
 
-    return both.select(*docs.columns, "drops").mapInArrow(keep, docs.schema)
+    return both.select(*names, "drops").mapInArrow(keep, schema)
 
 
 def with_drops(docs: DataFrame, min_docs: int, min_chars: int, n_batches: int, fanout: int) -> DataFrame:
