@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakevec.llm import decontaminate, html_text, language_id, line_dedup, mixing, ngram_join, toxicity
+from lakevec.llm import decontaminate, html_text, language_id, line_dedup, mixing, ngram_join, substring_dedup, toxicity, vector_scan
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
@@ -10,7 +10,9 @@ QUERIES = {
     "op4_ngram_jaccard_join": ngram_join.op4,
     "op5_toxicity": toxicity.op5,
     "op6_html_extraction": html_text.op6,
+    "op7_vector_scan": vector_scan.op7,
     "op8_mixing": mixing.op8,
+    "op9_substring_dedup": substring_dedup.op9,
     "op10_language_id": language_id.op10,
 }
 
