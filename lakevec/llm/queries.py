@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lakevec.llm import decontaminate, html_text, language_id, line_dedup, mixing, ngram_join, substring_dedup, toxicity, vector_scan
+from lakevec.llm import decontaminate, html_text, language_id, license_scan, line_dedup, mixing, ngram_join, substring_dedup, toxicity, vector_scan
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
     "op2_decontamination": decontaminate.op2,
+    "op3_license_scan": license_scan.op3,
     "op4_ngram_jaccard_join": ngram_join.op4,
     "op5_toxicity": toxicity.op5,
     "op6_html_extraction": html_text.op6,
