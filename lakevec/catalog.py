@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lakevec.plans import exact
+from lakevec.plans.vector_queries import ORACLES, QUERIES
 
 FLAGSHIP = "exact_knn"
-QUERIES = {"exact_knn": exact.exact_knn_query}
-ORACLES = {"exact_knn": exact.EXACT_KNN_SQL}
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

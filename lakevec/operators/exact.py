@@ -1,4 +1,4 @@
-"""Exact k nearest neighbours and the recall of approximate answers."""
+"""Exact k nearest neighbours, truth sets, and the recall of approximate answers."""
 
 from __future__ import annotations
 
@@ -10,52 +10,71 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Queries in one block; a block and a batch of base rows meet in one matrix product.
-QUERY_BLOCK = 512
+from lakevec.operators.metrics import SOUND, distances, matrix
 
+#: Bytes of queries that travel to the tasks at once; more queries make more passes over the base.
+QUERY_BYTES = 32 << 20
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """Rows of a list column as float64; lists must be of one length and hold no nulls."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """(qid, rank, id, dist): the first k by (dist, id), each id once a query."""
+    order = F.row_number().over(W.partitionBy("qid").orderBy("dist", "id"))
+    return found.select("qid", "id", "dist").distinct().withColumn("rank", order).where(F.col("rank") <= k).select("qid", "rank", "id", "dist")
 
-def knn(queries: DataFrame, base: DataFrame, k: int = 10, exclude_self: bool = False) -> DataFrame:
-    """(qid, rank, id, dist): the k least squared Euclidean distances, ties by id.
 
-    queries has qid and qvec, base has id and vec. Queries are put into blocks
-    of QUERY_BLOCK; each block is paired with each slice of the base, so a task
-    holds one block and one slice, and gives k rows a query. Vectors that are
-    null or hold nulls take no part.
+def knn(queries: DataFrame, base: DataFrame, k: int = 10, metric: str = "l2", exclude_self: bool = False) -> DataFrame:
+    """(qid, rank, id, dist): the k least distances of each query, ties by id.
+
+    queries has qid and qvec, base id and vec. Blocks of queries of bounded
+    size meet every batch of the base in a matrix product; k rows of a query
+    leave a batch, and a ranking merges them. Null vectors, empty ones and ones
+    with nulls take no part.
     """
-    sound = "{0} IS NOT NULL AND size({0}) > 0 AND forall({0}, x -> x IS NOT NULL)"
-    q = queries.where(sound.format("qvec")).withColumn("block", F.expr(f"pmod(xxhash64(qid), greatest(1, (SELECT 1)))")) if False else queries.where(sound.format("qvec"))
     spark = base.sparkSession
-    n_q = q.count()
-    blocks = max(1, -(-n_q // QUERY_BLOCK))
-    slices = max(1, spark.sparkContext.defaultParallelism)
-    packed = q.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks))).groupBy("block").agg(F.collect_list(F.struct("qid", "qvec")).alias("qs"))
-    rows = base.where(sound.format("vec")).withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices))).groupBy("slice").agg(F.collect_list(F.struct("id", "vec")).alias("rows"))
-    pairs = packed.crossJoin(rows)
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                qs, rs = batch.column("qs")[i].values, batch.column("rows")[i].values
-                qid, qm = qs.field("qid").to_numpy(), matrix(qs.field("qvec"))
-                rid, rm = rs.field("id").to_numpy(), matrix(rs.field("vec"))
-                if qm.shape[1] != rm.shape[1]:
-                    raise ValueError(f"queries of {qm.shape[1]} dimensions, base of {rm.shape[1]}")
-                out = []
-                for row, query in zip(qm, qid, strict=True):
-                    dist = ((rm - row) ** 2).sum(1)
+    q = queries.where(SOUND.format("qvec")).select(F.col("qid").cast("long").alias("qid"), "qvec")
+    shape = q.agg(F.count("*").alias("n"), F.max(F.size("qvec")).alias("d")).first()
+    blocks = max(1, -(-shape["n"] * (shape["d"] or 0) * 8 // QUERY_BYTES))
+    rows = base.where(SOUND.format("vec")).select(F.col("id").cast("long").alias("id"), "vec")
+    out = None
+    for block in range(blocks):
+        part = q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).toArrow()
+        sent = spark.sparkContext.broadcast((part.column("qid").to_numpy(), matrix(part.column("qvec"))))
+
+        def near(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            qid, qvec = sent.value
+            for b in batches:
+                ids, vecs = b.column("id").to_numpy(), matrix(b.column("vec"))
+                for lo in range(0, len(qid), 512):
+                    dist = distances(qvec[lo : lo + 512], vecs, metric)
                     if exclude_self:
-                        dist[rid == query] = np.inf
-                    near = np.lexsort((rid, dist))[:k]
-                    near = near[np.isfinite(dist[near])]
-                    out.append((np.full(len(near), query), rid[near], dist[near]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["qid", "id", "dist"])
-
-    part = pairs.select("qs", "rows").mapInArrow(nearest, "qid long, id long, dist double")
-    rank = F.row_number().over(W.partitionBy("qid").orderBy("dist", "id"))
-    return part.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "id", "dist")
+                        dist[qid[lo : lo + 512, None] == ids[None, :]] = np.inf
+                    m = min(k, len(ids))
+                    limit = np.partition(dist, m - 1, axis=1)[:, m - 1 : m]
+                    i, j = np.nonzero((dist <= limit + 1e-9 * (1 + np.abs(limit))) & np.isfinite(dist))
+                    exact = ((qvec[lo + i] - vecs[j]) ** 2).sum(1) if metric == "l2" else dist[i, j]
+                    order = np.lexsort((ids[j], exact, i))
+                    i, j, exact = i[order], j[order], exact[order]
+                    place = np.arange(len(i)) - np.searchsorted(i, i)
+                    keep = place < k
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[lo + i[keep]]), pa.array(ids[j[keep]]), pa.array(exact[keep])], names=["qid", "id", "dist"])
+
+        found = rows.mapInArrow(near, "qid long, id long, dist double")
+        out = found if out is None else out.unionByName(found)
+    return ranked(out, k)
+
+
+def window_truth(truth: DataFrame, start: int, end: int, k: int) -> DataFrame:
+    """The first k of a deep truth set whose ids lie in [start, end): the truth of a sliding window."""
+    return ranked(truth.where((F.col("id") >= start) & (F.col("id") < end)), k)
+
+
+def recall(truth: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """One row, recall: the percentage of the first k found that are true; ids as near as the k-th true one count too.
+
+    Restrict it to live tags by a semi-join of both before.
+    """
+    last = truth.where(F.col("rank") == k).select("qid", F.col("dist").alias("last"))
+    true = truth.join(last, "qid", "left").where((F.col("rank") <= k) | (F.col("dist") == F.col("last"))).select("qid", "id").distinct()
+    got = found.where(F.col("rank") <= k).select("qid", "id").distinct()
+    hits = true.join(got, ["qid", "id"], "left_semi").agg(F.count("*").alias("hits"))
+    return hits.crossJoin(truth.agg(F.countDistinct("qid").alias("n"))).select((F.lit(100.0) * F.col("hits") / F.nullif(F.col("n") * k, F.lit(0))).alias("recall"))
