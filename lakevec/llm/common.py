@@ -58,6 +58,17 @@ def with_row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return df.withColumns({"r1": F.xxhash64(*parts), "r2": F.xxhash64(F.lit(104729), *parts)})
 
 
+def packed_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text, r1, r2 and, as _row, all columns of docs: its own columns can then have any name."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return with_row_key(docs.select(row).select(F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text"), "_row"))
+
+
+def unpacked(names: list[str]) -> list[Column]:
+    """The columns of that name out of _row."""
+    return [F.col("_row").getField(c).alias(c) for c in names]
+
+
 def crc_remainder(id_col: Column, m: int) -> Column:
     """crc32 of the id as text, modulo m; rows without an id get -1."""
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(m)), F.lit(-1))
@@ -66,27 +77,30 @@ def crc_remainder(id_col: Column, m: int) -> Column:
 def connected_components(edges: DataFrame, folder: str, max_rounds: int = 60) -> DataFrame:
     """(v, label) for every end of the edges (a, b): label is the least vertex of v's component.
 
-    Each round takes the least label among a vertex's neighbours and then the
-    label of that label, so long chains shorten by halves. Minimums combine
-    before the shuffle, so a vertex with very many neighbours is no hot group.
-    Labels are written after each round; nothing is gathered on the driver but
-    one count of changes.
+    Each round every vertex goes to the vertex of least hash among itself and
+    its neighbours, and the edges are rewritten to where their ends went. Edges
+    inside what has grown together disappear, so the rounds shrink fast and are
+    few even for long chains. Minimums combine before the shuffle, so a vertex
+    with very many neighbours is no hot group. Tables are written each round;
+    only whether edges are left comes to the driver.
     """
-    edges = stored(edges.select("a", "b").where("a <> b").distinct(), f"{folder}/edges")
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = stored(
-        both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{folder}/labels-0"
-    )
-    for i in range(1, max_rounds):
-        near = both.join(labels.withColumnsRenamed({"v": "b"}), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("other"))
-        near = labels.join(near, "v", "left").select("v", F.col("label").alias("was"), F.least("label", "other").alias("label"))
-        jump = labels.select(F.col("v").alias("label"), F.col("label").alias("root"))
-        new = near.join(jump, "label", "left").select("v", "was", F.least("label", "root").alias("label"))
-        new = stored(new, f"{folder}/labels-{i}")
-        changed = new.where("label <> was").limit(1).count()
-        labels = new.select("v", "label")
-        if i > 1:
-            discard(edges.sparkSession, f"{folder}/labels-{i - 2}")
-        if not changed:
-            return labels
-    raise RuntimeError(f"labels still change after {max_rounds} rounds")
+
+    def ranked(c: str) -> Column:
+        return F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
+
+    edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"{folder}/edges-0")
+    went: DataFrame | None = None
+    for i in range(max_rounds):
+        if i and edges.limit(1).count() == 0:
+            break
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = both.groupBy("a").agg(F.min(ranked("b")).alias("n")).select(F.col("a").alias("v"), F.least(ranked("a"), "n")["v"].alias("to"))
+        to = stored(to, f"{folder}/to-{i}")
+        moved = edges.join(to.select(F.col("v").alias("a"), F.col("to").alias("x")), "a").join(to.select(F.col("v").alias("b"), F.col("to").alias("y")), "b")
+        edges = stored(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct(), f"{folder}/edges-{i + 1}")
+        step = to.withColumnsRenamed({"v": "root"})
+        went = to.withColumnRenamed("to", "root") if went is None else went.join(step, "root", "left").select("v", F.coalesce("to", "root").alias("root"))
+        went = stored(went, f"{folder}/roots-{i}")
+    else:
+        raise RuntimeError(f"edges are left after {max_rounds} rounds")
+    return went.join(went.groupBy("root").agg(F.min("v").alias("label")), "root").select("v", "label")
