@@ -182,11 +182,14 @@ def main_text(root: Element, template: set[int]) -> str:
                 flush()
             elif isinstance(x, str):
                 line.append(x)
-            elif not (x.never or x.hash in template and x is not top):
+            else:
+                gone = x.never or x.hash in template and x is not top
                 if x.tag in BLOCKS:
                     flush()
-                    work.append(None)
-                work.extend(reversed(x.parts))
+                    if not gone:
+                        work.append(None)
+                if not gone:
+                    work.extend(reversed(x.parts))
         flush()
     return " ".join(blocks)
 
