@@ -83,8 +83,9 @@ def code_table(model: pd.DataFrame, langs: list[str]) -> tuple[np.ndarray, np.nd
     """(byte -> symbol, cost[two, one, byte, language] as a flat array of bits)."""
     grams = model["gram"].to_numpy(dtype=np.int64)
     seen = np.unique(np.concatenate([grams & 255, (grams >> 8) & 255, grams >> 16]))
-    symbol = np.zeros(256, np.int32)
-    symbol[seen[seen > 0]] = np.arange(1, (seen > 0).sum() + 1)
+    symbol = np.ones(256, np.int32)  # 0 stands before texts, 1 for all bytes that training never saw
+    symbol[0] = 0
+    symbol[seen[seen > 0]] = np.arange(2, (seen > 0).sum() + 2)
     a = int(symbol.max()) + 1
     out = np.empty((a, a, a, len(langs)), np.float32)
 
