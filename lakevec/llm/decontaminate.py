@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakevec.llm.common import WORD, lower_ascii, stored, with_row_key, work_folder
+from lakevec.llm.common import WORD, lower_ascii, packed_rows, stored, unpacked, work_folder
 
 #: The benchmark side is broadcast up to so many rows of a few longs; above that Spark shuffles it.
 BROADCAST_ROWS = 200_000
@@ -94,6 +94,9 @@ def proximity_matches(index: DataFrame, pairs: DataFrame, slop: int) -> DataFram
     return near.select("pair", "r1", "r2", "pos", "other").distinct()
 
 
+RESULTS = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, n_probes: int = 3) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256, contaminated (and all their own columns).
 
@@ -103,9 +106,20 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, n_probes:
     Own columns named like a result column are replaced. Empty tables give
     empty or uncontaminated results.
     """
+    own = [c for c in docs.columns if c not in RESULTS]
+    return hits(docs, items, window, n_probes).select(*unpacked(own), *RESULTS)
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, window: int = 10, n_probes: int = 3) -> DataFrame:
+    """The rows of docs, in their own columns, that hold no window of an item."""
+    return hits(docs, items, window, n_probes).where("NOT contaminated").select(*unpacked(docs.columns))
+
+
+def hits(docs: DataFrame, items: DataFrame, window: int, n_probes: int) -> DataFrame:
+    """_row, which has the columns of docs, and the columns of RESULTS."""
     spark = docs.sparkSession
     folder = work_folder(spark, "decontaminate")
-    keyed = with_row_key(docs)
+    keyed = packed_rows(docs)
     texts = keyed.select("r1", "r2", "text")
     windows = stored(benchmark_windows(items, window), f"{folder}/windows")
     vocabulary = windows.select(F.explode("terms.t").alias("t")).distinct()
@@ -115,8 +129,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, n_probes:
     found = found.join(small(windows.select("w", "len", "phrase", "item_ids")), "w")
     found = found.groupBy("r1", "r2").agg(F.collect_set(F.struct("s", "len", "phrase", "item_ids")).alias("found"))
     found = stored(found, f"{folder}/found")
-    out = keyed.drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated").join(found, ["r1", "r2"], "left")
-    out = out.withColumn("_words", words(F.col("text")))
+    out = keyed.select("r1", "r2", "_row").join(found, ["r1", "r2"], "left")
+    out = out.withColumn("_words", words(F.col("_row.text")))
     right = F.filter(F.coalesce("found", F.array()), lambda c: F.concat_ws(" ", F.slice("_words", c["s"], c["len"])) == c["phrase"])
     out = out.withColumn("_hits", F.array_sort(F.transform(right, lambda c: F.struct(c["s"].alias("s"), (c["s"] + c["len"] - 1).alias("e"), c["item_ids"].alias("ids")))))
     covered = F.aggregate(
@@ -126,7 +140,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, n_probes:
     )
     out = out.withColumns({"n_words": F.size("_words").cast("long"), "n_hit": covered["n"].cast("long"), "_ids": F.array_sort(F.array_distinct(F.flatten("_hits.ids")))})
     out = out.withColumns({"n_items": F.size("_ids").cast("long"), "items_sha256": F.sha2(F.concat_ws(",", "_ids"), 256), "contaminated": F.col("n_hit") > 0})
-    return out.drop("r1", "r2", "found", "_words", "_hits", "_ids")
+    return out.select("_row", *RESULTS)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakevec.llm.common import BLANKS, discard, hash_pair, lower_ascii, stored, with_row_key, work_folder
+from lakevec.llm.common import BLANKS, discard, hash_pair, lower_ascii, packed_rows, stored, with_row_key, work_folder
 
 
 def line_key(line: Column) -> Column:
@@ -115,7 +115,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_batch
     Only hashes move in the counting; lines of frequent keys come back as
     positions by document, and the texts meet them in one join.
     """
-    both = with_drops(docs.select("doc_id", "text"), min_docs, min_chars, n_batches, fanout).drop("r1", "r2")
+    both = with_drops(with_row_key(docs.select("doc_id", "text")), min_docs, min_chars, n_batches, fanout).drop("r1", "r2")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_lines long, n_dropped long, kept_sha256 string" + ", kept_text string" * with_text
     return both.mapInArrow(lambda it: _drop_lines(it, with_text), schema)
@@ -123,21 +123,23 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_batch
 
 def kept_documents(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_batches: int = 4, fanout: int = 4) -> DataFrame:
     """docs in their own columns, the text without the lines that dedup_lines drops. Null texts stay null."""
-    both, names, schema = with_drops(docs, min_docs, min_chars, n_batches, fanout), docs.columns, docs.schema
+    both, names, schema = with_drops(packed_rows(docs), min_docs, min_chars, n_batches, fanout), docs.columns, docs.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t if not d else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in g) for t, d in zip(b.column("text").to_pylist(), b.column("drops").to_pylist(), strict=True) for g in [set(d or ())]]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if x == "text" else b.column(x) for x in names], names=names)
+            row, texts = b.column("_row"), []
+            for text, drops in zip(row.field("text").to_pylist(), b.column("drops").to_pylist(), strict=True):
+                gone = set(drops or ())
+                texts.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone) if gone else text)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if x == "text" else row.field(x) for x in names], names=names)
 
-    return both.select(*names, "drops").mapInArrow(keep, schema)
+    return both.select("_row", "drops").mapInArrow(keep, schema)
 
 
 def with_drops(docs: DataFrame, min_docs: int, min_chars: int, n_batches: int, fanout: int) -> DataFrame:
-    """docs with r1, r2 and drops: the positions of the lines whose key at least min_docs documents hold."""
+    """docs, which have r1 and r2, with drops: the positions of the lines whose key at least min_docs documents hold."""
     spark = docs.sparkSession
     folder = work_folder(spark, "lines")
-    docs = with_row_key(docs)
     keyed = F.transform(text_lines(F.col("text")), line_key)
     long_enough = F.length("key") >= min_chars
     batch = F.pmod(F.xxhash64("r1", F.lit(31)), F.lit(n_batches)).cast("int").alias("batch")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakevec.llm.common import stored, with_row_key, work_folder
+from lakevec.llm.common import packed_rows, stored, unpacked, with_row_key, work_folder
 
 #: Documents that a block of the permuted order holds, about.
 BLOCK_DOCS = 1024
@@ -128,10 +128,11 @@ def mixed(docs: DataFrame, n_shards: int = 16, max_repeats: int = 3, seed: int =
     """
     table = mix_table(docs, n_shards, max_repeats, seed)
     many = table.groupBy("r1", "r2").agg(F.flatten(F.collect_list("shards")).alias("shards"))
-    rows = with_row_key(docs.drop("shard", "place")).dropDuplicates(["r1", "r2"]).join(many, ["r1", "r2"])
-    rows = rows.select("*", F.posexplode("shards").alias("copy", "shard"))
-    rows = rows.withColumn("place", F.xxhash64(F.lit(seed), "r1", "r2", "copy"))
-    return rows.drop("r1", "r2", "shards", "copy").repartition("shard").sortWithinPartitions("shard", "place")
+    own = [c for c in docs.columns if c not in ("shard", "place")]
+    rows = packed_rows(docs).select("r1", "r2", "_row").dropDuplicates(["r1", "r2"]).join(many, ["r1", "r2"])
+    rows = rows.select("r1", "r2", "_row", F.posexplode("shards").alias("copy", "shard"))
+    rows = rows.select(*unpacked(own), "shard", F.xxhash64(F.lit(seed), "r1", "r2", "copy").alias("place"))
+    return rows.repartition("shard").sortWithinPartitions("shard", "place")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
