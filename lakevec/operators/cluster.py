@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakevec.operators.metrics import SOUND, distances, matrix
+from lakevec.operators.metrics import SOUND, distances, l2sq, matrix
 
 
 def mean_vector(base: DataFrame) -> DataFrame:
@@ -20,8 +20,6 @@ def mean_vector(base: DataFrame) -> DataFrame:
 def medoid(base: DataFrame) -> DataFrame:
     """(id, dist): the row nearest to the mean, ties by id."""
     mean = mean_vector(base).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda x: x["mean"]).alias("centre"))
-    from lakevec.operators.metrics import l2sq
-
     near = base.where(SOUND.format("vec")).crossJoin(F.broadcast(mean)).select("id", l2sq(F.col("vec"), F.col("centre")).alias("dist"))
     return near.orderBy("dist", "id").limit(1)
 
@@ -74,3 +72,32 @@ def shards(base: DataFrame, centres: np.ndarray, overlap: int = 2) -> DataFrame:
 def ram_estimate(n: int, dim: int, size: int, degree: int) -> float:
     """Bytes that a graph over n rows takes in memory."""
     return 1.1 * (n * degree * 4 * 1.3 + n * (-(-dim // 8) * 8) * size)
+
+
+def seeds(points: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
+    """k rows of a bounded sample, each new one with a probability by its squared distance to those chosen."""
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.integers(len(points)))]
+    near = distances(points, points[chosen]).ravel()
+    while len(chosen) < min(k, len(points)):
+        total = near.sum()
+        i = int(rng.choice(len(points), p=near / total)) if total > 0 else int(np.setdiff1d(np.arange(len(points)), chosen)[0])
+        chosen.append(i)
+        near = np.minimum(near, distances(points, points[i : i + 1]).ravel())
+    return points[chosen]
+
+
+def cluster_sizes(base: DataFrame, centres: np.ndarray, overlap: int = 2) -> DataFrame:
+    """(shard, n): rows of each shard, counted over all of the base."""
+    return shards(base, centres, overlap).groupBy("shard").agg(F.count("*").alias("n"))
+
+
+def partition_for_memory(base: DataFrame, dim: int, budget: float, degree: int = 32, overlap: int = 2, start: int = 3, most: int = 1024) -> np.ndarray:
+    """Centres of as few shards, from `start` on, as bring the largest shard's graph under a memory budget in bytes."""
+    k = start
+    while True:
+        centres = kmeans(base, k, rounds=4)
+        largest = cluster_sizes(base, centres, min(overlap, k)).agg(F.max("n")).first()[0] or 0
+        if ram_estimate(largest, dim, 4, degree) <= budget or k >= most:
+            return centres
+        k = min(most, k + max(1, k // 2))

@@ -9,17 +9,16 @@ joins their neighbours, measures them and keeps each pool's best.
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lakevec.functions.storage import stored, work_folder
 from lakevec.operators import cluster, pq
 from lakevec.operators.exact import ranked
 from lakevec.operators.metrics import SOUND, l2sq, matrix
@@ -36,21 +35,6 @@ class GraphParams:
     overlap: int = 2
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, a temporary one for local sessions and the warehouse for clusters."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="lakevec-") if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master else spark.conf.get("spark.sql.warehouse.dir")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """df written as Parquet and read again: cuts the lineage and survives lost executors."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def robust_prune(dist: np.ndarray, vecs: np.ndarray, degree: int, alpha: float) -> list[int]:
     """Which of the candidates, sorted by distance to the node, become its neighbours.
 

@@ -133,3 +133,20 @@ def dual(first: DataFrame, second: DataFrame) -> DataFrame:
     closer = F.col("err2") < F.col("err")
     both = first.join(b, ["id", "chunk"])
     return both.select("id", "chunk", closer.cast("int").alias("book"), F.when(closer, F.col("code2")).otherwise(F.col("code")).alias("code"), F.least("err", "err2").alias("err"))
+
+
+def dual_from_scratch(base: DataFrame, dim: int, chunks: int, codes: int = CODES) -> tuple[DataFrame, DataFrame]:
+    """Two codebooks out of one training with twice the codes: even and odd ones."""
+    both = train(base, dim, chunks, 2 * codes)
+    half = F.floor(F.col("code") / 2).cast("int").alias("code")
+    return tuple(both.where(F.col("code") % 2 == i).select("chunk", half, "sub") for i in (0, 1))
+
+
+def joined_books(first: DataFrame, second: DataFrame) -> DataFrame:
+    """One codebook of two, the second's codes behind CODES: its sdc_table also has the distances across."""
+    return first.select("chunk", "code", "sub").unionByName(second.select("chunk", (F.col("code") + CODES).alias("code"), "sub"))
+
+
+def joined_codes(codes: DataFrame) -> DataFrame:
+    """Codes of dual() in terms of joined_books."""
+    return codes.select("id", "chunk", (F.col("code") + F.col("book") * CODES).alias("code"), "err")

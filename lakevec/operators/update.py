@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakevec.operators.graph import GraphParams, prune, search, stored, work_folder
+from lakevec.functions.storage import stored, work_folder
+from lakevec.operators.graph import GraphParams, prune, search
 
 
 def lazy_delete(tombstones: DataFrame, tags: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakevec.operators import cluster, exact, graph, layout, metrics, pq, stats, update
+from lakevec.functions.storage import stored, work_folder
+from lakevec.operators import cluster, exact, graph, layout, metrics, pq, sampling, stats, update
+from lakevec.sources import index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -225,6 +227,56 @@ def pq_worst(spark, sf_dir):
     return pq.worst(pq.encode(pq.split(base, 64, CHUNKS), fixed_book(base))).select("id", "chunk")
 
 
+@query(f"""{_PARTS}, {_codes_sql('c2', 100)}, h AS (SELECT id, chunk, CASE WHEN c2.err < c1.err THEN c2.code + 100 ELSE c1.code END AS row_no FROM c1 JOIN c2 USING (id, chunk)),
+t AS (SELECT q.id AS qid, q.chunk, b.id AS row_no, {D2.format(a='q.sub', b='b.sub')} AS d FROM p q JOIN p b USING (chunk) WHERE q.id % 50 = 0 AND (b.id < {CODES} OR b.id BETWEEN 100 AND {100 + CODES - 1}))
+SELECT qid, h.id, round(sum(d), 6) AS dist FROM h JOIN t USING (chunk, row_no) GROUP BY qid, h.id""")
+def pq_dual_adc(spark, sf_dir):
+    """Table distances where each part of a row is coded by the closer of two books."""
+    base = base_of(spark, sf_dir)
+    parts, books = pq.split(base, 64, CHUNKS), [fixed_book(base), fixed_book(base, 100)]
+    codes = pq.dual(*(pq.encode(parts, b) for b in books))
+    asked = pq.split(base.where("id % 50 = 0"), 64, CHUNKS)
+    table = pq.lookup(asked, books[0]).withColumn("book", F.lit(0)).unionByName(pq.lookup(asked, books[1]).withColumn("book", F.lit(1)))
+    return pq.adc(table, codes).select("qid", "id", F.round("dist", 6).alias("dist"))
+
+
+@query(f"""{_PARTS}, {_codes_sql('c2', 100)}, h AS (SELECT id, chunk, CASE WHEN c2.err < c1.err THEN c2.code + 100 ELSE c1.code END AS row_no FROM c1 JOIN c2 USING (id, chunk))
+SELECT a.id AS a, b.id AS b, round(sum({D2.format(a='x.sub', b='y.sub')}), 6) AS dist FROM h a JOIN h b ON b.id = a.id + 1 AND a.chunk = b.chunk
+JOIN p x ON x.chunk = a.chunk AND x.id = a.row_no JOIN p y ON y.chunk = b.chunk AND y.id = b.row_no GROUP BY a.id, b.id""")
+def pq_cross_sdc(spark, sf_dir):
+    """Code distances between rows that are coded by either of two books."""
+    base = base_of(spark, sf_dir)
+    parts, books = pq.split(base, 64, CHUNKS), [fixed_book(base), fixed_book(base, 100)]
+    codes = pq.joined_codes(pq.dual(*(pq.encode(parts, b) for b in books)))
+    pairs = base.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    return pq.sdc(pairs, codes, pq.sdc_table(pq.joined_books(*books))).select("a", "b", F.round("dist", 6).alias("dist"))
+
+
+@query("SELECT vec_id AS id FROM embeddings WHERE CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR) || '/42'), 1, 8) AS BIGINT) < 0.25 * 4294967296")
+def bernoulli_sample(spark, sf_dir):
+    return sampling.bernoulli(base_of(spark, sf_dir), 0.25).select("id")
+
+
+@query("SELECT vec_id AS id, vec_id AS tag FROM embeddings WHERE vec_id < 300")
+def first_rows_with_tags(spark, sf_dir):
+    return sampling.identity_tags(sampling.first_rows(base_of(spark, sf_dir), 300))
+
+
+@query(f"{_KNN} SELECT qid, rank, id, round(dist, 6) AS dist FROM k WHERE rank <= 10")
+def knn_after_rotation(spark, sf_dir):
+    """A random rotation leaves the neighbours and their distances as they are."""
+    base = sampling.rotated(base_of(spark, sf_dir), sampling.random_rotation(64))
+    return exact.knn(queries_of(base), base, 10).select("qid", "rank", "id", F.round("dist", 6).alias("dist"))
+
+
+@query("SELECT vec_id * 3 + 1 AS tag, vec_id AS id FROM embeddings WHERE (vec_id * 3 + 1) % 10 = 0")
+def vectors_by_tag(spark, sf_dir):
+    base = base_of(spark, sf_dir).select("id", "vec")
+    tags = base.select("id", (F.col("id") * 3 + 1).alias("tag"))
+    none = base.select("id").limit(0)
+    return index.Index(base, none, none, tags, none).by_tag(tags.where("tag % 10 = 0").select("tag")).select("tag", "id")
+
+
 @query()
 def pq_train(spark, sf_dir):
     """Training, coding and refinement: the mean error of each chunk before and after the second codebook."""
@@ -249,6 +301,17 @@ def degree_statistics(spark, sf_dir):
     return stats.degrees(neighbour_graph(base_of(spark, sf_dir)))
 
 
+@query(f"""{_GRAPH} SELECT id, nbr, v[1] AS first FROM g JOIN e USING (id)""")
+def stored_index(spark, sf_dir):
+    """An index is saved in two versions and the last one opened: vectors and edges side by side."""
+    base = base_of(spark, sf_dir).select("id", "vec")
+    topology, path = neighbour_graph(base), work_folder(spark, "index")
+    index.save(path, base, topology.limit(0), base.select("id").limit(0))
+    index.save(path, base, topology, cluster.medoid(base).select("id"))
+    got = index.open_index(spark, path).coupled()
+    return got.select("id", F.explode("nbrs").alias("nbr"), F.element_at("vec", 1).cast("double").alias("first"))
+
+
 @query(f"""{_GRAPH}, i AS (SELECT nbr AS id, count(*) AS value FROM g GROUP BY nbr), o AS (SELECT list(value ORDER BY value) AS l, count(*) AS n FROM i)
 SELECT s.s::DOUBLE AS share, l[least(CAST(floor(s.s::DOUBLE * n) AS BIGINT), n - 1) + 1] AS value FROM o, (VALUES (0.5), (0.9), (0.99), (0.999)) s(s)""")
 def percentiles(spark, sf_dir):
@@ -313,10 +376,10 @@ def layout_invariants(spark, sf_dir):
 
 def coder_of(base: DataFrame) -> graph.Coder:
     book = pq.train(base, 64, 16, codes=64)
-    folder = graph.work_folder(base.sparkSession, "codes")
-    book = graph.stored(book, f"{folder}/book")
+    folder = work_folder(base.sparkSession, "codes")
+    book = stored(book, f"{folder}/book")
     codes = pq.encode(pq.split(base, 64, 16), book).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "code"))), lambda x: x["code"]).alias("codes"))
-    return graph.Coder(graph.stored(codes, f"{folder}/codes"), book, 64, 16)
+    return graph.Coder(stored(codes, f"{folder}/codes"), book, 64, 16)
 
 
 def search_query(mode: str, **options):

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakevec.operators import cluster, exact, graph, layout, metrics, pq, stats, update
+from lakevec.sources import index
 from lakevec.sources import vectors as files
 from lakevec.streaming.replay import replay
 
@@ -158,3 +159,38 @@ def test_replay_sees_every_step_once(spark, base, tmp_path):
     seen = []
     replay(spark, str(tmp_path / "trace"), lambda ins, dele, n: seen.append((ins.count(), dele.count())), str(tmp_path / "cp"))
     assert [sum(x) for x in zip(*seen, strict=True)] == [40, 40]
+
+
+def test_index_versions(spark, base, built, tmp_path):
+    path = str(tmp_path / "index")
+    with pytest.raises(ValueError):
+        index.open_index(spark, path)
+    assert index.save(path, base, built[0], built[1]) == 1
+    assert index.save(path, base.where("id < 10"), built[0], built[1]) == 2
+    assert index.open_index(spark, path).vectors.count() == 10
+    old = index.open_index(spark, path, 1)
+    assert old.vectors.count() == 300 and old.coupled().count() == 300
+    assert [tuple(r)[:2] for r in old.by_tag(spark.createDataFrame([(7,)], "tag long")).collect()] == [(7, 7)]
+
+
+def test_shards_fit_the_memory(base):
+    whole = cluster.ram_estimate(300, 16, 4, 32)
+    centres = cluster.partition_for_memory(base, 16, whole * 0.6)
+    assert len(centres) >= 3
+    assert cluster.cluster_sizes(base, centres).agg(F.sum("n")).first()[0] == 600
+
+
+def test_seeds_are_distinct_rows(points):
+    got = cluster.seeds(points[:50], 10)
+    assert len(np.unique(got, axis=0)) == 10
+    assert len(cluster.seeds(np.ones((5, 2)), 3)) == 3
+
+
+def test_two_books_of_one_training(base):
+    a, b = pq.dual_from_scratch(base, 16, 4, codes=8)
+    assert a.groupBy("chunk").count().agg(F.max("count")).first()[0] == 8 and b.count() == 32
+
+
+def test_neighbourhood_of_entries(built):
+    near = layout.neighbourhood(*built, hops=2)
+    assert near.select("id").distinct().count() == near.count() and near.agg(F.max("hop")).first()[0] <= 2
