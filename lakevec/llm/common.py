@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakevec.functions.storage import work_folder
+
+__all__ = ["BLANKS", "UPPER", "WORD", "connected_components", "crc_remainder", "discard", "hash_pair", "lower_ascii", "packed_rows", "stored", "unpacked", "with_row_key", "work_folder"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: White space of the contracts: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -15,20 +16,6 @@ BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Where the setting is unset, local sessions get a temporary folder and
-    clusters a folder in the warehouse; never a machine-local one on a cluster.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        base = tempfile.mkdtemp(prefix="lakevec-") if local else spark.conf.get("spark.sql.warehouse.dir")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def stored(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
     """Write df as Parquet and read it back: cuts the lineage and survives the loss of executors."""
     writer = df.write.mode("overwrite")
