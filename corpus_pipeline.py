@@ -21,10 +21,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays: the one of the least id."""
-    found = ngram_join.near_duplicates(docs).where("doc_id = class_id OR doc_id IS NULL").select("doc_id").distinct()
-    kept = docs.join(found.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.select(*docs.columns)
+    """One row of each class of near duplicates stays: the one of the least id, of equal ids any one, rows without an id last.
+
+    Rows are numbered first, as ids may be null, repeat, or stand on different texts.
+    """
+    packed = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    rows = stored(packed, f"{work_folder(spark, 'rows')}/rows")
+    found = ngram_join.near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")))
+    ids = rows.select("row", F.col("doc.doc_id").alias("id")).join(found.select(F.col("doc_id").alias("row"), "class_id"), "row")
+    heads = ids.groupBy("class_id").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "row")).alias("head")).select("head.row")
+    return rows.join(heads, "row", "left_semi").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

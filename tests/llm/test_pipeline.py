@@ -21,3 +21,12 @@ def test_odd_and_empty_tables(spark, odd_docs, no_docs):
         for i, (_, stage) in enumerate(p.STAGES):
             docs = stored(stage(spark, docs, "/root/testdata/sf0.001"), f"{folder}/{i}")
         assert (docs.count() > 0) == (table is odd_docs)
+
+
+def test_one_row_of_equal_rows_and_of_copies_without_ids_stays(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, a), (7, a), (None, a), (None, b), (None, b), (9, c), (3, a + " more"), (9, b), (4, c)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, row string")
+    got = sorted((r["doc_id"], r["text"]) for r in p.near_copies(spark, docs, "").collect())
+    assert got == [(3, a + " more"), (4, c), (9, b)]
+    assert [r["text"] for r in p.near_copies(spark, docs.where("doc_id IS NULL AND text LIKE 'b%'"), "").collect()] == [b]
