@@ -41,6 +41,9 @@ ENDS_P = BLOCKS - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption",
 #: Elements that hold an article's own words. Inside an article or main element they aren't compared with the site's template.
 TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 b i em strong u s small sub sup code pre blockquote q cite abbr mark time br hr li dt dd td th tr tbody thead tfoot table caption figcaption".split())
 
+#: So many different pages of a host make a template, whatever share of the host they are.
+MANY_PAGES = 100
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 SPACES = re.compile(r"[ \t\n\r\f\v   -     　\x1c-\x1f\x85]+")
@@ -200,22 +203,23 @@ def host_of(url: Column) -> Column:
 
 
 def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, hash, page) of each subtree of a page, and of the page itself with a null hash."""
     for b in batches:
         hosts, hashes, pages = [], [], []
         for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
             own = {e.hash - (1 << 63) for e in hashed(parse(html or "")) if e.tag not in ("", "html", "body", "article", "main", "br", "head") and e.parts}
-            hosts += [host] * len(own)
-            hashes += own
-            pages += [xxhash.xxh3_64_intdigest((html or "").encode("utf-8", "replace")) - (1 << 63)] * len(own)
+            hosts += [host] * (len(own) + 1)
+            hashes += [*own, None]
+            pages += [xxhash.xxh3_64_intdigest((html or "").encode("utf-8", "replace")) - (1 << 63)] * (len(own) + 1)
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(pages, pa.int64())], names=["host", "hash", "page"])
 
 
-def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1, many_pages: int = MANY_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars): the main text of every row of pages.
 
-    A subtree is of its host's template if at least min_pages different pages,
-    as many as min_share of the host's pages, hold it; copies of a page count
-    once. Null or empty html gives an empty
+    A subtree is of its host's template if at least min_pages different pages
+    hold it that are min_share of the host's different pages or many_pages;
+    copies of a page count once on both sides. Null or empty html gives an empty
     text; rows without a usable url share the empty host. Repeated rows each get
     their row. Other columns are left out.
 
@@ -227,8 +231,9 @@ def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1) -> Dat
     folder = work_folder(spark, "html")
     pages = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     seen = pages.select("host", "html").mapInArrow(subtrees, "host string, hash long, page long").distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    sizes = pages.groupBy("host").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= min_pages)
-    template = seen.join(sizes, "host").where(F.col("n") >= F.col("n_pages") * min_share)
+    seen = stored(seen, f"{folder}/seen")
+    sizes = seen.where("hash IS NULL").select("host", F.col("n").alias("n_pages"))
+    template = seen.where("hash IS NOT NULL").join(sizes, "host").where(F.col("n") >= F.least(F.col("n_pages") * min_share, F.lit(many_pages)))
     template = stored(template.groupBy("host").agg(F.collect_list("hash").alias("template")), f"{folder}/template")
     both = pages.join(template, "host", "left").select("page_id", "url", "html", "template")
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}

@@ -48,3 +48,20 @@ def test_articles_of_the_given_pages(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
     got = h.op6(spark, "/root/testdata/sf0.01").collect()
     assert len(got) == len(pages) and all(r["text"] == plain(pages[r["page_id"]]) and r["n_chars"] == len(r["text"]) for r in got)
+
+
+def extracted(spark, pages):
+    rows = [(i, f"http://a.example/{i}", html) for i, html in enumerate(pages)]
+    return [r["text"] for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_copies_of_a_page_do_not_hide_a_template(spark):
+    pages = [f"<body><div>Site words of ours</div><div><p>story {i} here</p></div></body>" for i in range(20)]
+    got = extracted(spark, pages + ["<body><div>Site words of ours</div><div><p>copied page</p></div></body>"] * 300)
+    assert got == [f"story {i} here" for i in range(20)] + ["copied page"] * 300
+
+
+def test_many_pages_are_a_template_on_a_large_host(spark):
+    pages = [f"<body><div>{'Section words' if i < 120 else f'own line {i}'}</div><div><p>story {i} here</p></div></body>" for i in range(1500)]
+    got = extracted(spark, pages)
+    assert got[:120] == [f"story {i} here" for i in range(120)] and got[200] == "own line 200 story 200 here"
