@@ -1,9 +1,10 @@
-"""N-gram Jaccard join with a MinHash LSH forest and exact verification.
+"""N-gram Jaccard join with MinHash bands and exact verification.
 
-A document's MinHash signature is cut into trees; a tree orders documents by
-its slice of the signature, and documents that share a prefix of the slice are
-candidates. The forest starts at the full depth and shortens the prefix until
-pairs at the threshold meet in at least one tree with the target recall.
+A document's MinHash signature is cut into trees; documents that share a
+prefix of a tree's slice of the signature are candidates. The prefix has one
+length for all trees and documents, the longest at which pairs at the threshold
+meet in at least one tree with the target recall: fixed banding, in which each
+tree holds a hash of the prefix. Tries whose prefixes adapt to the data are not built.
 Documents with the same shingles are one class member from the start. Groups of
 candidates then go to tasks in blocks, where all their pairs are compared
 exactly and only counts of links and as many links as tie the group together
@@ -24,8 +25,8 @@ from lakevec.llm.common import connected_components, stored, work_folder
 from lakevec.llm.language_id import flat_bytes
 
 TREES, DEPTH, TARGET = 24, 8, 0.999
-#: Shingles of one block of a group's documents.
-BLOCK_SHINGLES = 400_000
+#: Shingles and documents of one block of a group, about: all pairs of a block's documents are a matrix in one task.
+BLOCK_SHINGLES, BLOCK_DOCS = 400_000, 2048
 #: Bytes handled at once in the signature step.
 PIECE = 1 << 21
 
@@ -244,6 +245,12 @@ def _with_sets(n: int):
     return run
 
 
+def group_blocks(sets: DataFrame) -> DataFrame:
+    """(label, blocks): into how many blocks the documents (label, n shingles) of a group are cut."""
+    wanted = F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)), F.ceil(F.count("*") / F.lit(BLOCK_DOCS)))
+    return sets.groupBy("label").agg(wanted.cast("int").alias("blocks"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = TREES, depth: int = DEPTH, target: float = TARGET) -> DataFrame:
     """(doc_id, class_id, copy_of, n_links): one row for each row of docs.
 
@@ -269,9 +276,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees:
     buckets = stored(heads.mapInArrow(_prefixes(n, trees, at), "bucket long, v long"), f"{folder}/forest")
     tied = buckets.groupBy("bucket").agg(F.min("v").alias("b"), F.max("v").alias("most")).where("b < most").select("bucket", "b")
     groups = connected_components(buckets.join(tied, "bucket").select(F.col("v").alias("a"), "b"), f"{folder}/candidates")
-    # Blocks of a group: by a hash, as many as its shingles ask for.
+    # Blocks of a group: by a hash, as many as its shingles and documents ask for.
     sets = stored(heads.join(groups, "v").mapInArrow(_with_sets(n), "v long, label long, shingles binary, n long"), f"{folder}/sets")
-    blocks = sets.groupBy("label").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    blocks = group_blocks(sets)
     placed = sets.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     spread = placed.select("v", "label", "shingles", "block", F.explode(others).alias("with"))

@@ -84,3 +84,8 @@ def test_shingle_hashes_follow_words():
     hashes, offsets = j.shingle_hashes(np.frombuffer(b"".join(raw), np.uint8), at, 5)
     sets = [list(hashes[offsets[i] : offsets[i + 1]]) for i in range(5)]
     assert [len(s) for s in sets] == [2, 3, 0, 1, 2] and sets[0] == sets[1][1:] and len({*sets[4], *sets[0]}) == 4
+
+
+def test_blocks_bound_documents_of_few_shingles(spark):
+    sets = spark.range(100_000).selectExpr("1L AS label", "3L AS n")
+    assert j.group_blocks(sets).first()["blocks"] >= 100_000 / j.BLOCK_DOCS
