@@ -118,9 +118,9 @@ def knn_tags(spark, sf_dir):
 @query(f"""{_KNN}, s AS (SELECT qid, id, dist FROM k WHERE rank <= 200 AND id >= 100 AND id < 400)
 SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS INTEGER) AS rank, id FROM s QUALIFY rank <= 10""")
 def window_truth(spark, sf_dir):
+    """The 10 nearest rows of the window. The SQL looks for them among the 200 nearest of all, which hold them in small tables."""
     base = base_of(spark, sf_dir)
-    deep = exact.knn(queries_of(base), base, 200)
-    return exact.window_truth(deep, 100, 400, 10).select("qid", "rank", "id")
+    return exact.knn(queries_of(base), base.where("id >= 100 AND id < 400"), 10).select("qid", "rank", "id")
 
 
 @query(f"""{_KNN}, s AS (SELECT qid, id, dist FROM k WHERE id % 3 <> 0)
@@ -339,6 +339,16 @@ def update_trace(spark, sf_dir):
     return update.trace(base_of(spark, sf_dir), 200, 40, 3)
 
 
+@query("""WITH s AS (SELECT count(*) AS c FROM embeddings), p AS (SELECT c * 3 // 5 AS n, greatest(c // 20, 1) AS b FROM s)
+SELECT CAST(vec_id // b AS INTEGER) AS step, 'delete' AS op, vec_id AS id FROM embeddings, p WHERE vec_id < 8 * b
+UNION ALL SELECT CAST((vec_id - n) // b AS INTEGER), 'insert', vec_id FROM embeddings, p WHERE vec_id >= n AND vec_id < n + 8 * b""")
+def update_trace_by_size(spark, sf_dir):
+    """The trace of FIXTURES.md, which grows with the table: 60 % initial rows, 5 % a batch, 8 batches."""
+    base = base_of(spark, sf_dir)
+    rows = base.count()
+    return update.trace(base, rows * 3 // 5, max(rows // 20, 1), 8)
+
+
 @query("SELECT vec_id AS id FROM embeddings WHERE vec_id % 7 = 0 UNION SELECT vec_id FROM embeddings WHERE vec_id % 11 = 0")
 def tombstone_union(spark, sf_dir):
     base = base_of(spark, sf_dir)
