@@ -399,7 +399,7 @@ def search_query(mode: str, **options):
         extra = {"coder": coder_of(base)} if mode != "memory" else {}
         if mode == "page":
             extra["layout"] = layout.pages(topology, 16)
-        return graph.search(queries_of(base, 100), base, topology, entries, 10, mode=mode, **options, **extra)
+        return graph.search(queries_of(base), base, topology, entries, 10, mode=mode, **options, **extra)
 
     return run
 
@@ -417,4 +417,4 @@ def update_cycle(spark, sf_dir):
     topology, vectors = update.insert(new, old, topology, entries, length=64)
     dead = base.where("id % 10 = 3").select("id")
     topology, vectors, entries = update.consolidate(topology, vectors, entries, dead)
-    return graph.search(queries_of(base, 100), vectors, topology, entries, 10, length=100, width=32)
+    return graph.search(queries_of(base), vectors, topology, entries, 10, length=100, width=32)
