@@ -25,3 +25,11 @@ def test_every_planted_notice_is_found(spark):
     for name in ("Apache-2.0", "MIT", "GPL-3.0", "CC-BY-NC-4.0"):
         want = {(r["doc_id"], name) for r in docs.where(docs.text.contains(s.TEMPLATES[name])).select("doc_id").collect()}
         assert want and want <= got
+
+
+def test_siblings_are_told_apart(spark):
+    names = sorted(s.TEMPLATES)
+    unknown = s.TEMPLATES["GPL-3.0-header"].replace("version 3", "version 7")
+    docs = [(i, f"some words {s.TEMPLATES[n]} and others") for i, n in enumerate(names)] + [(100, unknown), (101, "Released under the Foo License.")]
+    got = sorted((r["doc_id"], r["license"], r["coverage"]) for r in s.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == [(i, n, 1.0) for i, n in enumerate(names)]
