@@ -1,35 +1,42 @@
-"""Toxicity by compression distance with two zstandard dictionaries.
-
-One dictionary is trained on ordinary text. The toxic one adds segments of
-toxic text to it, picked by how many toxic documents they newly cover, as
-zstandard's own trainer picks by newly covered samples. A window of a text
-that is like toxic text gets shorter with the second dictionary. How the
-differences of a text's windows turn into a probability is calibrated on the
-labelled rows.
+"""Toxicity by compression distance with zstandard dictionaries of toxic and of ordinary text.
+
+The same trainer makes, from windows of labelled texts, a dictionary of toxic
+and one of ordinary text, of one size; both go on top of a larger shared
+dictionary, which covers what all text has in common. A window is scored by
+how many bytes less it takes with the toxic dictionary than with the ordinary
+one. A toxic document holds mostly ordinary windows, so the toxic dictionary is
+trained in rounds: each half of the toxic rows picks the other half's windows
+that its dictionary shortens more than it shortens nearly all ordinary windows.
+How many windows of a text pass which threshold turns into a probability that
+is calibrated on labelled rows that no dictionary was trained on.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakevec.llm.common import crc_remainder
 
-#: Labelled rows of each class to learn from, about; rows are picked by a hash of their id. Longer texts are left out of the sample.
-MAX_TOXIC, MAX_ORDINARY, MAX_SAMPLE_CHARS = 1500, 3000, 50_000
+#: Bounds of the sample: labelled rows of each class, and windows of each class and half for the dictionaries. Both are picked by a hash over all.
+MAX_TOXIC, MAX_ORDINARY, MAX_WINDOWS = 1500, 3000, 30_000
+#: One in so many sampled rows calibrates; the others train the dictionaries.
+CALIBRATE = 3
 #: Bytes of a window and from one window to the next.
-WINDOW, STEP = 128, 112
-LEVEL, BASE_BYTES = 3, 16_384
-#: A segment's length in characters, the least toxic documents that hold it, and how many segments a document should be covered by.
-SEGMENT, MIN_DOCS, COVER = (4, 8), 5, 8
+WINDOW, STEP = 48, 16
+#: Bytes of the shared and of either class's dictionary, trainer's segment and match lengths, rounds of the toxic one.
+SHARED_BYTES, CLASS_BYTES, SEGMENT, MATCH, ROUNDS = 65_536, 1024, 20, 8, 3
+#: Share of ordinary windows that a toxic window must gain more than to train the next round.
+ABOVE = 0.98
+#: Bytes gained that windows are counted by.
+GAINS = (2, 3, 4, 5, 7)
+LEVEL, FEATURES = 3, len(GAINS) + 3
 
 
 @dataclass
@@ -42,6 +49,7 @@ class ToxicModel:
 
 
 def windows(text: str) -> list[bytes]:
+    """The overlapping windows of the whole text, lower-cased; an empty text has one empty window."""
     b = text.lower().encode("utf-8", "replace")
     return [b[i : i + WINDOW] for i in range(0, max(1, len(b) - (WINDOW - STEP)), STEP)]
 
@@ -49,17 +57,23 @@ def windows(text: str) -> list[bytes]:
 def _compressor(dictionary: bytes):
     p = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
     kind = zstandard.DICT_TYPE_AUTO if dictionary[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
-    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=kind), compression_params=p).compress
+    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary.rjust(64), dict_type=kind), compression_params=p).compress
 
 
-def features(texts: list[str], model: ToxicModel) -> np.ndarray:
-    """What each text's windows gain with the toxic dictionary: largest, mean of three largest, sum over root, mean, shares, count."""
-    a, b = _compressor(model.ordinary), _compressor(model.toxic)
-    out = np.zeros((len(texts), 7))
+def gains(found: list[bytes], ordinary: bytes, toxic: bytes) -> np.ndarray:
+    """How many bytes less each window takes with the toxic dictionary."""
+    a, b = _compressor(ordinary), _compressor(toxic)
+    return np.array([len(a(x)) - len(b(x)) for x in found], dtype=float)
+
+
+def features(texts: list[str], ordinary: bytes, toxic: bytes) -> np.ndarray:
+    """Of each text: the largest gain, the mean of the three largest, how many windows gain how much over the root of their number, and that number."""
+    a, b = _compressor(ordinary), _compressor(toxic)
+    out = np.zeros((len(texts), FEATURES))
     for i, text in enumerate(texts):
         g = np.array([len(a(x)) - len(b(x)) for x in windows(text)], dtype=float)
         n = len(g)
-        out[i] = g.max(), np.sort(g)[-3:].mean(), g.sum() / n**0.5, g.mean(), (g >= 2).mean(), (g >= 4).mean(), np.log(n)
+        out[i] = [g.max(), np.sort(g)[-3:].mean(), *((g >= t).sum() / n**0.5 for t in GAINS), np.log(n)]
     return out
 
 
@@ -68,112 +82,106 @@ def probability(f: np.ndarray, model: ToxicModel) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30)))
 
 
-def _words(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+", text.lower())
-
-
-def _segments(word: str) -> set[str]:
-    """A word's beginnings and, up to 32 characters, the word itself."""
-    return {x for n in range(SEGMENT[0], SEGMENT[1] + 1) if len(x := word[:n]) >= SEGMENT[0]} | ({word[:32]} if len(word) >= SEGMENT[0] else set())
-
-
-def _frequencies(texts: list[str], among: set[str] | None = None) -> Counter[str]:
-    """How many texts hold each segment."""
-    out: Counter[str] = Counter()
-    for text in texts:
-        found = set().union(*map(_segments, set(_words(text))))
-        out.update(found if among is None else found & among)
-    return out
-
-
-def _holders(texts: list[str], among: set[str]) -> dict[str, set[int]]:
-    """The texts that hold a segment, each (segment, word before, word) at its first text alone.
-
-    So near copies of one text don't make its segments look common.
-    """
-    first: dict[tuple[str, str, str], int] = {}
-    for i, text in enumerate(texts):
-        w = _words(text)
-        for before, word in zip(["", *w], w, strict=False):
-            for k in _segments(word) & among:
-                first.setdefault((k, before, word), i)
-    out: dict[str, set[int]] = defaultdict(set)
-    for (k, _, _), i in first.items():
-        out[k].add(i)
-    return out
-
-
-def toxic_segments(toxic: list[str], ordinary: list[str]) -> list[str]:
-    """Segments that stand in clearly more toxic than ordinary texts, by what they newly cover."""
-
-    def excess(a: int, b: int) -> float:
-        return np.log((a + 0.5) / len(toxic)) - np.log((b + 0.5) / max(1, len(ordinary))) - 2.5 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-
-    frequent = {k: v for k, v in _frequencies(toxic).items() if v >= MIN_DOCS}
-    elsewhere = _frequencies(ordinary, set(frequent))
-    among = {k for k, v in frequent.items() if excess(v, elsewhere[k]) > 0}
-    t, o = _holders(toxic, among), _holders(ordinary, among)
-    found = {k: (v, excess(len(v), len(o.get(k, ())))) for k, v in t.items() if len(v) >= MIN_DOCS}
-    left = {k: x for k, x in found.items() if x[1] > np.log(2)}
-    need, chosen = np.full(len(toxic), COVER), []
-    while left:
-        k = max(left, key=lambda x: (sum(need[i] > 0 for i in left[x][0]) * left[x][1], len(x), x))
-        holders, _ = left.pop(k)
-        if sum(need[i] > 0 for i in holders) < 3:
-            break
-        chosen.append(k)
-        for i in holders:
-            need[i] -= 1
-        for other in [x for x in left if (k.startswith(x) or x.startswith(k))]:
-            left.pop(other)
-    return chosen
-
-
-def fit(rows: list[tuple[str, int]]) -> ToxicModel:
-    """Dictionaries and calibration from (text, label) rows."""
-    toxic = sorted({t for t, y in rows if y == 1})
-    ordinary = sorted({t for t, y in rows if y == 0})
-    samples = [w for t in ordinary for w in windows(t)][:60_000]
+def trained(samples: list[bytes], size: int) -> bytes:
+    """The zstandard trainer's dictionary of the samples; too few of them serve as they are."""
     try:
-        base = zstandard.train_dictionary(BASE_BYTES, samples, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:  # too few samples to train on: their end serves as it is
-        base = (b" ".join(samples)[-BASE_BYTES:]).rjust(64)
-    segments = toxic_segments(toxic, ordinary)
-    extra = (" " + " ".join(reversed(segments)) + " ").encode() if segments else b""
-    model = ToxicModel(base, base + extra, np.zeros(7), np.ones(7), np.zeros(8))
-    if not rows:
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=MATCH, level=LEVEL).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b" ".join(samples)[-size:]
+
+
+def dictionaries(found: dict[tuple[int, int], list[bytes]]) -> tuple[bytes, bytes]:
+    """(ordinary, toxic) from the windows of each (label, half)."""
+    toxic, ordinary = [found.get((1, h), []) for h in (0, 1)], [found.get((0, h), []) for h in (0, 1)]
+    shared = trained(ordinary[0] + ordinary[1], SHARED_BYTES)
+    halves, picked = [shared + trained(x, CLASS_BYTES) for x in ordinary], toxic
+    for _ in range(ROUNDS):
+        known = [shared + trained(x, CLASS_BYTES) for x in picked]
+        fresh = []
+        for h in (0, 1):
+            usual = gains(ordinary[h], halves[1 - h], known[1 - h])
+            least = np.quantile(usual, ABOVE) if len(usual) else 0.0
+            g = gains(toxic[h], halves[1 - h], known[1 - h])
+            fresh.append([w for w, x in zip(toxic[h], g, strict=True) if x > least])
+        picked = [x if len(x) > 20 else y for x, y in zip(fresh, picked, strict=True)]
+    return shared + trained(ordinary[0] + ordinary[1], CLASS_BYTES), shared + trained(picked[0] + picked[1], CLASS_BYTES)
+
+
+def calibrated(ordinary: bytes, toxic: bytes, f: np.ndarray, y: np.ndarray) -> ToxicModel:
+    """The model whose probabilities fit the rows of features f and labels y."""
+    model = ToxicModel(ordinary, toxic, np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1))
+    if not len(y):
         model.weights[-1] = -5
         return model
-    f, y = features([t for t, _ in rows], model), np.array([y for _, y in rows], dtype=float)
     model.mean, model.scale = f.mean(0), f.std(0) + 1e-9
-    x, w = np.c_[(f - model.mean) / model.scale, np.ones(len(f))], np.zeros(8)
+    x, w = np.c_[(f - model.mean) / model.scale, np.ones(len(f))], model.weights
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += np.linalg.solve((x.T * (p * (1 - p))) @ x + np.eye(8) * 0.5, x.T @ (y - p) - 0.5 * w)
-    model.weights = w
+        w += np.linalg.solve((x.T * (p * (1 - p))) @ x + np.eye(FEATURES + 1) * 0.5, x.T @ (y - p) - 0.5 * w)
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """The bounded sample: (text, label) of about MAX_TOXIC and MAX_ORDINARY rows."""
+def _spot(*cols: Column | str) -> Column:
+    """A number from 0 to 1 by a hash."""
+    return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, toxic, half, calibrates): about MAX_TOXIC and MAX_ORDINARY labelled rows, whole texts; repeated texts share half and use."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, MAX_TOXIC / max(1, counts.get(1, 0))).otherwise(MAX_ORDINARY / max(1, counts.get(0, 0)))
-    spot = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = known.where(spot < share)  # about MAX_TOXIC + MAX_ORDINARY rows at any size, so it may be broadcast
-    rows = docs.join(F.broadcast(picked), "doc_id").where(F.length("text") <= MAX_SAMPLE_CHARS).select("doc_id", "text", "toxic").collect()
-    return [(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
+    picked = known.where(_spot("doc_id", F.lit(5)) < share)  # about MAX_TOXIC + MAX_ORDINARY rows at any size, so it may be broadcast
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text IS NOT NULL")
+    place = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(2 * CALIBRATE))
+    return rows.select("text", "toxic", (place % 2).cast("int").alias("half"), (F.floor(place / 2) == 0).alias("calibrates"))
+
+
+def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for text, toxic, half in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), b.column("half").to_pylist(), strict=True):
+            found = windows(text)
+            yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(found), pa.int32()), pa.array([half] * len(found), pa.int32()), pa.array(found, pa.binary())], names=["toxic", "half", "w"])
+
+
+def fit(rows: DataFrame) -> ToxicModel:
+    """Dictionaries and calibration from rows (text, toxic, half, calibrates).
+
+    At most about MAX_WINDOWS windows of each class and half, picked by a hash
+    among those of all rows, and one row of numbers for each calibrating text
+    come to the driver.
+    """
+    found = rows.where("NOT calibrates").select("text", "toxic", "half").mapInArrow(_windows_of, "toxic int, half int, w binary").distinct()
+    sizes = {(r["toxic"], r["half"]): r["n"] for r in found.groupBy("toxic", "half").agg(F.count("*").alias("n")).collect()}
+    share = F.coalesce(*[F.when((F.col("toxic") == t) & (F.col("half") == h), F.lit(MAX_WINDOWS / max(n, 1))) for (t, h), n in sizes.items()], F.lit(1.0))
+    samples: dict[tuple[int, int], list[bytes]] = {}
+    for r in found.where(_spot("w", F.lit(9)) < share).orderBy(F.xxhash64("w"), "w", "toxic").toLocalIterator():
+        samples.setdefault((r["toxic"], r["half"]), []).append(bytes(r["w"]))
+    ordinary, toxic = dictionaries(samples)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = features(b.column("text").to_pylist(), ordinary, toxic)
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(list(f), pa.list_(pa.float64()))], names=["toxic", "f"])
+
+    got = rows.where("calibrates").select("text", "toxic").distinct().mapInArrow(measured, "toxic int, f array<double>").orderBy("f", "toxic").collect()
+    return calibrated(ordinary, toxic, np.array([r["f"] for r in got]).reshape(len(got), FEATURES), np.array([r["toxic"] for r in got], dtype=float))
 
 
 def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """docs with score (0 to 1) and predicted in place of text. Null texts score as empty ones. Own columns of these names are replaced."""
+    """docs with score (0 to 1) and predicted in place of text.
+
+    Null texts score as empty ones, long texts by all their windows, repeated
+    rows each get their row. Own columns named score or predicted are replaced.
+    An empty table gives an empty result.
+    """
     docs = docs.drop("score", "predicted")
     kept = [x for x in docs.columns if x != "text"]
     schema = docs.select(*kept).schema.add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = probability(features([t or "" for t in b.column("text").to_pylist()], model), model)
+            p = probability(features([t or "" for t in b.column("text").to_pylist()], model.ordinary, model.toxic), model)
             yield pa.RecordBatch.from_arrays([b.column(x) for x in kept] + [pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"])
 
     return docs.mapInArrow(run, schema)
@@ -183,5 +191,5 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     held_out = crc_remainder(F.col("doc_id"), 5) == 0
-    model = fit(training_rows(docs.where(~held_out), labels.where(~held_out)))
+    model = fit(sample(docs.where(~held_out), labels.where(~held_out)))
     return score(docs.withColumn("held_out", held_out), model).select("doc_id", "held_out", "score", "predicted")
