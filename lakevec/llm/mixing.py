@@ -11,16 +11,19 @@ list, disjoint from all others, and shuffles them locally.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakevec.llm.common import packed_rows, stored, unpacked, with_row_key, work_folder
+from lakevec.llm.common import stored, unpacked, work_folder
 
-#: Documents that a block of the permuted order holds, about.
-BLOCK_DOCS = 1024
+#: Documents that a block of the permuted order holds, about; words of an output shard, about; sources whose table may be broadcast.
+BLOCK_DOCS, SHARD_WORDS, BROADCAST_SOURCES = 1024, 4_000_000, 50_000
 
 
 def size_of(text: Column) -> Column:
@@ -47,102 +50,130 @@ def source_targets(sizes: DataFrame, max_repeats: int = 3) -> DataFrame:
     return s.select("source", "source_size", "n_docs", "target")
 
 
-def shard_quotas(spark: SparkSession, quotas: list[int], n_shards: int, seed: int) -> DataFrame:
-    """(shard, source_no, lo): where in each source's list of draws a shard begins.
+def shard_draws(spark: SparkSession, quotas: list[int], n_shards: int, seed: int) -> DataFrame:
+    """(source_no, draw, shard): the shard of each of a source's draws, numbered from 0.
 
-    Every shard walks the tree from the root by itself. A node's draw depends
-    on the seed and the node alone, so all shards see the same tree.
+    Every task walks the tree from the root to its own shards. A node's draw
+    depends on the seed and the node alone, so all tasks see the same tree.
     """
 
-    def walk(batches):
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for shard in pdf["id"]:
-                lo, hi, left = 0, n_shards, np.array(quotas, dtype=np.int64)
-                start = np.zeros(len(quotas), dtype=np.int64)
-                while hi - lo > 1:
-                    mid = (lo + hi) // 2
-                    part = int(left.sum()) * (mid - lo) // (hi - lo)
-                    draw = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(left, part, method="marginals")
-                    if shard < mid:
-                        hi, left = mid, draw
-                    else:
-                        lo, left, start = mid, left - draw, start + draw
-                yield pd.DataFrame({"shard": int(shard), "source_no": np.arange(len(quotas)), "lo": start})
-
-    return spark.range(n_shards).mapInPandas(walk, "shard int, source_no int, lo long")
-
-
-def mix_table(docs: DataFrame, n_shards: int = 16, max_repeats: int = 3, seed: int = 17) -> DataFrame:
-    """(r1, r2, doc_id, size, source_size, target, taken, shards): one row for each row of docs.
-
-    size counts the words of the text (null: 0), taken the words that the mix
-    takes of the document, and shards names the output shard of each of its
-    copies. A source's taken words differ from its target by at most half the
-    size of one document. Rows that repeat are dealt separately; rows without
-    source are a source of their own, rows without id have the empty id. Only
-    one row for each source comes to the driver.
+            own = np.sort(pdf["id"].to_numpy())
+            nodes = [(0, n_shards, np.array(quotas, dtype=np.int64), np.zeros(len(quotas), dtype=np.int64))]
+            while nodes:
+                lo, hi, left, start = nodes.pop()
+                if np.searchsorted(own, lo) == np.searchsorted(own, hi):
+                    continue
+                if hi - lo == 1:
+                    source = np.repeat(np.arange(len(quotas)), left)
+                    draw = np.arange(len(source)) - np.repeat(np.cumsum(left) - left, left) + np.repeat(start, left)
+                    yield pd.DataFrame({"source_no": source.astype(np.int32), "draw": draw, "shard": np.int32(lo)})
+                    continue
+                mid = (lo + hi) // 2
+                part = int(left.sum()) * (mid - lo) // (hi - lo)
+                taken = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(left, part, method="marginals")
+                nodes += [(lo, mid, taken, start), (mid, hi, left - taken, start + taken)]
+
+    return spark.range(n_shards).mapInPandas(walk, "source_no int, draw long, shard int")
+
+
+def _sized(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, source, size, the place key of each row and a hash of all its columns, and more columns."""
+    key = F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).cast("binary"))
+    tie = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    return docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), key.alias("key"), tie.alias("tie"), *more)
+
+
+class Mix:
+    """The draws of a mix: which blocks of which sources go to which shards."""
+
+    def __init__(self, sizes: DataFrame, n_shards: int | None, max_repeats: int, seed: int):
+        self.spark, self.folder = sizes.sparkSession, work_folder(sizes.sparkSession, "mixing")
+        self.sizes = stored(sizes, f"{self.folder}/sizes")
+        targets = source_targets(self.sizes, max_repeats).withColumn("source_no", (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1).cast("int"))
+        bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n_docs") / F.lit(float(BLOCK_DOCS))))).cast("int")
+        passes = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_repeats))).otherwise(0).cast("int")
+        targets = targets.withColumns({"bits": bits, "passes": passes}).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
+        self.targets = stored(targets, f"{self.folder}/targets")
+        self.n_sources = self.targets.count()
+        # Words of each block, and before it in its source.
+        blocks = self.placed(self.sizes).groupBy("source_no", "block", "passes", "rest").agg(F.sum("size").alias("words"))
+        ahead = W.partitionBy("source_no").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+        self.blocks = stored(blocks.withColumn("ahead", F.coalesce(F.sum("words").over(ahead), F.lit(0))), f"{self.folder}/blocks")
+        # Each pass over a block is a draw; the last, partial pass ends at the block that holds the rest's end.
+        partial = (F.col("rest") > 0) & (F.col("ahead") <= F.col("rest"))
+        turns = F.concat(F.array_repeat(F.lit(False), F.col("passes")), F.when(partial, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
+        draws = self.blocks.select("source_no", "block", F.posexplode(turns).alias("turn", "partial"))
+        order = W.partitionBy("source_no").orderBy("turn", F.xxhash64(F.lit(seed), "block", "turn"), "block")
+        self.draws = stored(draws.withColumn("draw", (F.row_number().over(order) - 1).cast("long")), f"{self.folder}/draws")
+        quotas = {r["source_no"]: r["n"] for r in self.draws.groupBy("source_no").agg(F.count("*").alias("n")).collect()}
+        words = self.targets.agg(F.sum("target")).first()[0] or 0.0
+        self.n_shards = n_shards or max(1, min(sum(quotas.values()), math.ceil(words / SHARD_WORDS)))
+        self.tree = shard_draws(self.spark, [quotas.get(i, 0) for i in range(self.n_sources)], self.n_shards, seed)
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """rows with their source's numbers and their block."""
+        known = self.targets.select(F.col("source").alias("_s"), "source_no", "source_size", "target", "passes", "rest", "bits")
+        known = F.broadcast(known) if self.n_sources <= BROADCAST_SOURCES else known
+        rows = rows.join(known, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+        first = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
+        return rows.withColumn("block", F.floor(first / F.pow(F.lit(2.0), 32 - F.col("bits"))).cast("long"))
+
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """rows with shards, the shard of each of their copies, and taken, the words of these copies."""
+        drawn = self.draws.join(self.tree, ["source_no", "draw"]).groupBy("source_no", "block")
+        drawn = drawn.agg(F.array_sort(F.collect_list(F.struct("turn", "partial", "shard"))).alias("drawn"))
+        drawn = self.blocks.select("source_no", "block", "ahead").join(drawn, ["source_no", "block"], "left")
+        d = self.placed(rows).join(drawn, ["source_no", "block"])
+        inside = W.partitionBy("source_no", "block").orderBy("key", "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, -1)
+        d = d.withColumn("before", F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        fits = F.col("before") + F.col("size") * F.lit(0.5) <= F.col("rest")
+        got = F.filter(F.coalesce("drawn", F.array().cast("array<struct<turn:int,partial:boolean,shard:int>>")), lambda x: (F.col("size") > 0) & (~x["partial"] | fits))
+        d = d.withColumn("shards", F.transform(got, lambda x: x["shard"]))
+        return d.withColumn("taken", F.col("size") * F.size("shards"))
+
+
+def mix_table(docs: DataFrame, n_shards: int | None = None, max_repeats: int = 3, seed: int = 17) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, shards): one row for each row of docs.
+
+    size counts the words of the text (null: 0), shards names the output shard
+    of each copy that the shards' draws hold of the document, and taken counts
+    the words of these copies. A source's taken words differ from its target by
+    at most half the size of one document. Rows that repeat are dealt
+    separately; rows without source are a source of their own, rows without id
+    have the empty id; other columns are left out. Only one number for each
+    source comes to the driver. n_shards follows from the size of the mix.
     """
-    spark = docs.sparkSession
-    folder = work_folder(spark, "mixing")
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    base = with_row_key(docs).select("r1", "r2", "doc_id", "source", size_of(F.col("text")).alias("size"), key.alias("key"))
-    base = stored(base, f"{folder}/sizes")
-    targets = stored(source_targets(base, max_repeats).withColumn("source_no", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1), f"{folder}/targets")
-    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n_docs") / F.lit(float(BLOCK_DOCS))))).cast("int")
-    passes = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_repeats))).otherwise(0).cast("int")
-    targets = targets.withColumns({"bits": bits, "passes": passes}).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-    known = targets.select(F.col("source").alias("_s"), "source_no", "source_size", "target", "passes", "rest", "bits")
-    d = base.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    first = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
-    d = d.withColumn("block", F.floor(first / F.pow(F.lit(2.0), 32 - F.col("bits"))).cast("long"))
-    # Words before each block, then before each document of its block.
-    blocks = d.groupBy("source_no", "block", "passes", "rest").agg(F.sum("size").alias("words"))
-    ahead = W.partitionBy("source_no").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = stored(blocks.withColumn("ahead", F.coalesce(F.sum("words").over(ahead), F.lit(0))), f"{folder}/blocks")
-    # Each pass over a block is a draw; the last pass ends at the block that holds the rest's end.
-    n_draws = F.col("passes") + F.when((F.col("rest") > 0) & (F.col("ahead") <= F.col("rest")), 1).otherwise(0)
-    draws = blocks.where(n_draws > 0).select("source_no", "block", F.explode(F.sequence(F.lit(1), n_draws)).alias("turn"))
-    draws = draws.withColumn("draw", F.row_number().over(W.partitionBy("source_no").orderBy("turn", F.xxhash64(F.lit(seed), "block", "turn"), "block")) - 1)
-    draws = stored(draws, f"{folder}/draws")
-    quotas = {r["source_no"]: r["n"] for r in draws.groupBy("source_no").agg(F.count("*").alias("n")).collect()}
-    n_sources = max(quotas, default=-1) + 1
-    starts = shard_quotas(spark, [quotas.get(i, 0) for i in range(n_sources)], n_shards, seed)
-    starts = starts.groupBy("source_no").agg(F.sort_array(F.collect_list("lo")).alias("starts"))
-    at = draws.join(starts, "source_no").withColumn("shard", F.size(F.filter("starts", lambda x: x <= F.col("draw"))) - 1)
-    at = at.groupBy("source_no", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "shard"))), lambda x: x["shard"]).alias("block_shards"))
-    blocks = blocks.select("source_no", "block", "ahead").join(at, ["source_no", "block"], "left")
-    d = d.join(blocks, ["source_no", "block"])
-    inside = W.partitionBy("source_no", "block").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    before = F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    extra = (F.col("rest") > 0) & (before + F.col("size") * F.lit(0.5) <= F.col("rest"))
-    d = d.withColumn("copies", F.col("passes") + F.when(extra, 1).otherwise(0))
-    shards = F.when(F.col("size") > 0, F.slice(F.coalesce("block_shards", F.array().cast("array<int>")), F.lit(1), F.col("copies"))).otherwise(F.array().cast("array<int>"))
-    return d.select("r1", "r2", "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), shards.alias("shards"))
-
-
-def mixed(docs: DataFrame, n_shards: int = 16, max_repeats: int = 3, seed: int = 17) -> DataFrame:
+    mix = Mix(_sized(docs), n_shards, max_repeats, seed)
+    return mix.dealt(mix.sizes).select("doc_id", "size", "source_size", "target", "taken", "shards")
+
+
+def mixed(docs: DataFrame, n_shards: int | None = None, max_repeats: int = 3, seed: int = 17) -> DataFrame:
     """The mix itself: docs' rows, once for each copy, with shard and place; each shard in its own shuffled order.
 
-    Empty documents have no words to take and are not in the mix. Own columns
-    named shard or place are replaced.
+    Every row travels with its own columns to its block and from there to its
+    shards, so rows that are alike but for their source stay apart. Empty
+    documents have no words to take and are not in the mix. Own columns named
+    shard or place are replaced; others may have any name.
     """
-    table = mix_table(docs, n_shards, max_repeats, seed)
-    many = table.groupBy("r1", "r2").agg(F.flatten(F.collect_list("shards")).alias("shards"))
     own = [c for c in docs.columns if c not in ("shard", "place")]
-    rows = packed_rows(docs).select("r1", "r2", "_row").dropDuplicates(["r1", "r2"]).join(many, ["r1", "r2"])
-    rows = rows.select("r1", "r2", "_row", F.posexplode("shards").alias("copy", "shard"))
-    rows = rows.select(*unpacked(own), "shard", F.xxhash64(F.lit(seed), "r1", "r2", "copy").alias("place"))
-    return rows.repartition("shard").sortWithinPartitions("shard", "place")
+    row = F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row")
+    packed = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.col("text").alias("text"), row)
+    mix = Mix(_sized(docs), n_shards, max_repeats, seed)
+    rows = mix.dealt(_sized(packed, F.col("_row"))).select("_row", "key", "tie", F.posexplode("shards").alias("copy", "shard"))
+    rows = rows.select(*unpacked(own), "shard", F.xxhash64(F.lit(seed), "key", "tie", "copy").alias("place"))
+    return rows.repartition(mix.n_shards, "shard").sortWithinPartitions("shard", "place")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix_table(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_table(docs).drop("shards")
 
 
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-  md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+  md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || md5(coalesce(text, ''))) AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
 w AS (SELECT *, (rank - 1) % 3 + 1 AS w, 3 * source_size AS cap FROM s),
 t AS (SELECT *, sum(source_size) OVER () AS total, sum(w) OVER () AS weights,

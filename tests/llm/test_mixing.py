@@ -32,15 +32,27 @@ def test_targets_are_met_and_reruns_agree(spark, monkeypatch):
 
 def test_tree_deals_exact_quotas(spark):
     quotas = [7, 0, 100, 33]
-    starts = m.shard_quotas(spark, quotas, 6, 1).collect()
+    draws = m.shard_draws(spark, quotas, 6, 1).collect()
     for s, q in enumerate(quotas):
-        lo = sorted((r["shard"], r["lo"]) for r in starts if r["source_no"] == s)
-        assert lo[0][1] == 0 and [x[1] for x in lo] == sorted(x[1] for x in lo) and lo[-1][1] <= q
-    ends = {}
-    for shard in range(6):
-        nxt = {r["source_no"]: r["lo"] for r in starts if r["shard"] == shard + 1} or dict(enumerate(quotas))
-        ends[shard] = sum(nxt[r["source_no"]] - r["lo"] for r in starts if r["shard"] == shard)
-    assert sum(ends.values()) == 140 and max(ends.values()) - min(ends.values()) <= 2
+        assert sorted(r["draw"] for r in draws if r["source_no"] == s) == list(range(q))
+    per = Counter(r["shard"] for r in draws)
+    assert set(per) == set(range(6)) and max(per.values()) - min(per.values()) <= 2
+    assert sorted(map(tuple, draws)) == sorted(map(tuple, m.shard_draws(spark, quotas, 6, 1).repartition(3).collect()))
+
+
+def test_words_come_from_the_shards_draws(spark, monkeypatch):
+    """Without the tree nothing is taken."""
+    docs = spark.createDataFrame([(i, "a b c", "s") for i in range(50)], "doc_id long, text string, source string")
+    assert m.mix_table(docs).agg(F.sum("taken")).first()[0] == 150
+    monkeypatch.setattr(m, "shard_draws", lambda spark, *_: spark.createDataFrame([], "source_no int, draw long, shard int"))
+    assert m.mix_table(docs).agg(F.sum("taken")).first()[0] == 0
+
+
+def test_like_rows_of_two_sources_stay_apart(spark):
+    docs = spark.createDataFrame([(1, "a b", "A"), (1, "a b", "B"), (1, "a b", "A")], "doc_id long, text string, source string")
+    want = Counter({r["source"]: r["n"] for r in m.mix_table(docs).join(spark.createDataFrame([("A", 4), ("B", 2)], "source string, source_size long"), "source_size").groupBy("source").agg(F.sum(F.size("shards")).alias("n")).collect()})
+    got = Counter(r["source"] for r in m.mixed(docs).collect())
+    assert got == want and set(got) == {"A", "B"}
 
 
 def test_equals_sql(against_sql):
