@@ -1,14 +1,19 @@
 """HTML extraction with removal of site templates.
 
-Every page is cut into elements; every element's subtree gets a hash of its
-tags and text. Spark counts, for each host, the pages that hold a subtree, and
-subtrees that recur across many pages of their host are deleted, as are
-elements whose tag, role or class says that they aren't the article.
+Every page is cut into elements. A subtree gets a hash of its tags and text
+and, if it is a named box of the page (a block with a class or id, a landmark),
+one of its tags and names alone, since menus, adverts and notices change their
+words from page to page but not their shape. Spark counts, for each host, the
+pages that hold a hash, and subtrees that recur across many pages of their host
+are deleted; boxes only where they hold little of the host's text, so that the
+box of the article stays. What the standard itself sets apart from an article
+(nav, footer, forms, scripts) and reader comments, which don't recur, go too.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -26,7 +31,7 @@ NEVER = frozenset("nav header footer aside form menu dialog button select option
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Words of class, id or role that mark what isn't the article.
+#: Words of class, id or role that mark what isn't the article, for hosts of too few pages to show what recurs.
 MARKS = re.compile(
     r"(?<![a-z])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|popup|modal|newsletter|subscribe|sidebar|side-bar|menus?|navbar|nav|navigation|breadcrumbs?|header|footer|comments?|comment-?list|disqus|share|sharing|social|related|pagination|pager|search|skip-link|complementary|contentinfo|toolbar|widget)(?![a-z])",
     re.I,
@@ -35,14 +40,21 @@ MARKS = re.compile(
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
 }
-#: Elements that an unclosed p ends at, and those that keep an end tag from closing what lies outside them.
+#: Elements that an unclosed p ends at.
 ENDS_P = BLOCKS - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
 
 #: Elements that hold an article's own words. Inside an article or main element they aren't compared with the site's template.
 TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 b i em strong u s small sub sup code pre blockquote q cite abbr mark time br hr li dt dd td th tr tbody thead tfoot table caption figcaption".split())
 
+#: Boxes of a page, which are counted by shape if they have a name or are landmarks.
+BOXES = frozenset("address aside center details dialog div dl fieldset footer form header hgroup menu nav ol section ul".split())
+LANDMARKS = frozenset("aside footer form header menu nav".split())
+COMMENTS = re.compile(r"(?<![a-z])(?:comments?|comment-?list|disqus)(?![a-z])", re.I)
+
 #: So many different pages of a host make a template, whatever share of the host they are.
 MANY_PAGES = 100
+#: A box is template if it is on this share of its host's pages and holds at most this share of their text.
+BOX_PAGES, BOX_TEXT = 0.5, 0.2
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
@@ -50,29 +62,32 @@ SPACES = re.compile(r"[ \t\n\r\f\v   -     　\x1c-\x1f\x85]+")
 
 
 class Element:
-    __slots__ = ("tag", "parts", "never", "hash")
+    __slots__ = ("tag", "parts", "never", "marked", "names", "hash", "shape", "digest", "form")
 
-    def __init__(self, tag: str, never: bool):
-        self.tag, self.never, self.parts, self.hash = tag, never, [], 0
+    def __init__(self, tag: str, attributes: str):
+        self.tag, self.parts, self.hash, self.shape, self.digest, self.form = tag, [], 0, 0, b"", b""
+        self.never, self.marked, self.names = _reading(tag, attributes)
 
 
-def _marked(tag: str, attributes: str) -> bool:
-    if tag in NEVER:
-        return True
-    if not attributes or tag in ("html", "body", "main"):
-        return False
-    if tag == "article":  # layouts name sidebars on it; reader comments come as articles too
-        return bool(re.search(r"(?:class|id)\s*=\s*[\"']?[^\"'>]*(?<![a-z])comments?(?![a-z])", attributes, re.I))
+def _reading(tag: str, attributes: str) -> tuple[bool, bool, str]:
+    """Of a start tag: never part of the article, marked by a word as such, words of its class, id and role without digits."""
+    never, marked, names = tag in NEVER, tag in NEVER, []
+    if not attributes or never and tag not in BOXES or tag in ("html", "body", "main"):
+        return never, marked, ""
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name in ("class", "id", "role") and MARKS.search(value):
-            return True
-    return False
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            never = True
+        elif name in ("class", "id", "role"):
+            names.append(value.lower())
+            never = never or bool(COMMENTS.search(value))  # reader comments come as articles too
+            marked = marked or tag != "article" and bool(MARKS.search(value))
+    return never, marked or never, re.sub(r"\d+", "", " ".join(sorted(names)))
 
 
 def parse(html: str) -> Element:
     """The tree of a page: elements with their parts (texts and elements) in order. Faulty markup is read as browsers do, about."""
-    root = Element("", False)
+    root = Element("", "")
     stack = [root]
     at = 0
     end = len(html)
@@ -89,7 +104,7 @@ def parse(html: str) -> Element:
         tag = m.group(2).lower()
         if m.group(1):
             if tag == "br":
-                stack[-1].parts.append(Element("br", False))
+                stack[-1].parts.append(Element("br", ""))
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
@@ -112,7 +127,7 @@ def parse(html: str) -> Element:
         if tag == "body":
             while len(stack) > 1 and stack[-1].tag == "head":
                 stack.pop()
-        e = Element(tag, _marked(tag, attributes))
+        e = Element(tag, attributes)
         stack[-1].parts.append(e)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             continue
@@ -126,43 +141,74 @@ def parse(html: str) -> Element:
 
 
 def hashed(root: Element) -> list[Element]:
-    """The elements that a template may hold, in order of their ends, each with the hash of its subtree."""
+    """The elements that a template may hold, in order of their ends, with the hash of their subtree and, for boxes, of its shape.
+
+    An article's own words (TEXTS inside an article or main element) aren't
+    compared with the site's template, nor are boxes inside it or around it.
+    """
     out: list[Element] = []
-    todo: list[tuple[Element, bool, bool]] = [(root, False, False)]
+    todo: list[tuple[Element, bool, bool, bool]] = [(root, False, False, False)]
     while todo:
-        e, done, inside = todo.pop()
+        e, done, inside, wanted = todo.pop()
+        own = e.tag in ("article", "main")
         if not done:
-            inside = inside or e.tag in ("article", "main")
-            todo.append((e, True, inside))
-            todo.extend((x, False, inside) for x in reversed(e.parts) if isinstance(x, Element) and not (inside and x.tag in TEXTS))
+            if own:
+                wanted = False
+            elif not (inside and e.tag in TEXTS):
+                wanted = True
+            todo.append((e, True, inside, wanted))
+            todo.extend((x, False, inside or own, wanted and e.tag not in ("", "html", "body")) for x in reversed(e.parts) if isinstance(x, Element))
             continue
-        h = xxhash.xxh3_64(e.tag.encode())
-        if not (inside and e.tag in ("article", "main")):
-            _digest(e, h)
-        e.hash = h.intdigest()
-        out.append(e)
+        if own or not wanted:
+            e.digest, e.form = e.tag.encode(), b"article" if own else e.tag.encode()
+            continue
+        h, forms = xxhash.xxh3_64(e.tag.encode()), set()
+        for x in e.parts:
+            h.update(SPACES.sub(" ", x).strip().encode("utf-8", "replace") if isinstance(x, str) else x.digest)
+            h.update(b"\0")
+            if not isinstance(x, str):
+                forms.add(x.form)
+        e.digest = h.digest()
+        around = b"article" in forms
+        e.form = b"article" if around else xxhash.xxh3_64(b"\0".join([e.tag.encode(), e.names.encode("utf-8", "replace"), *sorted(forms)])).digest()
+        if not (inside and e.tag in TEXTS) and e.tag not in ("", "html", "body", "head", "br"):
+            e.hash = h.intdigest()
+            if e.tag in BOXES and (e.names or e.tag in LANDMARKS) and not (inside or around):
+                e.shape = int.from_bytes(e.form, "little")
+            out.append(e)
     return out
 
 
-def _digest(e: Element, h) -> None:
-    for x in e.parts:
-        if isinstance(x, str):
-            h.update(SPACES.sub(" ", x).strip().encode("utf-8", "replace"))
-        elif x.hash:
-            h.update(x.hash.to_bytes(8, "little"))
-        else:
-            h.update(x.tag.encode())
-            _digest(x, h)
-        h.update(b"\0")
+def text_size(e: Element) -> int:
+    """Characters of text below e, without what is never text."""
+    n, todo = 0, [e]
+    while todo:
+        x = todo.pop()
+        for y in x.parts:
+            if isinstance(y, str):
+                n += len(y)
+            elif y.tag not in RAW and y.tag != "head":
+                todo.append(y)
+    return n
+
 
+def main_text(root: Element, template: set[int] | None) -> str:
+    """The blocks of what is left without the template, in order.
+
+    Where nothing is known of the host (None), elements with telling names go
+    and an article or main element, if there is one, is all that counts.
+    """
+    known = template is not None
+    gone_hashes = template or set()
+
+    def is_gone(x: Element) -> bool:
+        return x.never or not known and x.marked or known and (x.hash in gone_hashes or x.shape in gone_hashes)
 
-def main_text(root: Element, template: set[int]) -> str:
-    """The blocks of what is left, in order. An article or main element, if there is one, is all that counts."""
     found: list[Element] = []
-    todo = [root]
+    todo = [] if known else [root]
     while todo:
         e = todo.pop()
-        if e.never or e.hash in template and e is not root:
+        if is_gone(e):
             continue
         if e.tag in ("article", "main"):
             found.append(e)
@@ -186,7 +232,7 @@ def main_text(root: Element, template: set[int]) -> str:
             elif isinstance(x, str):
                 line.append(x)
             else:
-                gone = x.never or x.hash in template and x is not top
+                gone = x is not top and is_gone(x)
                 if x.tag in BLOCKS:
                     flush()
                     if not gone:
@@ -203,38 +249,50 @@ def host_of(url: Column) -> Column:
 
 
 def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, hash, page) of each subtree of a page, and of the page itself with a null hash."""
+    """(host, page, hash, box, text): each subtree of a page, each shape of a box with its characters of text, and the page itself with all of them and a null hash."""
     for b in batches:
-        hosts, hashes, pages = [], [], []
+        rows: list[tuple[str, int, int | None, bool, float]] = []
         for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-            own = {e.hash - (1 << 63) for e in hashed(parse(html or "")) if e.tag not in ("", "html", "body", "article", "main", "br", "head") and e.parts}
-            hosts += [host] * (len(own) + 1)
-            hashes += [*own, None]
-            pages += [xxhash.xxh3_64_intdigest((html or "").encode("utf-8", "replace")) - (1 << 63)] * (len(own) + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(pages, pa.int64())], names=["host", "hash", "page"])
-
-
-def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1, many_pages: int = MANY_PAGES) -> DataFrame:
+            page = xxhash.xxh3_64_intdigest((html or "").encode("utf-8", "replace")) - (1 << 63)
+            root = parse(html or "")
+            found, boxes = hashed(root), defaultdict(int)
+            for e in found:
+                if e.shape:
+                    boxes[e.shape] += text_size(e)
+            rows.append((host, page, None, False, float(text_size(root))))
+            rows += [(host, page, h - (1 << 63), False, 0.0) for h in {e.hash for e in found if e.parts}]
+            rows += [(host, page, h - (1 << 63), True, float(n)) for h, n in boxes.items()]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["host", "page", "hash", "box", "text"])
+
+
+def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1, many_pages: int = MANY_PAGES, box_pages: float = BOX_PAGES, box_text: float = BOX_TEXT) -> DataFrame:
     """(page_id, url, text, n_chars): the main text of every row of pages.
 
     A subtree is of its host's template if at least min_pages different pages
-    hold it that are min_share of the host's different pages or many_pages;
-    copies of a page count once on both sides. Null or empty html gives an empty
-    text; rows without a usable url share the empty host. Repeated rows each get
-    their row. Other columns are left out.
+    hold it that are min_share of the host's different pages or many_pages; a
+    box of some shape, if box_pages of the host's different pages hold it and it
+    has on average at most box_text of the characters of an average page. Copies of a page count once
+    on both sides. On hosts of fewer than min_pages different pages fixed words
+    of classes decide. Null or empty html gives an empty text; rows without a
+    usable url share the empty host; very long and deeply nested pages are read
+    whole. Repeated rows each get their row. Other columns are left out.
 
     The hashes combine before the shuffle, so a host with a third of all pages
-    is no hot group. Template hashes reach the pages as an array for each host
-    with at least one; an element counts once a page.
+    is no hot group. Template hashes reach the pages as an array for each host;
+    where that table is too large to broadcast, the join is one that Spark
+    splits by skew (the pages' side of a left join).
     """
     spark = pages.sparkSession
     folder = work_folder(spark, "html")
     pages = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    seen = pages.select("host", "html").mapInArrow(subtrees, "host string, hash long, page long").distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    kind = "host string, page long, hash long, box boolean, text double"
+    seen = pages.select("host", "html").mapInArrow(subtrees, kind).distinct().groupBy("host", "hash", "box").agg(F.count("*").alias("n"), F.avg("text").alias("text")).where(F.col("n") >= min_pages)
     seen = stored(seen, f"{folder}/seen")
-    sizes = seen.where("hash IS NULL").select("host", F.col("n").alias("n_pages"))
-    template = seen.where("hash IS NOT NULL").join(sizes, "host").where(F.col("n") >= F.least(F.col("n_pages") * min_share, F.lit(many_pages)))
-    template = stored(template.groupBy("host").agg(F.collect_list("hash").alias("template")), f"{folder}/template")
+    sizes = seen.where("hash IS NULL").select("host", F.col("n").alias("n_pages"), F.col("text").alias("page_text"))
+    recurs = F.when(F.col("box"), (F.col("n") >= F.col("n_pages") * box_pages) & (F.col("part") <= F.col("page_text") * box_text)).otherwise(F.col("n") >= F.least(F.col("n_pages") * min_share, F.lit(many_pages)))
+    template = sizes.join(seen.where("hash IS NOT NULL").withColumnRenamed("text", "part"), "host", "left").select("host", F.when(recurs, F.col("hash")).alias("hash"))
+    template = stored(template.groupBy("host").agg(F.collect_set("hash").alias("template")), f"{folder}/template")
     both = pages.join(template, "host", "left").select("page_id", "url", "html", "template")
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
 
@@ -243,11 +301,9 @@ def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1, many_p
             out = []
             for html, template in zip(b.column("html").to_pylist(), b.column("template").to_pylist(), strict=True):
                 root = parse(html or "")
-                gone: set[int] = set()
                 if template:
                     hashed(root)
-                    gone = {h + (1 << 63) for h in template}
-                out.append(main_text(root, gone))
+                out.append(main_text(root, None if template is None else {h + (1 << 63) for h in template}))
             n = pa.array([len(t) for t in out], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), n], names=["page_id", "url", "text", "n_chars"])
 
