@@ -1,34 +1,41 @@
 """Language ID by prediction by partial matching over bytes.
 
-Each language has a tree of byte contexts of order 0 to 2 with counts. A byte
-that its context has seen costs -log2(count / (total + distinct)); one that it
-hasn't costs the escape -log2(distinct / (total + distinct)) and is coded in
-the next shorter context, at last evenly over 256 bytes. The statistics are
-frozen after training, so a text's code length under a language is an exact
-sum, and the language of the shortest code wins.
+Each language has a tree of byte contexts of up to ORDER bytes with counts; a
+context stands in it if training saw it often enough, so the tree's depth
+varies. A byte that its longest context has seen costs
+-log2(count / (total + distinct)); one that it hasn't costs the escape
+-log2(distinct / (total + distinct)) and is coded in the next shorter context,
+at last evenly over 256 bytes. The statistics are frozen after training, so a
+text's code length under a language is an exact sum, and the language of the
+shortest code wins. Contexts are sorted keys with one row of costs for all
+languages, so memory follows the contexts that training saw.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from lakevec.llm.common import crc_remainder
 
 #: Training rows for each language, about; rows are picked by a hash of their content.
 MAX_TRAIN_DOCS = 3000
+#: Bytes of the longest context, and how often a context of two bytes or more must be seen to be in the tree.
+ORDER, MIN_SEEN = 3, 4
 #: Code lengths are divided by this before they are turned into a probability.
 TEMPERATURE = 8.0
-#: Bytes scored at once.
-PIECE = 1 << 20
+#: Costs looked up at once.
+PIECE = 1 << 22
 
-_TABLES: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+_TABLES: dict[str, CodeTable] = {}
 
 
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -39,16 +46,16 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The byte before each byte and the one before that; 0 before a text's start."""
-    one, two = np.zeros(len(data), np.uint8), np.zeros(len(data), np.uint8)
-    one[1:], two[2:] = data[:-1], data[:-2]
+def grams_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Each byte with the ORDER bytes before it, the last byte lowest; 0 before a text's start."""
+    out = data.astype(np.int64)
     starts = offsets[:-1][np.diff(offsets) > 0]
-    one[starts] = 0
-    two[starts] = 0
-    second = starts + 1
-    two[second[second < len(data)]] = 0
-    return one, two
+    place = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data)))) if len(data) else np.zeros(0, int)
+    for k in range(1, ORDER + 1):
+        before = np.zeros(len(data), np.int64)
+        before[k:] = data[:-k]
+        out |= np.where(place >= k, before, 0) << (8 * k)
+    return out
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,103 +64,144 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang in langs.unique():
             data, offsets = flat_bytes(b.column("text").filter(pa.array(langs == lang)))
             if len(data):
-                one, two = contexts(data, offsets)
-                grams, n = np.unique((two.astype(np.int32) << 16) | (one.astype(np.int32) << 8) | data, return_counts=True)
+                grams, n = np.unique(grams_of(data, offsets), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(n)], names=["lang", "gram", "n"])
 
 
 def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> pd.DataFrame:
-    """(lang, gram, n): counts of three bytes in a row for each language.
+    """(lang, k, gram, n): how often each byte (the lowest of gram) follows each context of k bytes of the language's tree.
 
     A bounded sample: each language gives about max_docs rows, picked by a hash
-    of their content, whole texts. The table has at most 2^24 rows a language,
-    in practice some ten thousand, and comes to the driver as the model.
+    of their content, whole texts; rows without language or text teach nothing,
+    repeated rows count as often as they come. Contexts are counted and
+    those seen too seldom dropped on the cluster; what is left is the model and
+    comes to the driver.
     """
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL")
     share = {r["lang"]: min(1.0, max_docs / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not share:
-        return pd.DataFrame({"lang": [], "gram": [], "n": []})
+        return pd.DataFrame({"lang": [], "k": [], "gram": [], "n": []})
     table = docs.sparkSession.createDataFrame(list(share.items()), "lang string, share double")
     spot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rows = rows.join(F.broadcast(table), "lang").where(spot < F.col("share")).select("lang", "text")
-    return rows.mapInArrow(_count_grams, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-
+    longest = rows.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    every = longest.select("lang", F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("k"), "gram", "n")
+    every = every.withColumn("gram", F.col("gram").bitwiseAND(F.expr("shiftleft(1L, 8 * (k + 1)) - 1"))).groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
+    context = F.expr("shiftright(gram, 8)")
+    seen = every.groupBy("lang", "k", context.alias("context")).agg(F.sum("n").alias("total")).where(f"k < 2 OR total >= {MIN_SEEN}")
+    return every.withColumn("context", context).join(seen, ["lang", "k", "context"], "left_semi").select("lang", "k", "gram", "n").toPandas()
+
+
+@dataclass
+class CodeTable:
+    """For each order: sorted grams with their costs and sorted contexts with their escapes, a row of bits for each with a column a language."""
+
+    grams: list[np.ndarray]
+    costs: list[np.ndarray]
+    contexts: list[np.ndarray]
+    escapes: list[np.ndarray]
+
+    def order_costs(self, gram: np.ndarray, k: int) -> np.ndarray:
+        """Bits of each byte in its context of k bytes, with escapes to shorter ones."""
+        out = np.zeros((len(gram), self.escapes[0].shape[1]), np.float32)
+        left = np.arange(len(gram))
+        for j in range(k, -1, -1):
+            own = gram[left] & ((1 << 8 * (j + 1)) - 1)
+            at, hit = _find(self.grams[j], own)
+            out[left[hit]] += self.costs[j][at[hit]]
+            left, own = left[~hit], own[~hit]
+            if not len(left):
+                return out
+            at, hit = _find(self.contexts[j], own >> 8)
+            out[left[hit]] += self.escapes[j][at[hit]]
+        out[left] += 8
+        return out
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+
+
+def code_table(model: pd.DataFrame, langs: list[str]) -> CodeTable:
+    table = CodeTable([], [], [], [])
+    for k in range(ORDER + 1):
+        m = model[model["k"] == k]
+        gram, lang, n = m["gram"].to_numpy(dtype=np.int64), m["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(dtype=int), m["n"].to_numpy(dtype=float)
+        grams, row = np.unique(gram, return_inverse=True)
+        contexts, of = np.unique(grams >> 8, return_inverse=True)
+        count = np.zeros((len(grams), len(langs)))
+        count[row, lang] = n
+        total, distinct = np.zeros((len(contexts), len(langs))), np.zeros((len(contexts), len(langs)))
+        np.add.at(total, of, count)
+        np.add.at(distinct, of, count > 0)
+        there = total > 0
+        base = np.maximum(total + distinct, 1)
+        escapes = np.where(there, -np.log2(np.where(there, distinct, 1) / base), 0).astype(np.float32)
+        shorter = table.order_costs(grams & ((1 << 8 * k) - 1), k - 1) if k else np.full((len(grams), len(langs)), 8, np.float32)
+        own = -np.log2(np.where(count > 0, count, 1) / base[of])
+        table.grams.append(grams)
+        table.costs.append(np.where(count > 0, own, escapes[of] + shorter).astype(np.float32))
+        table.contexts.append(contexts)
+        table.escapes.append(escapes)
+    return table
 
-def code_table(model: pd.DataFrame, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(byte -> symbol, cost[two, one, byte, language] as a flat array of bits)."""
-    grams = model["gram"].to_numpy(dtype=np.int64)
-    seen = np.unique(np.concatenate([grams & 255, (grams >> 8) & 255, grams >> 16]))
-    symbol = np.ones(256, np.int32)  # 0 stands before texts, 1 for all bytes that training never saw
-    symbol[0] = 0
-    symbol[seen[seen > 0]] = np.arange(2, (seen > 0).sum() + 2)
-    a = int(symbol.max()) + 1
-    out = np.empty((a, a, a, len(langs)), np.float32)
 
-    def coded(n: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        total, distinct = n.sum(-1, keepdims=True), (n > 0).sum(-1, keepdims=True)
-        base = np.maximum(total + distinct, 1)
-        escape = np.where(total > 0, distinct / base, 1.0)
-        return np.where(n > 0, n / base, escape * shorter).astype(np.float32)
-
-    for i, lang in enumerate(langs):
-        m = model[model["lang"] == lang]
-        g, n = m["gram"].to_numpy(dtype=np.int64), m["n"].to_numpy(dtype=np.float32)
-        three = np.zeros((a, a, a), np.float32)
-        np.add.at(three, (symbol[g >> 16], symbol[(g >> 8) & 255], symbol[g & 255]), n)
-        two = three.sum(0)
-        p = coded(two.sum(0), np.full(a, 1 / 256, np.float32))
-        p = coded(two, p)
-        out[..., i] = -np.log2(coded(three, p))
-    return symbol, out.reshape(-1, len(langs))
-
-
-def code_lengths(data: np.ndarray, offsets: np.ndarray, symbol: np.ndarray, cost: np.ndarray) -> np.ndarray:
+def code_lengths(data: np.ndarray, offsets: np.ndarray, table: CodeTable, order: int = ORDER) -> np.ndarray:
     """Bits of each text under each language."""
-    one, two = contexts(data, offsets)
-    a = int(symbol.max()) + 1
-    out = np.zeros((len(offsets) - 1, cost.shape[1]))
+    gram = grams_of(data, offsets)
+    n_langs = table.escapes[0].shape[1]
+    out = np.zeros((len(offsets) - 1, n_langs))
     full = np.flatnonzero(np.diff(offsets) > 0)
     starts = offsets[:-1][full]
-    for lo in range(0, len(data), PIECE):
-        hi = min(lo + PIECE, len(data))
-        at = (symbol[two[lo:hi]] * a + symbol[one[lo:hi]]) * a + symbol[data[lo:hi]]
+    step = max(1 << 14, PIECE // n_langs)
+    for lo in range(0, len(data), step):
+        hi = min(lo + step, len(data))
         first, last = np.searchsorted(starts, lo, "right") - 1, np.searchsorted(starts, hi, "left")
         cuts = np.maximum(starts[first:last], lo) - lo
-        out[full[first:last]] += np.add.reduceat(cost[at], cuts, axis=0, dtype=np.float64)
+        out[full[first:last]] += np.add.reduceat(table.order_costs(gram[lo:hi], order), cuts, axis=0, dtype=np.float64)
     return out
 
 
-def predict(docs: DataFrame, model: pd.DataFrame) -> DataFrame:
-    """docs with lang_pred and score.
+def predict(docs: DataFrame, model: pd.DataFrame, names: tuple[str, str, str] = ("lang_pred", "score", "fits")) -> DataFrame:
+    """docs with lang_pred, score and fits.
 
     lang_pred is `und`, with score 0, where the text is null or has no letter,
     or where nothing was learned. score is the probability of the language of
     the shortest code, from code lengths divided by TEMPERATURE. Equal lengths
-    go to the first language by name. Own columns of these names are replaced.
+    go to the first language by name. fits says that the contexts of that
+    language shorten the text against its single bytes, which they don't where
+    a text is in no learned language; it is false where lang_pred is `und`.
+    Whole texts are coded, of any length; repeated rows each get their row. Own
+    columns of these names are replaced; `names` can give others.
     """
     langs = sorted(model["lang"].unique())
-    docs = docs.drop("lang_pred", "score").withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    out_schema = docs.drop("_letters").schema.add("lang_pred", "string").add("score", "double")
+    own = [c for c in docs.columns if c not in names]
+    row = F.struct(*[F.col(f"`{c}`") for c in own]).alias("row")
+    packed = docs.select(row, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    kept = [F.col("row").getField(c).alias(c) for c in own]
     if not langs:
-        return docs.drop("_letters").withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
-    sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, langs, model["lang"].to_numpy(), model["gram"].to_numpy(), model["n"].to_numpy()))
+        return packed.select(*kept, F.lit("und").alias(names[0]), F.lit(0.0).alias(names[1]), F.lit(False).alias(names[2]))
+    sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, langs, *(model[c].to_numpy() for c in ("lang", "k", "gram", "n"))))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, names, lang, gram, n = sent.value
+        key, known, *columns = sent.value
         if key not in _TABLES:
             _TABLES.clear()
-            _TABLES[key] = code_table(pd.DataFrame({"lang": lang, "gram": gram, "n": n}), names)
-        symbol, cost = _TABLES[key]
+            _TABLES[key] = code_table(pd.DataFrame(dict(zip(("lang", "k", "gram", "n"), columns, strict=True))), known)
         for b in batches:
-            bits = code_lengths(*flat_bytes(b.column("text")), symbol, cost)
-            letters = b.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
+            data, offsets = flat_bytes(b.column("row").field("text"))
+            bits, single = code_lengths(data, offsets, _TABLES[key]), code_lengths(data, offsets, _TABLES[key], 0)
+            letters = b.column("letters").to_numpy(zero_copy_only=False).astype(bool)
             best = bits.argmin(1)
+            at = np.arange(len(best))
             share = 1 / np.exp2((bits.min(1, keepdims=True) - bits) / TEMPERATURE).sum(1)
-            kept = [i for i, x in enumerate(b.schema.names) if x != "_letters"]
-            cols = [b.column(i) for i in kept] + [pa.array(np.where(letters, np.array(names, object)[best], "und"), pa.string()), pa.array(np.where(letters, share, 0.0))]
-            yield pa.RecordBatch.from_arrays(cols, names=[b.schema.names[i] for i in kept] + ["lang_pred", "score"])
+            found = pa.array(np.where(letters, np.array(known, object)[best], "und"), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("row"), found, pa.array(np.where(letters, share, 0.0)), pa.array(letters & (bits[at, best] < single[at, best]))], names=["row", "p", "s", "f"])
 
-    return docs.mapInArrow(score, out_schema)
+    schema = StructType([packed.schema["row"], StructField("p", StringType()), StructField("s", DoubleType()), StructField("f", BooleanType())])
+    out = packed.mapInArrow(score, schema)
+    return out.select(*kept, *[F.col(x).alias(y) for x, y in zip("psf", names, strict=True)])
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,30 +1,63 @@
+import random
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 
 from lakevec.llm import language_id as g
 
 
-def test_code_lengths_equal_a_plain_model():
-    """Three orders, escapes and even bytes at last, byte by byte."""
-    train, text = b"\0\0" + b"abracadabra", b"abrab!ac"
-    grams = [train[i - 2 : i + 1] for i in range(2, len(train))]
-
-    def p(context, byte):
-        if context is None:
-            return 1 / 256
-        n = [x[2] for x in grams if x[2 - len(context) : 2] == context]
-        shorter = context[1:] if context else None
-        if not n:
-            return p(shorter, byte)
-        base = len(n) + len(set(n))
-        return n.count(byte) / base if byte in n else len(set(n)) / base * p(shorter, byte)
-
-    want = sum(-np.log2(p((b"\0\0" + text)[i : i + 2], text[i])) for i in range(len(text)))
-    codes, n = np.unique([(x[0] << 16) | (x[1] << 8) | x[2] for x in grams], return_counts=True)
-    symbol, cost = g.code_table(pd.DataFrame({"lang": "x", "gram": codes, "n": n}), ["x"])
+def counted(lang, *texts):
+    """The rows of train() for some texts, counted plainly."""
+    rows = Counter()
+    for text in texts:
+        padded = b"\0" * g.ORDER + text
+        for i in range(g.ORDER, len(padded)):
+            for k in range(g.ORDER + 1):
+                rows[k, padded[i - k : i], padded[i]] += 1
+    total = Counter()
+    for (k, context, _), n in rows.items():
+        total[k, context] += n
+    kept = {x: n for x, n in rows.items() if x[0] < 2 or total[x[:2]] >= g.MIN_SEEN}
+    return kept, [(lang, k, int.from_bytes(context + bytes([byte]), "big"), n) for (k, context, byte), n in kept.items()]
+
+
+def plain_cost(kept, context, byte):
+    """Bits of a byte by the definition: the longest context of the tree, then escapes."""
+    k = len(context)
+    n = {b: c for (j, x, b), c in kept.items() if j == k and x == context}
+    shorter = lambda: plain_cost(kept, context[1:], byte) if k else 8.0
+    if not n:
+        return shorter()
+    base = sum(n.values()) + len(n)
+    return -np.log2(n[byte] / base) if byte in n else -np.log2(len(n) / base) + shorter()
+
+
+def test_code_lengths_equal_a_plain_model(spark):
+    """Contexts of up to three bytes, two languages, escapes and even bytes at last, byte by byte."""
+    texts = {"x": [b"abracadabra abracadabra abra", b"cabra"], "y": [b"banana bandana bab"]}
+    models = {lang: counted(lang, *t) for lang, t in texts.items()}
+    model = pd.DataFrame([r for _, rows in models.values() for r in rows], columns=["lang", "k", "gram", "n"])
+    docs = spark.createDataFrame([(i, t.decode(), lang) for i, (lang, t) in enumerate((lang, t) for lang, ts in texts.items() for t in ts)], "doc_id long, text string, lang string")
+    assert sorted(map(tuple, g.train(docs).itertuples(index=False))) == sorted(map(tuple, model.itertuples(index=False)))
+    text = b"abrab!acanda band"
     data = np.frombuffer(text + text, np.uint8)
-    got = g.code_lengths(data, np.array([0, len(text), len(text), 2 * len(text)]), symbol, cost)
-    assert abs(got[0, 0] - want) < 1e-3 and got[1, 0] == 0 and got[2, 0] == got[0, 0]
+    table = g.code_table(model, ["x", "y"])
+    for order in (g.ORDER, 0):
+        got = g.code_lengths(data, np.array([0, len(text), len(text), 2 * len(text)]), table, order)
+        for i, lang in enumerate("xy"):
+            padded = b"\0" * g.ORDER + text
+            want = sum(plain_cost(models[lang][0], padded[j - order : j], padded[j]) for j in range(g.ORDER, len(padded)))
+            assert abs(got[0, i] - want) < 1e-3 and got[1, i] == 0 and abs(got[2, i] - want) < 1e-3
+
+
+def test_texts_of_no_learned_language_do_not_fit(spark):
+    rng = random.Random(1)
+    real = [(i, " ".join(rng.choice(["water", "under", "the", "bridge", "runs", "slowly"]) for _ in range(40)), "en") for i in range(60)]
+    noise = [(100 + i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(200)), "en") for i in range(5)]
+    model = g.train(spark.createDataFrame(real, "doc_id long, text string, lang string"))
+    got = {r["doc_id"]: r["fits"] for r in g.predict(spark.createDataFrame([*real, *noise], "doc_id long, text string, lang string"), model).collect()}
+    assert all(got[i] for i, _, _ in real) and not any(got[i] for i, _, _ in noise)
 
 
 def test_odd_and_empty(spark, odd_docs, odd_rows, no_docs):
