@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,13 +12,23 @@ from lakevec.llm.common import stored, work_folder
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Predict each document's language from its text; those without one (no text, no letter) go."""
+    """Predict each document's language from its text; those go that have none or fit none.
+
+    A text fits if the byte contexts of its language shorten it: null, empty and
+    letterless texts go, and so do ones that no learned language can code, such
+    as random letters. Where no row has both a language and a text, nothing is
+    learned and all go. Repeated rows are judged alike; own columns may have any name.
+    """
+    free = [next(x for i in count() if (x := f"{name}{i}") not in docs.columns) for name in ("lang_pred", "score", "fits")]
     model = language_id.train(docs.select("doc_id", "text", "lang"))
-    return language_id.predict(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+    return language_id.predict(docs, model, tuple(free)).where(free[2]).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the lines that many documents hold; a document of which nothing is left goes."""
+    """Drop the lines that many documents hold; a document of which nothing is left goes, as do null and blank ones.
+
+    Repeated rows count as documents of their own; own columns may have any name.
+    """
     return line_dedup.kept_documents(docs).where(F.length(F.btrim("text", F.lit(line_dedup.BLANKS))) > 0)
 
 
@@ -34,12 +46,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
+    """Documents with a passage of the benchmark go. Null and empty texts have none; repeated rows are judged alike; own columns may have any name."""
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draw the sources to their target weights into shuffled shards; a document comes up to three times."""
+    """Draw the sources to their target weights into shuffled shards; a document comes up to three times.
+
+    Documents without a word go; null sources are a source of their own; repeated rows are drawn separately.
+    """
     return mixing.mixed(docs)
 
 
