@@ -38,8 +38,11 @@ _M = 0x9E3779B97F4A7C15
 _M_INVERSE = pow(_M, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
 
-ANCHOR = [("fp", "u8"), ("eh", "u8"), ("u", "i8"), ("start", "u4"), ("lo", "u1"), ("span", "u1")]
-SPAN = [("u", "i8"), ("start", "u4"), ("end", "u4")]
+#: u and v say which document: its id and, where ids repeat, a hash of its text.
+ANCHOR = [("fp", "u8"), ("eh", "u8"), ("u", "i8"), ("v", "i8"), ("start", "u4"), ("lo", "u1"), ("span", "u1")]
+SPAN = [("u", "i8"), ("v", "i8"), ("start", "u4"), ("end", "u4")]
+#: Bits of an anchor's hash that give way to its place. Constant, so that equal windows have equal anchors wherever they stand.
+PLACE_BITS = np.uint64(32)
 
 
 def pack(columns: dict[str, np.ndarray], kinds: list[tuple[str, str]]) -> bytes:
@@ -70,8 +73,33 @@ def _by_bucket(columns: dict[str, np.ndarray], kinds: list[tuple[str, str]], buc
             yield int(bucket[part[0]]), pack({k: v[part] for k, v in columns.items()}, kinds)
 
 
-def _doc_bucket(u: np.ndarray, n: int) -> np.ndarray:
-    return u % n
+def spark_hash(*columns: np.ndarray) -> np.ndarray:
+    """Spark's hash() of columns of longs: Murmur3 of 32 bits with the seed 42."""
+    h = np.full(len(columns[0]), 42, np.uint32)
+    for column in columns:
+        halves = np.ascontiguousarray(column, "<i8").view(np.uint32).reshape(-1, 2)
+        for k in (halves[:, 0], halves[:, 1]):
+            k = k * np.uint32(0xCC9E2D51)
+            k = ((k << np.uint32(15)) | (k >> np.uint32(17))) * np.uint32(0x1B873593)
+            h = h ^ k
+            h = ((h << np.uint32(13)) | (h >> np.uint32(19))) * np.uint32(5) + np.uint32(0xE6546B64)
+        h = h ^ np.uint32(8)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        h = h ^ (h >> np.uint32(16))
+    return h.view(np.int32)
+
+
+def _doc_bucket(a: dict[str, np.ndarray], n: int) -> np.ndarray:
+    return spark_hash(a["u"], a["v"]).astype(np.int64) % n
+
+
+def _doc_places(known_u: np.ndarray, known_v: np.ndarray, a: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each known document and of the document of each row of a, in one order."""
+    both = np.empty(len(known_u) + len(a["u"]), [("u", "i8"), ("v", "i8")])
+    both["u"], both["v"] = np.concatenate([known_u, a["u"]]), np.concatenate([known_v, a["v"]])
+    rank = np.unique(both, return_inverse=True)[1].ravel()
+    return rank[: len(known_u)], rank[len(known_u) :]
 
 
 def _power(base: int, n: int, name: str) -> np.ndarray:
@@ -91,8 +119,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> dict[
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_M, n, "up"), dtype=np.uint64)])
     inverse = _power(_M_INVERSE, n, "down")
     gram = mix((sums[k:] - sums[:-k]) * inverse[: n - k + 1])
-    bits = np.uint64(max(1, int(n - 1).bit_length()))
-    least = ((gram >> bits) << bits) | np.arange(n - k + 1, dtype=np.uint64)
+    least = ((gram >> PLACE_BITS) << PLACE_BITS) | np.arange(n - k + 1, dtype=np.uint64)
     step = 1
     while step * 2 <= w:
         least = np.minimum(least[:-step], least[step:])
@@ -105,7 +132,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> dict[
         return empty
     row = np.repeat(np.arange(len(count)), count)
     p = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + offsets[:-1][row]
-    at = (least[p] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    at = (least[p] & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64)
     first = np.ones(total, bool)
     first[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
     i = np.flatnonzero(first)
@@ -119,11 +146,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> dict[
 
 def _settle(a: dict[str, np.ndarray], length: int) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
     """(earliest of each kind of piece, spans of all the others)."""
-    order = np.lexsort((a["start"], a["u"], a["eh"], a["fp"]))
+    order = np.lexsort((a["start"], a["v"], a["u"], a["eh"], a["fp"]))
     a = {k: v[order] for k, v in a.items()}
     head = np.ones(len(order), bool)
     head[1:] = (a["fp"][1:] != a["fp"][:-1]) | (a["eh"][1:] != a["eh"][:-1])
-    gone = {"u": a["u"][~head], "start": a["start"][~head], "end": a["start"][~head] + a["span"][~head].astype(np.uint32) + np.uint32(length)}
+    gone = {"u": a["u"][~head], "v": a["v"][~head], "start": a["start"][~head], "end": a["start"][~head] + a["span"][~head].astype(np.uint32) + np.uint32(length)}
     return {k: v[head] for k, v in a.items()}, gone
 
 
@@ -141,17 +168,18 @@ def find_anchors(length: int, k: int, n_buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = flat_bytes(b.column("text"))
-            u = b.column("u").to_numpy()
+            u, v = b.column("u").to_numpy(), b.column("v").to_numpy()
             parts = []
             for lo, hi in _pieces(data, offsets):
                 a = anchors(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length, k)
-                a["u"] = u[lo + a.pop("row")]
+                row = lo + a.pop("row")
+                a |= {"u": u[row], "v": v[row]}
                 parts.append(a)
             if not parts:
                 continue
             a, gone = _settle({x: np.concatenate([p[x] for p in parts]) for x, _ in ANCHOR}, length)
             rows = [(0, x, y) for x, y in _by_bucket(a, ANCHOR, (a["fp"] % np.uint64(n_buckets)).astype(np.int64))]
-            rows += [(1, x, y) for x, y in _by_bucket(gone, SPAN, _doc_bucket(gone["u"], n_buckets))]
+            rows += [(1, x, y) for x, y in _by_bucket(gone, SPAN, _doc_bucket(gone, n_buckets))]
             yield _rows(rows)
 
     return run
@@ -169,8 +197,8 @@ def meet(length: int, n_buckets: int) -> Callable:
         many[1:] |= same
         many[:-1] |= same
         a = {k: v[many] for k, v in a.items()}
-        rows += [(1, x, y) for x, y in _by_bucket(gone, SPAN, _doc_bucket(gone["u"], n_buckets))]
-        rows += [(2, x, y) for x, y in _by_bucket(a, ANCHOR, _doc_bucket(a["u"], n_buckets))]
+        rows += [(1, x, y) for x, y in _by_bucket(gone, SPAN, _doc_bucket(gone, n_buckets))]
+        rows += [(2, x, y) for x, y in _by_bucket(a, ANCHOR, _doc_bucket(a, n_buckets))]
         return pa.Table.from_batches([_rows(rows)])
 
     return run
@@ -186,9 +214,9 @@ def cut_pieces(length: int, k: int, n_buckets: int) -> Callable:
         if len(a["u"]) and docs.num_rows:
             docs = docs.combine_chunks()
             data, offsets = flat_bytes(docs.column("text").combine_chunks())
-            u = docs.column("u").to_numpy()
-            order = np.argsort(u, kind="stable")
-            doc = order[np.searchsorted(u[order], a["u"])]
+            own, of = _doc_places(docs.column("u").to_numpy(), docs.column("v").to_numpy(), a)
+            order = np.argsort(own, kind="stable")
+            doc = order[np.searchsorted(own[order], of)]
             for lo in range(0, len(doc), CHUNK):
                 part = {x: v[lo : lo + CHUNK] for x, v in a.items()}
                 begin = offsets[doc[lo : lo + CHUNK]] + part["start"]
@@ -242,7 +270,7 @@ def compare(length: int, k: int, n_buckets: int) -> Callable:
 
     def run(table: pa.Table) -> pa.Table:
         a = unpack(table.column("packed").to_pylist(), [*ANCHOR, ("text", f"V{width}")])
-        order = np.lexsort((a["start"], a["u"], a["fp"]))
+        order = np.lexsort((a["start"], a["v"], a["u"], a["fp"]))
         a = {x: v[order] for x, v in a.items()}
         ends = np.append(np.flatnonzero(a["fp"][1:] != a["fp"][:-1]) + 1, len(order))
         rows, at = [], 0
@@ -255,8 +283,8 @@ def compare(length: int, k: int, n_buckets: int) -> Callable:
             piece, first = np.nonzero(edge == 1)
             last = np.nonzero(edge == -1)[1] - 1
             base = part["start"].astype(np.int64) + part["lo"] - (length - k)
-            spans = {"u": part["u"][piece], "start": base[piece] + first, "end": base[piece] + last + length}
-            rows += [(1, x, y) for x, y in _by_bucket(spans, SPAN, _doc_bucket(spans["u"], n_buckets))]
+            spans = {"u": part["u"][piece], "v": part["v"][piece], "start": base[piece] + first, "end": base[piece] + last + length}
+            rows += [(1, x, y) for x, y in _by_bucket(spans, SPAN, _doc_bucket(spans, n_buckets))]
             at = to
         return pa.Table.from_batches([_rows(rows)])
 
@@ -268,11 +296,11 @@ def keep_rest(with_text: bool) -> Callable:
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         s = unpack(found.column("packed").to_pylist(), SPAN)
-        order = np.lexsort((s["start"], s["u"]))
-        s = {k: v[order] for k, v in s.items()}
+        own, of = _doc_places(docs.column("u").to_numpy(), docs.column("v").to_numpy(), s)
+        order = np.lexsort((s["start"], of))
+        s, of = {k: v[order] for k, v in s.items()}, of[order]
         sizes, removed, spans, shas, kept = [], [], [], [], []
-        u = docs.column("u").to_numpy()
-        lo, hi = np.searchsorted(s["u"], u, "left"), np.searchsorted(s["u"], u, "right")
+        lo, hi = np.searchsorted(of, own, "left"), np.searchsorted(of, own, "right")
         for i, text in enumerate(docs.column("text").to_pylist()):
             raw = (text or "").encode("utf-8", "surrogatepass")
             parts, at, runs, n = [], 0, 0, 0
@@ -297,23 +325,19 @@ def keep_rest(with_text: bool) -> Callable:
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """doc_id, text and u, which orders documents as their ids do; and the same with each u once.
+    """doc_id, text and u, v, which order documents as their ids do; and the same with each (u, v) once.
 
-    Rows without an id come last. Where ids repeat, rows of one id are ordered
-    by a hash of their text, and rows that are wholly alike share a number.
+    Rows without an id come last. Where ids repeat, v is a hash of the text, so
+    rows of one id are ordered by it and rows that are wholly alike are one document.
     """
-    docs = docs.select("doc_id", "text")
-    last = F.lit((1 << 53) - 1)
-    base = docs.withColumn("u", F.coalesce(F.col("doc_id").cast("long"), last))
-    most = base.groupBy("u").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
-    if most == 1:
+    last = F.lit((1 << 63) - 1)
+    base = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), last).alias("u"))
+    repeats = base.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    if not repeats:
+        base = base.withColumn("v", F.lit(0).cast("long"))
         return base, base
-    hashed = base.withColumns({"h1": F.xxhash64(F.coalesce("text", F.lit(""))), "h2": F.xxhash64(F.lit(3), F.coalesce("text", F.lit("")))})
-    ids = hashed.select("u", "h1", "h2").distinct()
-    version = F.expr("row_number() OVER (PARTITION BY u ORDER BY h1, h2) - 1").cast("long")
-    ids = ids.withColumn("version", version)
-    base = hashed.join(ids, ["u", "h1", "h2"]).select("doc_id", "text", (F.col("u") * F.lit(most) + F.col("version")).alias("u"))
-    return base, base.dropDuplicates(["u"])
+    base = base.withColumn("v", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return base, base.dropDuplicates(["u", "v"])
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, k: int = 32, with_text: bool = True) -> DataFrame:
@@ -322,8 +346,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 32, with_text: b
     Each byte goes that is covered by a string of `length` bytes which also
     starts earlier (in a document of less id, or earlier in the same one),
     judged on the input. Null texts are empty; other columns are left out; an
-    empty table gives an empty result. length is at most 255 bytes more than k,
-    k at least 8. kept is what is left, as bytes, since a cut can divide a character.
+    empty table gives an empty result. Ids are integers; rows without one come
+    last, rows of one id in the order of a hash of their text, and rows alike in
+    both are one document. length is at most 200 bytes more than k, k at least
+    8. kept is what is left, as bytes, since a cut can divide a character.
+    Pieces that recur whole are told by 128 bits of hash, without their bytes.
     """
     if not 8 <= k < length <= k + 200:
         raise ValueError("length and k don't fit")
@@ -332,9 +359,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 32, with_text: b
     docs, once = numbered(docs)
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = max(4, -(-total // BUCKET_BYTES))
-    packed = once.select("u", "text").mapInArrow(find_anchors(length, k, n), PACKED)
+    packed = once.select("u", "v", "text").mapInArrow(find_anchors(length, k, n), PACKED)
     met = stored(packed.groupBy("bucket").applyInArrow(meet(length, n), PACKED), f"{folder}/met")
-    by_doc = docs.withColumn("bucket", F.pmod("u", F.lit(n))).groupBy("bucket")
+    by_doc = docs.withColumn("bucket", F.pmod(F.hash("u", "v"), F.lit(n)).cast("long")).groupBy("bucket")
     pieces = by_doc.cogroup(met.where("kind = 2").groupBy("bucket")).applyInArrow(cut_pieces(length, k, n), PACKED)
     spans = pieces.groupBy("bucket").applyInArrow(compare(length, k, n), PACKED).unionByName(met.where("kind = 1"))
     spans = stored(spans, f"{folder}/spans")

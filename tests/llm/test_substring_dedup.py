@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from lakevec.llm import substring_dedup as s
@@ -46,3 +47,26 @@ def test_odd_documents(odd_docs, odd_rows, no_docs):
 def test_arguments():
     with pytest.raises(ValueError):
         s.remove_repeats(None, length=20, k=32)
+
+
+def test_hash_equals_sparks(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(-(2**63), 2**63), rng.randrange(-(2**63), 2**63)) for _ in range(200)] + [(0, 0), (2**63 - 1, -1)]
+    want = [r["h"] for r in spark.createDataFrame(rows, "u long, v long").coalesce(1).selectExpr("hash(u, v) AS h").collect()]
+    assert s.spark_hash(np.array([r[0] for r in rows]), np.array([r[1] for r in rows])).tolist() == want
+
+
+def test_many_rows_without_id_and_large_ids(spark):
+    rng = random.Random(3)
+    common = "".join(rng.choice("abcdef") for _ in range(150))
+    rows = [(None, f"{i} {common} {i}") for i in range(1500)] + [(2**63 - 2, common), (5, common)]
+    got = s.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 1502
+    assert all(r["n_removed"] >= 150 for r in got if r["doc_id"] != 5) and next(r for r in got if r["doc_id"] == 5)["n_removed"] == 0
+
+
+def test_buckets_are_even_where_ids_repeat_or_share_a_factor(spark):
+    rows = [(i * 64, "x") for i in range(4000)] + [(64, y) for y in "abc"]
+    base, once = s.numbered(spark.createDataFrame(rows, "doc_id long, text string"))
+    sizes = [r["count"] for r in base.selectExpr("pmod(hash(u, v), 4) AS b").groupBy("b").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 1.2 * min(sizes) and once.count() == 4003
