@@ -1,18 +1,24 @@
-"""N-gram Jaccard join with MinHash bands and exact verification.
-
-A document's MinHash signature is cut into trees; documents that share a
-prefix of a tree's slice of the signature are candidates. The prefix has one
-length for all trees and documents, the longest at which pairs at the threshold
-meet in at least one tree with the target recall: fixed banding, in which each
-tree holds a hash of the prefix. Tries whose prefixes adapt to the data are not built.
-Documents with the same shingles are one class member from the start. Groups of
-candidates then go to tasks in blocks, where all their pairs are compared
-exactly and only counts of links and as many links as tie the group together
-leave the task.
+"""N-gram Jaccard join with a MinHash LSH forest and exact verification.
+
+A document's MinHash signature is cut into trees; in each tree it is a path of
+DEPTH hashed minimums, and the paths, sorted, are a prefix trie whose nodes are
+the documents that share a prefix. Nodes are looked into from the deepest on:
+their documents are compared exactly, then the matched prefix is shortened by
+one and the nodes are looked into where shorter prefixes bring documents
+together that longer ones kept apart. The verified links tell how many links
+the forest must still miss: a pair of similarity s shares a prefix of d in one
+of the trees with the probability 1 - (1 - s^d)^trees. When the recall that
+follows reaches the target, the shortening ends.
+
+Documents with the same shingles are one vertex from the start. A node's
+documents go to tasks in blocks, where pairs are compared; a pair that meets in
+several nodes counts in the first alone. Only counts of links and as many
+links as tie the node's documents together leave a task.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +30,9 @@ from pyspark.sql import functions as F
 from lakevec.llm.common import connected_components, stored, work_folder
 from lakevec.llm.language_id import flat_bytes
 
-TREES, DEPTH, TARGET = 24, 8, 0.999
-#: Shingles and documents of one block of a group, about: all pairs of a block's documents are a matrix in one task.
+#: Trees, longest and shortest matched prefix, and the recall of links at which the prefix is shortened no further.
+TREES, DEPTH, LEAST_DEPTH, TARGET = 24, 8, 5, 0.9999
+#: Shingles and documents of one block of a node, about: all pairs of a block's documents are a matrix in one task.
 BLOCK_SHINGLES, BLOCK_DOCS = 400_000, 2048
 #: Bytes handled at once in the signature step.
 PIECE = 1 << 21
@@ -44,11 +51,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def forest_depth(threshold: float, trees: int = TREES, depth: int = DEPTH, target: float = TARGET) -> int:
-    """The longest prefix at which a pair at the threshold meets in one of the trees with the target recall."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
-        depth -= 1
-    return depth
+def meeting(similarity: np.ndarray | float, depth: int, trees: int) -> np.ndarray | float:
+    """The probability that a pair shares a prefix of that depth in one of the trees."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def forest_recall(links: dict[int, int], depth: int, trees: int) -> float:
+    """The recall at a depth from the links found there, counted by similarity in thousandths: each stands for 1 / meeting() links."""
+    found = sum(links.values())
+    return found / sum(n / meeting(s / 1000, depth, trees) for s, n in links.items()) if found else 1.0
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,112 +135,100 @@ def _bits(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _set_keys(n: int):
+def _signed(n: int, trees: int, depth: int):
+    """Rows with their text to the same rows with two hashes of their shingle set, its size and the paths of the trees, 4 bytes a step."""
+    factors = np.random.default_rng(20240229).integers(1, 2**63, size=trees * depth, dtype=np.uint64) | np.uint64(1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            names = [x for x in b.schema.names if x != "text"]
             for lo, hi, hashes, at in text_sets(b.column("text"), n):
                 full = np.flatnonzero(np.diff(at) > 0)
                 sums = [np.zeros(hi - lo, np.uint64) for _ in range(2)]
-                for i, s in enumerate(sums):
-                    if len(full):
-                        s[full] = mix(np.add.reduceat(mix(hashes + np.uint64(i * 77 + 1)), at[:-1][full]) + np.diff(at)[full].astype(np.uint64))
+                paths = np.zeros((hi - lo, trees * depth), "<u4")
+                if len(full):
+                    starts = at[:-1][full]
+                    for i, s in enumerate(sums):
+                        s[full] = mix(np.add.reduceat(mix(hashes + np.uint64(i * 77 + 1)), starts) + np.diff(at)[full].astype(np.uint64))
+                    for k, factor in enumerate(factors):
+                        f = hashes * factor
+                        paths[full, k] = mix(np.minimum.reduceat(f ^ (f >> np.uint64(29)), starts)) >> np.uint64(32)
                 part = b.slice(lo, hi - lo)
-                names = [x for x in b.schema.names if x != "text"]
-                yield pa.RecordBatch.from_arrays([part.column(x) for x in names] + [_bits(s) for s in sums] + [pa.array(np.diff(at))], names=[*names, "s1", "s2", "n_shingles"])
-
-    return run
-
-
-def _prefixes(n: int, trees: int, depth: int):
-    rng = np.random.default_rng(20240229)
-    factors = rng.integers(1, 2**63, size=trees * depth, dtype=np.uint64) | np.uint64(1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column("v").to_numpy()
-            for lo, hi, hashes, at in text_sets(b.column("text"), n):
-                if not len(hashes):
-                    continue
-                full = np.flatnonzero(np.diff(at) > 0)
-                starts = at[:-1][full]
-                for tree in range(trees):
-                    key = np.full(len(full), tree + 1, np.uint64)
-                    for k in range(depth):
-                        f = hashes * factors[tree * depth + k]
-                        key = mix(key * _ODD + np.minimum.reduceat(f ^ (f >> np.uint64(29)), starts))
-                    yield pa.RecordBatch.from_arrays([_bits(key), pa.array(ids[lo:hi][full])], names=["bucket", "v"])
+                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * trees * depth), hi - lo, [None, pa.py_buffer(paths.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(x) for x in names] + [_bits(s) for s in sums] + [pa.array(np.diff(at)), raw], names=[*names, "s1", "s2", "n_shingles", "paths"])
 
     return run
 
 
-def compare_blocks(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float) -> np.ndarray:
-    """Which pairs of sets have a Jaccard similarity of the threshold or more; of a with itself if b is None.
-
-    Shingles of one set alone can't be shared and are left out of the product.
-    """
-    sets = a if b is None else a + b
-    sizes = np.array([len(x) for x in sets])
+def _in_common(sets: list[np.ndarray], na: int | None) -> np.ndarray:
+    """How many values each two sets share: all of them or, with na, the first na against the rest. Values of one set alone are left out of the product."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     values, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), sizes)
     common = np.bincount(column, minlength=len(values)) > 1
-    renumber = np.cumsum(common) - 1
     keep = common[column]
-    row, column = row[keep], renumber[column[keep]]
-    width, na = int(common.sum()), len(a)
-    shared = np.zeros((na, na if b is None else len(b)), np.float32)
+    row, column, width = row[keep], (np.cumsum(common) - 1)[column[keep]], int(common.sum())
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
+    shared = np.zeros((len(sets), len(sets)) if na is None else (na, len(sets) - na), np.float32)
     step = max(256, 16_000_000 // max(1, len(sets)))
     for lo in range(0, width, step):
         i, j = np.searchsorted(column, [lo, lo + step])
         m = np.zeros((len(sets), min(step, width - lo)), np.float32)
         m[row[i:j], column[i:j] - lo] = 1
-        shared += m @ m.T if b is None else m[:na] @ m[na:].T
-    left, right = sizes[:na, None], sizes[None, :na] if b is None else sizes[None, na:]
-    return shared >= threshold * (left + right - shared) - 1e-4
+        shared += m @ m.T if na is None else m[:na] @ m[na:].T
+    return shared
+
 
+def compare_blocks(sets: list[np.ndarray], na: int | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(near, similarity): which pairs of sets have a Jaccard similarity of the threshold or more; of all or, with na, of the first na with the rest."""
+    sizes = np.array([len(x) for x in sets], np.float32)
+    shared = _in_common(sets, na)
+    whole = sizes[:na, None] + sizes[None, na or 0 :] - shared
+    return shared >= threshold * whole - 1e-4, shared / whole
 
-def _tie(ids_a: np.ndarray, ids_b: np.ndarray, near: np.ndarray) -> tuple[list[int], list[int]]:
-    """Links that tie together all that the near pairs tie together, at most one for each member."""
-    parent: dict[int, int] = {}
 
-    def find(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+def _tied(near: np.ndarray, na: int | None) -> np.ndarray:
+    """The least member that chains of near pairs tie each member to; near is square or, with na, the first na against the rest."""
+    n = len(near) if na is None else sum(near.shape)
+    label = np.arange(n, dtype=np.int32)
 
-    u, v = [], []
-    for i in np.flatnonzero(near.any(1)):
-        for j in np.flatnonzero(near[i]):
-            x, y = find(int(ids_a[i])), find(int(ids_b[j]))
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                u.append(int(ids_a[i]))
-                v.append(int(ids_b[j]))
-    return u, v
+    def least(of: np.ndarray, there: np.ndarray) -> np.ndarray:
+        return np.where(there, of[None, :], n).min(1).astype(np.int32)
+
+    while True:
+        near_label = least(label, near) if na is None else np.concatenate([least(label[na:], near), least(label[:na], near.T)])
+        new = np.minimum(label, near_label)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
 
 def _verify(threshold: float):
+    """A block of a node to rows (v, other, n): n links of v (other -1), n links of similarity v in thousandths (-2), and tied members v, other (0)."""
+
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["side", "v"])
-        first = pdf[pdf["side"] == 0]
-        sets = [np.frombuffer(x, np.uint64) for x in first["shingles"]]
-        ids = first["v"].to_numpy()
-        if key[1] == key[2]:
-            near = compare_blocks(sets, None, threshold)
+        node, m = key[0], int((pdf["side"] == 0).sum())
+        na = None if key[1] == key[2] else m
+        none = pd.DataFrame({"v": [], "other": [], "n": []})
+        if na is None and m < 2 or na is not None and (not m or m == len(pdf)):
+            return none
+        near, similarity = compare_blocks([np.frombuffer(x, np.uint64) for x in pdf["shingles"]], na, threshold)
+        if na is None:
             np.fill_diagonal(near, False)
-            u, v = _tie(ids, ids, near)
-            links = pd.DataFrame({"v": ids, "other": -1, "n": near.sum(1)})
-        else:
-            second = pdf[pdf["side"] == 1]
-            others = second["v"].to_numpy()
-            if not len(ids) or not len(others):
-                return pd.DataFrame({"v": [], "other": [], "n": []})
-            near = compare_blocks(sets, [np.frombuffer(x, np.uint64) for x in second["shingles"]], threshold)
-            u, v = _tie(ids, others, near)
-            links = pd.concat([pd.DataFrame({"v": ids, "other": -1, "n": near.sum(1)}), pd.DataFrame({"v": others, "other": -1, "n": near.sum(0)})])
-        return pd.concat([links[links["n"] > 0], pd.DataFrame({"v": u, "other": v, "n": 0})])
+        if not near.any():
+            return none
+        ids, root = pdf["v"].to_numpy(), _tied(near, na)
+        u = np.flatnonzero(root != np.arange(len(root)))
+        # Pairs that share a node that was looked into before, or one before this, have been counted there.
+        before = [np.array([*old, *(x for x in now if x < node)], np.int64) for old, now in zip(pdf["old"], pdf["now"], strict=True)]
+        near &= _in_common(before, na) == 0
+        counts = near.sum(1) if na is None else np.concatenate([near.sum(1), near.sum(0)])
+        hit = np.flatnonzero(counts)
+        at, n = np.unique(np.floor((similarity[np.triu(near) if na is None else near] * 1000).clip(1, 1000)).astype(int), return_counts=True)
+        out = [(ids[hit], -1, counts[hit]), (at, -2, n), (ids[u], ids[root[u]], 0)]
+        return pd.concat([pd.DataFrame({"v": v, "other": other, "n": c}) for v, other, c in out])
 
     return run
 
@@ -238,56 +237,90 @@ def _with_sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, hashes, at in text_sets(b.column("text"), n):
-                part = b.slice(lo, hi - lo)
                 raw = [hashes[at[i] : at[i + 1]].tobytes() for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([part.column("v"), part.column("label"), pa.array(raw, pa.binary()), pa.array(np.diff(at))], names=["v", "label", "shingles", "n"])
+                yield pa.RecordBatch.from_arrays([b.column("v").slice(lo, hi - lo), pa.array(raw, pa.binary()), pa.array(np.diff(at))], names=["v", "shingles", "n"])
 
     return run
 
 
-def group_blocks(sets: DataFrame) -> DataFrame:
-    """(label, blocks): into how many blocks the documents (label, n shingles) of a group are cut."""
+def node_blocks(members: DataFrame) -> DataFrame:
+    """(node, blocks): into how many blocks the documents (node, n shingles) of a node are cut."""
     wanted = F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)), F.ceil(F.count("*") / F.lit(BLOCK_DOCS)))
-    return sets.groupBy("label").agg(wanted.cast("int").alias("blocks"))
+    return members.groupBy("node").agg(wanted.cast("int").alias("blocks"))
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = TREES, depth: int = DEPTH, target: float = TARGET) -> DataFrame:
-    """(doc_id, class_id, copy_of, n_links): one row for each row of docs.
+def shared_paths(vertices: DataFrame, trees: int, depth: int, least: int, folder: str) -> DataFrame:
+    """The tries: (root, path, v) of the vertices (v, paths) that share a prefix of the least length in a tree, root naming tree and prefix, sorted."""
+    step, tree = 4 * depth, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+    at = vertices.select("v", "paths", tree).select("v", "tree", F.expr(f"substring(paths, tree * {step} + 1, {4 * least})").alias("prefix"))
+    roots = stored(at.select("v", "tree", F.xxhash64("tree", "prefix").alias("root")), f"{folder}/roots")
+    several = roots.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    roots = roots.join(several, "root", "left_semi")
+    tries = roots.join(vertices.select("v", "paths"), "v").select("root", F.expr(f"substring(paths, tree * {step} + 1, {step})").alias("path"), "v")
+    return stored(tries.sortWithinPartitions("root", "path"), f"{folder}/tries")
+
+
+def nodes_at(tries: DataFrame, d: int, depth: int) -> DataFrame:
+    """(node, v): members of the nodes of prefix length d that have more than one child; of nodes of the same members, one."""
+    prefix = F.substring("path", 1, 4 * d)
+    named = tries.select("v", F.xxhash64("root", prefix).alias("node"), F.xxhash64(F.substring("path", 1, 4 * (d + 1))).alias("child"))
+    alike = named.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64("v", F.lit(3))).alias("y"), F.min("child").alias("c1"), F.max("child").alias("c2"))
+    alike = alike.where((F.col("n") > 1) & ((F.lit(d) == depth) | (F.col("c1") != F.col("c2"))))
+    kept = alike.groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node")
+    return named.select("node", "v").join(kept, "node", "left_semi")
 
-    copy_of is the least doc_id of the documents with the same set of word
-    n-grams. n_links counts the other such sets whose Jaccard similarity is at
-    least the threshold, and class_id is the least doc_id among all documents
-    that chains of links tie together. Texts without words (null, empty) have no
-    shingles and are each a class of their own, as are rows without an id, whose
-    class is null. Repeated rows are copies. Other columns are left out.
 
-    Pairs below the threshold in the forest's view but above it in truth are
-    missed with a probability of at most 1 - target each.
+def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = TREES, depth: int = DEPTH, least: int = LEAST_DEPTH, target: float = TARGET) -> DataFrame:
+    """(doc_id, class_id, copy_of, n_links): one row for each row of docs.
+
+    copy_of is the least doc_id of the rows with the same set of word n-grams.
+    n_links counts the other such sets whose Jaccard similarity is at least the
+    threshold, and class_id is the least doc_id among all rows that chains of
+    links tie together. A row's vertex is its set, so different texts of one id
+    are apart and repeated rows are copies. Rows without an id take part like
+    others; a class of such rows alone has a null class_id. Texts without words
+    (null, empty) have no shingles and are each a class of their own. Ids are
+    integers. Other columns are left out; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     folder = work_folder(spark, "jaccard")
-    docs = docs.select("doc_id", "text")
-    keys = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_set_keys(n), "doc_id long, s1 long, s2 long, n_shingles long"), f"{folder}/keys")
-    copies = keys.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("v"))
-    member = keys.join(copies, ["s1", "s2"], "left").select("doc_id", F.when(F.col("n_shingles") > 0, F.coalesce("v", "doc_id")).otherwise(F.col("doc_id")).alias("copy_of"))
-    member = stored(member, f"{folder}/members")
-    heads = docs.join(member.where("doc_id = copy_of").select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("v"), "text").where("text IS NOT NULL")
-    at = forest_depth(threshold, trees, depth, target)
-    buckets = stored(heads.mapInArrow(_prefixes(n, trees, at), "bucket long, v long"), f"{folder}/forest")
-    tied = buckets.groupBy("bucket").agg(F.min("v").alias("b"), F.max("v").alias("most")).where("b < most").select("bucket", "b")
-    groups = connected_components(buckets.join(tied, "bucket").select(F.col("v").alias("a"), "b"), f"{folder}/candidates")
-    # Blocks of a group: by a hash, as many as its shingles and documents ask for.
-    sets = stored(heads.join(groups, "v").mapInArrow(_with_sets(n), "v long, label long, shingles binary, n long"), f"{folder}/sets")
-    blocks = group_blocks(sets)
-    placed = sets.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    spread = placed.select("v", "label", "shingles", "block", F.explode(others).alias("with"))
-    spread = spread.select("v", "label", "shingles", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), (F.col("block") > F.col("with")).cast("int").alias("side"))
-    found = stored(spread.groupBy("label", "i", "j").applyInPandas(_verify(threshold), "v long, other long, n long"), f"{folder}/links")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    kind = "row long, doc_id long, h long, s1 long, s2 long, n_shingles long, paths binary"
+    keys = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "h", "text").mapInArrow(_signed(n, trees, depth), kind), f"{folder}/keys")
+    full = keys.where("n_shingles > 0")
+    vertices = stored(full.groupBy("s1", "s2").agg(F.min("row").alias("v"), F.min("doc_id").alias("copy_of")), f"{folder}/vertices")
+    heads = full.join(vertices.select(F.col("v").alias("row")), "row", "left_semi").select(F.col("row").alias("v"), "doc_id", "h", "paths")
+    tries = shared_paths(heads, trees, depth, least, folder)
+    wanted = heads.drop("paths").join(tries.select("v").distinct(), "v", "left_semi").withColumnsRenamed({"doc_id": "id", "h": "g"})
+    texts = docs.where("text IS NOT NULL").join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("g"))).select("v", "text").dropDuplicates(["v"])
+    sets = stored(texts.mapInArrow(_with_sets(n), "v long, shingles binary, n long"), f"{folder}/sets")
+
+    met = spark.createDataFrame([], "v long, old array<long>")
+    found, links = None, Counter()
+    for d in range(depth, least - 1, -1):
+        members = stored(nodes_at(tries, d, depth), f"{folder}/nodes-{d}")
+        blocks = node_blocks(members.join(sets.select("v", "n"), "v"))
+        now = members.groupBy("v").agg(F.collect_list("node").alias("now"))
+        placed = members.join(blocks, "node").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+        placed = placed.join(now, "v").join(met, "v", "left").join(sets.drop("n"), "v")
+        spread = placed.select("node", "v", "now", F.coalesce("old", F.array().cast("array<long>")).alias("old"), "shingles", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+        spread = spread.select("node", "v", "now", "old", "shingles", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), (F.col("block") > F.col("with")).cast("int").alias("side"))
+        # Dealt by node and block, or all blocks of a large node would stay with the node in one task.
+        spread = spread.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node", "i", "j")
+        new = stored(spread.groupBy("node", "i", "j").applyInPandas(_verify(threshold), "v long, other long, n long"), f"{folder}/links-{d}")
+        found = new if found is None else found.unionByName(new)
+        links.update({r["v"]: r["n"] for r in new.where("other = -2").groupBy("v").agg(F.sum("n").alias("n")).collect()})
+        if forest_recall(links, d, trees) >= target:
+            break
+        met = stored(met.unionByName(now.withColumnRenamed("now", "old")).select("v", F.explode("old").alias("o")).groupBy("v").agg(F.collect_list("o").alias("old")), f"{folder}/met-{d}")
     counts = found.where("other = -1").groupBy("v").agg(F.sum("n").alias("n_links"))
-    classes = connected_components(found.where("other >= 0").select(F.col("v").alias("a"), F.col("other").alias("b")), f"{folder}/classes")
-    out = member.join(counts.withColumnRenamed("v", "copy_of"), "copy_of", "left").join(classes.withColumnRenamed("v", "copy_of"), "copy_of", "left")
-    return out.select("doc_id", F.coalesce("label", "copy_of").alias("class_id"), "copy_of", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    tied = connected_components(found.where("other >= 0").select(F.col("v").alias("a"), F.col("other").alias("b")), f"{folder}/classes")
+    grouped = vertices.select("s1", "s2", "v", "copy_of").join(tied, "v", "left").join(counts, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    least_ids = grouped.groupBy("label").agg(F.min("copy_of").alias("class_id"))
+    grouped = stored(grouped.join(least_ids, "label").select("s1", "s2", "copy_of", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), f"{folder}/grouped")
+    out = keys.select("doc_id", "s1", "s2", "n_shingles").join(grouped, ["s1", "s2"], "left")
+    alone = F.col("n_shingles") == 0
+    return out.select("doc_id", *[F.when(alone, F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("class_id", "copy_of")], F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,27 +12,34 @@ def shingles(t, n=5):
 
 
 def brute(docs, threshold=0.8):
-    sets = [(i, shingles(t)) for i, t in docs if i is not None]
-    head = {}
-    for i, s in sets:
-        if s:
-            head[s] = min(i, head.get(s, i))
-    heads = list(head.items())
-    links, parent = {v: 0 for v in head.values()}, {v: v for v in head.values()}
+    """Every pair of different shingle sets, whatever ids their rows have."""
+    rows = [(i, shingles(t)) for i, t in docs]
+    sets = list({s for _, s in rows if s})
+    links, parent = [0] * len(sets), list(range(len(sets)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for x, (a, i) in enumerate(heads):
-        for b, k in heads[:x]:
-            if len(a & b) >= threshold * len(a | b):
-                links[i] += 1
-                links[k] += 1
-                p, q = find(i), find(k)
-                parent[max(p, q)] = min(p, q)
-    return sorted((i, find(head[s]), head[s], links[head[s]]) if s else (i, i, i, 0) for i, s in sets)
+    for x, a in enumerate(sets):
+        for y in range(x):
+            if len(a & sets[y]) >= threshold * len(a | sets[y]):
+                links[x] += 1
+                links[y] += 1
+                parent[find(x)] = find(y)
+    place = {s: k for k, s in enumerate(sets)}
+    ids, classes = {}, {}
+    for i, s in rows:
+        if s and i is not None:
+            k = place[s]
+            ids[k] = min(i, ids.get(k, i))
+            classes[find(k)] = min(i, classes.get(find(k), i))
+    return sorted(map(repr, [(i, classes.get(find(place[s])), ids.get(place[s]), links[place[s]]) if s else (i, i, i, 0) for i, s in rows]))
+
+
+def found(df):
+    return sorted(repr(tuple(r)) for r in df.select("doc_id", "class_id", "copy_of", "n_links").collect())
 
 
 def corpus(seed, n):
@@ -53,28 +60,46 @@ def corpus(seed, n):
 
 def test_equals_brute_force(spark, monkeypatch):
     docs = corpus(1, 300)
-    for block in (400_000, 2_000):  # small blocks split the groups
-        monkeypatch.setattr(j, "BLOCK_SHINGLES", block)
-        got = j.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
-        assert sorted(tuple(r) for r in got.select("doc_id", "class_id", "copy_of", "n_links").collect()) == brute(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert found(j.near_duplicates(df)) == brute(docs)
+    monkeypatch.setattr(j, "BLOCK_SHINGLES", 2_000)  # small blocks split the nodes
+    assert found(j.near_duplicates(df, target=2.0)) == brute(docs)  # the prefix is shortened to the end
+
+
+def test_prefix_is_shortened_until_the_recall_is_met(spark, monkeypatch):
+    """With one tree of long prefixes links are missing; shorter prefixes find more of them."""
+    docs = corpus(3, 200)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    total = [j.near_duplicates(df, trees=2, depth=d, least=d).agg({"n_links": "sum"}).first()[0] for d in (8, 3)]
+    assert total[0] < total[1]
+    depths = []
+    monkeypatch.setattr(j, "forest_recall", lambda links, d, trees: depths.append(d) or (1.0 if d <= 7 else 0.0))
+    j.near_duplicates(df)
+    assert depths == [8, 7]
 
 
 def test_odd_documents(odd_docs, odd_rows):
-    got = j.near_duplicates(odd_docs)
-    assert got.count() == len(odd_rows)
-    rows = {r["doc_id"]: r for r in got.where("doc_id NOT IN (1, 12)").collect()}
-    assert rows[2]["class_id"] == 1 and rows[2]["copy_of"] == 1 and rows[3]["class_id"] == 1 and rows[3]["copy_of"] == 3
-    assert all(rows[i]["class_id"] == i and rows[i]["n_links"] == 0 for i in (5, 6, 7, 10))
-    assert got.where("doc_id IS NULL AND class_id IS NULL").count() == 1  # the one without a text; the other copies document 1
+    assert found(j.near_duplicates(odd_docs)) == brute([r[:2] for r in odd_rows])
+
+
+def test_two_texts_of_one_id_are_apart(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, a), (12, a), (12, b), (20, b), (None, b)]
+    got = j.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"] or 0, r["class_id"], r["n_links"]) for r in got.collect()) == [(0, 12, 0), (1, 1, 0), (12, 1, 0), (12, 12, 0), (20, 12, 0)]
 
 
 def test_empty_table(no_docs):
     assert j.near_duplicates(no_docs).count() == 0
 
 
-def test_depth_keeps_the_recall():
-    d = j.forest_depth(0.8)
-    assert 1 - (1 - 0.8**d) ** j.TREES >= j.TARGET > 1 - (1 - 0.8 ** (d + 1)) ** j.TREES
+def test_recall_follows_from_the_links_found():
+    rng = np.random.default_rng(1)
+    s = rng.integers(800, 1000, 200_000)
+    met = s[rng.random(len(s)) < j.meeting(s / 1000, 8, 6)]
+    at, n = np.unique(met, return_counts=True)
+    assert abs(j.forest_recall(dict(zip(at, n, strict=True)), 8, 6) - len(met) / len(s)) < 0.01
+    assert j.forest_recall({}, 8, 6) == 1.0 and j.meeting(0.8, j.LEAST_DEPTH, j.TREES) > 0.9999
 
 
 def test_shingle_hashes_follow_words():
@@ -87,5 +112,5 @@ def test_shingle_hashes_follow_words():
 
 
 def test_blocks_bound_documents_of_few_shingles(spark):
-    sets = spark.range(100_000).selectExpr("1L AS label", "3L AS n")
-    assert j.group_blocks(sets).first()["blocks"] >= 100_000 / j.BLOCK_DOCS
+    members = spark.range(100_000).selectExpr("1L AS node", "3L AS n")
+    assert j.node_blocks(members).first()["blocks"] >= 100_000 / j.BLOCK_DOCS
