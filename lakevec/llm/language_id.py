@@ -32,8 +32,8 @@ MAX_TRAIN_DOCS = 3000
 ORDER, MIN_SEEN = 3, 4
 #: Code lengths are divided by this before they are turned into a probability.
 TEMPERATURE = 8.0
-#: Costs looked up at once.
-PIECE = 1 << 22
+#: Bytes handled at once, and costs looked up at once.
+PIECE = 1 << 20
 
 _TABLES: dict[str, CodeTable] = {}
 
@@ -46,16 +46,19 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def grams_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Each byte with the ORDER bytes before it, the last byte lowest; 0 before a text's start."""
-    out = data.astype(np.int64)
-    starts = offsets[:-1][np.diff(offsets) > 0]
-    place = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data)))) if len(data) else np.zeros(0, int)
+def grams_of(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """The bytes from lo to hi, each with the ORDER bytes before it, the last byte lowest; 0 before a text's start."""
+    begin = max(0, lo - ORDER)
+    part = data[begin:hi].astype(np.int64)
+    starts = offsets[np.searchsorted(offsets, begin, "left") : np.searchsorted(offsets, hi, "left")] - begin
+    out = part.copy()
     for k in range(1, ORDER + 1):
-        before = np.zeros(len(data), np.int64)
-        before[k:] = data[:-k]
-        out |= np.where(place >= k, before, 0) << (8 * k)
-    return out
+        before = np.zeros(len(part), np.int64)
+        before[k:] = part[:-k]
+        none = (starts[:, None] + np.arange(k)).ravel()
+        before[none[none < len(part)]] = 0
+        out |= before << (8 * k)
+    return out[lo - begin :]
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,8 +66,8 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = b.column("lang").to_pandas()
         for lang in langs.unique():
             data, offsets = flat_bytes(b.column("text").filter(pa.array(langs == lang)))
-            if len(data):
-                grams, n = np.unique(grams_of(data, offsets), return_counts=True)
+            for lo in range(0, len(data), PIECE):
+                grams, n = np.unique(grams_of(data, offsets, lo, min(lo + PIECE, len(data))), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(n)], names=["lang", "gram", "n"])
 
 
@@ -147,19 +150,20 @@ def code_table(model: pd.DataFrame, langs: list[str]) -> CodeTable:
     return table
 
 
-def code_lengths(data: np.ndarray, offsets: np.ndarray, table: CodeTable, order: int = ORDER) -> np.ndarray:
-    """Bits of each text under each language."""
-    gram = grams_of(data, offsets)
+def code_lengths(data: np.ndarray, offsets: np.ndarray, table: CodeTable, orders: tuple[int, ...] = (ORDER,)) -> list[np.ndarray]:
+    """For each of the orders: bits of each text under each language."""
     n_langs = table.escapes[0].shape[1]
-    out = np.zeros((len(offsets) - 1, n_langs))
+    out = [np.zeros((len(offsets) - 1, n_langs)) for _ in orders]
     full = np.flatnonzero(np.diff(offsets) > 0)
     starts = offsets[:-1][full]
-    step = max(1 << 14, PIECE // n_langs)
+    step = max(1, PIECE // (2 * n_langs))
     for lo in range(0, len(data), step):
         hi = min(lo + step, len(data))
+        gram = grams_of(data, offsets, lo, hi)
         first, last = np.searchsorted(starts, lo, "right") - 1, np.searchsorted(starts, hi, "left")
         cuts = np.maximum(starts[first:last], lo) - lo
-        out[full[first:last]] += np.add.reduceat(table.order_costs(gram[lo:hi], order), cuts, axis=0, dtype=np.float64)
+        for bits, order in zip(out, orders, strict=True):
+            bits[full[first:last]] += np.add.reduceat(table.order_costs(gram, order), cuts, axis=0, dtype=np.float64)
     return out
 
 
@@ -191,7 +195,7 @@ def predict(docs: DataFrame, model: pd.DataFrame, names: tuple[str, str, str] =
             _TABLES[key] = code_table(pd.DataFrame(dict(zip(("lang", "k", "gram", "n"), columns, strict=True))), known)
         for b in batches:
             data, offsets = flat_bytes(b.column("row").field("text"))
-            bits, single = code_lengths(data, offsets, _TABLES[key]), code_lengths(data, offsets, _TABLES[key], 0)
+            bits, single = code_lengths(data, offsets, _TABLES[key], (ORDER, 0))
             letters = b.column("letters").to_numpy(zero_copy_only=False).astype(bool)
             best = bits.argmin(1)
             at = np.arange(len(best))

@@ -33,7 +33,7 @@ def plain_cost(kept, context, byte):
     return -np.log2(n[byte] / base) if byte in n else -np.log2(len(n) / base) + shorter()
 
 
-def test_code_lengths_equal_a_plain_model(spark):
+def test_code_lengths_equal_a_plain_model(spark, monkeypatch):
     """Contexts of up to three bytes, two languages, escapes and even bytes at last, byte by byte."""
     texts = {"x": [b"abracadabra abracadabra abra", b"cabra"], "y": [b"banana bandana bab"]}
     models = {lang: counted(lang, *t) for lang, t in texts.items()}
@@ -43,8 +43,9 @@ def test_code_lengths_equal_a_plain_model(spark):
     text = b"abrab!acanda band"
     data = np.frombuffer(text + text, np.uint8)
     table = g.code_table(model, ["x", "y"])
+    monkeypatch.setattr(g, "PIECE", 5)
     for order in (g.ORDER, 0):
-        got = g.code_lengths(data, np.array([0, len(text), len(text), 2 * len(text)]), table, order)
+        (got,) = g.code_lengths(data, np.array([0, len(text), len(text), 2 * len(text)]), table, (order,))
         for i, lang in enumerate("xy"):
             padded = b"\0" * g.ORDER + text
             want = sum(plain_cost(models[lang][0], padded[j - order : j], padded[j]) for j in range(g.ORDER, len(padded)))
@@ -74,3 +75,13 @@ def test_odd_and_empty(spark, odd_docs, odd_rows, no_docs):
 def test_held_out_accuracy(spark):
     got = g.op10(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
     assert got.where("held_out").selectExpr("avg(cast(lang = lang_pred AS int)) AS right").first()["right"] > 0.97
+
+
+def test_grams_do_not_depend_on_where_they_are_cut():
+    data = np.frombuffer(b"abcdefgxyzq", np.uint8)
+    offsets = np.array([0, 7, 7, 9, 11])
+    whole = g.grams_of(data, offsets, 0, 11)
+    assert [int(x) for x in whole[6:9]] == [int.from_bytes(b"defg", "big"), ord("x"), int.from_bytes(b"xy", "big")] and whole[9] == ord("z")
+    for lo in range(11):
+        for hi in range(lo + 1, 12):
+            assert (g.grams_of(data, offsets, lo, hi) == whole[lo:hi]).all()
