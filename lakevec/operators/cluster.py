@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakevec.functions.storage import stored
 from lakevec.operators.metrics import SOUND, distances, l2sq, matrix
 
 
@@ -69,6 +70,72 @@ def shards(base: DataFrame, centres: np.ndarray, overlap: int = 2) -> DataFrame:
     return assign(base, centres, overlap).select(F.col("centre").alias("shard"), "id", "vec")
 
 
+def _start_centres(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
+    """At most k different centres of a bounded sample."""
+    c = np.unique(x, axis=0)
+    c = c[np.linspace(0, len(c) - 1, min(k, len(c))).astype(int)]
+    for _ in range(rounds):
+        near = distances(x, c).argmin(1)
+        n, sums = np.bincount(near, minlength=len(c)), np.zeros_like(c)
+        np.add.at(sums, near, x)
+        c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
+    return np.unique(c, axis=0)
+
+
+def parts(base: DataFrame, folder: str, rows: int = 4096, overlap: int = 1, fan: int = 64, per_centre: int = 16) -> DataFrame:
+    """(part, id, vec): base(id, vec) in parts of near rows, at most about so many in each, however large base is.
+
+    Parts that are too large are cut around centres of a sample of theirs, up to
+    fan at a time, again and again; in the last cut of a part each row goes to
+    its `overlap` nearest pieces. What no centres can part, as equal rows, is cut
+    by a hash of the id. A part's rows go through its cut in slices of a hash,
+    so a hot part is many tasks.
+    """
+    spark = base.sparkSession
+    open_, done = base.select(F.lit(0).cast("long").alias("part"), "id", "vec"), None
+    for level in range(40):
+        sizes = stored(open_.groupBy("part").agg(F.count("*").alias("n")), f"{folder}/sizes-{level}")
+        fits = open_.join(sizes.where(F.col("n") <= rows).select("part"), "part", "left_semi").select("part", "id", "vec")
+        done = fits if done is None else done.unionByName(fits)
+        large = sizes.where(F.col("n") > rows)
+        if large.limit(1).count() == 0:
+            return done
+        wanted = F.least(F.lit(fan), F.ceil(F.col("n") * overlap / F.lit(rows * 0.7))).cast("int")
+        large = large.select("part", "n", wanted.alias("k"), F.ceil(F.col("n") / F.lit(65_536)).cast("int").alias("slices"), (F.col("n") * overlap <= rows * 0.7 * fan).alias("last"))
+        there = open_.join(large, "part")
+        spot = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+        def centres(table: pa.Table) -> pa.Table:
+            order = np.argsort(table.column("id").to_numpy(), kind="stable")
+            c = _start_centres(matrix(table.column("vec"))[order], table.column("k")[0].as_py())
+            return pa.table({"part": pa.array([table.column("part")[0].as_py()] * len(c)), "centre": pa.array(list(c), pa.list_(pa.float64()))})
+
+        found = there.where(spot * F.col("n") < F.col("k") * per_centre).select("part", "k", "id", "vec").groupBy("part").applyInArrow(centres, "part long, centre array<double>")
+        found = stored(found, f"{folder}/centres-{level}")
+        # Pieces get new numbers by a hash of the part's and their own; one centre alone can't cut and a hash does.
+
+        def assign(table: pa.Table, known: pa.Table) -> pa.Table:
+            ids, part = table.column("id").to_numpy(), table.column("part")[0].as_py() if table.num_rows else 0
+            if not len(ids):
+                at, piece = np.zeros(0, int), np.zeros(0, np.int64)
+            elif known.num_rows < 2:
+                at, piece = np.arange(len(ids)), ids % max(2, -(-table.column("n")[0].as_py() // rows))
+            else:
+                c = matrix(known.column("centre"))
+                c = c[np.lexsort(c.T)]
+                m = min(overlap if table.column("last")[0].as_py() else 1, len(c))
+                near = np.argsort(distances(matrix(table.column("vec")), c), axis=1, kind="stable")[:, :m]
+                at, piece = np.repeat(np.arange(len(ids)), m), near.ravel()
+            return pa.table({"part": pa.array(np.full(len(at), part)), "piece": pa.array(piece.astype(np.int64)), "id": pa.array(ids[at]), "vec": table.column("vec").take(pa.array(at))})
+
+        left = there.withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")).select("part", "slice", "n", "last", "id", "vec")
+        right = large.select("part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")).join(found, "part", "left").where("centre IS NOT NULL")
+        kind = base.schema["vec"].dataType.simpleString()
+        cut = left.groupBy("part", "slice").cogroup(right.groupBy("part", "slice")).applyInArrow(assign, f"part long, piece long, id long, vec {kind}")
+        open_ = stored(cut.select(F.xxhash64("part", "piece", F.lit(level)).alias("part"), "id", "vec"), f"{folder}/parts-{level}")
+    raise RuntimeError("parts don't get small enough")
+
+
 def ram_estimate(n: int, dim: int, size: int, degree: int) -> float:
     """Bytes that a graph over n rows takes in memory."""
     return 1.1 * (n * degree * 4 * 1.3 + n * (-(-dim // 8) * 8) * size)
@@ -93,11 +160,17 @@ def cluster_sizes(base: DataFrame, centres: np.ndarray, overlap: int = 2) -> Dat
 
 
 def partition_for_memory(base: DataFrame, dim: int, budget: float, degree: int = 32, overlap: int = 2, start: int = 3, most: int = 1024) -> np.ndarray:
-    """Centres of as few shards, from `start` on, as bring the largest shard's graph under a memory budget in bytes."""
+    """Centres of as few shards, from `start` on, as bring the largest shard's graph under a memory budget in bytes.
+
+    More than `most` centres don't travel with the tasks; if so many aren't
+    enough this raises, and parts() cuts a table of any size.
+    """
     k = start
     while True:
         centres = kmeans(base, k, rounds=4)
         largest = cluster_sizes(base, centres, min(overlap, k)).agg(F.max("n")).first()[0] or 0
-        if ram_estimate(largest, dim, 4, degree) <= budget or k >= most:
+        if ram_estimate(largest, dim, 4, degree) <= budget:
             return centres
+        if k >= most:
+            raise ValueError(f"{most} shards don't fit a budget of {budget:.0f} bytes")
         k = min(most, k + max(1, k // 2))

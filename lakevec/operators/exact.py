@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,8 +10,8 @@ from pyspark.sql import functions as F
 
 from lakevec.operators.metrics import SOUND, distances, matrix
 
-#: Bytes of queries that travel to the tasks at once; more queries make more passes over the base.
-QUERY_BYTES = 32 << 20
+#: Bytes of the queries and of the base that one task holds; more make more blocks and parts.
+QUERY_BYTES, BASE_BYTES = 16 << 20, 64 << 20
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -22,45 +20,56 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.select("qid", "id", "dist").distinct().withColumn("rank", order).where(F.col("rank") <= k).select("qid", "rank", "id", "dist")
 
 
+def nearest(qid: np.ndarray, qvec: np.ndarray, ids: np.ndarray, vecs: np.ndarray, k: int, metric: str, exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(queries, ids, distances): of each query the k least distances to the rows of a part, ties by id."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    step = max(1, 4_000_000 // max(1, len(ids)))
+    for lo in range(0, len(qid) if len(ids) else 0, step):
+        dist = distances(qvec[lo : lo + step], vecs, metric)
+        if exclude_self:
+            dist[qid[lo : lo + step, None] == ids[None, :]] = np.inf
+        m = min(k, len(ids))
+        limit = np.partition(dist, m - 1, axis=1)[:, m - 1 : m]
+        i, j = np.nonzero((dist <= limit + 1e-9 * (1 + np.abs(limit))) & np.isfinite(dist))
+        exact = ((qvec[lo + i] - vecs[j]) ** 2).sum(1) if metric == "l2" else dist[i, j]
+        order = np.lexsort((ids[j], exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        out.append((qid[lo + i[keep]], ids[j[keep]], exact[keep]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def in_blocks(left: DataFrame, right: DataFrame, left_blocks: int, right_parts: int) -> tuple[DataFrame, DataFrame]:
+    """Both tables (with id) keyed by block and part, so that every block of one side meets every part of the other in one task."""
+    left = left.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(left_blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(right_parts - 1))))
+    right = right.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(right_parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(left_blocks - 1))))
+    return left, right
+
+
+def blocks_of(rows: DataFrame, column: str, size: int) -> int:
+    """How many blocks of about that many bytes the vectors of a column fill."""
+    shape = rows.agg(F.count("*").alias("n"), F.max(F.size(column)).alias("d")).first()
+    return max(1, -(-shape["n"] * (shape["d"] or 0) * 8 // size))
+
+
 def knn(queries: DataFrame, base: DataFrame, k: int = 10, metric: str = "l2", exclude_self: bool = False) -> DataFrame:
     """(qid, rank, id, dist): the k least distances of each query, ties by id.
 
-    queries has qid and qvec, base id and vec. Blocks of queries of bounded
-    size meet every batch of the base in a matrix product; k rows of a query
-    leave a batch, and a ranking merges them. Null vectors, empty ones and ones
-    with nulls take no part.
+    queries has qid and qvec, base id and vec. Blocks of queries meet parts of
+    the base in tasks, as matrix products; k rows of a query leave a task, and a
+    ranking merges them. No vector comes to the driver. Null vectors, empty ones
+    and ones with nulls take no part; rows that repeat count once.
     """
-    spark = base.sparkSession
-    q = queries.where(SOUND.format("qvec")).select(F.col("qid").cast("long").alias("qid"), "qvec")
-    shape = q.agg(F.count("*").alias("n"), F.max(F.size("qvec")).alias("d")).first()
-    blocks = max(1, -(-shape["n"] * (shape["d"] or 0) * 8 // QUERY_BYTES))
+    q = queries.where(SOUND.format("qvec")).select(F.col("qid").cast("long").alias("id"), F.col("qvec").alias("vec"))
     rows = base.where(SOUND.format("vec")).select(F.col("id").cast("long").alias("id"), "vec")
-    out = None
-    for block in range(blocks):
-        part = q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).toArrow()
-        sent = spark.sparkContext.broadcast((part.column("qid").to_numpy(), matrix(part.column("qvec"))))
-
-        def near(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            qid, qvec = sent.value
-            for b in batches:
-                ids, vecs = b.column("id").to_numpy(), matrix(b.column("vec"))
-                for lo in range(0, len(qid), 512):
-                    dist = distances(qvec[lo : lo + 512], vecs, metric)
-                    if exclude_self:
-                        dist[qid[lo : lo + 512, None] == ids[None, :]] = np.inf
-                    m = min(k, len(ids))
-                    limit = np.partition(dist, m - 1, axis=1)[:, m - 1 : m]
-                    i, j = np.nonzero((dist <= limit + 1e-9 * (1 + np.abs(limit))) & np.isfinite(dist))
-                    exact = ((qvec[lo + i] - vecs[j]) ** 2).sum(1) if metric == "l2" else dist[i, j]
-                    order = np.lexsort((ids[j], exact, i))
-                    i, j, exact = i[order], j[order], exact[order]
-                    place = np.arange(len(i)) - np.searchsorted(i, i)
-                    keep = place < k
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[lo + i[keep]]), pa.array(ids[j[keep]]), pa.array(exact[keep])], names=["qid", "id", "dist"])
-
-        found = rows.mapInArrow(near, "qid long, id long, dist double")
-        out = found if out is None else out.unionByName(found)
-    return ranked(out, k)
+    left, right = in_blocks(q, rows, blocks_of(q, "vec", QUERY_BYTES), blocks_of(rows, "vec", BASE_BYTES))
+
+    def near(asked: pa.Table, known: pa.Table) -> pa.Table:
+        cols = nearest(asked.column("id").to_numpy(), matrix(asked.column("vec")), known.column("id").to_numpy(), matrix(known.column("vec")), k, metric, exclude_self) if asked.num_rows and known.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table(dict(zip(("qid", "id", "dist"), cols, strict=True)))
+
+    keys = ["block", "part"]
+    return ranked(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(near, "qid long, id long, dist double"), k)
 
 
 def window_truth(truth: DataFrame, start: int, end: int, k: int) -> DataFrame:
@@ -68,6 +77,15 @@ def window_truth(truth: DataFrame, start: int, end: int, k: int) -> DataFrame:
     return ranked(truth.where((F.col("id") >= start) & (F.col("id") < end)), k)
 
 
+def active_recall(truth: DataFrame, found: DataFrame, live: DataFrame, k: int) -> DataFrame:
+    """recall() among live ids: truth and answers without the others, ranked anew."""
+
+    def left(df: DataFrame) -> DataFrame:
+        return ranked(df.join(live.select("id").distinct(), "id", "left_semi"), 2**31 - 1)
+
+    return recall(left(truth), left(found), k)
+
+
 def recall(truth: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """One row, recall: the percentage of the first k found that are true; ids as near as the k-th true one count too.
 

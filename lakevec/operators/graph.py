@@ -19,11 +19,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakevec.functions.storage import stored, work_folder
-from lakevec.operators import cluster, pq
-from lakevec.operators.exact import ranked
+from lakevec.operators import cluster, pq, sampling
+from lakevec.operators.exact import knn, ranked
 from lakevec.operators.metrics import SOUND, l2sq, matrix
 
-#: Rows of a shard's part, in which neighbours are compared with each other.
+#: Rows of a part, in which neighbours are compared with each other.
 PART = 4096
 
 
@@ -33,14 +33,18 @@ class GraphParams:
     candidates: int = 160
     alpha: float = 1.2
     overlap: int = 2
+    saturate: bool = False
+    part: int = PART
 
 
-def robust_prune(dist: np.ndarray, vecs: np.ndarray, degree: int, alpha: float) -> list[int]:
+def robust_prune(dist: np.ndarray, vecs: np.ndarray, degree: int, alpha: float, saturate: bool = False, entry: int = -1) -> list[int]:
     """Which of the candidates, sorted by distance to the node, become its neighbours.
 
     A candidate is passed over while an already chosen one is nearer to it than
     the node is, by more than the factor of the round; the factor grows from 1
     to alpha in steps of 1.2. Candidates equal to a chosen one never come in.
+    `entry`, if it was chosen in the last quarter, goes again; with saturate the
+    nearest others fill the list up to degree.
     """
     n, chosen = len(dist), []
     occlusion = np.zeros(n)
@@ -61,6 +65,10 @@ def robust_prune(dist: np.ndarray, vecs: np.ndarray, degree: int, alpha: float)
                     ratio = np.where(between > 0, dist[later] / between, np.inf)
                 occlusion[later] = np.maximum(occlusion[later], ratio)
         factor *= 1.2
+    chosen = sorted(chosen)
+    chosen = [c for i, c in enumerate(chosen) if c != entry or i <= len(chosen) * 3 // 4]
+    if saturate:
+        chosen += [i for i in range(n) if i not in set(chosen)][: degree - len(chosen)]
     return sorted(chosen)
 
 
@@ -77,53 +85,68 @@ def delta_prune(dist: np.ndarray, vecs: np.ndarray, new: int, alpha: float) -> i
             if dist[i] <= dist[new] and dist[new] / between[i] > factor:
                 return new
         factor /= 1.2
-    for t in range(len(dist)):
-        earlier = ((vecs[:t] - vecs[t]) ** 2).sum(1)
-        if t and (dist[t] > alpha * earlier).any():
-            return t
+    for p in range(len(dist)):  # each earlier neighbour and the first later one that it occludes
+        later = dist[p + 1 :] > alpha * ((vecs[p + 1 :] - vecs[p]) ** 2).sum(1)
+        if p != new and later.any():
+            return p + 1 + int(later.argmax())
     return len(dist) - 1
 
 
-def prune(candidates: DataFrame, vectors: DataFrame, degree: int, alpha: float, most: int) -> DataFrame:
-    """topology from (id, nbr) candidates: each node's nearest `most`, alpha-pruned to degree, nearest first."""
-    edges = candidates.where("id <> nbr").distinct()
+def with_back_edges(dist: np.ndarray, vecs: np.ndarray, fresh: np.ndarray, degree: int, alpha: float) -> list[int]:
+    """Which of a node's neighbours stay when the fresh ones come in one after the other, nearest first: over degree each evicts one (delta_prune)."""
+    held = [int(i) for i in np.flatnonzero(~fresh)]
+    for new in np.flatnonzero(fresh):
+        held = sorted([*held, int(new)])
+        if len(held) > degree:
+            held.pop(delta_prune(dist[held], vecs[held], held.index(int(new)), alpha))
+    return held
+
+
+def candidate_lists(candidates: DataFrame, vectors: DataFrame, most: int) -> DataFrame:
+    """(id, c): each node's nearest `most` candidates (id, nbr[, fresh]) with distance and vector, nearest first."""
+    fresh = F.max("fresh").alias("fresh") if "fresh" in candidates.columns else F.lit(False).alias("fresh")
+    edges = candidates.where("id <> nbr").groupBy("id", "nbr").agg(fresh)
     v = vectors.select("id", "vec")
     edges = edges.join(v, "id").join(v.select(F.col("id").alias("nbr"), F.col("vec").alias("nvec")), "nbr")
     edges = edges.withColumn("dist", l2sq(F.col("vec"), F.col("nvec")))
     rank = F.row_number().over(W.partitionBy("id").orderBy("dist", "nbr"))
     edges = edges.withColumn("r", rank).where(F.col("r") <= most)
-    lists = edges.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dist", "nbr", "nvec"))).alias("c"))
+    return edges.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dist", "nbr", "fresh", "nvec"))).alias("c"))
+
+
+def _kept(lists: DataFrame, keep) -> DataFrame:
+    """topology of the candidates that keep(dist, vecs, fresh, ids) picks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for row in b.column("c"):
                 c = row.values
-                dist, nbr, vecs = c.field("dist").to_numpy(), c.field("nbr").to_numpy(), matrix(c.field("nvec"))
-                out.append(nbr[robust_prune(dist, vecs, degree, alpha)])
+                nbr = c.field("nbr").to_numpy()
+                out.append(nbr[keep(c.field("dist").to_numpy(), matrix(c.field("nvec")), c.field("fresh").to_numpy(zero_copy_only=False), nbr)])
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.list_(pa.int64()))], names=["id", "nbrs"])
 
     return lists.mapInArrow(run, "id long, nbrs array<long>")
 
 
-def build(base: DataFrame, params: GraphParams | None = None, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(topology, entries): the graph of base(id, vec) and its entry points, one for each part of a shard.
+def prune(candidates: DataFrame, vectors: DataFrame, degree: int, alpha: float, most: int, saturate: bool = False, medoid: int = -1) -> DataFrame:
+    """topology from (id, nbr) candidates: each node's nearest `most`, alpha-pruned to degree, nearest first.
 
-    Rows go to the shards of their nearest centres; shards are cut into parts
-    by a hash. Inside a part every row's nearest rows are its candidates. Edges
-    go both ways, each row keeping its nearest candidates before the pruning,
-    so a row that is near to very many others gets no long list.
+    vectors may be those that codes stand for (pq.decoded): distances are then
+    the codes' own, and no stored vector is read. A node that has `medoid` far
+    down its list loses it.
     """
-    p, spark = params or GraphParams(), base.sparkSession
-    folder = folder or work_folder(spark, "graph")
-    base = stored(base.where(SOUND.format("vec")).select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")), f"{folder}/vectors")
-    n = base.count()
-    n_centres = max(1, min(1024, -(-n * p.overlap // PART)))
-    centres = cluster.kmeans(base, n_centres, rounds=4) if n_centres > 1 else np.zeros((1, 1))
-    placed = cluster.shards(base, centres, min(p.overlap, n_centres)) if n_centres > 1 else base.select(F.lit(0).alias("shard"), "id", "vec")
-    placed = stored(placed, f"{folder}/shards")
-    parts = placed.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts"))
-    placed = placed.join(F.broadcast(parts), "shard").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    return _kept(candidate_lists(candidates, vectors, most), lambda dist, vecs, _, ids: robust_prune(dist, vecs, degree, alpha, saturate, int(np.flatnonzero(ids == medoid)[0]) if medoid in ids else -1))
+
+
+def link_back(own: DataFrame, back: DataFrame, vectors: DataFrame, degree: int, alpha: float) -> DataFrame:
+    """topology of the nodes that back (id, nbr) names: their lists of own (id, nbr) take in the new edges, each over the degree evicting one."""
+    both = own.select("id", "nbr", F.lit(False).alias("fresh")).unionByName(back.join(own, ["id", "nbr"], "left_anti").select("id", "nbr", F.lit(True).alias("fresh")))
+    return _kept(candidate_lists(both, vectors, 2**31 - 1), lambda dist, vecs, fresh, _: with_back_edges(dist, vecs, fresh, degree, alpha))
+
+
+def near_in_parts(placed: DataFrame, p: GraphParams) -> DataFrame:
+    """(id, nbr): inside each part of placed(part, id, vec) the pruned nearest rows of every row."""
     most = p.candidates
 
     def near(table: pa.Table) -> pa.Table:
@@ -137,21 +160,49 @@ def build(base: DataFrame, params: GraphParams | None = None, folder: str | None
                 top = np.argpartition(d, m - 1, axis=1)[:, :m]
                 for i, t in enumerate(top):
                     t = t[np.lexsort((ids[t], d[i, t]))]
-                    keep = t[robust_prune(np.maximum(d[i, t], 0), x[t], p.degree, p.alpha)]
+                    keep = t[robust_prune(np.maximum(d[i, t], 0), x[t], p.degree, p.alpha, p.saturate)]
                     a.append(np.full(len(keep), ids[lo + i]))
                     b.append(ids[keep])
         none = [np.zeros(0, np.int64)]
         return pa.table({"id": np.concatenate(none + a), "nbr": np.concatenate(none + b)})
 
-    edges = stored(placed.select("shard", "part", "id", "vec").groupBy("shard", "part").applyInArrow(near, "id long, nbr long"), f"{folder}/edges")
+    return placed.select("part", "id", "vec").groupBy("part").applyInArrow(near, "id long, nbr long")
+
+
+def build(base: DataFrame, params: GraphParams | None = None, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(topology, entries): the graph of base(id, vec) and its entry points, one for each part.
+
+    Rows lie in overlapping parts of near rows (cluster.parts), as many as the
+    table needs. Inside a part every row's nearest rows are its candidates; the
+    parts' lists are merged by distance. Edges go both ways, each row keeping
+    its nearest candidates before the pruning, so a row that is near to very
+    many others gets no long list. A row without candidates has an empty list.
+    """
+    p, spark = params or GraphParams(), base.sparkSession
+    folder = folder or work_folder(spark, "graph")
+    base = stored(base.where(SOUND.format("vec")).select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")), f"{folder}/vectors")
+    placed = stored(cluster.parts(base, folder, p.part, p.overlap), f"{folder}/placed")
+    edges = stored(near_in_parts(placed, p), f"{folder}/edges")
     both = edges.unionByName(edges.select(F.col("nbr").alias("id"), F.col("id").alias("nbr")))
-    topology = prune(both, base, p.degree, p.alpha, most)
+    topology = prune(both, base, p.degree, p.alpha, p.candidates, p.saturate)
     alone = base.select("id").join(topology, "id", "left_anti").select("id", F.array().cast("array<long>").alias("nbrs"))
     topology = stored(topology.unionByName(alone), f"{folder}/topology")
-    entries = stored(placed.groupBy("shard", "part").agg(F.min("id").alias("id")).select("id").unionByName(cluster.medoid(base).select("id")).distinct(), f"{folder}/entries")
+    entries = stored(placed.groupBy("part").agg(F.min("id").alias("id")).select("id").unionByName(cluster.medoid(base).select("id")).distinct(), f"{folder}/entries")
     return topology, entries
 
 
+def navigation(base: DataFrame, share: float = 0.1, params: GraphParams | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vectors, topology, entries) of a graph over a sample of base, which finds entry points of the large one (see entry_rows)."""
+    some = sampling.at_least_one(base, share)
+    return some.select("id", "vec"), *build(some.select("id", "vec"), params)
+
+
+def entry_rows(queries: DataFrame, sample: tuple[DataFrame, DataFrame, DataFrame], n: int = 10) -> DataFrame:
+    """(qid, id): each query's own entry points, what it finds in the sample's graph."""
+    vectors, topology, entries = sample
+    return search(queries, vectors, topology, entries, k=n, length=max(2 * n, 20)).select("qid", "id")
+
+
 @dataclass
 class Coder:
     """What a traversal measures candidates with: PQ codes packed by row, and their codebook."""
@@ -177,65 +228,120 @@ def truncation(length: int, keep: int) -> int:
     return min(length, max(keep, math.ceil(keep * (1 + math.log10(max(length, 1) / max(keep, 1))))))
 
 
-def search(queries: DataFrame, vectors: DataFrame, topology: DataFrame, entries: DataFrame, k: int = 10, length: int = 64, width: int = 8, mode: str = "memory", coder: Coder | None = None, layout: DataFrame | None = None, tombstones: DataFrame | None = None, keep: int | None = None, max_hops: int = 200) -> DataFrame:
+def search(queries: DataFrame, vectors: DataFrame, topology: DataFrame, entries: DataFrame, k: int = 10, length: int = 64, width: int = 8, mode: str = "memory", coder: Coder | None = None, layout: DataFrame | None = None, tombstones: DataFrame | None = None, keep: int | None = None, max_hops: int | None = None, n_entries: int = 8) -> DataFrame:
     """(qid, rank, id, dist): approximate neighbours, ordered by (dist, id), without deleted ids.
 
     mode `memory` measures the pool exactly. `beam`, `pipe` and `coro` traverse on
     codes and answer with the exact distances of all expanded rows; they differ
     in scheduling alone, which is Spark's here. `page` scores the other rows on
     the pages of expanded rows too. `rerank` traverses on codes, cuts the pool
-    and rescores what is left. Fewer than k live rows give fewer results.
+    and rescores what is left.
+
+    entries has id, and each query starts at its nearest n_entries of them; with
+    a qid they are each query's own. Deleted rows are traversed like others, but
+    length, width of the cut and k count live rows alone, so a pool widens until
+    it holds `length` of these. Rounds go on until every pool is expanded. With
+    max_hops they end there, and a column `complete` says for each query whether
+    its pool was. Fewer than k live rows within reach give fewer results.
     """
     if mode not in ("memory", "beam", "pipe", "coro", "page", "rerank"):
         raise ValueError(f"no such mode: {mode}")
     if mode != "memory" and coder is None:
         raise ValueError(f"mode {mode} needs codes")
+    if mode == "page" and layout is None:
+        raise ValueError("mode page needs a layout")
     spark = vectors.sparkSession
     folder = work_folder(spark, "search")
     tables = stored(_query_tables(queries, coder if mode != "memory" else None), f"{folder}/queries")
+    gone = None if tombstones is None else tombstones.select("id").distinct().withColumn("dead", F.lit(True))
 
     def measure(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(tables, "qid")
         if mode == "memory":
-            return pairs.join(vectors, "id").select("qid", "id", l2sq(F.col("qvec"), F.col("vec")).alias("dist"))
-        d = F.aggregate(F.zip_with("codes", "lut", lambda c, t: F.element_at(t, c + 1)), F.lit(0.0), lambda s, x: s + x)
-        return pairs.join(coder.codes, "id").select("qid", "id", d.alias("dist"))
+            pairs = pairs.join(vectors, "id").select("qid", "id", l2sq(F.col("qvec"), F.col("vec")).alias("dist"))
+        else:
+            d = F.aggregate(F.zip_with("codes", "lut", lambda c, t: F.element_at(t, c + 1)), F.lit(0.0), lambda s, x: s + x)
+            pairs = pairs.join(coder.codes, "id").select("qid", "id", d.alias("dist"))
+        if gone is None:
+            return pairs.withColumn("live", F.lit(1))
+        return pairs.join(gone, "id", "left").select("qid", "id", "dist", F.when(F.col("dead"), 0).otherwise(1).alias("live"))
 
     def exact(pairs: DataFrame) -> DataFrame:
         return pairs.select("qid", "id").join(tables.select("qid", "qvec"), "qid").join(vectors, "id").select("qid", "id", l2sq(F.col("qvec"), F.col("vec")).alias("dist"))
 
-    # The nearest entry points of each query start its pool.
     by_pool = W.partitionBy("qid").orderBy("dist", "id")
-    first = measure(tables.select("qid").crossJoin(entries.select("id")))
-    pool = first.withColumn("r", F.row_number().over(by_pool)).where(F.col("r") <= length).select("qid", "id", "dist", F.lit(False).alias("expanded"), F.lit(0).alias("hop"))
-    pool = stored(pool, f"{folder}/pool-0")
-    done = None
-    for hop in range(1, max_hops + 1):
-        open_ = pool.where("NOT expanded").withColumn("r", F.row_number().over(by_pool)).where(F.col("r") <= width).select("qid", "id")
-        front = stored(open_, f"{folder}/front-{hop}")
-        if front.limit(1).count() == 0:
-            break
-        done = front if done is None else done.unionByName(front)
-        found = front.join(topology, "id").select("qid", F.explode("nbrs").alias("id")).distinct()
-        found = found.join(pool.select("qid", "id"), ["qid", "id"], "left_anti").join(done, ["qid", "id"], "left_anti")
-        marked = pool.join(front.withColumn("now", F.lit(True)), ["qid", "id"], "left").select("qid", "id", "dist", F.coalesce("now", "expanded").alias("expanded"), "hop")
-        new = measure(found).select("qid", "id", "dist", F.lit(False).alias("expanded"), F.lit(hop).alias("hop"))
-        both = marked.unionByName(new).withColumn("r", F.row_number().over(by_pool)).where(F.col("r") <= length).drop("r")
-        pool = stored(both, f"{folder}/pool-{hop}")
-
-    def live(df: DataFrame) -> DataFrame:
-        return df if tombstones is None else df.join(tombstones.select("id").distinct(), "id", "left_anti")
+
+    def first_live(pool: DataFrame, n: int) -> DataFrame:
+        """The pool as far as its n-th live row, with `open`, the place of an unexpanded row among those."""
+        upto = F.sum("live").over(by_pool.rowsBetween(W.unboundedPreceding, 0))
+        pool = pool.withColumn("upto", upto).where(F.col("upto") - F.col("live") < n)
+        return pool.withColumn("open", F.when(~F.col("expanded"), F.sum((~F.col("expanded")).cast("int")).over(by_pool.rowsBetween(W.unboundedPreceding, 0))))
+
+    if "qid" in entries.columns:
+        first = entries.select("qid", "id").distinct()
+    else:
+        first = knn(queries, vectors.join(entries.select("id").distinct(), "id", "left_semi"), n_entries).select("qid", "id")
+    pool = measure(first).withColumns({"expanded": F.lit(False), "hop": F.lit(0)})
+    pool = stored(first_live(pool, length).select("qid", "id", "dist", "live", "expanded", "hop", "open"), f"{folder}/pool-0")
+    hop = 0
+    while pool.where("open IS NOT NULL").limit(1).count() and (max_hops is None or hop < max_hops):
+        hop += 1
+        front = F.coalesce(F.col("open") <= width, F.lit(False))
+        found = pool.where(front).join(topology, "id").select("qid", F.explode("nbrs").alias("id")).distinct().join(pool.select("qid", "id"), ["qid", "id"], "left_anti")
+        new = measure(found).withColumns({"expanded": F.lit(False), "hop": F.lit(hop)})
+        old = pool.select("qid", "id", "dist", "live", (F.col("expanded") | front).alias("expanded"), "hop")
+        pool = stored(first_live(old.unionByName(new), length).select("qid", "id", "dist", "live", "expanded", "hop", "open"), f"{folder}/pool-{hop}")
+
+    def answer(found: DataFrame) -> DataFrame:
+        out = ranked(found, k)
+        if max_hops is None:
+            return out
+        return out.join(pool.groupBy("qid").agg((F.count("open") == 0).alias("complete")), "qid")
 
     if mode == "memory":
-        return ranked(live(pool), k)
+        return answer(pool.where("live = 1"))
     if mode == "rerank":
         cut = truncation(length, keep or length)
-        left = live(pool.withColumn("r", F.row_number().over(by_pool)).where(F.col("r") <= cut).select("qid", "id"))
-        return ranked(exact(left), k)
-    seen = done
+        return answer(exact(pool.where("live = 1").withColumn("r", F.row_number().over(by_pool)).where(F.col("r") <= cut)))
+    # All rows that were expanded at some time: the last pool's, and those of earlier pools and of their fronts, which later pools may have pushed out.
+    seen = pool.where("expanded").select("qid", "id")
+    if hop:
+        earlier = spark.read.schema(pool.schema).parquet(*[f"{folder}/pool-{h}" for h in range(hop)])
+        seen = seen.unionByName(earlier.where(F.col("expanded") | (F.col("open") <= width)).select("qid", "id")).distinct()
     if mode == "page":
-        if layout is None:
-            raise ValueError("mode page needs a layout")
         pages = seen.join(layout.select("id", "page"), "id").select("qid", "page").distinct()
         seen = pages.join(layout.select("id", "page"), "page").select("qid", "id")
-    return ranked(exact(live(seen.distinct())), k)
+    if gone is not None:
+        seen = seen.join(gone, "id", "left_anti")
+    return answer(exact(seen.distinct()))
+
+
+def with_tags(found: DataFrame, tags: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """Answers with the tags of their rows (a row without one has its id) and, if asked for, their vectors."""
+    out = found.join(tags.select("id", "tag"), "id", "left").withColumn("tag", F.coalesce("tag", "id"))
+    return out if vectors is None else out.join(vectors.select("id", "vec"), "id")
+
+
+#: The bits of a search strategy.
+STRATEGY = ("rerank", "topology_order", "two_books", "vector_order", "topology_buffer", "neighbour_cache", "truncate", "three_books", "page_compute")
+
+
+def strategy(bits: int) -> dict[str, bool]:
+    """The options that the bits of a strategy name."""
+    if bits < 0 or bits >> len(STRATEGY):
+        raise ValueError(f"no such strategy: {bits}")
+    return {name: bool(bits >> i & 1) for i, name in enumerate(STRATEGY)}
+
+
+def search_options(bits: int, keep: int = 40) -> dict[str, object]:
+    """What search() takes for a strategy: its mode and, where the pool is cut, `keep`.
+
+    Order and two books are properties of the tables that are searched (see
+    layout and pq.dual); buffers and caches are Spark's and change no result;
+    a third book has no counterpart and raises.
+    """
+    on = strategy(bits)
+    if on["three_books"]:
+        raise ValueError("there is no third codebook")
+    mode = "page" if on["page_compute"] else "rerank" if on["rerank"] else "beam"
+    return {"mode": mode} | ({"keep": keep} if on["truncate"] and mode == "rerank" else {})

@@ -18,6 +18,14 @@ def bernoulli(base: DataFrame, share: float, seed: int = 42) -> DataFrame:
     return base.where(spot < F.lit(share * 4294967296.0))
 
 
+def at_least_one(base: DataFrame, share: float, seed: int = 42) -> DataFrame:
+    """bernoulli(), or the row of the least id where that picks none."""
+    some = bernoulli(base, share, seed)
+    if some.limit(1).count():
+        return some
+    return base.join(base.agg(F.min("id").alias("id")), "id", "left_semi")
+
+
 def first_rows(base: DataFrame, n: int) -> DataFrame:
     """The rows of ids below n."""
     return base.where(F.col("id") < n)
