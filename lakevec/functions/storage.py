@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -26,3 +28,17 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     """df written as Parquet and read again: cuts the lineage and survives lost executors."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def placed(df: DataFrame, *order: str) -> DataFrame:
+    """df with `place`, from 0 in the order of the columns: ranges are sorted by themselves and their sizes added up, so no task sees all rows.
+
+    The columns should tell rows apart; equal rows take places by chance, and
+    many rows of one value share a range.
+    """
+    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    ranged = stored(ranged, f"{work_folder(df.sparkSession, 'places')}/ranges")
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("n"))
+    before = sizes.select("_range", (F.sum("n").over(W.orderBy("_range")) - F.col("n")).alias("_before"))  # a row for each range
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.withColumn("_in", inside).join(before, "_range").withColumn("place", (F.col("_before") + F.col("_in")).cast("long")).drop("_range", "_before", "_in")

@@ -2,31 +2,125 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lakevec.functions.storage import placed, stored, work_folder
+from lakevec.operators import cluster
 
-def pages(topology: DataFrame, capacity: int = 16, rounds: int = 3) -> DataFrame:
-    """(id, page, slot): similar rows together, at most capacity on a page.
+#: Neighbours of a row, nearest first, that it may share a page with.
+NEAREST = 8
 
-    A row's group is the least id within `rounds` steps of its nearest two
-    neighbours; groups are laid out one after the other in pages of capacity,
-    so a large group fills several pages and hot groups have no limit.
+
+def pack(ids: np.ndarray, a: np.ndarray, b: np.ndarray, rank: np.ndarray, capacity: int) -> np.ndarray:
+    """The page of each row, from 0: edges (a, b), nearest first, join groups while they fit a page; groups then fill pages, largest first."""
+    place = {int(x): i for i, x in enumerate(ids)}
+    root, size = list(range(len(ids))), [1] * len(ids)
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for e in np.lexsort((b, a, rank)):
+        x, y = place.get(int(a[e])), place.get(int(b[e]))
+        if x is None or y is None:
+            continue
+        x, y = find(x), find(y)
+        if x != y and size[x] + size[y] <= capacity:
+            x, y = min(x, y), max(x, y)
+            root[y] = x
+            size[x] += size[y]
+    groups: dict[int, list[int]] = {}
+    for i in range(len(ids)):
+        groups.setdefault(find(i), []).append(i)
+    page, room, at = np.zeros(len(ids), np.int64), [], {}  # at: the pages with so much room
+    for _, members in sorted(groups.items(), key=lambda g: (-len(g[1]), g[0])):
+        need = len(members)
+        free = next((r for r in range(need, capacity + 1) if at.get(r)), None)
+        if free is None:
+            room.append(capacity)
+            p = len(room) - 1
+        else:
+            p = at[free].pop()
+        room[p] -= need
+        at.setdefault(room[p], []).append(p)
+        page[members] = p
+    return page
+
+
+def _packed(rows: DataFrame, edges: DataFrame, key: str, capacity: int) -> DataFrame:
+    """(key, id, page, slot): the rows of each group in pages of their own, numbered from 0."""
+
+    def run(members: pa.Table, near: pa.Table) -> pa.Table:
+        ids = np.sort(members.column("id").to_numpy())
+        page = pack(ids, near.column("a").to_numpy(), near.column("b").to_numpy(), near.column("rank").to_numpy(), capacity)
+        order = np.lexsort((ids, page))
+        ids, page = ids[order], page[order]
+        slot = np.arange(len(ids)) - np.searchsorted(page, page)
+        of = members.column(key)[0].as_py() if len(ids) else 0
+        return pa.table({key: pa.array(np.full(len(ids), of, np.int64)), "id": ids, "page": page, "slot": slot.astype(np.int32)})
+
+    edges = edges.withColumn("group", F.col(key)).drop(key)
+    return rows.groupBy(key).cogroup(edges.groupBy("group")).applyInArrow(run, f"{key} long, id long, page long, slot int")
+
+
+def _nearest_edges(topology: DataFrame) -> DataFrame:
+    return topology.select(F.col("id").alias("a"), F.posexplode(F.slice("nbrs", 1, NEAREST)).alias("rank", "b"))
+
+
+def pages(topology: DataFrame, vectors: DataFrame, capacity: int = 16, part: int = 4096) -> DataFrame:
+    """(id, page, slot): near rows together, at most capacity on a page.
+
+    Rows lie in parts of near rows of bounded size (cluster.parts); inside a part
+    rows and their nearest neighbours are joined page by page. Parts are packed
+    apart from one another, so a table of any size is.
     """
-    label = topology.select("id", F.col("id").alias("label"))
-    near = topology.select("id", F.explode(F.slice("nbrs", 1, 2)).alias("nbr"))
-    for _ in range(rounds):
-        step = near.join(label.select(F.col("id").alias("nbr"), F.col("label").alias("other")), "nbr").groupBy("id").agg(F.min("other").alias("other"))
-        label = label.join(step, "id", "left").select("id", F.least("label", "other").alias("label"))
-    # Places run on over blocks of labels, so no task orders the whole table.
-    block = F.pmod(F.xxhash64("label"), F.lit(256)).alias("block")
-    rows = label.select("id", "label", block, F.pmod(F.xxhash64("id"), F.lit(16)).alias("salt"))
-    rows = rows.withColumn("place", F.row_number().over(W.partitionBy("block", "salt").orderBy("label", "id")) - 1)
-    sizes = rows.groupBy("block", "salt").agg(F.ceil(F.count("*") / F.lit(capacity)).alias("n"))
-    first = sizes.select("block", "salt", (F.sum("n").over(W.orderBy("block", "salt")) - F.col("n")).alias("first"))
-    rows = rows.join(first, ["block", "salt"])
-    return rows.select("id", (F.col("first") + F.floor(F.col("place") / capacity)).cast("long").alias("page"), F.pmod(F.col("place"), F.lit(capacity)).cast("int").alias("slot"))
+    folder = work_folder(topology.sparkSession, "pages")
+    rows = cluster.parts(vectors.select("id", "vec"), folder, part).select(F.col("part").alias("part"), "id")
+    rows = stored(topology.select("id").join(rows, "id", "left").select(F.coalesce("part", F.lit(0)).alias("part"), "id"), f"{folder}/rows")
+    ends = _nearest_edges(topology).join(rows.select("part", F.col("id").alias("a")), "a")
+    local = stored(_packed(rows, ends.select("part", "a", "b", "rank"), "part", capacity), f"{folder}/local")
+    sizes = local.groupBy("part").agg((F.max("page") + 1).alias("n"))
+    first = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("first"))  # a row for each part
+    return local.join(first, "part").select("id", (F.col("first") + F.col("page")).alias("page"), "slot")
+
+
+def with_new_rows(layout: DataFrame, topology: DataFrame, new: DataFrame, capacity: int = 16) -> DataFrame:
+    """layout with the rows of new(id): each goes to the page of its nearest placed neighbour; pages that get too full are split by their edges.
+
+    A split page keeps its number for its first group, the others get numbers
+    behind the last page. Rows without a placed neighbour fill pages together.
+    Other pages are not touched.
+    """
+    folder = work_folder(topology.sparkSession, "splits")
+    fresh = new.select("id").distinct().join(layout.select("id"), "id", "left_anti")
+    near = topology.join(fresh, "id", "left_semi").select("id", F.posexplode("nbrs").alias("pos", "nbr"))
+    near = near.join(layout.select(F.col("id").alias("nbr"), "page"), "nbr").groupBy("id").agg(F.min(F.struct("pos", "page")).alias("x")).select("id", "x.page")
+    last = layout.agg(F.coalesce(F.max("page"), F.lit(-1)).alias("last"))
+    wanted = fresh.join(near, "id", "left")
+    wanted = stored(wanted.select("id", F.coalesce("page", F.lit(-1) - F.pmod(F.xxhash64("id"), F.lit(64))).alias("page")), f"{folder}/wanted")
+    rows = layout.join(wanted.select("page").distinct(), "page", "left_semi").select("id", "page").unionByName(wanted)
+    rows = stored(rows.withColumnRenamed("page", "home"), f"{folder}/rows")
+    ends = _nearest_edges(topology).join(rows.select("home", F.col("id").alias("a")), "a").select("home", "a", "b", "rank")
+    local = stored(_packed(rows, ends, "home", capacity), f"{folder}/local")
+    more = local.where("page > 0 OR home < 0").select("home", "page").distinct()
+    more = placed(more, "home", "page").crossJoin(F.broadcast(last)).select("home", "page", (F.col("last") + 1 + F.col("place")).alias("to"))  # last is one row
+    moved = local.join(more, ["home", "page"], "left").select("id", F.coalesce("to", "home").alias("page"), "slot")
+    return layout.join(rows.select("id"), "id", "left_anti").select("id", "page", "slot").unionByName(moved)
+
+
+def locality(topology: DataFrame, layout: DataFrame, nearest: int = 2) -> DataFrame:
+    """One row: share of the edges to the nearest rows that stay on a page, and how full pages are at `capacity` rows, the fullest page's."""
+    at = layout.select("id", "page")
+    edges = topology.select("id", F.explode(F.slice("nbrs", 1, nearest)).alias("nbr")).join(at, "id").join(at.select(F.col("id").alias("nbr"), F.col("page").alias("other")), "nbr")
+    sizes = at.groupBy("page").agg(F.count("*").alias("n"))
+    fill = sizes.agg((F.sum("n") / (F.count("*") * F.max("n"))).alias("fill"))
+    return edges.agg(F.avg((F.col("page") == F.col("other")).cast("double")).alias("same_page")).crossJoin(fill)
 
 
 def reordered(table: DataFrame, layout: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lakevec.operators.cluster import seeds
+from lakevec.operators.exact import in_blocks, ranked
 from lakevec.operators.metrics import SOUND, l2sq, matrix
 
 CODES, MAX_TRAIN = 256, 256_000
@@ -39,7 +41,11 @@ def split(base: DataFrame, dim: int, chunks: int) -> DataFrame:
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
-    c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
+    return _lloyd(x, x[np.linspace(0, len(x) - 1, k).astype(int)].copy(), rounds)
+
+
+def _lloyd(x: np.ndarray, c: np.ndarray, rounds: int) -> np.ndarray:
+    k = len(c)
     for _ in range(rounds):
         near = ((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)).argmin(1)
         sums, n = np.zeros_like(c), np.bincount(near, minlength=k)
@@ -87,10 +93,68 @@ def lookup(query_parts: DataFrame, book: DataFrame) -> DataFrame:
     return q.join(F.broadcast(book), "chunk").select("qid", "chunk", "code", l2sq(F.col("qsub"), F.col("sub")).alias("d"))
 
 
-def adc(table: DataFrame, codes: DataFrame) -> DataFrame:
-    """(qid, id, dist): a query's table distances summed over each row's codes; book is part of the key where both have one."""
-    on = ["chunk", "code"] + (["book"] if "book" in codes.columns and "book" in table.columns else [])
-    return codes.join(table, on).groupBy("qid", "id").agg(F.sum("d").alias("dist"))
+def packed(codes: DataFrame) -> DataFrame:
+    """(id, codes[, books]): the codes of a row as an array, chunk by chunk."""
+    fields = ["chunk", "code"] + (["book"] if "book" in codes.columns else [])
+    rows = codes.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("c"))
+    return rows.select("id", F.col("c.code").alias("codes"), *([F.col("c.book").alias("books")] if "book" in fields else []))
+
+
+def query_tables(table: DataFrame) -> DataFrame:
+    """(qid, lut): a query's table distances (qid, chunk, code, d[, book]) as one array, by chunk, book and code.
+
+    All queries must have the same codes of each chunk, numbered from 0.
+    """
+    book = F.col("book") if "book" in table.columns else F.lit(0)
+    rows = table.select("qid", F.struct("chunk", book.alias("book"), "code", "d").alias("x"))
+    return rows.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["d"]).alias("lut"))
+
+
+def adc(table: DataFrame, codes: DataFrame, k: int, n_codes: int) -> DataFrame:
+    """(qid, rank, id, dist): of each query the k rows of the least table distances summed over their codes, ties by id.
+
+    table is that of lookup() with n_codes codes a chunk, codes (id, chunk, code)
+    or of dual(); book is part of both or of neither. Queries and packed codes
+    meet in blocks, as in exact.knn: k rows of a query leave a task.
+    """
+    books = 2 if "book" in codes.columns else 1
+    luts, rows = query_tables(table).withColumnRenamed("qid", "id"), packed(codes)
+    n_queries, n_rows = luts.count(), rows.count()
+    left, right = in_blocks(luts, rows, max(1, -(-n_queries // 4096)), max(1, -(-n_rows // 262_144)))
+
+    def near(asked: pa.Table, known: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if asked.num_rows and known.num_rows:
+            ids, code = known.column("id").to_numpy(), matrix(known.column("codes")).astype(int)
+            book = matrix(known.column("books")).astype(int) if books == 2 else 0
+            spot = (np.arange(code.shape[1]) * books + book) * n_codes + code
+            for q, lut in zip(asked.column("id").to_numpy(), matrix(asked.column("lut")), strict=True):
+                dist = lut[spot].sum(1)
+                top = np.lexsort((ids, dist))[:k] if len(ids) <= 4 * k else _least(dist, ids, k)
+                out.append((np.full(len(top), q), ids[top], dist[top]))
+        q, i, d = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({"qid": q, "id": i, "dist": d})
+
+    keys = ["block", "part"]
+    return ranked(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(near, "qid long, id long, dist double"), k)
+
+
+def _least(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k least, ties by id."""
+    at = np.flatnonzero(dist <= np.partition(dist, k - 1)[k - 1])
+    return at[np.lexsort((ids[at], dist[at]))[:k]]
+
+
+def rerank(found: DataFrame, queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
+    """(qid, rank, id, dist): answers found by codes, by their exact distances."""
+    pairs = found.select("qid", "id").join(queries.select("qid", "qvec"), "qid").join(base.select("id", "vec"), "id")
+    return ranked(pairs.select("qid", "id", l2sq(F.col("qvec"), F.col("vec")).alias("dist")), k)
+
+
+def decoded(codes: DataFrame, book: DataFrame) -> DataFrame:
+    """(id, vec): the vectors that codes (id, chunk, code) stand for. Their distances are those between the codes."""
+    rows = codes.select("id", "chunk", "code").join(book.select("chunk", "code", "sub"), ["chunk", "code"])
+    return rows.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "sub"))), lambda x: x["sub"])).alias("vec"))
 
 
 def sdc_table(book: DataFrame) -> DataFrame:
@@ -107,12 +171,29 @@ def sdc(pairs: DataFrame, codes: DataFrame, table: DataFrame) -> DataFrame:
     return both.join(F.broadcast(table), ["chunk", "c1", "c2"]).groupBy("a", "b").agg(F.sum("d").alias("dist"))
 
 
-def worst(codes: DataFrame, share: float = 0.2, most: int = MAX_TRAIN) -> DataFrame:
-    """(id, chunk): in each chunk the share of rows of the largest errors, ties by id, at least one."""
-    n = F.count("*").over(W.partitionBy("chunk"))
+def worst(codes: DataFrame, share: float = 0.2, most: int = MAX_TRAIN, steps: int = 1024) -> DataFrame:
+    """(id, chunk): in each chunk the share of rows of the largest errors, ties by id, at least one.
+
+    A histogram of each chunk's errors, taken twice, says which rows are surely
+    in; only those of the bin of a bin where the share ends are ranked.
+    """
+    spans = codes.groupBy("chunk").agg(F.count("*").alias("n"), F.min("err").alias("lo"), F.max("err").alias("hi"))
+    wanted = F.least(F.greatest(F.floor(F.col("n") * F.lit(share)), F.lit(1)), F.lit(most))
+    spans = spans.select("chunk", wanted.alias("wanted"), "lo", "hi")
+    inside, sure = codes.select("id", "chunk", "err").join(spans, "chunk"), None
+    for _ in range(2):
+        width = F.greatest((F.col("hi") - F.col("lo")) / F.lit(steps), F.lit(1e-300))
+        inside = inside.withColumn("bin", F.least(F.floor((F.col("err") - F.col("lo")) / width), F.lit(steps - 1)).cast("int"))
+        bins = inside.groupBy("chunk", "bin").agg(F.count("*").alias("n"), F.first("wanted").alias("wanted"), F.min("err").alias("lo2"), F.max("err").alias("hi2"))
+        upto = F.sum("n").over(W.partitionBy("chunk").orderBy(F.desc("bin")))  # at most `steps` rows for each chunk
+        bins = bins.withColumn("upto", upto).withColumn("left", F.col("wanted") - (F.col("upto") - F.col("n"))).where("left > 0")
+        bins = bins.select("chunk", "bin", "left", "lo2", "hi2", (F.col("n") <= F.col("left")).alias("whole"))
+        found = inside.drop("wanted", "lo", "hi").join(bins, ["chunk", "bin"])
+        taken = found.where("whole").select("id", "chunk")
+        sure = taken if sure is None else sure.unionByName(taken)
+        inside = found.where("NOT whole").select("id", "chunk", "err", F.col("left").alias("wanted"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"))
     rank = F.row_number().over(W.partitionBy("chunk").orderBy(F.desc("err"), "id"))
-    limit = F.least(F.greatest(F.floor(F.col("n") * F.lit(share)), F.lit(1)), F.lit(most))
-    return codes.withColumn("n", n).withColumn("rank", rank).where(F.col("rank") <= limit).select("id", "chunk")
+    return sure.unionByName(inside.withColumn("rank", rank).where(F.col("rank") <= F.col("wanted")).select("id", "chunk"))
 
 
 def refine(parts: DataFrame, first: DataFrame, codes: int = CODES, rounds: int = 15, share: float = 0.2) -> DataFrame:
@@ -127,6 +208,23 @@ def refine(parts: DataFrame, first: DataFrame, codes: int = CODES, rounds: int =
     return bad.groupBy("chunk").applyInPandas(run, "chunk int, code int, sub array<double>")
 
 
+def merged_book(parts: DataFrame, first: DataFrame, second: DataFrame, codes: int = CODES, rounds: int = 15, max_train: int = MAX_TRAIN, seed: int = 42) -> DataFrame:
+    """One codebook of `codes` codes out of two: starts are picked among both books' codes by their distances, then averaged over a sample of all rows."""
+    n = parts.select("id").distinct().count()
+    share = min(1.0, max_train / max(n, 1))
+    sample = parts.where(F.pmod(F.xxhash64("id", F.lit(43)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    books = first.select("chunk", "sub").unionByName(second.select("chunk", "sub"))
+
+    def run(key, rows: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(starts):
+            return pd.DataFrame({"chunk": [], "code": [], "sub": []})
+        x, c = np.stack(rows.sort_values("id")["sub"]), np.unique(np.stack(starts["sub"]), axis=0)
+        c = _lloyd(x, seeds(c, codes, seed), rounds)
+        return pd.DataFrame({"chunk": key[0], "code": np.arange(len(c), dtype=np.int32), "sub": list(c)})
+
+    return sample.groupBy("chunk").cogroup(books.groupBy("chunk")).applyInPandas(run, "chunk int, code int, sub array<double>")
+
+
 def dual(first: DataFrame, second: DataFrame) -> DataFrame:
     """(id, chunk, book, code, err): of two codings the closer one; book 1 only where it is strictly closer."""
     b = second.select("id", "chunk", F.col("code").alias("code2"), F.col("err").alias("err2"))
@@ -142,11 +240,11 @@ def dual_from_scratch(base: DataFrame, dim: int, chunks: int, codes: int = CODES
     return tuple(both.where(F.col("code") % 2 == i).select("chunk", half, "sub") for i in (0, 1))
 
 
-def joined_books(first: DataFrame, second: DataFrame) -> DataFrame:
-    """One codebook of two, the second's codes behind CODES: its sdc_table also has the distances across."""
-    return first.select("chunk", "code", "sub").unionByName(second.select("chunk", (F.col("code") + CODES).alias("code"), "sub"))
+def joined_books(first: DataFrame, second: DataFrame, offset: int = CODES) -> DataFrame:
+    """One codebook of two, the second's codes behind the first's `offset`: its sdc_table also has the distances across."""
+    return first.select("chunk", "code", "sub").unionByName(second.select("chunk", (F.col("code") + offset).cast("int").alias("code"), "sub"))
 
 
-def joined_codes(codes: DataFrame) -> DataFrame:
+def joined_codes(codes: DataFrame, offset: int = CODES) -> DataFrame:
     """Codes of dual() in terms of joined_books."""
-    return codes.select("id", "chunk", (F.col("code") + F.col("book") * CODES).alias("code"), "err")
+    return codes.select("id", "chunk", (F.col("code") + F.col("book") * offset).cast("int").alias("code"), "err")

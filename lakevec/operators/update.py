@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakevec.functions.storage import stored, work_folder
-from lakevec.operators.graph import GraphParams, prune, search
+from lakevec.functions.storage import placed, stored, work_folder
+from lakevec.operators import cluster
+from lakevec.operators.graph import GraphParams, link_back, near_in_parts, prune, search
+from lakevec.operators.metrics import SOUND
 
 
 def lazy_delete(tombstones: DataFrame, tags: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -35,54 +39,121 @@ def repaired_neighbours(topology: DataFrame, tombstones: DataFrame, sampled: int
     return stay.unionByName(come).where("id <> nbr").distinct()
 
 
-def consolidate(topology: DataFrame, vectors: DataFrame, entries: DataFrame, tombstones: DataFrame, params: GraphParams | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(topology, vectors, entries) without the deleted rows; only nodes that pointed to one get new lists.
+def replaced_entries(topology: DataFrame, entries: DataFrame, tombstones: DataFrame, live: DataFrame, rounds: int = 3) -> DataFrame:
+    """entries without deleted ones: each gives way to its first live neighbour or, without one, to its first neighbour's, some rounds long; if none is left at all, to the least live id."""
+    gone = tombstones.select("id").distinct()
+    kept, lost = entries.select("id").join(gone, "id", "left_anti"), entries.select("id").join(gone, "id", "left_semi")
+    for _ in range(rounds):
+        near = lost.select(F.col("id").alias("entry")).join(topology.select(F.col("id").alias("entry"), F.posexplode("nbrs").alias("pos", "id")), "entry")
+        near = near.join(gone.withColumn("dead", F.lit(1)), "id", "left").groupBy("entry").agg(F.min(F.struct(F.coalesce("dead", F.lit(0)).alias("dead"), "pos", "id")).alias("x")).select("x.dead", "x.id")
+        kept, lost = kept.unionByName(near.where("dead = 0").select("id")), near.where("dead = 1").select("id").distinct()
+    found = kept.distinct()
+    none = found.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(1).alias("one"))
+    least = live.agg(F.min("id").alias("id")).where("id IS NOT NULL").join(none, F.col("one") == 1).select("id")
+    return found.unionByName(least)
+
 
-    Entry points that go are replaced by their nearest live neighbours; if none
-    is left, by the least live id.
-    """
-    p, folder = params or GraphParams(), work_folder(topology.sparkSession, "consolidate")
+@dataclass
+class Delta:
+    """What an update changes: new or changed lists, ids that go, new vectors. Small against the tables it goes on."""
+
+    topology: DataFrame  # (id, nbrs)
+    gone: DataFrame  # (id)
+    vectors: DataFrame  # (id, vec)
+
+    def on_topology(self, topology: DataFrame) -> DataFrame:
+        return topology.join(self.topology.select("id").unionByName(self.gone), "id", "left_anti").unionByName(self.topology)
+
+    def on_vectors(self, vectors: DataFrame) -> DataFrame:
+        return vectors.join(self.vectors.select("id").unionByName(self.gone), "id", "left_anti").unionByName(self.vectors)
+
+
+def deletion(topology: DataFrame, vectors: DataFrame, tombstones: DataFrame, params: GraphParams | None = None, decoded: DataFrame | None = None) -> Delta:
+    """The changed lists after deletes: nodes that pointed to deleted rows get new ones, pruned on exact distances or those of decoded vectors."""
+    p, folder = params or GraphParams(), work_folder(topology.sparkSession, "deletion")
     gone = tombstones.select("id").distinct()
-    live = vectors.join(gone, "id", "left_anti")
     candidates = stored(repaired_neighbours(topology, tombstones), f"{folder}/candidates")
-    changed = prune(candidates, live, p.degree, p.alpha, p.candidates)
-    touched = topology.select("id", F.explode("nbrs").alias("nbr")).join(gone.select(F.col("id").alias("nbr")), "nbr", "left_semi").select("id").distinct()
-    same = topology.join(gone, "id", "left_anti").join(touched, "id", "left_anti")
-    bare = touched.join(gone, "id", "left_anti").join(changed.select("id"), "id", "left_anti").select("id", F.array().cast("array<long>").alias("nbrs"))
-    new = stored(same.unionByName(changed).unionByName(bare), f"{folder}/topology")
-    heirs = entries.join(gone, "id", "left_semi").join(topology, "id").select(F.explode("nbrs").alias("id")).join(gone, "id", "left_anti")
-    found = entries.join(gone, "id", "left_anti").select("id").unionByName(heirs).distinct()
-    least = live.agg(F.min("id").alias("id")).where("id IS NOT NULL")
-    return new, live, stored(found.unionByName(least).distinct(), f"{folder}/entries")
+    changed = prune(candidates, (vectors if decoded is None else decoded).join(gone, "id", "left_anti"), p.degree, p.alpha, p.candidates, p.saturate)
+    touched = topology.select("id", F.explode("nbrs").alias("nbr")).join(gone.select(F.col("id").alias("nbr")), "nbr", "left_semi").select("id").distinct().join(gone, "id", "left_anti")
+    bare = touched.join(changed.select("id"), "id", "left_anti").select("id", F.array().cast("array<long>").alias("nbrs"))
+    return Delta(stored(changed.unionByName(bare), f"{folder}/topology"), gone, vectors.limit(0).select("id", "vec"))
+
+
+def consolidate(topology: DataFrame, vectors: DataFrame, entries: DataFrame, tombstones: DataFrame, params: GraphParams | None = None, decoded: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(topology, vectors, entries) without the deleted rows; only the lists of nodes that pointed to one are written, the rest is read as it lies."""
+    delta = deletion(topology, vectors, tombstones, params, decoded)
+    live = delta.on_vectors(vectors)
+    starts = replaced_entries(topology, entries, tombstones, live)
+    return delta.on_topology(topology), live, stored(starts, f"{work_folder(topology.sparkSession, 'consolidate')}/entries")
+
+
+def next_epoch(tombstones: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(frozen, tombstones): of tombstones (id, epoch) the set to merge away, and all of them with the next epoch open.
+
+    Searches go on to leave out both (all ids of tombstones); deletes that come
+    in during the merge get the new epoch and stay when the frozen set goes.
+    """
+    last = tombstones.agg(F.coalesce(F.max("epoch"), F.lit(0)).alias("e"))
+    return tombstones.join(F.broadcast(last), F.col("epoch") <= F.col("e")).select("id").distinct(), tombstones
+
+
+def deleted_in(tombstones: DataFrame, ids: DataFrame, epoch: int) -> DataFrame:
+    """tombstones (id, epoch) with more ids; an id keeps the epoch in which it was deleted first."""
+    return tombstones.select("id", "epoch").unionByName(ids.select("id", F.lit(epoch).alias("epoch"))).groupBy("id").agg(F.min("epoch").alias("epoch"))
+
+
+def merge_deletes(topology: DataFrame, vectors: DataFrame, entries: DataFrame, tags: DataFrame, frozen: DataFrame, params: GraphParams | None = None, decoded: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(topology, vectors, entries, tags) without the frozen rows and with dense new ids; tags keep naming the same vectors.
+
+    A row without a tag has its id as one, which is written out before the ids change.
+    """
+    new, live, starts = consolidate(topology, vectors, entries, frozen, params, decoded)
+    ids = stored(renumber(live), f"{work_folder(topology.sparkSession, 'merge')}/ids")
+
+    def moved(df: DataFrame) -> DataFrame:
+        return df.join(ids, "id").drop("id").withColumnRenamed("new_id", "id")
+
+    edges = new.select("id", F.posexplode_outer("nbrs").alias("pos", "nbr")).join(ids.select(F.col("id").alias("nbr"), F.col("new_id").alias("to")), "nbr", "left")
+    lists = moved(edges.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("to").isNotNull(), F.struct("pos", "to")))), lambda x: x["to"]).alias("nbrs")))
+    named = live.select("id").join(tags, "id", "left").select("id", F.coalesce("tag", "id").alias("tag"))
+    return lists.select("id", "nbrs"), moved(live).select("id", "vec"), moved(starts).select("id"), moved(named).select("id", "tag")
 
 
 def renumber(live: DataFrame) -> DataFrame:
-    """(id, new_id): dense numbers from 0 in the order of ids: a rank within ranges of ids plus the rows of the ranges before."""
-    blocks = live.select("id", (F.col("id") / F.lit(1 << 16)).cast("long").alias("block"))
-    sizes = blocks.groupBy("block").agg(F.count("*").alias("n"))
-    before = sizes.select("block", (F.sum("n").over(W.orderBy("block")) - F.col("n")).alias("before"))
-    place = F.row_number().over(W.partitionBy("block").orderBy("id")) - 1
-    return blocks.withColumn("place", place).join(before, "block").select("id", (F.col("before") + F.col("place")).cast("long").alias("new_id"))
+    """(id, new_id): dense numbers from 0 in the order of ids."""
+    return placed(live.select("id"), "id").select("id", F.col("place").alias("new_id"))
 
 
-def insert(new: DataFrame, vectors: DataFrame, topology: DataFrame, entries: DataFrame, params: GraphParams | None = None, length: int = 64, tombstones: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(topology, vectors) with the rows of new: they are searched for, linked to what is found and linked back.
+def insertion(new: DataFrame, vectors: DataFrame, topology: DataFrame, entries: DataFrame, params: GraphParams | None = None, length: int = 64, tombstones: DataFrame | None = None, decoded: DataFrame | None = None) -> Delta:
+    """The lists of new rows and those that change by them: a batch costs what it touches.
 
-    Rows of one call see those that were there before, and one another through
-    the back edges of later calls. A live id that comes again replaces its row.
+    Each new row is searched for; what it finds and its nearest rows of the batch
+    are its candidates, pruned on exact distances. Its neighbours take the new
+    edge in, one after the other, and evict one each over the degree, on exact
+    distances or those of decoded vectors. A live id that comes again replaces
+    its row. A row that finds nothing gets an empty list. Rows of new without a
+    sound vector are left out.
     """
-    p, folder = params or GraphParams(), work_folder(topology.sparkSession, "insert")
-    new = new.select("id", F.col("vec").cast("array<double>").alias("vec"))
-    old_vectors = vectors.join(new.select("id"), "id", "left_anti")
-    old = topology.join(new.select("id"), "id", "left_anti")
+    p, folder = params or GraphParams(), work_folder(topology.sparkSession, "insertion")
+    new = stored(new.where(SOUND.format("vec")).select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).dropDuplicates(["id"]), f"{folder}/new")
+    old_vectors, old = vectors.join(new.select("id"), "id", "left_anti"), topology.join(new.select("id"), "id", "left_anti")
     found = search(new.selectExpr("id AS qid", "vec AS qvec"), old_vectors, old, entries, k=length, length=length, tombstones=tombstones)
-    every = stored(old_vectors.unionByName(new), f"{folder}/vectors")
-    linked = stored(prune(found.selectExpr("qid AS id", "id AS nbr"), every, p.degree, p.alpha, p.candidates), f"{folder}/linked")
+    among = near_in_parts(cluster.parts(new, folder, p.part), p)
+    every = old_vectors.select("id", F.col("vec").cast("array<double>").alias("vec")).unionByName(new)
+    candidates = found.selectExpr("qid AS id", "id AS nbr").unionByName(among).unionByName(among.selectExpr("nbr AS id", "id AS nbr"))
+    linked = stored(prune(candidates, every, p.degree, p.alpha, p.candidates, p.saturate), f"{folder}/linked")
+    linked = linked.unionByName(new.select("id").join(linked.select("id"), "id", "left_anti").select("id", F.array().cast("array<long>").alias("nbrs")))
     back = linked.select(F.explode("nbrs").alias("id"), F.col("id").alias("nbr"))
-    hit = old.join(back.select("id").distinct(), "id", "left_semi").select("id", F.explode("nbrs").alias("nbr")).unionByName(back)
-    changed = prune(hit, every, p.degree, p.alpha, p.candidates)
-    out = old.join(changed.select("id"), "id", "left_anti").unionByName(changed).unionByName(linked)
-    return stored(out, f"{folder}/topology"), every
+    hit = old.unionByName(linked).join(back.select("id").distinct(), "id", "left_semi").select("id", F.explode("nbrs").alias("nbr"))
+    known = every if decoded is None else decoded.join(new.select("id"), "id", "left_anti").unionByName(new)
+    changed = stored(link_back(hit, back, known, p.degree, p.alpha), f"{folder}/changed")
+    return Delta(linked.join(changed.select("id"), "id", "left_anti").unionByName(changed), new.select("id").limit(0), new)
+
+
+def insert(new: DataFrame, vectors: DataFrame, topology: DataFrame, entries: DataFrame, params: GraphParams | None = None, length: int = 64, tombstones: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(topology, vectors) with the rows of new: see insertion(). Lists and vectors that don't change are read as they lie."""
+    delta = insertion(new, vectors, topology, entries, params, length, tombstones)
+    return delta.on_topology(topology), delta.on_vectors(vectors.select("id", F.col("vec").cast("array<double>").alias("vec")))
 
 
 def trace(base: DataFrame, n: int, batch: int, steps: int) -> DataFrame:
