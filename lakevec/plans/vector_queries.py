@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from lakevec.functions.storage import stored, work_folder
 from lakevec.operators import cluster, exact, graph, layout, metrics, pq, sampling, stats, update
 from lakevec.sources import index
+from lakevec.sources import vectors as files
+from lakevec.streaming.replay import replay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -191,14 +193,45 @@ def pq_encode(spark, sf_dir):
     return pq.encode(pq.split(base, 64, CHUNKS), fixed_book(base)).select("id", "chunk", "code", F.round("err", 6).alias("err"))
 
 
-@query(f"""{_PARTS}, t AS (SELECT q.id AS qid, q.chunk, CAST(b.id AS INTEGER) AS code, {D2.format(a='q.sub', b='b.sub')} AS d FROM p q JOIN p b USING (chunk) WHERE q.id % 50 = 0 AND b.id < {CODES})
-SELECT qid, c1.id, round(sum(d), 6) AS dist FROM c1 JOIN t USING (chunk, code) GROUP BY qid, c1.id""")
-def pq_adc(spark, sf_dir):
+_LOOKUP = f"t AS (SELECT q.id AS qid, q.chunk, CAST(b.id AS INTEGER) AS code, {D2.format(a='q.sub', b='b.sub')} AS d FROM p q JOIN p b USING (chunk) WHERE q.id % 50 = 0 AND b.id < {CODES})"
+_ADC = "SELECT qid, c1.id, sum(d) AS dist, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(sum(d), 9), c1.id) AS INTEGER) AS rank FROM c1 JOIN t USING (chunk, code) GROUP BY qid, c1.id"
+_TOP = f"SELECT qid, rank, id, round(dist, 6) AS dist FROM ({_ADC}) WHERE rank <= 10"
+
+
+def fixed_adc(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The first k rows of each query by the distances of fixed codes."""
     base = base_of(spark, sf_dir)
     book = fixed_book(base)
-    codes = pq.encode(pq.split(base, 64, CHUNKS), book)
     table = pq.lookup(pq.split(base.where("id % 50 = 0"), 64, CHUNKS), book)
-    return pq.adc(table, codes).select("qid", "id", F.round("dist", 6).alias("dist"))
+    return pq.adc(table, pq.encode(pq.split(base, 64, CHUNKS), book), k, CODES)
+
+
+@query(f"""{_PARTS}, {_LOOKUP}
+{_TOP}""")
+def pq_adc(spark, sf_dir):
+    """The ten rows of the least table distances for each query."""
+    return fixed_adc(spark, sf_dir, 10).select("qid", "rank", "id", F.round("dist", 6).alias("dist"))
+
+
+@query(f"""{_PARTS}, {_LOOKUP}, f AS ({_ADC} QUALIFY rank <= 50),
+x AS (SELECT f.qid, f.id, {D2.format(a='q.v', b='b.v')} AS dist FROM f JOIN e q ON q.id = f.qid JOIN e b ON b.id = f.id WHERE f.id % 7 <> 3)
+SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS INTEGER) AS rank, id, round(dist, 6) AS dist FROM x QUALIFY rank <= 10""")
+def adc_truncate_rerank(spark, sf_dir):
+    """The three stages without a graph: 50 rows by code distances, deleted ones out, ten of the rest by exact distances."""
+    base, found = base_of(spark, sf_dir), fixed_adc(spark, sf_dir, 50)
+    return pq.rerank(found.where("id % 7 <> 3"), queries_of(base), base, 10).select("qid", "rank", "id", F.round("dist", 6).alias("dist"))
+
+
+@query(f"""{_PARTS}, {_LOOKUP}, f AS ({_ADC} QUALIFY rank <= 40), a AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS place FROM f WHERE id % 3 <> 0 QUALIFY place <= 10),
+d AS (SELECT q.id AS qid, b.id, {D2.format(a='q.v', b='b.v')} AS dist FROM e q, e b WHERE q.id % 50 = 0 AND b.id % 3 <> 0),
+k AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM d QUALIFY rank <= 10)
+SELECT round(100.0::DOUBLE * (SELECT count(*) FROM k JOIN a USING (qid, id)) / ((SELECT count(DISTINCT qid) FROM k) * 10), 6) AS recall""")
+def recall_active(spark, sf_dir):
+    """Recall of code distances among the rows that aren't deleted."""
+    base = base_of(spark, sf_dir)
+    live = base.where("id % 3 <> 0")
+    truth = exact.knn(queries_of(base), live, 20)
+    return exact.active_recall(truth, fixed_adc(spark, sf_dir, 40), live, 10).select(F.round("recall", 6).alias("recall"))
 
 
 @query(f"""{_PARTS}, t AS (SELECT a.chunk, CAST(a.id AS INTEGER) AS x, CAST(b.id AS INTEGER) AS y, {D2.format(a='a.sub', b='b.sub')} AS d FROM p a JOIN p b USING (chunk) WHERE a.id < {CODES} AND b.id < {CODES})
@@ -229,15 +262,15 @@ def pq_worst(spark, sf_dir):
 
 @query(f"""{_PARTS}, {_codes_sql('c2', 100)}, h AS (SELECT id, chunk, CASE WHEN c2.err < c1.err THEN c2.code + 100 ELSE c1.code END AS row_no FROM c1 JOIN c2 USING (id, chunk)),
 t AS (SELECT q.id AS qid, q.chunk, b.id AS row_no, {D2.format(a='q.sub', b='b.sub')} AS d FROM p q JOIN p b USING (chunk) WHERE q.id % 50 = 0 AND (b.id < {CODES} OR b.id BETWEEN 100 AND {100 + CODES - 1}))
-SELECT qid, h.id, round(sum(d), 6) AS dist FROM h JOIN t USING (chunk, row_no) GROUP BY qid, h.id""")
+SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(sum(d), 9), h.id) AS INTEGER) AS rank, h.id, round(sum(d), 6) AS dist FROM h JOIN t USING (chunk, row_no) GROUP BY qid, h.id QUALIFY rank <= 10""")
 def pq_dual_adc(spark, sf_dir):
-    """Table distances where each part of a row is coded by the closer of two books."""
+    """The ten least table distances where each part of a row is coded by the closer of two books."""
     base = base_of(spark, sf_dir)
     parts, books = pq.split(base, 64, CHUNKS), [fixed_book(base), fixed_book(base, 100)]
     codes = pq.dual(*(pq.encode(parts, b) for b in books))
     asked = pq.split(base.where("id % 50 = 0"), 64, CHUNKS)
     table = pq.lookup(asked, books[0]).withColumn("book", F.lit(0)).unionByName(pq.lookup(asked, books[1]).withColumn("book", F.lit(1)))
-    return pq.adc(table, codes).select("qid", "id", F.round("dist", 6).alias("dist"))
+    return pq.adc(table, codes, 10, CODES).select("qid", "rank", "id", F.round("dist", 6).alias("dist"))
 
 
 @query(f"""{_PARTS}, {_codes_sql('c2', 100)}, h AS (SELECT id, chunk, CASE WHEN c2.err < c1.err THEN c2.code + 100 ELSE c1.code END AS row_no FROM c1 JOIN c2 USING (id, chunk))
@@ -379,7 +412,7 @@ def graph_invariants(spark, sf_dir):
 def layout_invariants(spark, sf_dir):
     """Every row has one place of its own, and no page more rows than it can hold."""
     base = base_of(spark, sf_dir)
-    where = layout.pages(graph.build(base)[0], 16)
+    where = layout.pages(graph.build(base)[0], base, 16)
     full = where.groupBy("page").agg(F.count("*").alias("c")).agg(F.count_if(F.col("c") > 16).alias("over"))
     return where.agg(F.countDistinct("id").alias("n"), F.countDistinct("page", "slot").alias("places")).crossJoin(full)
 
@@ -388,7 +421,7 @@ def coder_of(base: DataFrame) -> graph.Coder:
     book = pq.train(base, 64, 16, codes=64)
     folder = work_folder(base.sparkSession, "codes")
     book = stored(book, f"{folder}/book")
-    codes = pq.encode(pq.split(base, 64, 16), book).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "code"))), lambda x: x["code"]).alias("codes"))
+    codes = pq.packed(pq.encode(pq.split(base, 64, 16), book))
     return graph.Coder(stored(codes, f"{folder}/codes"), book, 64, 16)
 
 
@@ -398,7 +431,7 @@ def search_query(mode: str, **options):
         topology, entries = graph.build(base)
         extra = {"coder": coder_of(base)} if mode != "memory" else {}
         if mode == "page":
-            extra["layout"] = layout.pages(topology, 16)
+            extra["layout"] = layout.pages(topology, base, 16)
         return graph.search(queries_of(base), base, topology, entries, 10, mode=mode, **options, **extra)
 
     return run
@@ -408,13 +441,182 @@ for _mode, _options in {"memory": {}, "beam": {}, "page": {}, "rerank": {"keep":
     QUERIES[f"search_{_mode}"] = search_query(_mode, length=100, width=32, **_options)
 
 
-@query()
-def update_cycle(spark, sf_dir):
-    """A graph of the first part of the rows takes in the next rows, loses some and is repaired; then it is searched."""
+def full_query(mode: str, dead: str | None = None):
+    """A search whose pool holds the whole table: it must find exactly the true neighbours."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = base_of(spark, sf_dir)
+        topology, entries = graph.build(base, graph.GraphParams(part=200))
+        extra = {"coder": coder_of(base)} if mode != "memory" else {}
+        if mode == "page":
+            extra["layout"] = layout.pages(topology, base, 16)
+        if dead:
+            extra["tombstones"] = base.where(dead).select("id")
+        n = base.count()
+        found = graph.search(queries_of(base), base, topology, entries, 10, length=n, width=max(64, n // 4), mode=mode, **extra)
+        return found.select("qid", "rank", "id", F.round("dist", 6).alias("dist"))
+
+    return run
+
+
+def _knn_sql(live: str) -> str:
+    return f"""{PRELUDE}, d AS (SELECT q.id AS qid, b.id, {D2.format(a='q.v', b='b.v')} AS dist FROM e q, e b WHERE q.id % 50 = 0 AND b.{live})
+SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS INTEGER) AS rank, id, round(dist, 6) AS dist FROM d QUALIFY rank <= 10"""
+
+
+for _mode in ("memory", "beam", "page", "rerank"):
+    QUERIES[f"search_{_mode}_full"] = full_query(_mode)
+    ORACLES[f"search_{_mode}_full"] = _knn_sql("id >= 0")
+#: Nineteen of twenty rows are deleted.
+QUERIES["search_live_full"] = full_query("rerank", "id % 20 <> 3")
+ORACLES["search_live_full"] = _knn_sql("id % 20 = 3")
+
+
+def churned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(base, topology, vectors, entries): a graph of most rows that took in the others, lost some and was repaired."""
     base = base_of(spark, sf_dir).select("id", F.col("vec").cast("array<double>").alias("vec"))
     old, new = base.where("id % 10 <> 1"), base.where("id % 10 = 1")
     topology, entries = graph.build(old)
     topology, vectors = update.insert(new, old, topology, entries, length=64)
     dead = base.where("id % 10 = 3").select("id")
-    topology, vectors, entries = update.consolidate(topology, vectors, entries, dead)
+    return base, *update.consolidate(topology, vectors, entries, dead)
+
+
+@query(_knn_sql("id % 10 <> 3"))
+def update_cycle_full(spark, sf_dir):
+    """After inserts, deletes and repair a pool of the whole table finds exactly the true neighbours among the live rows."""
+    base, topology, vectors, entries = churned(spark, sf_dir)
+    n = base.count()
+    found = graph.search(queries_of(base), vectors, topology, entries, 10, length=n, width=max(64, n // 4))
+    return found.select("qid", "rank", "id", F.round("dist", 6).alias("dist"))
+
+
+@query("""SELECT count(*) AS n, count(*) FILTER (WHERE vec_id % 10 = 1) AS vectors_written, CAST(0 AS BIGINT) AS too_many, CAST(0 AS BIGINT) AS unlinked FROM embeddings""")
+def insert_batch(spark, sf_dir):
+    """A batch writes the vectors of its own rows alone, gives each a list and keeps all lists to the degree."""
+    base = base_of(spark, sf_dir).select("id", F.col("vec").cast("array<double>").alias("vec"))
+    old = base.where("id % 10 <> 1")
+    topology, entries = graph.build(old)
+    delta = update.insertion(base.where("id % 10 = 1"), old, topology, entries, length=64)
+    lists = delta.on_topology(topology)
+    own = lists.where("id % 10 = 1").agg(F.count_if(F.size("nbrs") == 0).alias("unlinked"))
+    written = delta.vectors.agg(F.count("*").alias("vectors_written"))
+    return lists.agg(F.countDistinct("id").alias("n"), F.count_if(F.size("nbrs") > 32).alias("too_many")).crossJoin(written).crossJoin(own)
+
+
+@query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, vec_id * 3 + 1 AS tag, CAST(embedding[1] AS DOUBLE) AS first FROM embeddings WHERE vec_id % 4 <> 2")
+def merge_renumber(spark, sf_dir):
+    """Deleted rows are merged away and ids are dense again; tags keep naming the same vectors."""
+    base = base_of(spark, sf_dir).select("id", F.col("vec").cast("array<double>").alias("vec"))
+    tags = base.select("id", (F.col("id") * 3 + 1).alias("tag"))
+    topology, entries = graph.build(base)
+    _, vectors, _, named = update.merge_deletes(topology, base, entries, tags, base.where("id % 4 = 2").select("id"))
+    return vectors.join(named, "id").select("id", "tag", F.element_at("vec", 1).alias("first"))
+
+
+@query("SELECT vec_id AS id, CAST(vec_id % 3 AS INTEGER) AS epoch FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id, 1 FROM embeddings WHERE vec_id % 3 <> 0 AND vec_id % 5 = 0")
+def delete_epochs(spark, sf_dir):
+    """Deletes of a second epoch: ids that were deleted before keep their first one."""
+    base = base_of(spark, sf_dir)
+    first = update.deleted_in(spark.createDataFrame([], "id long, epoch int"), base.where("id % 3 = 0"), 0)
+    return update.deleted_in(first, base.where("id % 5 = 0"), 1).select("id", F.col("epoch").cast("int").alias("epoch"))
+
+
+@query(f"SELECT CAST(c AS INTEGER) AS chunk, true AS lower FROM range(0, {CHUNKS}) t(c)")
+def pq_train_lowers_the_error(spark, sf_dir):
+    """In every chunk the second codebook lowers the mean error of the first."""
+    return pq_train(spark, sf_dir).select("chunk", (F.col("after") < F.col("before")).alias("lower"))
+
+
+@query(f"SELECT CAST(c AS INTEGER) AS chunk, 32 AS codes, true AS sound FROM range(0, {CHUNKS}) t(c)")
+def pq_merged_book(spark, sf_dir):
+    """Two codebooks become one of as many codes, which is at most a tenth worse than the first."""
+    base = base_of(spark, sf_dir)
+    parts, folder = pq.split(base, 64, CHUNKS), work_folder(spark, "books")
+    first = stored(pq.train(base, 64, CHUNKS, codes=32), f"{folder}/first")
+    merged = stored(pq.merged_book(parts, first, pq.refine(parts, pq.encode(parts, first), codes=32), codes=32), f"{folder}/merged")
+    errors = [pq.encode(parts, b).groupBy("chunk").agg(F.avg("err").alias(f"e{i}")) for i, b in enumerate((first, merged))]
+    sizes = merged.groupBy("chunk").agg(F.count("*").cast("int").alias("codes"))
+    return sizes.join(errors[0], "chunk").join(errors[1], "chunk").select("chunk", "codes", (F.col("e1") <= F.col("e0") * 1.1).alias("sound"))
+
+
+@query("SELECT 2 * count(*) AS n, true AS fits FROM embeddings")
+def memory_partition(spark, sf_dir):
+    """Overlapping shards whose graphs fit a memory budget that the whole graph doesn't."""
+    base = base_of(spark, sf_dir)
+    budget = cluster.ram_estimate(base.count(), 64, 4, 32) * 0.6 * 2
+    sizes = cluster.cluster_sizes(base, cluster.partition_for_memory(base, 64, budget))
+    largest = sizes.agg(F.sum("n").alias("n"), F.max("n").alias("most")).withColumn("most", F.col("most"))
+    return largest.select("n", (F.lit(cluster.ram_estimate(1, 64, 4, 32)) * F.col("most") <= budget).alias("fits"))
+
+
+@query("SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[64] AS DOUBLE) AS last FROM embeddings")
+def bin_round_trip(spark, sf_dir):
+    """Vectors written as matrix files and read again."""
+    path = f"{work_folder(spark, 'files')}/bin"
+    files.write_vectors(base_of(spark, sf_dir).select("id", "vec"), path)
+    got = files.read_vectors(spark, path)
+    return got.select("id", F.element_at("vec", 1).cast("double").alias("first"), F.element_at("vec", -1).cast("double").alias("last"))
+
+
+@query("SELECT vec_id AS id, CAST(round(embedding[1] * 100) AS INTEGER) AS first FROM embeddings")
+def int8_round_trip(spark, sf_dir):
+    path = f"{work_folder(spark, 'files')}/int8"
+    rounded = base_of(spark, sf_dir).select("id", F.transform("vec", lambda x: F.round(x.cast("double") * 100).cast("float")).alias("vec"))
+    files.write_vectors(rounded, path, element="int8")
+    return files.read_vectors(spark, path, element="int8").select("id", F.element_at("vec", 1).cast("int").alias("first"))
+
+
+@query("SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[64] AS DOUBLE) AS last FROM embeddings")
+def fvecs_round_trip(spark, sf_dir):
+    path = f"{work_folder(spark, 'files')}/fvecs"
+    files.write_vectors(base_of(spark, sf_dir).select("id", "vec"), path, "fvecs")
+    got = files.read_vectors(spark, path, "fvecs")
+    return got.select("id", F.element_at("vec", 1).cast("double").alias("first"), F.element_at("vec", -1).cast("double").alias("last"))
+
+
+@query(f"{_KNN} SELECT qid // 50 AS qid, rank, id, id * 3 + 1 AS tag, CAST(CAST(dist AS FLOAT) AS DOUBLE) > 0 OR id = qid AS sound FROM k WHERE rank <= 10")
+def truth_round_trip(spark, sf_dir):
+    """A truth set with distances and tags, written as files and read again; queries are numbered in order."""
+    base, path = base_of(spark, sf_dir), f"{work_folder(spark, 'files')}/truth"
+    found = exact.knn(queries_of(base), base, 10).withColumn("tag", F.col("id") * 3 + 1)
+    files.write_truth(found, path, 10)
+    got = files.read_truth(spark, path)
+    return got.select("qid", "rank", "id", "tag", ((F.col("dist") > 0) | (F.col("id") == F.col("qid") * 50)).alias("sound"))
+
+
+@query("""WITH s AS (SELECT count(*) AS c FROM embeddings), p AS (SELECT c * 3 // 5 AS n, greatest(c // 20, 1) AS b FROM s)
+SELECT 'delete' AS op, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids FROM embeddings, p WHERE vec_id < 8 * b
+UNION ALL SELECT 'insert', count(*), CAST(sum(vec_id) AS BIGINT) FROM embeddings, p WHERE vec_id >= p.n AND vec_id < p.n + 8 * b""")
+def trace_replay(spark, sf_dir):
+    """A trace replayed as a stream: what the micro-batches saw, added up."""
+    folder = work_folder(spark, "replay")
+    update_trace_by_size(spark, sf_dir).repartition(4, "step").write.parquet(f"{folder}/trace")
+
+    def seen(inserts: DataFrame, deletes: DataFrame, number: int) -> None:
+        inserts.unionByName(deletes).select("op", "id").write.parquet(f"{folder}/seen/batch-{number}")
+
+    replay(spark, f"{folder}/trace", seen, f"{folder}/checkpoint")
+    got = spark.read.schema("op string, id long").option("recursiveFileLookup", "true").parquet(f"{folder}/seen")
+    return got.groupBy("op").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+@query("SELECT vec_id AS id, vec_id * 2 AS tag, CAST(vec_id % 10 = 1 AS BOOLEAN) AS added FROM embeddings WHERE vec_id % 10 <> 3")
+def index_cycle(spark, sf_dir):
+    """An index built, added to, deleted from and repaired in its folder, and opened again: its rows, tags, codes, lists and pages belong together."""
+    base, path = base_of(spark, sf_dir).select("id", "vec"), work_folder(spark, "index")
+    tags = base.select("id", (F.col("id") * 2).alias("tag"))
+    index.build_index(base.where("id % 10 <> 1"), path, chunks=16, codes=32, tags=tags)
+    index.insert(path, base.where("id % 10 = 1"), 32)
+    index.delete(path, base.where("id % 10 = 3").select("id"))
+    index.repair(path, spark)
+    x = index.open_index(spark, path)
+    rows = x.vectors.select("id").join(x.topology.select("id"), "id").join(x.codes.select("id"), "id").join(x.layout.select("id"), "id")
+    return rows.join(x.tags, "id").select("id", "tag", (F.col("id") % 10 == 1).alias("added"))
+
+
+@query()
+def update_cycle(spark, sf_dir):
+    """A graph of the first part of the rows takes in the next rows, loses some and is repaired; then it is searched."""
+    base, topology, vectors, entries = churned(spark, sf_dir)
     return graph.search(queries_of(base), vectors, topology, entries, 10, length=100, width=32)

@@ -10,6 +10,6 @@ def test_every_fiftieth_row_is_searched_for(name, spark, monkeypatch):
     monkeypatch.setattr(v.update, "insert", lambda new, old, t, e, **k: (t, old))
     monkeypatch.setattr(v.update, "consolidate", lambda t, x, e, dead: (t, x, e))
     monkeypatch.setattr(v, "coder_of", lambda base: None)
-    monkeypatch.setattr(v.layout, "pages", lambda t, n: None)
+    monkeypatch.setattr(v.layout, "pages", lambda *a: None)
     got = v.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert sorted(r["qid"] for r in got.select("qid").collect()) == list(range(0, 500, 50))
