@@ -4,7 +4,9 @@ The index stores postings (term, document, position) of the training tokens
 that serve as probes: the rarest words of each test window, by their count in
 the whole corpus. A window's occurrences come from intersecting its probes'
 lists, each shifted by the word's offset, from the rarest list on; what is left
-is compared word by word with the text. Everything is DataFrame functions.
+is compared word by word with the text. Texts are cut into words once: counts
+and postings come from the written term numbers, and only texts with a candidate
+are read again. Everything is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -15,17 +17,25 @@ from pyspark.sql import functions as F
 
 from lakevec.llm.common import WORD, lower_ascii, packed_rows, stored, unpacked, work_folder
 
-#: The benchmark side is broadcast up to so many rows of a few longs; above that Spark shuffles it.
-BROADCAST_ROWS = 200_000
+#: The benchmark side is broadcast up to so many rows and bytes of text; above that Spark shuffles it.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+#: A word of the contracts before A-Z are lower-cased, for counting alone.
+ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if a count proves it small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def term(word: Column) -> Column:
+    """The number of a word: 32 bits, as candidates are compared with the text in the end."""
+    return F.hash(word)
+
+
+def small(df: DataFrame, text: str | None = None) -> DataFrame:
+    """df with a broadcast hint if its rows and the bytes of a text column prove it small."""
+    n = df.agg(F.count("*").alias("n"), (F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) if text else F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if n["n"] <= BROADCAST_ROWS and n["bytes"] <= BROADCAST_BYTES else df
 
 
 def benchmark_windows(items: DataFrame, window: int = 10) -> DataFrame:
@@ -38,21 +48,24 @@ def benchmark_windows(items: DataFrame, window: int = 10) -> DataFrame:
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - window + 1, F.lit(1)))
     w = w.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("words", s, window))).alias("ws"))
     w = w.groupBy("ws").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
-    terms = F.transform("ws", lambda x, i: F.struct(i.cast("int").alias("offset"), F.xxhash64(x).alias("t")))
+    terms = F.transform("ws", lambda x, i: F.struct(i.cast("int").alias("offset"), term(x).alias("t")))
     phrase = F.concat_ws(" ", "ws")
     return w.select(F.xxhash64(phrase, F.lit(1)).alias("w"), F.size("ws").alias("len"), phrase.alias("phrase"), "item_ids", terms.alias("terms"))
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def numbered_words(docs: DataFrame) -> DataFrame:
+    """(r1, r2, terms): the numbers of a document's words in order. docs has r1, r2 and text."""
+    return docs.select("r1", "r2", F.transform(words(F.col("text")), term).alias("terms"))
+
+
+def term_counts(numbered: DataFrame, terms: DataFrame) -> DataFrame:
     """(t, n): how often each of the terms t stands in all documents."""
-    tokens = docs.select(F.explode(words(F.col("text"))).alias("word")).select(F.xxhash64("word").alias("t"))
-    return tokens.join(small(terms), "t").groupBy("t").agg(F.count("*").alias("n"))
+    return numbered.select(F.explode("terms").alias("t")).join(small(terms), "t").groupBy("t").agg(F.count("*").alias("n"))
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The positional index of the terms: (t, r1, r2, pos), pos from 1. docs has r1, r2 and text."""
-    tokens = docs.select("r1", "r2", F.posexplode(words(F.col("text"))).alias("p", "word"))
-    tokens = tokens.select(F.xxhash64("word").alias("t"), "r1", "r2", (F.col("p") + 1).alias("pos"))
+def postings(numbered: DataFrame, terms: DataFrame) -> DataFrame:
+    """The positional index of the terms: (t, r1, r2, pos), pos from 1."""
+    tokens = numbered.select("r1", "r2", F.posexplode("terms").alias("p", "t")).select("t", "r1", "r2", (F.col("p") + 1).alias("pos"))
     return tokens.join(small(terms), "t")
 
 
@@ -107,40 +120,44 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, n_probes:
     empty or uncontaminated results.
     """
     own = [c for c in docs.columns if c not in RESULTS]
-    return hits(docs, items, window, n_probes).select(*unpacked(own), *RESULTS)
+    keyed = packed_rows(docs.select(*[F.col(f"`{c}`") for c in own]))
+    out = keyed.withColumn("_n", F.coalesce(F.regexp_count("text", F.lit(ANY_WORD)), F.lit(0)).cast("long")).drop("text", "doc_id")
+    out = out.join(hits(keyed, items, window, n_probes), ["r1", "r2"], "left")
+    n_hit, ids = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("ids", F.array().cast("array<string>"))
+    return out.select(*unpacked(own), F.col("_n").alias("n_words"), n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = 10, n_probes: int = 3) -> DataFrame:
     """The rows of docs, in their own columns, that hold no window of an item."""
-    return hits(docs, items, window, n_probes).where("NOT contaminated").select(*unpacked(docs.columns))
+    keyed = packed_rows(docs)
+    return keyed.join(hits(keyed, items, window, n_probes).select("r1", "r2"), ["r1", "r2"], "left_anti").select(*unpacked(docs.columns))
 
 
-def hits(docs: DataFrame, items: DataFrame, window: int, n_probes: int) -> DataFrame:
-    """_row, which has the columns of docs, and the columns of RESULTS."""
-    spark = docs.sparkSession
-    folder = work_folder(spark, "decontaminate")
-    keyed = packed_rows(docs)
-    texts = keyed.select("r1", "r2", "text")
+def hits(keyed: DataFrame, items: DataFrame, window: int, n_probes: int) -> DataFrame:
+    """(r1, r2, n_hit, ids) of the texts that hold a window: words in one, and the items' ids in order. keyed has r1, r2 and text; rows that repeat count once."""
+    folder = work_folder(keyed.sparkSession, "decontaminate")
     windows = stored(benchmark_windows(items, window), f"{folder}/windows")
+    numbered = stored(numbered_words(keyed), f"{folder}/terms")
     vocabulary = windows.select(F.explode("terms.t").alias("t")).distinct()
-    probes = stored(probes_of(windows, term_counts(texts, vocabulary), n_probes), f"{folder}/probes")
-    index = stored(postings(texts, probes.select("t").distinct()).sortWithinPartitions("t", "r1", "r2", "pos"), f"{folder}/postings")
-    found = intersect(index, probes, n_probes)
-    found = found.join(small(windows.select("w", "len", "phrase", "item_ids")), "w")
-    found = found.groupBy("r1", "r2").agg(F.collect_set(F.struct("s", "len", "phrase", "item_ids")).alias("found"))
-    found = stored(found, f"{folder}/found")
-    out = keyed.select("r1", "r2", "_row").join(found, ["r1", "r2"], "left")
-    out = out.withColumn("_words", words(F.col("_row.text")))
-    right = F.filter(F.coalesce("found", F.array()), lambda c: F.concat_ws(" ", F.slice("_words", c["s"], c["len"])) == c["phrase"])
-    out = out.withColumn("_hits", F.array_sort(F.transform(right, lambda c: F.struct(c["s"].alias("s"), (c["s"] + c["len"] - 1).alias("e"), c["item_ids"].alias("ids")))))
+    probes = stored(probes_of(windows, term_counts(numbered, vocabulary), n_probes), f"{folder}/probes")
+    index = stored(postings(numbered, probes.select("t").distinct()).sortWithinPartitions("t", "r1", "r2", "pos"), f"{folder}/postings")
+    found = stored(intersect(index, probes, n_probes), f"{folder}/found")
+    # The texts with a candidate, each once, compared word by word.
+    texts = keyed.select("r1", "r2", "text").join(found.select("r1", "r2").distinct(), ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"])
+    asked = found.join(small(windows.select("w", "len", "phrase"), "phrase"), "w").groupBy("r1", "r2").agg(F.collect_set(F.struct("s", "len", "phrase", "w")).alias("c"))
+    checked = texts.join(asked, ["r1", "r2"]).select("r1", "r2", words(F.col("text")).alias("words"), "c")
+    right = F.filter("c", lambda c: F.concat_ws(" ", F.slice("words", c["s"], c["len"])) == c["phrase"])
+    true = F.array_sort(F.transform(right, lambda c: F.struct(c["s"].alias("s"), (c["s"] + c["len"] - 1).alias("e"), c["w"].alias("w"))))
+    checked = stored(checked.select("r1", "r2", true.alias("true")).where(F.size("true") > 0), f"{folder}/true")
     covered = F.aggregate(
-        "_hits",
+        "true",
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
         lambda acc, h: F.struct(F.greatest(acc["end"], h["e"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), h["e"] - F.greatest(acc["end"], h["s"] - 1))).alias("n")),
     )
-    out = out.withColumns({"n_words": F.size("_words").cast("long"), "n_hit": covered["n"].cast("long"), "_ids": F.array_sort(F.array_distinct(F.flatten("_hits.ids")))})
-    out = out.withColumns({"n_items": F.size("_ids").cast("long"), "items_sha256": F.sha2(F.concat_ws(",", "_ids"), 256), "contaminated": F.col("n_hit") > 0})
-    return out.select("_row", *RESULTS)
+    of = windows.select("w", F.explode("item_ids").alias("item_id"))
+    named = checked.select("r1", "r2", F.explode(F.array_distinct("true.w")).alias("w")).join(small(of, "item_id"), "w")
+    named = named.groupBy("r1", "r2").agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
+    return checked.select("r1", "r2", covered["n"].alias("n_hit")).join(named, ["r1", "r2"], "left")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

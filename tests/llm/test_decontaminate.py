@@ -50,9 +50,9 @@ def test_empty_tables(spark, odd_docs, no_docs):
 
 def test_proximity(spark):
     docs = with_row_key(spark.createDataFrame([(1, "alpha x x beta x x x x x x beta"), (2, "beta alpha")], "doc_id long, text string"))
-    terms = spark.createDataFrame([("alpha",), ("beta",)], "w string").select(F.xxhash64("w").alias("t"))
-    index = d.postings(docs, terms)
-    pair = spark.createDataFrame([(1, "alpha", "beta")], "pair int, x string, y string").select("pair", F.xxhash64("x").alias("a"), F.xxhash64("y").alias("b"))
+    terms = spark.createDataFrame([("alpha",), ("beta",)], "w string").select(d.term(F.col("w")).alias("t"))
+    index = d.postings(d.numbered_words(docs), terms)
+    pair = spark.createDataFrame([(1, "alpha", "beta")], "pair int, x string, y string").select("pair", d.term(F.col("x")).alias("a"), d.term(F.col("y")).alias("b"))
     assert sorted((r["pos"], r["other"]) for r in d.proximity_matches(index, pair, 3).collect()) == [(1, 4), (2, 1)]
 
 
