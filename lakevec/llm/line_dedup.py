@@ -1,16 +1,17 @@
 """Line dedup: levelled sorted runs of line hashes, compacted periodically.
 
 Documents arrive in batches. A batch counts, for each line key, the documents
-that hold it, anti-joins those counts against the keys that the stored runs
-already know as frequent, and adds what is left as a new sorted run of level
-0. When a level holds `fanout` runs they merge into one run of the next level.
-So the store works like a log-structured merge tree whose runs are Parquet
-folders: a batch never rewrites more than its own run and, at times, a level.
+that hold it; these counts merge-anti-join the keys that the stored runs
+together already know as frequent, and what is left is a new run of level 0.
+When a level holds `fanout` runs they merge into one run of the next level.
+Runs are Parquet tables in buckets of the key, sorted inside: batches and
+runs meet bucket by bucket in merge joins, without a shuffle of what is stored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,50 +31,74 @@ def text_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+#: Classes that documents are dealt into before batches are made of them, keys of a batch and of a bucket, and the least number of batches.
+CLASSES, BATCH_KEYS, BUCKET_KEYS, MIN_BATCHES = 16, 200_000_000, 2_000_000, 4
+
+
 class LineRuns:
     """The levelled store: runs of (h1, h2, n), n the documents that hold the key."""
 
-    def __init__(self, spark: SparkSession, folder: str, min_docs: int = 10, fanout: int = 4):
-        self.spark, self.folder, self.min_docs, self.fanout = spark, folder, min_docs, fanout
+    def __init__(self, spark: SparkSession, folder: str, min_docs: int = 10, fanout: int = 2, buckets: int = 8):
+        self.spark, self.folder, self.min_docs, self.fanout, self.buckets = spark, folder, min_docs, fanout, buckets
         self.levels: list[list[str]] = []
-        self.made = 0
+        self.made, self.prefix = 0, f"line_runs_{uuid.uuid4().hex}"
 
     def _put(self, run: DataFrame, level: int) -> None:
         self.made += 1
-        path = f"{self.folder}/run-{level}-{self.made}"
-        run.sortWithinPartitions("h1", "h2").write.parquet(path)
+        name = f"{self.prefix}_{level}_{self.made}"
+        run.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.folder}/{name}").saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
-
-    def read(self) -> DataFrame:
-        """All runs, one after the other; a key may stand in several."""
-        paths = [p for level in self.levels for p in level]
-        schema = "h1 long, h2 long, n long"
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        self.levels[level].append(name)
+
+    def _merged(self, names: list[str]) -> DataFrame:
+        """The runs of these names as one, each key once. Two runs, the usual fanout, meet without a shuffle."""
+        out = self.spark.table(names[0])
+        for name in names[1:]:
+            more = self.spark.table(name).withColumnRenamed("n", "m")
+            out = out.join(more.hint("merge"), ["h1", "h2"], "full_outer").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
+        return out
+
+    def names(self) -> list[str]:
+        return [x for level in reversed(self.levels) for x in level]
+
+    def _known(self, keys: DataFrame, names: list[str]) -> DataFrame:
+        """keys (h1, h2, n) with `known`, the documents that the runs of these names count: merge joins that keep keys in their buckets."""
+        out = keys.withColumn("known", F.lit(0).cast("long"))
+        for name in names:
+            more = self.spark.table(name).withColumnRenamed("n", "m")
+            out = out.join(more.hint("merge"), ["h1", "h2"], "left").select("h1", "h2", "n", (F.col("known") + F.coalesce("m", F.lit(0))).alias("known"))
+        return out
 
     def add(self, keys: DataFrame) -> None:
         """Add a batch: one row (h1, h2) for each key of each of its documents."""
-        counts = keys.groupBy("h1", "h2").agg(F.count("*").alias("n"))
-        if any(self.levels):
-            known = self.read().where(F.col("n") >= self.min_docs).select("h1", "h2")
-            counts = counts.join(known, ["h1", "h2"], "left_anti")
-        self._put(counts, 0)
+        counts = keys.groupBy("h1", "h2").agg(F.count("*").alias("n")).repartition(self.buckets, "h1", "h2")
+        fresh = self._known(counts, self.names()).where(F.col("known") < self.min_docs)
+        self._put(fresh.select("h1", "h2", "n"), 0)
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
-            self._merge(level)
+            names, self.levels[level] = self.levels[level], []
+            self._put(self._merged(names), level + 1)
+            self._drop(names)
             level += 1
 
-    def _merge(self, level: int) -> None:
-        paths, self.levels[level] = self.levels[level], []
-        runs = self.spark.read.schema("h1 long, h2 long, n long").parquet(*paths)
-        self._put(runs.groupBy("h1", "h2").agg(F.sum("n").alias("n")), level + 1)
-        for p in paths:
-            discard(self.spark, p)
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            discard(self.spark, f"{self.folder}/{name}")
+
+    def drop(self) -> None:
+        """Delete all runs."""
+        self._drop([x for level in self.levels for x in level])
+        self.levels = []
 
     def frequent(self) -> DataFrame:
-        """Keys (h1, h2) that at least min_docs documents hold."""
-        return self.read().groupBy("h1", "h2").agg(F.sum("n").alias("n")).where(F.col("n") >= self.min_docs).select("h1", "h2")
+        """Keys (h1, h2) that at least min_docs documents hold: each run's, with what the others count of them."""
+        names, out = self.names(), self.spark.createDataFrame([], "h1 long, h2 long")
+        for name in names:
+            every = self._known(self.spark.table(name), [x for x in names if x != name])
+            out = out.unionByName(every.where(F.col("n") + F.col("known") >= self.min_docs).select("h1", "h2"))
+        return out.distinct()
 
 
 def _drop_lines(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
@@ -102,7 +127,7 @@ def _drop_lines(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[
         yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_batches: int = 4, fanout: int = 4, with_text: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_batches: int | None = None, fanout: int = 2, with_text: bool = True) -> DataFrame:
     """Drop, in every document, the lines whose key at least min_docs documents hold.
 
     docs needs doc_id and text; other columns are left out of the result, so
@@ -113,7 +138,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_batch
     empty result.
 
     Only hashes move in the counting; lines of frequent keys come back as
-    positions by document, and the texts meet them in one join.
+    positions by document, and the texts meet them in one join. The number of
+    batches, up to CLASSES, and of buckets follows from the number of keys.
     """
     both = with_drops(with_row_key(docs.select("doc_id", "text")), min_docs, min_chars, n_batches, fanout).drop("r1", "r2")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -121,7 +147,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_batch
     return both.mapInArrow(lambda it: _drop_lines(it, with_text), schema)
 
 
-def kept_documents(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_batches: int = 4, fanout: int = 4) -> DataFrame:
+def kept_documents(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_batches: int | None = None, fanout: int = 2) -> DataFrame:
     """docs in their own columns, the text without the lines that dedup_lines drops. Null texts stay null."""
     both, names, schema = with_drops(packed_rows(docs), min_docs, min_chars, n_batches, fanout), docs.columns, docs.schema
 
@@ -136,21 +162,23 @@ def kept_documents(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_ba
     return both.select("_row", "drops").mapInArrow(keep, schema)
 
 
-def with_drops(docs: DataFrame, min_docs: int, min_chars: int, n_batches: int, fanout: int) -> DataFrame:
+def with_drops(docs: DataFrame, min_docs: int, min_chars: int, n_batches: int | None, fanout: int) -> DataFrame:
     """docs, which have r1 and r2, with drops: the positions of the lines whose key at least min_docs documents hold."""
     spark = docs.sparkSession
     folder = work_folder(spark, "lines")
     keyed = F.transform(text_lines(F.col("text")), line_key)
     long_enough = F.length("key") >= min_chars
-    batch = F.pmod(F.xxhash64("r1", F.lit(31)), F.lit(n_batches)).cast("int").alias("batch")
-    keys = docs.select(batch, F.explode(F.array_distinct(keyed)).alias("key")).where(long_enough).select("batch", *hash_pair(F.col("key")))
-    staged = stored(keys, f"{folder}/staged", "batch")
-    runs = LineRuns(spark, f"{folder}/runs", min_docs, fanout)
+    of = F.pmod(F.xxhash64("r1", F.lit(31)), F.lit(CLASSES)).cast("int").alias("class")
+    keys = docs.select(of, F.explode(F.array_distinct(keyed)).alias("key")).where(long_enough).select("class", *hash_pair(F.col("key")))
+    staged = stored(keys, f"{folder}/staged", "class")
+    n = staged.count()
+    n_batches = n_batches or min(CLASSES, max(MIN_BATCHES, -(-n // BATCH_KEYS)))
+    runs = LineRuns(spark, f"{folder}/runs", min_docs, fanout, max(8, -(-n // BUCKET_KEYS)))
     for i in range(n_batches):
-        runs.add(staged.where(F.col("batch") == i).select("h1", "h2"))
+        runs.add(staged.where(F.col("class").isin([c for c in range(CLASSES) if c % n_batches == i])).select("h1", "h2"))
     frequent = stored(runs.frequent(), f"{folder}/frequent")
+    runs.drop()
     discard(spark, f"{folder}/staged")
-    discard(spark, f"{folder}/runs")
     lines = docs.select("r1", "r2", F.posexplode(keyed).alias("pos", "key")).where(long_enough).select("r1", "r2", "pos", *hash_pair(F.col("key")))
     drops = lines.join(frequent, ["h1", "h2"], "left_semi").groupBy("r1", "r2").agg(F.collect_set("pos").alias("drops"))
     return docs.join(drops, ["r1", "r2"], "left")
