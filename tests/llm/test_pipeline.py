@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline as p
 from lakevec.llm.common import stored, work_folder
 
@@ -30,3 +32,16 @@ def test_one_row_of_equal_rows_and_of_copies_without_ids_stays(spark):
     got = sorted((r["doc_id"], r["text"]) for r in p.near_copies(spark, docs, "").collect())
     assert got == [(3, a + " more"), (4, c), (9, b)]
     assert [r["text"] for r in p.near_copies(spark, docs.where("doc_id IS NULL AND text LIKE 'b%'"), "").collect()] == [b]
+
+
+def test_language_stage_rejects_what_no_language_codes(spark):
+    rng = random.Random(2)
+    real = [(i, " ".join(rng.choice(["water", "under", "the", "bridge", "runs", "slowly"]) for _ in range(30)), "en", "x", "y") for i in range(50)]
+    noise = [(100, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(150)), None, "x", "y"), (101, "12 34", None, "x", "y"), (102, None, None, "x", "y")]
+    docs = spark.createDataFrame([*real, *noise], "doc_id long, text string, lang string, score string, fits string")
+    got = p.languages(spark, docs, "").collect()
+    assert {r["doc_id"] for r in got} == set(range(50)) and {(r["score"], r["fits"]) for r in got} == {("x", "y")}
+    # Without the model's answer the random letters would stay.
+    model = p.language_id.train(docs.select("doc_id", "text", "lang"))
+    assert p.language_id.predict(docs, model).where("doc_id = 100 AND lang_pred = 'en' AND NOT fits").count() == 1
+
