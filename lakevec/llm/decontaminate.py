@@ -145,7 +145,9 @@ def hits(keyed: DataFrame, items: DataFrame, window: int, n_probes: int) -> Data
     # The texts with a candidate, each once, compared word by word.
     texts = keyed.select("r1", "r2", "text").join(found.select("r1", "r2").distinct(), ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"])
     asked = found.join(small(windows.select("w", "len", "phrase"), "phrase"), "w").groupBy("r1", "r2").agg(F.collect_set(F.struct("s", "len", "phrase", "w")).alias("c"))
-    checked = texts.join(asked, ["r1", "r2"]).select("r1", "r2", words(F.col("text")).alias("words"), "c")
+    # Written, as words would else be cut anew for each candidate of a text.
+    cut = stored(texts.select("r1", "r2", words(F.col("text")).alias("words")), f"{folder}/words")
+    checked = cut.join(asked, ["r1", "r2"])
     right = F.filter("c", lambda c: F.concat_ws(" ", F.slice("words", c["s"], c["len"])) == c["phrase"])
     true = F.array_sort(F.transform(right, lambda c: F.struct(c["s"].alias("s"), (c["s"] + c["len"] - 1).alias("e"), c["w"].alias("w"))))
     checked = stored(checked.select("r1", "r2", true.alias("true")).where(F.size("true") > 0), f"{folder}/true")
