@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakevec.llm.common import WORD, lower_ascii, packed_rows, stored, unpacked, work_folder
+from lakevec.llm.common import WORD, discard, lower_ascii, packed_rows, stored, unpacked, work_folder
 
 #: The benchmark side is broadcast up to so many rows and bytes of text; above that Spark shuffles it.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
@@ -151,6 +151,8 @@ def hits(keyed: DataFrame, items: DataFrame, window: int, n_probes: int) -> Data
     right = F.filter("c", lambda c: F.concat_ws(" ", F.slice("words", c["s"], c["len"])) == c["phrase"])
     true = F.array_sort(F.transform(right, lambda c: F.struct(c["s"].alias("s"), (c["s"] + c["len"] - 1).alias("e"), c["w"].alias("w"))))
     checked = stored(checked.select("r1", "r2", true.alias("true")).where(F.size("true") > 0), f"{folder}/true")
+    for name in ("terms", "probes", "postings", "found", "words"):
+        discard(keyed.sparkSession, f"{folder}/{name}")  # what is left needs true and windows alone
     covered = F.aggregate(
         "true",
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
