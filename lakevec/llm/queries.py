@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakevec.llm import decontaminate, html_text, language_id, license_scan, line_dedup, mixing, ngram_join, substring_dedup, toxicity, vector_scan
+from lakevec.llm import decontaminate, html_text, language_id, license_scan, line_dedup, mixing, ngram_join, periodic_runs, resampling, substring_dedup, toxicity, url_filter, vector_scan
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_mixing": mixing.op8,
     "op9_substring_dedup": substring_dedup.op9,
     "op10_language_id": language_id.op10,
+    "op11_url_filter": url_filter.op11,
+    "op12_periodic_runs": periodic_runs.op12,
+    "op13_importance_resampling": resampling.op13,
 }
 
 ORACLES = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op2_decontamination": decontaminate.OP2_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op11_url_filter": url_filter.OP11_SQL,
 }
