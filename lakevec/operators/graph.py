@@ -3,7 +3,8 @@
 The graph is a DataFrame topology(id, nbrs), apart from vectors(id, vec), so a
 traversal never reads vectors that it doesn't need. All queries of a call move
 together: a round takes the nearest unexpanded entries of every query's pool,
-joins their neighbours, measures them and keeps each pool's best.
+joins their neighbours, measures them and keeps each pool's best. Pairs of a
+query and a row move; topology, codes and vectors stay where they lie.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lakevec.functions.keyed import FEW, Keyed, keyed, rows_of
 from lakevec.functions.storage import stored, work_folder
 from lakevec.operators import cluster, pq, sampling
 from lakevec.operators.exact import knn, ranked
@@ -37,6 +39,16 @@ class GraphParams:
     part: int = PART
 
 
+@dataclass
+class Coder:
+    """What a traversal measures candidates with: PQ codes packed by row, and their codebook."""
+
+    codes: DataFrame | Keyed  # (id, codes: array<int>)
+    book: DataFrame  # (chunk, code, sub)
+    dim: int
+    chunks: int
+
+
 def robust_prune(dist: np.ndarray, vecs: np.ndarray, degree: int, alpha: float, saturate: bool = False, entry: int = -1) -> list[int]:
     """Which of the candidates, sorted by distance to the node, become its neighbours.
 
@@ -78,11 +90,12 @@ def delta_prune(dist: np.ndarray, vecs: np.ndarray, new: int, alpha: float) -> i
     factor = alpha
     while factor >= 1:
         for i in range(len(dist) - 1, -1, -1):
-            if i == new or between[i] <= 0:
+            if i == new:
                 continue
-            if dist[i] > dist[new] and dist[i] / between[i] > factor:
+            near = max(between[i], 1e-300)  # an equal row occludes the new one, however near both are
+            if dist[i] > dist[new] and dist[i] / near > factor:
                 return i
-            if dist[i] <= dist[new] and dist[new] / between[i] > factor:
+            if dist[i] <= dist[new] and max(dist[new], 1e-290) / near > factor:
                 return new
         factor /= 1.2
     for p in range(len(dist)):  # each earlier neighbour and the first later one that it occludes
@@ -102,47 +115,72 @@ def with_back_edges(dist: np.ndarray, vecs: np.ndarray, fresh: np.ndarray, degre
     return held
 
 
-def candidate_lists(candidates: DataFrame, vectors: DataFrame, most: int) -> DataFrame:
-    """(id, c): each node's nearest `most` candidates (id, nbr[, fresh]) with distance and vector, nearest first."""
+def candidate_lists(candidates: DataFrame, vectors: DataFrame | Keyed | Coder, most: int) -> DataFrame:
+    """(id, c): each node's nearest `most` candidates (id, nbr[, fresh]) with distance and vector or codes, nearest first.
+
+    vectors (id, vec) give exact distances, a Coder those between the codes; of
+    either only the rows that candidates name are read and moved.
+    """
     fresh = F.max("fresh").alias("fresh") if "fresh" in candidates.columns else F.lit(False).alias("fresh")
-    edges = candidates.where("id <> nbr").groupBy("id", "nbr").agg(fresh)
-    v = vectors.select("id", "vec")
-    edges = edges.join(v, "id").join(v.select(F.col("id").alias("nbr"), F.col("vec").alias("nvec")), "nbr")
-    edges = edges.withColumn("dist", l2sq(F.col("vec"), F.col("nvec")))
+    edges = stored(candidates.where("id <> nbr").groupBy("id", "nbr").agg(fresh), f"{work_folder(candidates.sparkSession, 'edges')}/edges")
+    few = edges.count() <= FEW
+    coded = isinstance(vectors, Coder)
+    table = keyed(vectors.codes if coded else vectors)
+    column = "codes" if coded else "vec"
+    edges = table.join(edges, few).select("id", "nbr", "fresh", F.col(column).alias("own"))
+    edges = table.join(edges.withColumnsRenamed({"id": "from", "nbr": "id"}), few).select(F.col("from").alias("id"), F.col("id").alias("nbr"), "fresh", "own", F.col(column).alias("nvec"))
+    edges = _between(edges, vectors) if coded else edges.withColumn("dist", l2sq(F.col("own"), F.col("nvec")))
     rank = F.row_number().over(W.partitionBy("id").orderBy("dist", "nbr"))
-    edges = edges.withColumn("r", rank).where(F.col("r") <= most)
+    edges = edges.drop("own").withColumn("r", rank).where(F.col("r") <= most)
     return edges.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dist", "nbr", "fresh", "nvec"))).alias("c"))
 
 
-def _kept(lists: DataFrame, keep) -> DataFrame:
+def _between(edges: DataFrame, coder: Coder) -> DataFrame:
+    """edges (id, nbr, fresh, own, nvec) with dist, the squared distance of both ends' codes, by the table of centres that travels with the tasks."""
+    sent = edges.sparkSession.sparkContext.broadcast(pq.centres(coder.book))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2048):
+                b = whole.slice(lo, 2048)
+                apart = pq.decode(matrix(b.column("own")), sent.value) - pq.decode(matrix(b.column("nvec")), sent.value)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array((apart**2).sum(1))], names=[*b.schema.names, "dist"])
+
+    return edges.mapInArrow(run, "id long, nbr long, fresh boolean, own array<int>, nvec array<int>, dist double")
+
+
+def _kept(lists: DataFrame, keep, coder: Coder | None = None) -> DataFrame:
     """topology of the candidates that keep(dist, vecs, fresh, ids) picks."""
+    sent = lists.sparkSession.sparkContext.broadcast(pq.centres(coder.book)) if coder else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for row in b.column("c"):
                 c = row.values
-                nbr = c.field("nbr").to_numpy()
-                out.append(nbr[keep(c.field("dist").to_numpy(), matrix(c.field("nvec")), c.field("fresh").to_numpy(zero_copy_only=False), nbr)])
+                nbr, x = c.field("nbr").to_numpy(), matrix(c.field("nvec"))
+                x = pq.decode(x, sent.value) if sent else x
+                out.append(nbr[keep(c.field("dist").to_numpy(), x, c.field("fresh").to_numpy(zero_copy_only=False), nbr)])
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.list_(pa.int64()))], names=["id", "nbrs"])
 
     return lists.mapInArrow(run, "id long, nbrs array<long>")
 
 
-def prune(candidates: DataFrame, vectors: DataFrame, degree: int, alpha: float, most: int, saturate: bool = False, medoid: int = -1) -> DataFrame:
+def prune(candidates: DataFrame, vectors: DataFrame | Keyed | Coder, degree: int, alpha: float, most: int, saturate: bool = False, medoid: int = -1) -> DataFrame:
     """topology from (id, nbr) candidates: each node's nearest `most`, alpha-pruned to degree, nearest first.
 
-    vectors may be those that codes stand for (pq.decoded): distances are then
-    the codes' own, and no stored vector is read. A node that has `medoid` far
-    down its list loses it.
+    With a Coder distances are those between codes, and no stored vector is
+    read. A node that has `medoid` far down its list loses it.
     """
-    return _kept(candidate_lists(candidates, vectors, most), lambda dist, vecs, _, ids: robust_prune(dist, vecs, degree, alpha, saturate, int(np.flatnonzero(ids == medoid)[0]) if medoid in ids else -1))
+    coder = vectors if isinstance(vectors, Coder) else None
+    return _kept(candidate_lists(candidates, vectors, most), lambda dist, vecs, _, ids: robust_prune(dist, vecs, degree, alpha, saturate, int(np.flatnonzero(ids == medoid)[0]) if medoid in ids else -1), coder)
 
 
-def link_back(own: DataFrame, back: DataFrame, vectors: DataFrame, degree: int, alpha: float) -> DataFrame:
-    """topology of the nodes that back (id, nbr) names: their lists of own (id, nbr) take in the new edges, each over the degree evicting one."""
+def link_back(own: DataFrame, back: DataFrame, vectors: DataFrame | Keyed | Coder, degree: int, alpha: float, most: int = 2**31 - 1) -> DataFrame:
+    """topology of the nodes that back (id, nbr) names: their lists of own (id, nbr) take in the new edges, each over the degree evicting one. Old and new edges of a node count up to the nearest `most`."""
     both = own.select("id", "nbr", F.lit(False).alias("fresh")).unionByName(back.join(own, ["id", "nbr"], "left_anti").select("id", "nbr", F.lit(True).alias("fresh")))
-    return _kept(candidate_lists(both, vectors, 2**31 - 1), lambda dist, vecs, fresh, _: with_back_edges(dist, vecs, fresh, degree, alpha))
+    coder = vectors if isinstance(vectors, Coder) else None
+    return _kept(candidate_lists(both, vectors, most), lambda dist, vecs, fresh, _: with_back_edges(dist, vecs, fresh, degree, alpha), coder)
 
 
 def near_in_parts(placed: DataFrame, p: GraphParams) -> DataFrame:
@@ -203,16 +241,6 @@ def entry_rows(queries: DataFrame, sample: tuple[DataFrame, DataFrame, DataFrame
     return search(queries, vectors, topology, entries, k=n, length=max(2 * n, 20)).select("qid", "id")
 
 
-@dataclass
-class Coder:
-    """What a traversal measures candidates with: PQ codes packed by row, and their codebook."""
-
-    codes: DataFrame  # (id, codes: array<int>)
-    book: DataFrame  # (chunk, code, sub)
-    dim: int
-    chunks: int
-
-
 def _query_tables(queries: DataFrame, coder: Coder | None) -> DataFrame:
     """(qid, qvec, lut): queries, with a table of distances for each chunk where codes are used."""
     if coder is None:
@@ -228,92 +256,191 @@ def truncation(length: int, keep: int) -> int:
     return min(length, max(keep, math.ceil(keep * (1 + math.log10(max(length, 1) / max(keep, 1))))))
 
 
-def search(queries: DataFrame, vectors: DataFrame, topology: DataFrame, entries: DataFrame, k: int = 10, length: int = 64, width: int = 8, mode: str = "memory", coder: Coder | None = None, layout: DataFrame | None = None, tombstones: DataFrame | None = None, keep: int | None = None, max_hops: int | None = None, n_entries: int = 8) -> DataFrame:
+#: Modes that traverse on codes.
+CODED = ("beam", "pipe", "coro", "page", "rerank", "codes")
+#: Fixed value: the width at which an adaptive traversal begins.
+NARROW = 4
+#: Bytes of query tables that are sent to all executors; larger ones meet the pairs in a shuffle by query.
+TABLE_BYTES = 64 << 20
+
+
+def search(queries: DataFrame, vectors: DataFrame | Keyed, topology: DataFrame | Keyed, entries: DataFrame, k: int = 10, length: int = 64, width: int = 8, mode: str = "memory", coder: Coder | None = None, layout: DataFrame | None = None, tombstones: DataFrame | None = None, keep: int | None = None, max_hops: int | None = None, n_entries: int = 8, max_compared: int | None = None, counts: bool = False) -> DataFrame:
     """(qid, rank, id, dist): approximate neighbours, ordered by (dist, id), without deleted ids.
 
-    mode `memory` measures the pool exactly. `beam`, `pipe` and `coro` traverse on
-    codes and answer with the exact distances of all expanded rows; they differ
-    in scheduling alone, which is Spark's here. `page` scores the other rows on
-    the pages of expanded rows too. `rerank` traverses on codes, cuts the pool
-    and rescores what is left.
+    mode `memory` measures the pool exactly. The others traverse on codes:
+    `codes` answers with the distances of the codes, `rerank` cuts the pool and
+    rescores what is left, `beam` and `coro` answer with the exact distances of
+    all expanded rows. `pipe` does so too, but each query has its own width:
+    it starts at NARROW and grows by half, up to `width`, while at most a tenth of
+    the rows that a round expanded are pushed out of the first half of the pool by
+    what they found. `page` reads whole pages: the other rows on the pages of the
+    expanded ones come into the pool, and those that are near enough to be in it are
+    expanded in the same round.
 
     entries has id, and each query starts at its nearest n_entries of them; with
     a qid they are each query's own. Deleted rows are traversed like others, but
     length, width of the cut and k count live rows alone, so a pool widens until
     it holds `length` of these. Rounds go on until every pool is expanded. With
-    max_hops they end there, and a column `complete` says for each query whether
-    its pool was. Fewer than k live rows within reach give fewer results.
+    max_hops they end there, and with max_compared a query's end once it has
+    measured so many rows; then a column `complete` says for each query whether
+    its pool was expanded. Fewer than k live rows within reach give fewer results.
+
+    With counts every answer carries its query's work: hops, expanded,
+    compared (rows measured, entries included), pages (of expanded rows, where
+    there is a layout) and rescored.
+
+    A round with few pairs filters topology and codes where they lie; one
+    with more sends the pairs to their buckets, if the tables have any.
     """
-    if mode not in ("memory", "beam", "pipe", "coro", "page", "rerank"):
+    if mode != "memory" and mode not in CODED:
         raise ValueError(f"no such mode: {mode}")
     if mode != "memory" and coder is None:
         raise ValueError(f"mode {mode} needs codes")
     if mode == "page" and layout is None:
         raise ValueError("mode page needs a layout")
-    spark = vectors.sparkSession
+    vectors, topology = keyed(vectors), keyed(topology)
+    spark = vectors.base.sparkSession
     folder = work_folder(spark, "search")
     tables = stored(_query_tables(queries, coder if mode != "memory" else None), f"{folder}/queries")
+    shape = tables.agg(F.count("*"), F.sum(F.coalesce(F.size("lut") * F.size(F.element_at("lut", 1)), F.size("qvec")) * F.lit(8))).first()
+    tables = F.broadcast(tables) if (shape[1] or 0) <= TABLE_BYTES else tables
     gone = None if tombstones is None else tombstones.select("id").distinct().withColumn("dead", F.lit(True))
+    coded = keyed(coder.codes) if mode != "memory" else None
 
-    def measure(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(tables, "qid")
+    def measure(pairs: DataFrame, few: bool) -> DataFrame:
+        """pairs (qid, id, others) with dist and live."""
+        rest = [c for c in pairs.columns if c not in ("qid", "id")]
         if mode == "memory":
-            pairs = pairs.join(vectors, "id").select("qid", "id", l2sq(F.col("qvec"), F.col("vec")).alias("dist"))
+            d = l2sq(F.col("qvec"), F.col("vec"))
         else:
             d = F.aggregate(F.zip_with("codes", "lut", lambda c, t: F.element_at(t, c + 1)), F.lit(0.0), lambda s, x: s + x)
-            pairs = pairs.join(coder.codes, "id").select("qid", "id", d.alias("dist"))
+        pairs = (vectors if mode == "memory" else coded).join(pairs, few).join(tables, "qid").select("qid", "id", *rest, d.alias("dist"))
         if gone is None:
             return pairs.withColumn("live", F.lit(1))
-        return pairs.join(gone, "id", "left").select("qid", "id", "dist", F.when(F.col("dead"), 0).otherwise(1).alias("live"))
+        return pairs.join(gone, "id", "left").select("qid", "id", *rest, "dist", F.when(F.col("dead"), 0).otherwise(1).alias("live"))
 
     def exact(pairs: DataFrame) -> DataFrame:
-        return pairs.select("qid", "id").join(tables.select("qid", "qvec"), "qid").join(vectors, "id").select("qid", "id", l2sq(F.col("qvec"), F.col("vec")).alias("dist"))
+        pairs = stored(pairs.select("qid", "id"), f"{folder}/rescored")
+        return vectors.join(pairs, pairs.count() <= FEW).join(tables.select("qid", "qvec"), "qid").select("qid", "id", l2sq(F.col("qvec"), F.col("vec")).alias("dist"))
+
+    by_query, by_pool = W.partitionBy("qid"), W.partitionBy("qid").orderBy("dist", "id")
+    state = ["qid", "id", "dist", "live", "expanded", "hop", "open", "place", "width", "compared"]
 
-    by_pool = W.partitionBy("qid").orderBy("dist", "id")
+    def pooled(rows: DataFrame, hop: int) -> DataFrame:
+        """The pool as far as its `length`-th live row; `open` numbers the unexpanded rows of it, `width` says how many of them the next round takes.
 
-    def first_live(pool: DataFrame, n: int) -> DataFrame:
-        """The pool as far as its n-th live row, with `open`, the place of an unexpanded row among those."""
+        New rows have no `width` and no `compared`; old ones carry their query's.
+        """
+        rows = rows.withColumn("compared", F.coalesce(F.max("compared").over(by_query), F.lit(0)) + F.count_if(F.isnull("compared")).over(by_query))
         upto = F.sum("live").over(by_pool.rowsBetween(W.unboundedPreceding, 0))
-        pool = pool.withColumn("upto", upto).where(F.col("upto") - F.col("live") < n)
-        return pool.withColumn("open", F.when(~F.col("expanded"), F.sum((~F.col("expanded")).cast("int")).over(by_pool.rowsBetween(W.unboundedPreceding, 0))))
+        rows = rows.withColumns({"upto": upto, "place": F.row_number().over(by_pool)})
+        if mode == "pipe":
+            had = F.coalesce(F.max("width").over(by_query), F.lit(NARROW))
+            front = F.count_if(F.col("at") == hop).over(by_query)
+            out = F.count_if((F.col("at") == hop) & (F.col("upto") > F.lit(length / 2))).over(by_query)
+            grown = F.least(F.lit(max(width, 1)), had + F.greatest(F.lit(1), F.floor(had / 2)).cast("int"))
+            rows = rows.withColumn("width", F.when((front > 0) & (out * 10 <= front), grown).otherwise(F.least(had, F.lit(max(width, 1)))))
+        else:
+            rows = rows.withColumn("width", F.lit(width))
+        rows = rows.where(F.col("upto") - F.col("live") < length)
+        left = F.col("compared") < max_compared if max_compared is not None else F.lit(True)
+        numbered = F.sum((~F.col("expanded")).cast("int")).over(by_pool.rowsBetween(W.unboundedPreceding, 0))
+        return rows.withColumn("open", F.when(~F.col("expanded"), numbered)).withColumn("width", F.when(left, F.col("width")).otherwise(0)).select(*state)
 
     if "qid" in entries.columns:
         first = entries.select("qid", "id").distinct()
     else:
-        first = knn(queries, vectors.join(entries.select("id").distinct(), "id", "left_semi"), n_entries).select("qid", "id")
-    pool = measure(first).withColumns({"expanded": F.lit(False), "hop": F.lit(0)})
-    pool = stored(first_live(pool, length).select("qid", "id", "dist", "live", "expanded", "hop", "open"), f"{folder}/pool-0")
+        first = knn(queries, vectors.join(entries.select("id").distinct()).select("id", "vec"), n_entries).select("qid", "id")
+    fresh = {"expanded": F.lit(False), "at": F.lit(None).cast("int"), "width": F.lit(None).cast("int"), "compared": F.lit(None).cast("long")}
+    pool = stored(pooled(measure(first, False).withColumns({**fresh, "hop": F.lit(0)}), 0), f"{folder}/pool-0")
+    in_front = F.coalesce(F.col("open") <= F.col("width"), F.lit(False))
     hop = 0
-    while pool.where("open IS NOT NULL").limit(1).count() and (max_hops is None or hop < max_hops):
+    while (n_front := pool.where(in_front).count()) and (max_hops is None or hop < max_hops):
         hop += 1
-        front = F.coalesce(F.col("open") <= width, F.lit(False))
-        found = pool.where(front).join(topology, "id").select("qid", F.explode("nbrs").alias("id")).distinct().join(pool.select("qid", "id"), ["qid", "id"], "left_anti")
-        new = measure(found).withColumns({"expanded": F.lit(False), "hop": F.lit(hop)})
-        old = pool.select("qid", "id", "dist", "live", (F.col("expanded") | front).alias("expanded"), "hop")
-        pool = stored(first_live(old.unionByName(new), length).select("qid", "id", "dist", "live", "expanded", "hop", "open"), f"{folder}/pool-{hop}")
-
-    def answer(found: DataFrame) -> DataFrame:
+        front = pool.where(in_front).select("qid", "id")
+        mates = None
+        if mode == "page":
+            front, mates = _with_pages(pool, front, layout, measure, length, f"{folder}/pages-{hop}")
+            n_front = front.count()
+        found = topology.join(front, n_front <= FEW).select("qid", F.explode("nbrs").alias("id")).distinct().join(pool.select("qid", "id"), ["qid", "id"], "left_anti")
+        if mates is not None:
+            found = found.join(mates.select("qid", "id"), ["qid", "id"], "left_anti")
+        found = stored(found, f"{folder}/found-{hop}")
+        new = measure(found, found.count() <= FEW).withColumns({**fresh, "hop": F.lit(hop)})
+        # Of rows that are in the pool already, those of the front are expanded now.
+        taken = in_front if mates is None else F.col("front")
+        old = pool if mates is None else pool.join(front.withColumn("front", F.lit(True)), ["qid", "id"], "left").withColumn("front", F.coalesce("front", F.lit(False)))
+        old = old.select("qid", "id", "dist", "live", (F.col("expanded") | taken).alias("expanded"), "hop", F.when(taken, F.lit(hop)).alias("at"), "width", "compared")
+        rows = old.unionByName(new)
+        if mates is not None:
+            own = mates.join(front.withColumn("now", F.lit(True)), ["qid", "id"], "left")
+            rows = rows.unionByName(own.select("qid", "id", "dist", "live", F.isnotnull("now").alias("expanded"), F.lit(hop).alias("hop"), F.when(F.col("now"), F.lit(hop)).alias("at"), *[fresh[c].alias(c) for c in ("width", "compared")]))
+        pool = stored(pooled(rows, hop), f"{folder}/pool-{hop}")
+
+    def expanded_rows() -> DataFrame:
+        """(qid, id) of all rows expanded at some time: the last pool's, and those of earlier pools and of their fronts, which later pools may have pushed out."""
+        seen = pool.where("expanded").select("qid", "id")
+        if hop:
+            earlier = spark.read.schema(pool.schema).parquet(*[f"{folder}/pool-{h}" for h in range(hop)])
+            seen = seen.unionByName(earlier.where(F.col("expanded") | in_front).select("qid", "id"))
+        if mode == "page" and hop:
+            seen = seen.unionByName(spark.read.schema(PAGE_FRONT).parquet(*[f"{folder}/pages-{h}/front" for h in range(1, hop + 1)]))
+        return seen.distinct()
+
+    def answer(found: DataFrame, rescored: DataFrame | None = None) -> DataFrame:
         out = ranked(found, k)
-        if max_hops is None:
-            return out
-        return out.join(pool.groupBy("qid").agg((F.count("open") == 0).alias("complete")), "qid")
-
-    if mode == "memory":
+        if max_hops is not None or max_compared is not None:
+            out = out.join(pool.groupBy("qid").agg((F.count("open") == 0).alias("complete")), "qid")
+        if counts:
+            seen = stored(expanded_rows(), f"{folder}/expanded")
+            every = spark.read.schema(pool.schema).parquet(*[f"{folder}/pool-{h}" for h in range(hop + 1)])
+            work = every.groupBy("qid").agg(F.max("compared").alias("compared"))
+            hops = spark.read.schema(pool.schema).parquet(*[f"{folder}/pool-{h}" for h in range(hop)]).withColumn("h", F.input_file_name()).where(in_front).groupBy("qid").agg(F.countDistinct(F.regexp_extract("h", r"pool-(\d+)/", 1)).alias("hops")) if hop else work.select("qid", F.lit(0).alias("hops"))
+            tallies = [hops, seen.groupBy("qid").agg(F.count("*").alias("expanded"))]
+            if layout is not None:
+                tallies.append(seen.join(layout.select("id", "page"), "id").groupBy("qid").agg(F.countDistinct("page").alias("pages")))
+            if rescored is not None:
+                tallies.append(rescored.groupBy("qid").agg(F.count("*").alias("rescored")))
+            for t in tallies:
+                work = work.join(t, "qid", "left")
+            for c in ("hops", "expanded", "pages", "rescored"):
+                work = work.withColumn(c, F.coalesce(F.col(c), F.lit(0)).cast("long") if c in work.columns else F.lit(0).cast("long"))
+            out = out.join(work.select("qid", "hops", "expanded", "compared", "pages", "rescored"), "qid")
+        return out
+
+    if mode in ("memory", "codes"):
         return answer(pool.where("live = 1"))
     if mode == "rerank":
         cut = truncation(length, keep or length)
-        return answer(exact(pool.where("live = 1").withColumn("r", F.row_number().over(by_pool)).where(F.col("r") <= cut)))
-    # All rows that were expanded at some time: the last pool's, and those of earlier pools and of their fronts, which later pools may have pushed out.
-    seen = pool.where("expanded").select("qid", "id")
-    if hop:
-        earlier = spark.read.schema(pool.schema).parquet(*[f"{folder}/pool-{h}" for h in range(hop)])
-        seen = seen.unionByName(earlier.where(F.col("expanded") | (F.col("open") <= width)).select("qid", "id")).distinct()
-    if mode == "page":
-        pages = seen.join(layout.select("id", "page"), "id").select("qid", "page").distinct()
-        seen = pages.join(layout.select("id", "page"), "page").select("qid", "id")
-    if gone is not None:
-        seen = seen.join(gone, "id", "left_anti")
-    return answer(exact(seen.distinct()))
+        chosen = pool.where("live = 1").withColumn("r", F.row_number().over(by_pool)).where(F.col("r") <= cut)
+    else:
+        chosen = expanded_rows()
+        if mode == "page":
+            pages = chosen.join(layout.select("id", "page"), "id").select("qid", "page").distinct()
+            chosen = pages.join(layout.select("id", "page"), "page").select("qid", "id").distinct()
+        if gone is not None:
+            chosen = chosen.join(gone, "id", "left_anti")
+    measured = stored(exact(chosen), f"{folder}/exact")
+    return answer(measured, measured)
+
+
+PAGE_FRONT = "qid long, id long"
+
+
+def _with_pages(pool: DataFrame, front: DataFrame, layout: DataFrame, measure, length: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(front, mates): the rows to expand of a round that reads whole pages, and the other rows (qid, id, dist, live) on the front's pages that the pool doesn't hold.
+
+    The front takes in what lies on its pages and is as near as the pool's last
+    row, or anything there while a pool isn't full.
+    """
+    pages = front.join(layout.select("id", "page"), "id").select("qid", "page").distinct()
+    there = stored(pages.join(layout.select("id", "page"), "page").select("qid", "id"), f"{folder}/there")
+    mates = stored(measure(there.join(pool.select("qid", "id"), ["qid", "id"], "left_anti"), there.count() <= FEW), f"{folder}/mates")
+    last = pool.groupBy("qid").agg(F.when(F.sum("live") >= length, F.max("dist")).otherwise(F.lit(float("inf"))).alias("last"))
+    near = mates.join(last, "qid").where("dist <= last").select("qid", "id")
+    held = there.join(pool.where("NOT expanded").select("qid", "id"), ["qid", "id"], "left_semi")
+    both = front.unionByName(held).unionByName(near).distinct()
+    return stored(both.select("qid", "id"), f"{folder}/front"), mates
 
 
 def with_tags(found: DataFrame, tags: DataFrame, vectors: DataFrame | None = None) -> DataFrame:

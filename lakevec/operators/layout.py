@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lakevec.functions.keyed import FEW, Keyed, keyed
 from lakevec.functions.storage import placed, stored, work_folder
 from lakevec.operators import cluster
 
@@ -91,27 +92,68 @@ def pages(topology: DataFrame, vectors: DataFrame, capacity: int = 16, part: int
 
 
 def with_new_rows(layout: DataFrame, topology: DataFrame, new: DataFrame, capacity: int = 16) -> DataFrame:
-    """layout with the rows of new(id): each goes to the page of its nearest placed neighbour; pages that get too full are split by their edges.
-
-    A split page keeps its number for its first group, the others get numbers
-    behind the last page. Rows without a placed neighbour fill pages together.
-    Other pages are not touched.
+    """layout with the rows of new(id), placed by changed_by. Other pages are not touched."""
+    changed = changed_by(layout, topology, topology.join(new.select("id").distinct(), "id", "left_semi"), new, capacity)
+    return layout.select("id", "page", "slot").join(changed.select("id"), "id", "left_anti").unionByName(changed)
+
+
+def changed_by(layout: DataFrame, topology: DataFrame | Keyed, lists: DataFrame, new: DataFrame, capacity: int = 16, choices: int = 3, rounds: int = 3) -> DataFrame:
+    """(id, page, slot) of the rows that get a place, or another one, when new(id) come in; lists (id, nbrs) has those of new and is laid over topology.
+
+    In each round a row without a place bids for the pages of its `choices`
+    nearest placed neighbours, rows placed in earlier rounds included; it goes
+    for the nearest one with room, and a page takes the nearest bidders it has
+    room for, into its free slots. Who finds all its pages full goes to the first of
+    them: that page is split by the edges of its rows, keeps its number for its
+    first group, and the others get numbers behind the last page. Rows without a
+    placed neighbour fill pages together. Only pages that get rows are read, and of
+    topology only the lists of rows on split pages.
     """
-    folder = work_folder(topology.sparkSession, "splits")
-    fresh = new.select("id").distinct().join(layout.select("id"), "id", "left_anti")
-    near = topology.join(fresh, "id", "left_semi").select("id", F.posexplode("nbrs").alias("pos", "nbr"))
-    near = near.join(layout.select(F.col("id").alias("nbr"), "page"), "nbr").groupBy("id").agg(F.min(F.struct("pos", "page")).alias("x")).select("id", "x.page")
-    last = layout.agg(F.coalesce(F.max("page"), F.lit(-1)).alias("last"))
-    wanted = fresh.join(near, "id", "left")
+    spark = lists.sparkSession
+    folder = work_folder(spark, "splits")
+    fresh = stored(new.select("id").distinct().join(layout.select("id"), "id", "left_anti"), f"{folder}/fresh")
+    near = stored(lists.join(fresh, "id", "left_semi").select("id", F.posexplode("nbrs").alias("pos", "nbr")), f"{folder}/near")
+    ends = stored(near.select(F.col("nbr").alias("id")).distinct(), f"{folder}/ends")
+    at = stored(layout.select("id", "page").join(F.broadcast(ends) if ends.count() <= FEW else ends, "id"), f"{folder}/at")
+    pages = at.select("page").distinct()
+    used = stored(layout.join(F.broadcast(pages) if at.count() <= FEW else pages, "page", "left_semi").select("id", "page", "slot"), f"{folder}/used")
+    placed_rows = spark.createDataFrame([], "id long, page long, slot int")
+    for r in range(rounds):
+        known = at.unionByName(placed_rows.select("id", "page"))
+        bids = near.join(placed_rows.select("id"), "id", "left_anti").join(known.withColumnRenamed("id", "nbr"), "nbr")
+        bids = bids.groupBy("id", "page").agg(F.min("pos").alias("pos"))
+        bids = bids.withColumn("choice", F.row_number().over(W.partitionBy("id").orderBy("pos", "page"))).where(F.col("choice") <= choices)
+        slots = used.select("page", "slot").unionByName(placed_rows.select("page", "slot")).groupBy("page").agg(F.collect_set("slot").alias("taken"))  # at most capacity of a page
+        room = slots.select("page", F.array_except(F.sequence(F.lit(0), F.lit(capacity - 1)), "taken").alias("free")).where("size(free) > 0")
+        bids = bids.join(room, "page")
+        best = bids.groupBy("id").agg(F.min_by(F.struct("page", "pos", "free"), "choice").alias("x")).select("id", "x.*")
+        best = best.withColumn("turn", F.row_number().over(W.partitionBy("page").orderBy("pos", "id"))).where(F.col("turn") <= F.size("free"))
+        won = stored(best.select("id", "page", F.element_at("free", F.col("turn")).alias("slot")), f"{folder}/won-{r}")
+        if not won.limit(1).count():
+            break
+        placed_rows = stored(placed_rows.unionByName(won), f"{folder}/placed-{r}")
+    left = stored(fresh.join(placed_rows.select("id"), "id", "left_anti"), f"{folder}/left")
+    if not left.limit(1).count():
+        return placed_rows
+    known = at.unionByName(placed_rows.select("id", "page"))
+    first = near.join(left, "id", "left_semi").join(known.withColumnRenamed("id", "nbr"), "nbr").groupBy("id").agg(F.min(F.struct("pos", "page")).alias("x")).select("id", "x.page")
+    wanted = left.join(first, "id", "left")
     wanted = stored(wanted.select("id", F.coalesce("page", F.lit(-1) - F.pmod(F.xxhash64("id"), F.lit(64))).alias("page")), f"{folder}/wanted")
-    rows = layout.join(wanted.select("page").distinct(), "page", "left_semi").select("id", "page").unionByName(wanted)
-    rows = stored(rows.withColumnRenamed("page", "home"), f"{folder}/rows")
-    ends = _nearest_edges(topology).join(rows.select("home", F.col("id").alias("a")), "a").select("home", "a", "b", "rank")
-    local = stored(_packed(rows, ends, "home", capacity), f"{folder}/local")
+    full = wanted.select("page").distinct()
+    there = used.unionByName(placed_rows.select("id", "page", "slot")).join(full, "page", "left_semi").select("id", "page")
+    rows = stored(there.unionByName(wanted).withColumnRenamed("page", "home"), f"{folder}/rows")
+    old = rows.select("id", "home").join(lists.select("id"), "id", "left_anti")
+    own = keyed(topology).join(old, old.count() <= FEW).select("home", "id", "nbrs").unionByName(lists.join(rows, "id").select("home", "id", "nbrs"))
+    edges = own.select("home", F.col("id").alias("a"), F.posexplode(F.slice("nbrs", 1, NEAREST)).alias("rank", "b"))
+    local = stored(_packed(rows, edges, "home", capacity), f"{folder}/local")
     more = local.where("page > 0 OR home < 0").select("home", "page").distinct()
+    last = layout.agg(F.coalesce(F.max("page"), F.lit(-1)).alias("last"))
     more = placed(more, "home", "page").crossJoin(F.broadcast(last)).select("home", "page", (F.col("last") + 1 + F.col("place")).alias("to"))  # last is one row
     moved = local.join(more, ["home", "page"], "left").select("id", F.coalesce("to", "home").alias("page"), "slot")
-    return layout.join(rows.select("id"), "id", "left_anti").select("id", "page", "slot").unionByName(moved)
+    moved = stored(moved, f"{folder}/moved")
+    before = used.select("id", F.col("page").alias("p"), F.col("slot").alias("s"))
+    moved = moved.join(before, "id", "left").where("p IS NULL OR p <> page OR s <> slot").select("id", "page", "slot")
+    return placed_rows.join(moved.select("id"), "id", "left_anti").unionByName(moved)
 
 
 def locality(topology: DataFrame, layout: DataFrame, nearest: int = 2) -> DataFrame:

@@ -157,6 +157,23 @@ def decoded(codes: DataFrame, book: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "sub"))), lambda x: x["sub"])).alias("vec"))
 
 
+def centres(book: DataFrame) -> list[np.ndarray]:
+    """Of each chunk the codes' centres, by code. Codebooks are bounded."""
+    out = []
+    for _, g in book.toPandas().groupby("chunk"):
+        rows = np.stack(g["sub"])
+        table = np.zeros((int(g["code"].max()) + 1, rows.shape[1]))
+        table[g["code"].to_numpy()] = rows
+        out.append(table)
+    return out
+
+
+def decode(codes: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    """The vectors that packed codes stand for."""
+    codes = codes.astype(int)
+    return np.concatenate([t[codes[:, i]] for i, t in enumerate(tables)], axis=1) if len(codes) else np.zeros((0, sum(t.shape[1] for t in tables)))
+
+
 def sdc_table(book: DataFrame) -> DataFrame:
     """(chunk, c1, c2, d): squared distances between the codes of a chunk."""
     a = book.select("chunk", F.col("code").alias("c1"), F.col("sub").alias("s1"))
