@@ -6,8 +6,11 @@ one of its tags and names alone, since menus, adverts and notices change their
 words from page to page but not their shape. Spark counts, for each host, the
 pages that hold a hash, and subtrees that recur across many pages of their host
 are deleted; boxes only where they hold little of the host's text, so that the
-box of the article stays. What the standard itself sets apart from an article
-(nav, footer, forms, scripts) and reader comments, which don't recur, go too.
+box of the article stays. Of what lies inside the article (an article or main
+element or, where there is none, the page's densest block) only whole boxes that
+half of the host's pages hold word for word are deleted, never a link, a span or a
+line. What the standard itself sets apart from an article (nav, footer, forms,
+scripts) and reader comments, which don't recur, go too.
 """
 
 from __future__ import annotations
@@ -43,16 +46,15 @@ CLOSES = {
 #: Elements that an unclosed p ends at.
 ENDS_P = BLOCKS - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
 
-#: Elements that hold an article's own words. Inside an article or main element they aren't compared with the site's template.
-TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 b i em strong u s small sub sup code pre blockquote q cite abbr mark time br hr li dt dd td th tr tbody thead tfoot table caption figcaption".split())
-
 #: Boxes of a page, which are counted by shape if they have a name or are landmarks.
 BOXES = frozenset("address aside center details dialog div dl fieldset footer form header hgroup menu nav ol section ul".split())
 LANDMARKS = frozenset("aside footer form header menu nav".split())
 COMMENTS = re.compile(r"(?<![a-z])(?:comments?|comment-?list|disqus)(?![a-z])", re.I)
 
-#: So many different pages of a host make a template, whatever share of the host they are.
-MANY_PAGES = 100
+#: So many different pages of a host make a template, whatever the host's size.
+MIN_PAGES = 5
+#: Headings, which are no template where text lies in the page's body itself.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A box is template if it is on this share of its host's pages and holds at most this share of their text.
 BOX_PAGES, BOX_TEXT = 0.5, 0.2
 
@@ -62,10 +64,10 @@ SPACES = re.compile(r"[ \t\n\r\f\v   -     　\x1c-\x1f\x85]+")
 
 
 class Element:
-    __slots__ = ("tag", "parts", "never", "marked", "names", "hash", "shape", "digest", "form")
+    __slots__ = ("tag", "parts", "never", "marked", "names", "hash", "shape", "digest", "form", "inside")
 
     def __init__(self, tag: str, attributes: str):
-        self.tag, self.parts, self.hash, self.shape, self.digest, self.form = tag, [], 0, 0, b"", b""
+        self.tag, self.parts, self.hash, self.shape, self.digest, self.form, self.inside = tag, [], 0, 0, b"", b"", False
         self.never, self.marked, self.names = _reading(tag, attributes)
 
 
@@ -140,24 +142,64 @@ def parse(html: str) -> Element:
     return root
 
 
+def densest(root: Element) -> tuple[Element | None, Element]:
+    """(the block that takes an article's place on a page without one, or None; the element in which the page's blocks lie side by side).
+
+    From the body down past wrappers to where blocks lie side by side; the one
+    with at least two thirds of their text is it, and further down as long as all
+    text beside such a block is in landmarks or marked elements.
+    """
+    size: dict[int, int] = {}
+    todo: list[tuple[Element, bool]] = [(root, False)]
+    while todo:
+        e, done = todo.pop()
+        if not done:
+            todo.append((e, True))
+            todo.extend((x, False) for x in e.parts if isinstance(x, Element))
+        else:
+            own = 0 if e.tag in RAW or e.tag == "head" else sum(len(x.strip()) if isinstance(x, str) else size[id(x)] for x in e.parts)
+            size[id(e)] = 0 if e.never else own
+    at, found = root, None
+    while True:
+        bare = any(isinstance(x, str) and x.strip() for x in at.parts)
+        inner = [x for x in at.parts if isinstance(x, Element) and size[id(x)]]
+        most = max(inner, key=lambda x: size[id(x)], default=None)
+        if most is None or bare or most.tag not in BLOCKS or most.tag in ("p", "li") or 3 * size[id(most)] < 2 * size[id(at)]:
+            return found, at if found is None else found
+        if len(inner) == 1 and found is None:
+            at = most
+        elif found is None or all(x is most or x.marked for x in inner):
+            at = found = most
+        else:
+            return found, found
+
+
 def hashed(root: Element) -> list[Element]:
     """The elements that a template may hold, in order of their ends, with the hash of their subtree and, for boxes, of its shape.
 
-    An article's own words (TEXTS inside an article or main element) aren't
-    compared with the site's template, nor are boxes inside it or around it.
+    Only blocks are compared with the site's template, and inside an article only
+    boxes, as a whole, by a hash of their own; nor do boxes inside or around it have a shape.
     """
     out: list[Element] = []
-    todo: list[tuple[Element, bool, bool, bool]] = [(root, False, False, False)]
+    names, todo = set(), [root]
     while todo:
-        e, done, inside, wanted = todo.pop()
+        e = todo.pop()
+        names.add(e.tag)
+        todo.extend(x for x in e.parts if isinstance(x, Element))
+    body, flat = (None, None) if names & {"article", "main"} else densest(root)
+    work: list[tuple[Element, bool, bool, bool, bool]] = [(root, False, False, False, False)]
+    while work:
+        e, done, inside, wanted, line = work.pop()
         own = e.tag in ("article", "main")
         if not done:
             if own:
                 wanted = False
-            elif not (inside and e.tag in TEXTS):
+            elif e is body:
+                wanted = inside = True  # it may be a notice on a page of little text
+            elif e.tag in (BOXES if inside else BLOCKS) and not (line and e.tag in HEADINGS):
                 wanted = True
-            todo.append((e, True, inside, wanted))
-            todo.extend((x, False, inside or own, wanted and e.tag not in ("", "html", "body")) for x in reversed(e.parts) if isinstance(x, Element))
+            work.append((e, True, inside, wanted, line))
+            work.extend((x, False, inside or own, wanted and e.tag not in ("", "html", "body"), e is flat) for x in reversed(e.parts) if isinstance(x, Element))
             continue
         if own or not wanted:
             e.digest, e.form = e.tag.encode(), b"article" if own else e.tag.encode()
@@ -169,10 +211,12 @@ def hashed(root: Element) -> list[Element]:
             if not isinstance(x, str):
                 forms.add(x.form)
         e.digest = h.digest()
-        around = b"article" in forms
+        around = b"article" in forms or e is body
         e.form = b"article" if around else xxhash.xxh3_64(b"\0".join([e.tag.encode(), e.names.encode("utf-8", "replace"), *sorted(forms)])).digest()
-        if not (inside and e.tag in TEXTS) and e.tag not in ("", "html", "body", "head", "br"):
-            e.hash = h.intdigest()
+        if e.tag in (BOXES if inside else BLOCKS) and not (line and e.tag in HEADINGS) and e.tag not in ("html", "body", "br"):
+            if inside:
+                h.update(b"inside")
+            e.hash, e.inside = h.intdigest(), inside
             if e.tag in BOXES and (e.names or e.tag in LANDMARKS) and not (inside or around):
                 e.shape = int.from_bytes(e.form, "little")
             out.append(e)
@@ -249,7 +293,7 @@ def host_of(url: Column) -> Column:
 
 
 def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, hash, box, text): each subtree of a page, each shape of a box with its characters of text, and the page itself with all of them and a null hash."""
+    """(host, page, hash, box, text): each subtree of a page, with text -1 inside its article, each shape of a box with its characters of text, and the page itself with all of them and a null hash."""
     for b in batches:
         rows: list[tuple[str, int, int | None, bool, float]] = []
         for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
@@ -260,18 +304,19 @@ def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if e.shape:
                     boxes[e.shape] += text_size(e)
             rows.append((host, page, None, False, float(text_size(root))))
-            rows += [(host, page, h - (1 << 63), False, 0.0) for h in {e.hash for e in found if e.parts}]
+            rows += [(host, page, h - (1 << 63), False, -1.0 if inside else 0.0) for h, inside in {(e.hash, e.inside) for e in found if e.parts}]
             rows += [(host, page, h - (1 << 63), True, float(n)) for h, n in boxes.items()]
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.float64()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["host", "page", "hash", "box", "text"])
 
 
-def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1, many_pages: int = MANY_PAGES, box_pages: float = BOX_PAGES, box_text: float = BOX_TEXT) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, box_pages: float = BOX_PAGES, box_text: float = BOX_TEXT) -> DataFrame:
     """(page_id, url, text, n_chars): the main text of every row of pages.
 
-    A subtree is of its host's template if at least min_pages different pages
-    hold it that are min_share of the host's different pages or many_pages; a
-    box of some shape, if box_pages of the host's different pages hold it and it
+    A subtree outside the article is of its host's template if at least min_pages
+    different pages hold it, whatever the size of the host. A box inside the
+    article is, if box_pages of the host's different pages hold it word for word, and
+    a box outside it of some shape, if box_pages of them hold it and it
     has on average at most box_text of the characters of an average page. Copies of a page count once
     on both sides. On hosts of fewer than min_pages different pages fixed words
     of classes decide. Null or empty html gives an empty text; rows without a
@@ -290,7 +335,8 @@ def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1, many_p
     seen = pages.select("host", "html").mapInArrow(subtrees, kind).distinct().groupBy("host", "hash", "box").agg(F.count("*").alias("n"), F.avg("text").alias("text")).where(F.col("n") >= min_pages)
     seen = stored(seen, f"{folder}/seen")
     sizes = seen.where("hash IS NULL").select("host", F.col("n").alias("n_pages"), F.col("text").alias("page_text"))
-    recurs = F.when(F.col("box"), (F.col("n") >= F.col("n_pages") * box_pages) & (F.col("part") <= F.col("page_text") * box_text)).otherwise(F.col("n") >= F.least(F.col("n_pages") * min_share, F.lit(many_pages)))
+    half = F.col("n") >= F.col("n_pages") * box_pages
+    recurs = F.when(F.col("box"), half & (F.col("part") <= F.col("page_text") * box_text)).otherwise((F.col("part") >= 0) | half)
     template = sizes.join(seen.where("hash IS NOT NULL").withColumnRenamed("text", "part"), "host", "left").select("host", F.when(recurs, F.col("hash")).alias("hash"))
     template = stored(template.groupBy("host").agg(F.collect_set("hash").alias("template")), f"{folder}/template")
     both = pages.join(template, "host", "left").select("page_id", "url", "html", "template")

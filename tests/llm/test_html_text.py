@@ -112,3 +112,38 @@ def test_equals_counting_of_whole_blocks(spark):
     want = {i: " ".join(t for n, t in blocks if stays(host, n, t)) for i, (host, blocks) in pages.items()}
     assert got == want
     assert any("offer" in x for x in got.values()) and any("offer" not in x for x in got.values()) and not any(y in x for x in got.values() for y in said)
+
+
+def test_nothing_is_cut_out_of_an_article(spark):
+    """Links, spans and other inline elements that recur on all pages, in an article and in main."""
+    for tag in ("article", "main"):
+        pages = [f"<body><nav>menu</nav><{tag}><p>w{i} see <a href=x>here</a> for <span>more</span> about <kbd>keys</kbd> u{i}</p><ul><li><a>link</a> v{i}</ul></{tag}></body>" for i in range(20)]
+        assert extracted(spark, pages) == [f"w{i} see here for more about keys u{i} link v{i}" for i in range(20)]
+    pages = [f"<body><main>See <a>the manual</a> <span>print</span> and , w0x{i}</main></body>" for i in range(20)]
+    assert extracted(spark, pages) == [f"See the manual print and , w0x{i}" for i in range(20)]
+
+
+def test_the_lead_of_an_article_stays(spark):
+    pages = [f'<body><div class="menu">go home</div><div class="post"><div class="lead">lead {i} w</div><div class="text">{" ".join(f"t{i}x{k}" for k in range(60))}</div></div></body>' for i in range(20)]
+    assert extracted(spark, pages) == [f"lead {i} w " + " ".join(f"t{i}x{k}" for k in range(60)) for i in range(20)]
+
+
+def test_headings_that_recur_stay(spark):
+    pages = [f"<body><h2>{'Introduction' if i % 10 == 0 else f'Title {i}'}</h2><p>story {i} of <a>links</a></p><p>more {i}</p></body>" for i in range(100)]
+    assert extracted(spark, pages)[:2] == ["Introduction story 0 of links more 0", "Title 1 story 1 of links more 1"]
+
+
+@pytest.mark.parametrize("n", [100, 400])
+def test_a_sentence_goes_whatever_the_size_of_its_host(spark, n):
+    pages = [f"<body>{'<div>Read our rules here</div>' if i % 20 == 0 else ''}<div><p>story {i} with some words</p></div></body>" for i in range(n)]
+    assert extracted(spark, pages) == [f"story {i} with some words" for i in range(n)]
+
+
+def test_densest_block():
+    def of(html):
+        found, flat = h.densest(h.parse(html))
+        return found and found.names, flat.tag
+
+    assert of("<body><div class=wrap><div class=sidebar>s s</div><div class=content>words of it</div></div></body>")[0] == "content"
+    assert of("<body><div class=ad>buy</div><div class=page><div class=sidebar>s</div><div class=inner>many words of text</div></div></body>")[0] == "inner"
+    assert of("<body><p>one</p><p>two</p></body>") == (None, "body") and of("") == (None, "")
