@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lakevec.llm.common import connected_components, discard, stored, work_folder
 from lakevec.llm.language_id import flat_bytes
 
-#: Trees, longest and shortest matched prefix, and the recall of links at which the prefix is shortened no further.
+#: Trees, longest and, at a threshold of 0.8, shortest matched prefix, and the recall of links at which the prefix is shortened no further.
 TREES, DEPTH, LEAST_DEPTH, TARGET = 24, 8, 5, 0.9999
 #: Shingles and documents of one block of a node, about: all pairs of a block's documents are a matrix in one task.
 BLOCK_SHINGLES, BLOCK_DOCS = 400_000, 2048
@@ -56,6 +56,14 @@ def meeting(similarity: np.ndarray | float, depth: int, trees: int) -> np.ndarra
     return 1 - (1 - similarity**depth) ** trees
 
 
+def least_depth(threshold: float, depth: int, trees: int, target: float = TARGET) -> int:
+    """The longest prefix at which pairs of the threshold's similarity still meet with a probability of target; raises where even one step is too long."""
+    for d in range(depth, 0, -1):
+        if meeting(threshold, d, trees) >= min(target, TARGET):
+            return d
+    raise ValueError(f"{trees} trees can't find pairs of similarity {threshold} with a recall of {min(target, TARGET)}")
+
+
 def forest_recall(links: dict[int, int], depth: int, trees: int) -> float:
     """The recall at a depth from the links found there, counted by similarity in thousandths: each stands for 1 / meeting() links."""
     found = sum(links.values())
@@ -270,7 +278,7 @@ def nodes_at(tries: DataFrame, d: int, depth: int) -> DataFrame:
     return named.select("node", "v").join(kept, "node", "left_semi")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = TREES, depth: int = DEPTH, least: int = LEAST_DEPTH, target: float = TARGET) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = TREES, depth: int = DEPTH, least: int | None = None, target: float = TARGET) -> DataFrame:
     """(doc_id, class_id, copy_of, n_links): one row for each row of docs.
 
     copy_of is the least doc_id of the rows with the same set of word n-grams.
@@ -281,9 +289,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees:
     others; a class of such rows alone has a null class_id. Texts without words
     (null, empty) have no shingles and are each a class of their own. Ids are
     integers. Other columns are left out; an empty table gives an empty result.
+    The prefix is shortened to `least` steps at most, which by default follow
+    from the threshold (least_depth), so links at the threshold are found too.
     """
     spark = docs.sparkSession
     folder = work_folder(spark, "jaccard")
+    least = least_depth(threshold, depth, trees, target) if least is None else least
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
     kind = "row long, doc_id long, h long, s1 long, s2 long, n_shingles long, paths binary"
     keys = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "h", "text").mapInArrow(_signed(n, trees, depth), kind), f"{folder}/keys")

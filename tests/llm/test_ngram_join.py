@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from lakevec.llm import ngram_join as j
 
@@ -114,3 +115,17 @@ def test_shingle_hashes_follow_words():
 def test_blocks_bound_documents_of_few_shingles(spark):
     members = spark.range(100_000).selectExpr("1L AS node", "3L AS n")
     assert j.node_blocks(members).first()["blocks"] >= 100_000 / j.BLOCK_DOCS
+
+
+def test_low_thresholds_shorten_the_prefix_further(spark):
+    """Pairs of Jaccard 0.4925 at a threshold of 0.45: all of them are found."""
+    rng = random.Random(45)
+    rows = []
+    for i in range(300):
+        shared, a, b = ([f"{x}{i}w{rng.randrange(10**9)}" for _ in range(n)] for x, n in (("s", 70), ("a", 34), ("b", 34)))
+        rows += [(2 * i, " ".join(shared + a)), (2 * i + 1, " ".join(shared + b))]
+    got = j.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.45)
+    assert got.where("n_links = 1").count() == 600
+    assert j.least_depth(0.8, j.DEPTH, j.TREES) == j.LEAST_DEPTH and j.least_depth(0.45, j.DEPTH, j.TREES) == 1
+    with pytest.raises(ValueError):
+        j.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.1)
