@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakevec.functions.storage import stored
+from lakevec.functions.storage import stored, work_folder
 from lakevec.operators.metrics import SOUND, distances, l2sq, matrix
 
 
@@ -49,10 +49,70 @@ def lloyd_step(base: DataFrame, centres: np.ndarray) -> DataFrame:
     return near.groupBy("centre", "dim").agg(F.avg("x").alias("mean"), F.count("*").alias("n"))
 
 
-def kmeans(base: DataFrame, k: int, rounds: int = 10, seed: int = 42, tolerance: float = 1e-5) -> np.ndarray:
-    """Centres by rounds over the whole base; starts from rows in the order of a hash. Empty clusters become zero vectors."""
-    start = base.where(SOUND.format("vec")).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k).select("vec").toArrow()
-    centres, last = matrix(start.column("vec")), None
+#: Rounds of oversampling, and rows that a round takes for each centre, about.
+OVERSAMPLING = (5, 2.0)
+
+
+def cost(base: DataFrame, centres: np.ndarray) -> float:
+    """The sum of the squared distances of all rows to their nearest centre."""
+    return assign(base, centres).agg(F.coalesce(F.sum("dist"), F.lit(0.0))).first()[0]
+
+
+def parallel_seeds(base: DataFrame, k: int, seed: int = 42, rounds: int = OVERSAMPLING[0], factor: float = OVERSAMPLING[1]) -> np.ndarray:
+    """k starting centres of a base of any size, far from one another (k-means||).
+
+    From one row on, each round takes every row with a probability of factor k
+    times its share of the cost so far, by a hash of its id. Each row knows the
+    distance to the nearest row taken, which is updated by a round's own rows alone. What
+    was taken, about rounds factor k rows, is weighed by the rows nearest to it
+    and reduced to k locally, each next one with a probability by weight and squared distance.
+    """
+    spark = base.sparkSession
+    folder = work_folder(spark, "seeds")
+    rows = base.where(SOUND.format("vec")).select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    rows = stored(rows, f"{folder}/rows")
+    new = matrix(rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(1).select("vec").toArrow().column("vec"))
+    if not len(new):
+        raise ValueError("no vectors")
+    taken, known = [new], rows.withColumn("near", F.lit(float("inf")))
+    for r in range(rounds):
+        known = stored(_nearer(known, new), f"{folder}/near-{r}")
+        total = known.agg(F.sum("near")).first()[0] or 0.0
+        if total <= 0:
+            break
+        chance = F.pmod(F.xxhash64("id", F.lit(seed + 1 + r)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        new = matrix(known.where(chance < F.col("near") * F.lit(factor * k / total)).select("vec").toArrow().column("vec"))
+        if len(new):
+            taken.append(new)
+    points = np.unique(np.concatenate(taken), axis=0)
+    sizes = assign(rows, points).groupBy("centre").agg(F.count("*").alias("n")).toPandas()
+    weights = np.zeros(len(points))
+    weights[sizes["centre"].to_numpy()] = sizes["n"].to_numpy()
+    return seeds(points, k, seed, weights)
+
+
+def _nearer(known: DataFrame, new: np.ndarray) -> DataFrame:
+    """known (id, vec, near) with near no larger than the squared distance to the nearest of new."""
+    if not len(new):
+        return known
+    sent = known.sparkSession.sparkContext.broadcast(new)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = matrix(b.column("vec"))
+            near = np.minimum(b.column("near").to_numpy(), distances(x, sent.value).min(1)) if len(x) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vec"), pa.array(near)], names=["id", "vec", "near"])
+
+    return known.mapInArrow(run, "id long, vec array<double>, near double")
+
+
+def kmeans(base: DataFrame, k: int, rounds: int = 10, seed: int = 42, tolerance: float = 1e-5, start: str = "parallel") -> np.ndarray:
+    """Centres by rounds over the whole base; starts from parallel_seeds or, with start `random`, from rows in the order of a hash. Empty clusters become zero vectors."""
+    if start == "parallel":
+        centres = parallel_seeds(base, k, seed)
+    else:
+        centres = matrix(base.where(SOUND.format("vec")).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k).select("vec").toArrow().column("vec"))
+    last = None
     for _ in range(rounds):
         got = lloyd_step(base, centres).toPandas()
         new = np.zeros_like(centres)
@@ -141,14 +201,15 @@ def ram_estimate(n: int, dim: int, size: int, degree: int) -> float:
     return 1.1 * (n * degree * 4 * 1.3 + n * (-(-dim // 8) * 8) * size)
 
 
-def seeds(points: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
-    """k rows of a bounded sample, each new one with a probability by its squared distance to those chosen."""
+def seeds(points: np.ndarray, k: int, seed: int = 42, weights: np.ndarray | None = None) -> np.ndarray:
+    """k rows of a bounded sample, each new one with a probability by its squared distance to those chosen, times its weight."""
     rng = np.random.default_rng(seed)
     chosen = [int(rng.integers(len(points)))]
     near = distances(points, points[chosen]).ravel()
     while len(chosen) < min(k, len(points)):
-        total = near.sum()
-        i = int(rng.choice(len(points), p=near / total)) if total > 0 else int(np.setdiff1d(np.arange(len(points)), chosen)[0])
+        share = near if weights is None else near * weights
+        total = share.sum()
+        i = int(rng.choice(len(points), p=share / total)) if total > 0 else int(np.setdiff1d(np.arange(len(points)), chosen)[0])
         chosen.append(i)
         near = np.minimum(near, distances(points, points[i : i + 1]).ravel())
     return points[chosen]

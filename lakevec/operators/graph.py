@@ -229,6 +229,62 @@ def build(base: DataFrame, params: GraphParams | None = None, folder: str | None
     return topology, entries
 
 
+#: Fixed value: how far over the degree a list may grow during an incremental build before it is pruned.
+SLACK = 1.3
+
+
+def grow(base: DataFrame, params: GraphParams | None = None, length: int = 75, width: int = 16, slack: float = SLACK, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(topology, entries): the graph of base(id, vec), built in batches that double the rows in it.
+
+    Rows come in the order of a hash. The first part is built as a whole; each
+    row of a batch is searched for in the graph of the rows before, so edges lead
+    to wherever its nearest rows are, and meets the near rows of its own batch.
+    Its neighbours take the new edge at the end of their lists; a list is
+    pruned only when it grows over slack times the degree, and all that are over
+    the degree are in the end. Batches double, so the tables written add up to
+    about twice the last one, and the rounds of searches grow with the logarithm of the table.
+    """
+    p, spark = params or GraphParams(), base.sparkSession
+    folder = work_folder(spark, "grow")
+    spot = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = base.where(SOUND.format("vec")).select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    rows = stored(rows.withColumn("spot", spot), f"{folder}/rows")
+    share = min(1.0, p.part / max(rows.count(), 1))
+    topology, entries = build(rows.where(F.col("spot") < share).select("id", "vec"), p)
+    step = 0
+    while share < 1:
+        step, upto = step + 1, min(1.0, 2 * share)
+        batch = stored(rows.where((F.col("spot") >= share) & (F.col("spot") < upto)).select("id", "vec"), f"{folder}/batch-{step}")
+        known = rows.where(F.col("spot") < share).select("id", "vec")
+        topology = stored(_grown(batch, known, topology, entries, p, length, width, slack, f"{folder}/{step}"), f"{folder}/topology-{step}")
+        share = upto
+    every = rows.select("id", "vec")
+    long = topology.where(F.size("nbrs") > p.degree)
+    cut = stored(prune(long.select("id", F.explode("nbrs").alias("nbr")), every, p.degree, p.alpha, p.candidates, p.saturate), f"{folder}/cut")
+    return stored(topology.join(cut.select("id"), "id", "left_anti").unionByName(cut), f"{folder}/topology"), entries
+
+
+def _grown(batch: DataFrame, known: DataFrame, topology: DataFrame, entries: DataFrame, p: GraphParams, length: int, width: int, slack: float, folder: str) -> DataFrame:
+    """topology with the lists of a batch and the edges back to it."""
+    every, most = known.unionByName(batch), int(p.degree * slack)
+    found = search(batch.selectExpr("id AS qid", "vec AS qvec"), known, topology, entries, k=length, length=length, width=width)
+    among = stored(near_in_parts(cluster.parts(batch, folder, p.part), p), f"{folder}/among")
+    candidates = found.selectExpr("qid AS id", "id AS nbr").unionByName(among).unionByName(among.selectExpr("nbr AS id", "id AS nbr"))
+    linked = stored(prune(candidates, every, p.degree, p.alpha, p.candidates, p.saturate), f"{folder}/linked")
+    linked = linked.unionByName(batch.select("id").join(linked.select("id"), "id", "left_anti").select("id", F.array().cast("array<long>").alias("nbrs")))
+    back = stored(linked.select(F.explode("nbrs").alias("id"), F.col("id").alias("nbr")), f"{folder}/back")
+    ends = back.select("id").distinct()
+    both = topology.unionByName(linked)
+    own = both.join(ends, "id", "left_semi").select("id", F.posexplode("nbrs").alias("pos", "nbr"))
+    edges = own.unionByName(back.select("id", F.lit(2**30).alias("pos"), "nbr")).groupBy("id", "nbr").agg(F.min("pos").alias("pos"))
+    edges = stored(edges, f"{folder}/edges")
+    short = edges.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("id")
+    appended = edges.join(short, "id", "left_semi").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "nbr"))), lambda x: x["nbr"]).alias("nbrs"))
+    pruned = prune(edges.join(short, "id", "left_anti").select("id", "nbr"), every, p.degree, p.alpha, p.candidates, p.saturate)
+    changed = stored(appended.unionByName(pruned), f"{folder}/changed")
+    return both.join(changed.select("id"), "id", "left_anti").unionByName(changed)
+
+
 def navigation(base: DataFrame, share: float = 0.1, params: GraphParams | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(vectors, topology, entries) of a graph over a sample of base, which finds entry points of the large one (see entry_rows)."""
     some = sampling.at_least_one(base, share)
@@ -260,6 +316,8 @@ def truncation(length: int, keep: int) -> int:
 CODED = ("beam", "pipe", "coro", "page", "rerank", "codes")
 #: Fixed value: the width at which an adaptive traversal begins.
 NARROW = 4
+#: Entries up to which every query is measured against all of them.
+GUIDED = 4096
 #: Bytes of query tables that are sent to all executors; larger ones meet the pairs in a shuffle by query.
 TABLE_BYTES = 64 << 20
 
@@ -277,7 +335,8 @@ def search(queries: DataFrame, vectors: DataFrame | Keyed, topology: DataFrame |
     expanded ones come into the pool, and those that are near enough to be in it are
     expanded in the same round.
 
-    entries has id, and each query starts at its nearest n_entries of them; with
+    entries has id, and each query starts at its nearest n_entries of them, which
+    a graph over the entries finds where they are more than GUIDED; with
     a qid they are each query's own. Deleted rows are traversed like others, but
     length, width of the cut and k count live rows alone, so a pool widens until
     it holds `length` of these. Rounds go on until every pool is expanded. With
@@ -350,7 +409,11 @@ def search(queries: DataFrame, vectors: DataFrame | Keyed, topology: DataFrame |
     if "qid" in entries.columns:
         first = entries.select("qid", "id").distinct()
     else:
-        first = knn(queries, vectors.join(entries.select("id").distinct()).select("id", "vec"), n_entries).select("qid", "id")
+        known = stored(vectors.join(entries.select("id").distinct()).select("id", "vec"), f"{folder}/entries")
+        if known.count() > GUIDED:
+            first = entry_rows(queries, (known, *build(known)), n_entries)
+        else:
+            first = knn(queries, known, n_entries).select("qid", "id")
     fresh = {"expanded": F.lit(False), "at": F.lit(None).cast("int"), "width": F.lit(None).cast("int"), "compared": F.lit(None).cast("long")}
     pool = stored(pooled(measure(first, False).withColumns({**fresh, "hop": F.lit(0)}), 0), f"{folder}/pool-0")
     in_front = F.coalesce(F.col("open") <= F.col("width"), F.lit(False))
