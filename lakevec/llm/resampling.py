@@ -121,6 +121,7 @@ def ranked(docs: DataFrame, target: DataFrame, percent: int = PERCENT, min_words
     noise = F.floor(F.log(-F.log((h + 0.5) / 4294967296.0)) * -1000.0)
     scored = weighed(rows, gains, buckets, max_n).withColumn("score", F.col("weight") + noise).withColumn("takes_part", F.col("n_words") >= min_words)
     ordered = scored.select("_row", "doc_id", "n_features", "weight", "score", (~F.col("takes_part")).cast("int").alias("out"), (-F.col("score")).alias("down"), F.isnull("doc_id").alias("no_id"), "hash", F.monotonically_increasing_id().alias("copy"))
+    ordered = stored(ordered, f"{folder}/scored")  # once: texts aren't read again for the ranges
     ranks = placed(ordered, "out", "down", "no_id", "doc_id", "hash", "copy")  # copy: rows that repeat all else aren't one range
     n = ranks.where("out = 0").count()
     drawn = (F.col("out") == 0) & (F.col("place") < percent * n // 100)
