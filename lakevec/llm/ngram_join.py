@@ -329,11 +329,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees:
     grouped = vertices.select("s1", "s2", "v", "copy_of").join(tied, "v", "left").join(counts, "v", "left").withColumn("label", F.coalesce("label", "v"))
     least_ids = grouped.groupBy("label").agg(F.min("copy_of").alias("class_id"))
     grouped = stored(grouped.join(least_ids, "label").select("s1", "s2", "copy_of", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), f"{folder}/grouped")
-    for name in ("vertices", "roots", "tries", "sets", "classes", *(f"{x}-{d}" for x in ("nodes", "links", "met") for d in range(least, depth + 1))):
-        discard(spark, f"{folder}/{name}")  # what is left needs keys and grouped alone
     out = keys.select("doc_id", "s1", "s2", "n_shingles").join(grouped, ["s1", "s2"], "left")
     alone = F.col("n_shingles") == 0
-    return out.select("doc_id", *[F.when(alone, F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("class_id", "copy_of")], F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = out.select("doc_id", *[F.when(alone, F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("class_id", "copy_of")], F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = stored(out, f"{folder}/out")
+    for name in ("keys", "grouped", "vertices", "roots", "tries", "sets", "classes", *(f"{x}-{d}" for x in ("nodes", "links", "met") for d in range(least, depth + 1))):
+        discard(spark, f"{folder}/{name}")  # four numbers a row are left
+    return out
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
