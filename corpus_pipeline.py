@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakevec.llm import decontaminate, language_id, line_dedup, mixing, ngram_join
-from lakevec.llm.common import stored, work_folder
+from lakevec.llm.common import discard, stored, work_folder
+
+#: Work tables that a stage's result is read from. The next stage begins when that result is written, and deletes them.
+_WORK: list[str] = []
+
+
+def _begin(spark: SparkSession) -> None:
+    while _WORK:
+        discard(spark, _WORK.pop())
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,6 +27,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     as random letters. Where no row has both a language and a text, nothing is
     learned and all go. Repeated rows are judged alike; own columns may have any name.
     """
+    _begin(spark)
     free = [next(x for i in count() if (x := f"{name}{i}") not in docs.columns) for name in ("lang_pred", "score", "fits")]
     model = language_id.train(docs.select("doc_id", "text", "lang"))
     return language_id.predict(docs, model, tuple(free)).where(free[2]).select(*docs.columns)
@@ -29,16 +38,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Repeated rows count as documents of their own; own columns may have any name.
     """
+    _begin(spark)
     return line_dedup.kept_documents(docs).where(F.length(F.btrim("text", F.lit(line_dedup.BLANKS))) > 0)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates stays: the one of the least id, of equal ids any one, rows without an id last.
 
-    Rows are numbered first, as ids may be null, repeat, or stand on different texts.
+    Rows are numbered first, as ids may be null, repeat, or stand on different texts. The numbered rows are
+    a work table, which the stage that is called next deletes: the result must be written by then.
     """
+    _begin(spark)
     packed = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    rows = stored(packed, f"{work_folder(spark, 'rows')}/rows")
+    _WORK.append(f"{work_folder(spark, 'rows')}/rows")
+    rows = stored(packed, _WORK[-1])
     found = ngram_join.near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")))
     ids = rows.select("row", F.col("doc.doc_id").alias("id")).join(found.select(F.col("doc_id").alias("row"), "class_id"), "row")
     heads = ids.groupBy("class_id").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "row")).alias("head")).select("head.row")
@@ -47,6 +60,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go. Null and empty texts have none; repeated rows are judged alike; own columns may have any name."""
+    _begin(spark)
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -55,6 +69,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without a word go; null sources are a source of their own; repeated rows are drawn separately.
     """
+    _begin(spark)
     return mixing.mixed(docs)
 
 
