@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from lakevec.functions.storage import stored, work_folder
 from lakevec.operators import cluster, exact, graph, layout, metrics, pq, sampling, stats, update
 from lakevec.sources import index
 from lakevec.sources import vectors as files
-from lakevec.streaming.replay import replay
+from lakevec.streaming.replay import keep_up, replay, trace_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -320,25 +321,28 @@ def pq_train(spark, sf_dir):
     return first.groupBy("chunk").agg(F.avg("err").alias("before")).join(both.groupBy("chunk").agg(F.avg("err").alias("after")), "chunk")
 
 
-def neighbour_graph(base: DataFrame, k: int = 8) -> DataFrame:
-    """topology of each row's k nearest rows, a graph that SQL can make too."""
-    near = exact.knn(base.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), base, k, exclude_self=True)
-    return near.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("n")).select(F.col("qid").alias("id"), F.transform("n", lambda x: x["id"]).alias("nbrs"))
+def rule_graph(base: DataFrame) -> DataFrame:
+    """topology of one to eight neighbours of each row by a rule on its number, a graph that SQL can make too and that grows with the table alone."""
+    n = base.count()
+    edges = base.select("id", F.explode(F.sequence(F.lit(1), (F.col("id") % 8 + 1).cast("int"))).alias("pos"))
+    edges = edges.select("id", "pos", ((F.col("id") * 3 + F.col("pos") * F.col("pos") * 7 + 1) % max(n, 1)).alias("nbr")).where("nbr <> id")
+    edges = edges.groupBy("id", "nbr").agg(F.min("pos").alias("pos"))
+    return edges.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "nbr"))), lambda x: x["nbr"]).alias("nbrs"))
 
 
-_GRAPH = f"""{PRELUDE}, g AS (SELECT a.id, b.id AS nbr, row_number() OVER (PARTITION BY a.id ORDER BY {D2.format(a='a.v', b='b.v')}, b.id) AS pos FROM e a, e b WHERE a.id <> b.id QUALIFY pos <= 8)"""
+_GRAPH = f"""{PRELUDE}, g AS (SELECT id, (id * 3 + pos * pos * 7 + 1) % (SELECT count(*) FROM embeddings) AS nbr, min(pos) AS pos FROM e, range(1, 9) r(pos) WHERE pos <= id % 8 + 1 GROUP BY 1, 2 HAVING nbr <> id)"""
 
 
 @query(f"{_GRAPH}, d AS (SELECT id, count(*) AS n FROM g GROUP BY id) SELECT count(*) AS n, CAST(max(n) AS INTEGER) AS most, avg(n) AS mean, CAST(min(n) AS INTEGER) AS least, count(*) FILTER (WHERE n < 2) AS below_two FROM d")
 def degree_statistics(spark, sf_dir):
-    return stats.degrees(neighbour_graph(base_of(spark, sf_dir)))
+    return stats.degrees(rule_graph(base_of(spark, sf_dir)))
 
 
 @query(f"""{_GRAPH} SELECT id, nbr, v[1] AS first FROM g JOIN e USING (id)""")
 def stored_index(spark, sf_dir):
     """An index is saved in two versions and the last one opened: vectors and edges side by side."""
     base = base_of(spark, sf_dir).select("id", "vec")
-    topology, path = neighbour_graph(base), work_folder(spark, "index")
+    topology, path = rule_graph(base), work_folder(spark, "index")
     index.save(path, base, topology.limit(0), base.select("id").limit(0))
     index.save(path, base, topology, cluster.medoid(base).select("id"))
     got = index.open_index(spark, path).coupled()
@@ -349,7 +353,7 @@ def stored_index(spark, sf_dir):
 SELECT s.s::DOUBLE AS share, l[least(CAST(floor(s.s::DOUBLE * n) AS BIGINT), n - 1) + 1] AS value FROM o, (VALUES (0.5), (0.9), (0.99), (0.999)) s(s)""")
 def percentiles(spark, sf_dir):
     """Order statistics of how many rows name a row as a neighbour."""
-    named = neighbour_graph(base_of(spark, sf_dir)).select(F.explode("nbrs").alias("id")).groupBy("id").agg(F.count("*").alias("value"))
+    named = rule_graph(base_of(spark, sf_dir)).select(F.explode("nbrs").alias("id")).groupBy("id").agg(F.count("*").alias("value"))
     return stats.order_statistics(named, "value", [0.5, 0.9, 0.99, 0.999])
 
 
@@ -358,7 +362,7 @@ heirs AS (SELECT id, nbr FROM (SELECT id, nbr, row_number() OVER (PARTITION BY i
 SELECT DISTINCT id, nbr FROM (SELECT id, nbr FROM own WHERE nbr % 5 <> 0 AND id IN (SELECT id FROM hurt) UNION ALL SELECT hurt.id, heirs.nbr FROM hurt JOIN heirs ON heirs.id = hurt.nbr) WHERE id <> nbr""")
 def repair_candidates(spark, sf_dir):
     base = base_of(spark, sf_dir)
-    return update.repaired_neighbours(neighbour_graph(base), base.where("id % 5 = 0").select("id"))
+    return update.repaired_neighbours(rule_graph(base), base.where("id % 5 = 0").select("id"))
 
 
 @query("SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS new_id FROM embeddings WHERE vec_id % 3 <> 0")
@@ -366,10 +370,14 @@ def renumber(spark, sf_dir):
     return update.renumber(base_of(spark, sf_dir).where("id % 3 <> 0").select("id"))
 
 
-@query("""SELECT CAST(floor(vec_id / 40) AS INTEGER) AS step, 'delete' AS op, vec_id AS id FROM embeddings WHERE vec_id < 120
-UNION ALL SELECT CAST(floor((vec_id - 200) / 40) AS INTEGER), 'insert', vec_id FROM embeddings WHERE vec_id >= 200 AND vec_id < 320""")
+@query("""WITH p AS (SELECT count(*) // 2 AS n, greatest(count(*) // 10, 1) AS b FROM embeddings)
+SELECT CAST(vec_id // b AS INTEGER) AS step, 'delete' AS op, vec_id AS id FROM embeddings, p WHERE vec_id < 3 * b
+UNION ALL SELECT CAST((vec_id - n) // b AS INTEGER), 'insert', vec_id FROM embeddings, p WHERE vec_id >= n AND vec_id < n + 3 * b""")
 def update_trace(spark, sf_dir):
-    return update.trace(base_of(spark, sf_dir), 200, 40, 3)
+    """Half of the rows first, a tenth of them a batch, three batches."""
+    base = base_of(spark, sf_dir)
+    rows = base.count()
+    return update.trace(base, rows // 2, max(rows // 10, 1), 3)
 
 
 @query("""WITH s AS (SELECT count(*) AS c FROM embeddings), p AS (SELECT c * 3 // 5 AS n, greatest(c // 20, 1) AS b FROM s)
@@ -620,3 +628,154 @@ def update_cycle(spark, sf_dir):
     """A graph of the first part of the rows takes in the next rows, loses some and is repaired; then it is searched."""
     base, topology, vectors, entries = churned(spark, sf_dir)
     return graph.search(queries_of(base), vectors, topology, entries, 10, length=100, width=32)
+
+
+def small_index(base: DataFrame, path: str) -> None:
+    """A stored index with tags twice the ids."""
+    index.build_index(base.select("id", "vec"), path, chunks=16, codes=32, two_books=False, tags=base.select("id", (F.col("id") * 2).alias("tag")))
+
+
+@query("SELECT vec_id AS id, vec_id % 10 = 0 AS again FROM embeddings WHERE vec_id % 5 <> 0 OR vec_id % 10 = 0")
+def reinsert_cycle(spark, sf_dir):
+    """Rows are deleted from a stored index and half of them inserted again: these live, and repair takes the others out."""
+    base, path = base_of(spark, sf_dir), work_folder(spark, "index")
+    small_index(base, path)
+    index.delete(path, base.where("id % 5 = 0").select("id"))
+    index.insert(path, base.where("id % 10 = 0").select("id", "vec"))
+    index.repair(path, spark)
+    x = index.open_index(spark, path)
+    rows = x.vectors.join(x.topology.select("id"), "id").join(x.codes.select("id"), "id").join(x.layout.select("id"), "id")
+    return rows.join(x.tombstones.select("id"), "id", "left_anti").select("id", (F.col("id") % 10 == 0).alias("again"))
+
+
+@query("SELECT vec_id * 2 AS tag, CAST(embedding[1] AS DOUBLE) AS first FROM embeddings WHERE vec_id % 7 <> 3 AND vec_id % 11 <> 4")
+def merge_while_deleting(spark, sf_dir):
+    """Rows are deleted while a merge gives all rows new ids: what lives in the end, by its tag."""
+    base, path = base_of(spark, sf_dir), work_folder(spark, "index")
+    small_index(base, path)
+    index.delete(path, base.where("id % 7 = 3").select("id"))
+    with ThreadPoolExecutor(2) as pool:
+        merging = pool.submit(index.merge, path, spark)
+        pool.submit(index.delete, path, base.where("id % 11 = 4").select("id")).result()
+        merging.result()
+    x = index.open_index(spark, path)
+    live = x.vectors.join(x.tombstones.select("id"), "id", "left_anti").join(x.tags, "id")
+    return live.select("tag", F.element_at("vec", 1).alias("first"))
+
+
+@query("SELECT vec_id AS id, vec_id % 8 = 5 AS added FROM embeddings WHERE vec_id % 8 NOT IN (1, 2, 3)")
+def concurrent_updates(spark, sf_dir):
+    """Four writers change a stored index at once: nobody's change is lost."""
+    base, path = base_of(spark, sf_dir), work_folder(spark, "index")
+    small_index(base.where("id % 8 <> 5"), path)
+    with ThreadPoolExecutor(4) as pool:
+        jobs = [pool.submit(index.delete, path, base.where(f"id % 8 = {i}").select("id")) for i in (1, 2, 3)]
+        jobs.append(pool.submit(index.insert, path, base.where("id % 8 = 5").select("id", "vec")))
+        for j in jobs:
+            j.result()
+    x = index.open_index(spark, path)
+    return x.vectors.join(x.tombstones.select("id"), "id", "left_anti").select("id", (F.col("id") % 8 == 5).alias("added"))
+
+
+@query("""WITH RECURSIVE p AS (SELECT count(*) AS n FROM embeddings),
+w AS (SELECT vec_id AS qid, vec_id AS id, 0 AS hop FROM embeddings WHERE vec_id % 50 = 0
+  UNION SELECT qid, CASE k WHEN 0 THEN (id * 2) % n WHEN 1 THEN (id * 3 + 1) % n ELSE id // 2 END, hop + 1 FROM w, p, range(0, 3) r(k) WHERE hop < 3),
+f AS (SELECT qid, id, min(hop) AS hop FROM w GROUP BY qid, id),
+c AS (SELECT qid, unnest(['compared', 'expanded']) AS what, unnest([count(*), count(*) FILTER (WHERE hop < 3)]) AS value FROM f GROUP BY qid),
+l AS (SELECT what, list(value ORDER BY value) AS l, count(*) AS m FROM c GROUP BY what)
+SELECT what, s.s::DOUBLE AS share, l[least(CAST(floor(s.s::DOUBLE * m) AS BIGINT), m - 1) + 1] AS value FROM l, (VALUES (0.5), (0.9), (0.99)) s(s)""")
+def search_work(spark, sf_dir):
+    """Percentiles of the rows that searches of three rounds measured and expanded, on a graph that a rule gives."""
+    base = base_of(spark, sf_dir)
+    n = base.count()
+    nbrs = F.array_distinct(F.array((F.col("id") * 2) % n, (F.col("id") * 3 + 1) % n, F.floor(F.col("id") / 2)))
+    asked = queries_of(base)
+    found = graph.search(asked, base.select("id", "vec"), base.select("id", nbrs.alias("nbrs")), asked.select("qid", F.col("qid").alias("id")), 10, length=n, width=n, max_hops=3, counts=True)
+    work = stored(found.select("qid", "compared", "expanded").distinct(), f"{work_folder(spark, 'work')}/counts")
+    kinds = [stats.order_statistics(work, c, [0.5, 0.9, 0.99]).select(F.lit(c).alias("what"), "share", "value") for c in ("compared", "expanded")]
+    return kinds[0].unionByName(kinds[1])
+
+
+@query("""SELECT s AS one_of, count(*) FILTER (WHERE vec_id % s = 0) AS n, CAST(0 AS BIGINT) AS too_many, true AS not_below
+FROM embeddings, (VALUES (4), (2), (1)) t(s) GROUP BY s""")
+def grown_graph(spark, sf_dir):
+    """Graphs built in doubling batches, at three sizes: recall at 10 is at most two points below that of the build in parts at equal degree and pool."""
+    out, p = None, graph.GraphParams(part=100)
+    for one_of in (4, 2, 1):
+        base = base_of(spark, sf_dir).where(F.col("id") % one_of == 0).select("id", "vec")
+        asked, recalls = queries_of(base), []
+        truth = stored(exact.knn(asked, base, 20), f"{work_folder(spark, 'truth')}/knn")
+        for build in (graph.build, graph.grow):
+            topology, entries = build(base, p)
+            found = graph.search(asked, base, topology, entries, 10, length=60, width=16)
+            recalls.append(exact.recall(truth, found, 10).first()["recall"])
+        row = topology.agg(F.count("*").alias("n"), F.count_if(F.size("nbrs") > p.degree).alias("too_many"))
+        row = row.select(F.lit(one_of).alias("one_of"), "n", "too_many", F.lit(recalls[1] >= recalls[0] - 2).alias("not_below"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(f"{_NEAR} SELECT round(sum(dist), 4) AS cost FROM n WHERE rank = 1")
+def clustering_cost(spark, sf_dir):
+    """The squared distances of all rows to the nearest of fixed centres, added up."""
+    base = base_of(spark, sf_dir)
+    total = cluster.cost(base, first_rows(base, CENTRES))
+    return base.limit(1).select(F.round(F.lit(total), 4).alias("cost"))
+
+
+@query("SELECT 16 AS centres, count(*) AS n, true AS not_above FROM embeddings")
+def kmeans_seeding(spark, sf_dir):
+    """Centres that k-means|| starts from cost no more than random rows do."""
+    base = base_of(spark, sf_dir)
+    found = cluster.parallel_seeds(base, CENTRES)
+    random = cluster.kmeans(base, CENTRES, rounds=0, start="random")
+    better = cluster.cost(base, found) <= cluster.cost(base, random)
+    return base.agg(F.lit(len(found)).alias("centres"), F.count("*").alias("n"), F.lit(better).alias("not_above"))
+
+
+@query("SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS first FROM embeddings WHERE vec_id >= (SELECT count(*) FROM embeddings) // 4")
+def vector_source(spark, sf_dir):
+    """Vector files read as a source, the ranges of rows chosen by a filter on the id."""
+    base, path = base_of(spark, sf_dir), f"{work_folder(spark, 'files')}/source"
+    files.write_vectors(base.select("id", "vec"), path, files=4)
+    files.register(spark)
+    got = spark.read.format("lakevec_vectors").load(path).where(F.col("id") >= base.count() // 4)
+    return got.select("id", F.element_at("vec", 1).cast("double").alias("first"))
+
+
+@query("""WITH p AS (SELECT count(*) // 2 AS n, greatest(count(*) // 10, 1) AS b FROM embeddings)
+SELECT CAST(vec_id // b AS INTEGER) AS step, 'delete' AS op, vec_id AS id FROM embeddings, p WHERE vec_id < 3 * b
+UNION ALL SELECT CAST((vec_id - n) // b AS INTEGER), 'insert', vec_id FROM embeddings, p WHERE vec_id >= n AND vec_id < n + 3 * b""")
+def trace_source(spark, sf_dir):
+    """The trace of update_trace in binary files, read as a stream."""
+    folder = work_folder(spark, "traces")
+    files.write_trace(update_trace(spark, sf_dir), f"{folder}/files")
+    seen = trace_stream(spark, f"{folder}/files").select("step", "op", "id")
+    seen.writeStream.format("parquet").option("path", f"{folder}/seen").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/seen")
+
+
+@query("""WITH p AS (SELECT count(*) // 2 AS n, greatest(count(*) // 10, 1) AS b FROM embeddings)
+SELECT vec_id AS id, vec_id >= n AS added FROM embeddings, p WHERE vec_id >= 3 * b AND vec_id < n + 3 * b""")
+def stream_upkeep(spark, sf_dir):
+    """A stored index of half the rows is kept up by the stream of update_trace, and the stream is run twice: every change is in it once."""
+    base, folder = base_of(spark, sf_dir).select("id", "vec"), work_folder(spark, "upkeep")
+    small_index(base.where(F.col("id") < base.count() // 2), f"{folder}/index")
+    files.write_trace(update_trace(spark, sf_dir), f"{folder}/files")
+    for run in range(2):  # the second one without the first one's checkpoint: all steps come again
+        keep_up(spark, f"{folder}/index", trace_stream(spark, f"{folder}/files"), base, f"{folder}/checkpoint-{run}", repair_every=3)
+    x = index.open_index(spark, f"{folder}/index")
+    live = x.vectors.join(x.topology.select("id"), "id").join(x.tombstones.select("id"), "id", "left_anti")
+    return live.select("id", (F.col("id") >= base.count() // 2).alias("added"))
+
+
+@query("SELECT count(*) AS n, count(*) AS places, CAST(0 AS BIGINT) AS over FROM embeddings")
+def page_growth(spark, sf_dir):
+    """A layout of most rows takes in the others, which bid for the pages of their neighbours: every row has one place, and no page is over-full."""
+    base = base_of(spark, sf_dir).select("id", "vec")
+    topology, _ = graph.build(base)
+    old = topology.join(base.where("id % 10 <> 1").select("id"), "id", "left_semi")
+    where = stored(layout.pages(old, base.where("id % 10 <> 1"), 16), f"{work_folder(spark, 'layout')}/old")
+    where = layout.with_new_rows(where, topology, base.where("id % 10 = 1"), 16)
+    full = where.groupBy("page").agg(F.count("*").alias("c")).agg(F.count_if(F.col("c") > 16).alias("over"))
+    return where.agg(F.countDistinct("id").alias("n"), F.countDistinct("page", "slot").alias("places")).crossJoin(full)
