@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,6 +48,17 @@ class Coder:
     book: DataFrame  # (chunk, code, sub)
     dim: int
     chunks: int
+    _sent: Broadcast | None = None
+
+    def sent(self) -> Broadcast:
+        """The table of centres, sent to the tasks once."""
+        if self._sent is None:
+            self._sent = self.book.sparkSession.sparkContext.broadcast(pq.centres(self.book))
+        return self._sent
+
+    def over(self, codes: DataFrame | Keyed) -> Coder:
+        """The same book with other codes."""
+        return Coder(codes, self.book, self.dim, self.chunks, self.sent())
 
 
 def robust_prune(dist: np.ndarray, vecs: np.ndarray, degree: int, alpha: float, saturate: bool = False, entry: int = -1) -> list[int]:
@@ -137,7 +149,7 @@ def candidate_lists(candidates: DataFrame, vectors: DataFrame | Keyed | Coder, m
 
 def _between(edges: DataFrame, coder: Coder) -> DataFrame:
     """edges (id, nbr, fresh, own, nvec) with dist, the squared distance of both ends' codes, by the table of centres that travels with the tasks."""
-    sent = edges.sparkSession.sparkContext.broadcast(pq.centres(coder.book))
+    sent = coder.sent()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -151,7 +163,7 @@ def _between(edges: DataFrame, coder: Coder) -> DataFrame:
 
 def _kept(lists: DataFrame, keep, coder: Coder | None = None) -> DataFrame:
     """topology of the candidates that keep(dist, vecs, fresh, ids) picks."""
-    sent = lists.sparkSession.sparkContext.broadcast(pq.centres(coder.book)) if coder else None
+    sent = coder.sent() if coder else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -316,6 +328,8 @@ def truncation(length: int, keep: int) -> int:
 CODED = ("beam", "pipe", "coro", "page", "rerank", "codes")
 #: Fixed value: the width at which an adaptive traversal begins.
 NARROW = 4
+#: Neighbours of a row that a round reckons with; only for telling without a count that there are few pairs.
+LONGEST = 128
 #: Entries up to which every query is measured against all of them.
 GUIDED = 4096
 #: Bytes of query tables that are sent to all executors; larger ones meet the pairs in a shuffle by query.
@@ -428,8 +442,11 @@ def search(queries: DataFrame, vectors: DataFrame | Keyed, topology: DataFrame |
         found = topology.join(front, n_front <= FEW).select("qid", F.explode("nbrs").alias("id")).distinct().join(pool.select("qid", "id"), ["qid", "id"], "left_anti")
         if mates is not None:
             found = found.join(mates.select("qid", "id"), ["qid", "id"], "left_anti")
-        found = stored(found, f"{folder}/found-{hop}")
-        new = measure(found, found.count() <= FEW).withColumns({**fresh, "hop": F.lit(hop)})
+        few = n_front * LONGEST <= FEW
+        if not few:
+            found = stored(found, f"{folder}/found-{hop}")
+            few = found.count() <= FEW
+        new = measure(found, few).withColumns({**fresh, "hop": F.lit(hop)})
         # Of rows that are in the pool already, those of the front are expanded now.
         taken = in_front if mates is None else F.col("front")
         old = pool if mates is None else pool.join(front.withColumn("front", F.lit(True)), ["qid", "id"], "left").withColumn("front", F.coalesce("front", F.lit(False)))

@@ -175,13 +175,13 @@ def insertion(new: DataFrame, vectors: DataFrame | Keyed, topology: DataFrame |
         old, old_vectors = old.without(again), old_vectors.without(again)
         tombstones = tombstones.join(again, "id", "left_anti") if tombstones is not None else None
         entries = entries.join(again, "id", "left_anti")
-        coder = coder and Coder(keyed(coder.codes).without(again), coder.book, coder.dim, coder.chunks)
+        coder = coder and coder.over(keyed(coder.codes).without(again))
     asked = new.selectExpr("id AS qid", "vec AS qvec")
-    found = search(asked, old_vectors, old, entries, k=length, length=length, tombstones=tombstones, **({"mode": "codes", "coder": coder} if coder else {}))
+    found = search(asked, old_vectors, old, entries, k=length, length=length, width=max(8, length // 2), tombstones=tombstones, **({"mode": "codes", "coder": coder} if coder else {}))
     among = near_in_parts(cluster.parts(new, folder, p.part), p)
     candidates = found.selectExpr("qid AS id", "id AS nbr").unionByName(among).unionByName(among.selectExpr("nbr AS id", "id AS nbr"))
     if coder:
-        every = Coder(keyed(coder.codes).over(stored(codes, f"{folder}/codes")), coder.book, coder.dim, coder.chunks)
+        every = coder.over(keyed(coder.codes).over(codes))
     else:
         every = Keyed(old_vectors.base.select("id", F.col("vec").cast("array<double>").alias("vec")), old_vectors.changed).over(new)
     linked = stored(prune(candidates, every, p.degree, p.alpha, p.candidates, p.saturate), f"{folder}/linked")
