@@ -34,6 +34,8 @@ ORDER, MIN_SEEN = 3, 4
 TEMPERATURE = 8.0
 #: Bytes handled at once, and costs looked up at once.
 PIECE = 1 << 20
+#: Rows coded and handed on at once.
+SLICE_ROWS = 512
 
 _TABLES: dict[str, CodeTable] = {}
 
@@ -193,7 +195,7 @@ def predict(docs: DataFrame, model: pd.DataFrame, names: tuple[str, str, str] =
         if key not in _TABLES:
             _TABLES.clear()
             _TABLES[key] = code_table(pd.DataFrame(dict(zip(("lang", "k", "gram", "n"), columns, strict=True))), known)
-        for b in batches:
+        for b in (whole.slice(lo, SLICE_ROWS) for whole in batches for lo in range(0, whole.num_rows, SLICE_ROWS)):
             data, offsets = flat_bytes(b.column("row").field("text"))
             bits, single = code_lengths(data, offsets, _TABLES[key], (ORDER, 0))
             letters = b.column("letters").to_numpy(zero_copy_only=False).astype(bool)
