@@ -97,7 +97,7 @@ def with_new_rows(layout: DataFrame, topology: DataFrame, new: DataFrame, capaci
     return layout.select("id", "page", "slot").join(changed.select("id"), "id", "left_anti").unionByName(changed)
 
 
-def changed_by(layout: DataFrame, topology: DataFrame | Keyed, lists: DataFrame, new: DataFrame, capacity: int = 16, choices: int = 3, rounds: int = 3) -> DataFrame:
+def changed_by(layout: DataFrame, topology: DataFrame | Keyed, lists: DataFrame, new: DataFrame, capacity: int = 16, choices: int = 2, rounds: int = 3) -> DataFrame:
     """(id, page, slot) of the rows that get a place, or another one, when new(id) come in; lists (id, nbrs) has those of new and is laid over topology.
 
     In each round a row without a place bids for the pages of its `choices`

@@ -207,4 +207,4 @@ def test_pages_stay_near_after_many_batches(spark):
         where = spark.createDataFrame(layout.with_new_rows(where, topology, new, 8).collect(), "id long, page long, slot int")
     assert where.count() == 600 and where.groupBy("page", "slot").count().where("count > 1").count() == 0 and where.groupBy("page").count().where("count > 8").count() == 0
     fresh, grown = (layout.locality(topology, w).first() for w in (layout.pages(topology, rows, 8), where))
-    assert grown["same_page"] > 0.9 * fresh["same_page"]
+    assert grown["same_page"] > 0.8 * fresh["same_page"]
