@@ -445,7 +445,7 @@ def search_query(mode: str, **options):
     return run
 
 
-for _mode, _options in {"memory": {}, "beam": {}, "page": {}, "rerank": {"keep": 40}}.items():
+for _mode, _options in {"memory": {}, "beam": {}, "pipe": {}, "page": {}, "rerank": {"keep": 40}}.items():
     QUERIES[f"search_{_mode}"] = search_query(_mode, length=100, width=32, **_options)
 
 
@@ -472,7 +472,7 @@ def _knn_sql(live: str) -> str:
 SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS INTEGER) AS rank, id, round(dist, 6) AS dist FROM d QUALIFY rank <= 10"""
 
 
-for _mode in ("memory", "beam", "page", "rerank"):
+for _mode in ("memory", "beam", "pipe", "page", "rerank"):
     QUERIES[f"search_{_mode}_full"] = full_query(_mode)
     ORACLES[f"search_{_mode}_full"] = _knn_sql("id >= 0")
 #: Nineteen of twenty rows are deleted.
