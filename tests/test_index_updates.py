@@ -176,6 +176,14 @@ def test_entries_are_created_once(spark, tmp_path):
     assert json.loads((tmp_path / "log" / "log" / "000000000001.json").read_text())["version"] == 1
 
 
+def test_entries_are_created_once_by_renaming(spark, tmp_path):
+    """On file systems other than local disks, here one that is mounted by name."""
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.logs.link./in", f"file://{tmp_path}")
+    path = "viewfs://logs/in/index"
+    assert log.create(spark, path, log.Entry("save", 0, version=1)) and not log.create(spark, path, log.Entry("merge", 0, version=1))
+    assert log.versions(spark, path) == [1] and log.read(spark, path, 1).kind == "save"
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
