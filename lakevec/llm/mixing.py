@@ -22,22 +22,24 @@ from pyspark.sql import functions as F
 
 from lakevec.llm.common import stored, unpacked, work_folder
 
-#: Documents that a block of the permuted order holds, about; words of an output shard, about; sources whose table may be broadcast.
-BLOCK_DOCS, SHARD_WORDS, BROADCAST_SOURCES = 1024, 4_000_000, 50_000
+#: Documents that a block of the permuted order holds, about (never twice as many); words of an output shard, about.
+BLOCK_DOCS, SHARD_WORDS = 1024, 4_000_000
+#: Output shards at most: beyond them shards grow. Sources whose table may be broadcast.
+MAX_SHARDS, BROADCAST_SOURCES = 65_536, 50_000
 
 
 def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.lit(0))
 
 
-def source_targets(sizes: DataFrame, max_repeats: int = 3) -> DataFrame:
-    """(source, source_size, n_docs, target): one row a source, null last among them.
+def source_targets(items: DataFrame, max_repeats: int = 3) -> DataFrame:
+    """(source, source_size, n_docs, target) of items(source, size, n), n rows each: one row a source, null last among them.
 
     Weights go 1, 2, 3 by code point order and share the sum of all sizes. By
     rising room for each unit of weight, a source stops at max_repeats times its
     size if its share of what the sources before it leave is more than that.
     """
-    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    s = items.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
     rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
     s = s.withColumn("rank", rank).withColumn("w", (F.col("rank") - 1) % 3 + 1).withColumn("cap", F.col("source_size") * max_repeats)
     whole, before = W.partitionBy(), W.orderBy(F.col("cap") / F.col("w"), "rank").rowsBetween(W.unboundedPreceding, -1)
@@ -86,49 +88,64 @@ def _sized(docs: DataFrame, *more: Column) -> DataFrame:
 
 
 class Mix:
-    """The draws of a mix: which blocks of which sources go to which shards."""
+    """The draws of a mix: which blocks of which sources go to which shards.
+
+    Rows of a source that are alike in id and text are one item with a count.
+    Items are cut into pieces of at most BLOCK_DOCS copies, and pieces in the
+    order of their keys into blocks, so rows that repeat lie in many blocks.
+    """
 
     def __init__(self, sizes: DataFrame, n_shards: int | None, max_repeats: int, seed: int):
         self.spark, self.folder = sizes.sparkSession, work_folder(sizes.sparkSession, "mixing")
-        self.sizes = stored(sizes, f"{self.folder}/sizes")
-        targets = source_targets(self.sizes, max_repeats).withColumn("source_no", (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1).cast("int"))
+        items = stored(sizes.groupBy("source", "key", "doc_id", "size").agg(F.count("*").alias("n")), f"{self.folder}/items")
+        targets = source_targets(items, max_repeats).withColumn("source_no", (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1).cast("int"))
         bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n_docs") / F.lit(float(BLOCK_DOCS))))).cast("int")
         passes = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_repeats))).otherwise(0).cast("int")
         targets = targets.withColumns({"bits": bits, "passes": passes}).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
         self.targets = stored(targets, f"{self.folder}/targets")
         self.n_sources = self.targets.count()
+        self.pieces = stored(self.cut(items), f"{self.folder}/pieces")
         # Words of each block, and before it in its source.
-        blocks = self.placed(self.sizes).groupBy("source_no", "block", "passes", "rest").agg(F.sum("size").alias("words"))
-        ahead = W.partitionBy("source_no").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+        blocks = self.pieces.groupBy("source_no", "block", "part", "passes", "rest").agg(F.sum(F.col("size") * F.col("m")).alias("words"))
+        ahead = W.partitionBy("source_no").orderBy("block", "part").rowsBetween(W.unboundedPreceding, -1)
         self.blocks = stored(blocks.withColumn("ahead", F.coalesce(F.sum("words").over(ahead), F.lit(0))), f"{self.folder}/blocks")
         # Each pass over a block is a draw; the last, partial pass ends at the block that holds the rest's end.
         partial = (F.col("rest") > 0) & (F.col("ahead") <= F.col("rest"))
         turns = F.concat(F.array_repeat(F.lit(False), F.col("passes")), F.when(partial, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
-        draws = self.blocks.select("source_no", "block", F.posexplode(turns).alias("turn", "partial"))
-        order = W.partitionBy("source_no").orderBy("turn", F.xxhash64(F.lit(seed), "block", "turn"), "block")
+        draws = self.blocks.select("source_no", "block", "part", F.posexplode(turns).alias("turn", "partial"))
+        order = W.partitionBy("source_no").orderBy("turn", F.xxhash64(F.lit(seed), "block", "part", "turn"), "block", "part")
         self.draws = stored(draws.withColumn("draw", (F.row_number().over(order) - 1).cast("long")), f"{self.folder}/draws")
         quotas = {r["source_no"]: r["n"] for r in self.draws.groupBy("source_no").agg(F.count("*").alias("n")).collect()}
         words = self.targets.agg(F.sum("target")).first()[0] or 0.0
-        self.n_shards = n_shards or max(1, min(sum(quotas.values()), math.ceil(words / SHARD_WORDS)))
+        self.n_shards = n_shards or max(1, min(sum(quotas.values()), math.ceil(words / SHARD_WORDS), MAX_SHARDS))
         self.tree = shard_draws(self.spark, [quotas.get(i, 0) for i in range(self.n_sources)], self.n_shards, seed)
 
-    def placed(self, rows: DataFrame) -> DataFrame:
-        """rows with their source's numbers and their block."""
-        known = self.targets.select(F.col("source").alias("_s"), "source_no", "source_size", "target", "passes", "rest", "bits")
+    def numbered(self, rows: DataFrame, *columns: str) -> DataFrame:
+        """rows with source_no and other columns of their source."""
+        known = self.targets.select(F.col("source").alias("_s"), "source_no", *columns)
         known = F.broadcast(known) if self.n_sources <= BROADCAST_SOURCES else known
-        rows = rows.join(known, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-        first = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
-        return rows.withColumn("block", F.floor(first / F.pow(F.lit(2.0), 32 - F.col("bits"))).cast("long"))
+        return rows.join(known, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
 
-    def dealt(self, rows: DataFrame) -> DataFrame:
-        """rows with shards, the shard of each of their copies, and taken, the words of these copies."""
-        drawn = self.draws.join(self.tree, ["source_no", "draw"]).groupBy("source_no", "block")
+    def cut(self, items: DataFrame) -> DataFrame:
+        """The pieces of all items: m copies from copy number chunk * BLOCK_DOCS on, and their block, which is a range of the hash and a part of that range."""
+        rows = self.numbered(items, "source_size", "target", "passes", "rest", "bits")
+        first = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
+        rows = rows.withColumn("block", F.floor(first / F.pow(F.lit(2.0), 32 - F.col("bits"))).cast("long"))
+        chunks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK_DOCS).cast("long"))
+        rows = rows.withColumn("chunk", F.explode(chunks)).withColumn("m", F.least(F.col("n") - F.col("chunk") * BLOCK_DOCS, F.lit(BLOCK_DOCS)))
+        before = W.partitionBy("source_no", "block").orderBy("key", "doc_id", "size", "chunk").rowsBetween(W.unboundedPreceding, -1)
+        return rows.withColumn("part", F.floor(F.coalesce(F.sum("m").over(before), F.lit(0)) / BLOCK_DOCS).cast("long")).drop("bits", "n", "source")
+
+    def dealt(self) -> DataFrame:
+        """The pieces' copies, numbered in their piece, with shards, the shard of each draw of a copy, and taken, the words of these draws."""
+        drawn = self.draws.join(self.tree, ["source_no", "draw"]).groupBy("source_no", "block", "part")
         drawn = drawn.agg(F.array_sort(F.collect_list(F.struct("turn", "partial", "shard"))).alias("drawn"))
-        drawn = self.blocks.select("source_no", "block", "ahead").join(drawn, ["source_no", "block"], "left")
-        d = self.placed(rows).join(drawn, ["source_no", "block"])
-        inside = W.partitionBy("source_no", "block").orderBy("key", "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, -1)
-        d = d.withColumn("before", F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        fits = F.col("before") + F.col("size") * F.lit(0.5) <= F.col("rest")
+        drawn = self.blocks.select("source_no", "block", "part", "ahead").join(drawn, ["source_no", "block", "part"], "left")
+        d = self.pieces.join(drawn, ["source_no", "block", "part"])
+        inside = W.partitionBy("source_no", "block", "part").orderBy("key", "doc_id", "size", "chunk").rowsBetween(W.unboundedPreceding, -1)
+        d = d.withColumn("before", F.col("ahead") + F.coalesce(F.sum(F.col("size") * F.col("m")).over(inside), F.lit(0)))
+        d = d.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+        fits = F.col("before") + F.col("copy") * F.col("size") + F.col("size") * F.lit(0.5) <= F.col("rest")
         got = F.filter(F.coalesce("drawn", F.array().cast("array<struct<turn:int,partial:boolean,shard:int>>")), lambda x: (F.col("size") > 0) & (~x["partial"] | fits))
         d = d.withColumn("shards", F.transform(got, lambda x: x["shard"]))
         return d.withColumn("taken", F.col("size") * F.size("shards"))
@@ -141,29 +158,46 @@ def mix_table(docs: DataFrame, n_shards: int | None = None, max_repeats: int = 3
     of each copy that the shards' draws hold of the document, and taken counts
     the words of these copies. A source's taken words differ from its target by
     at most half the size of one document. Rows that repeat are dealt
-    separately; rows without source are a source of their own, rows without id
-    have the empty id; other columns are left out. Only one number for each
+    separately, however many they are; rows without source are a source of their own,
+    rows without id have the empty id; other columns are left out. Only one number for each
     source comes to the driver. n_shards follows from the size of the mix.
     """
-    mix = Mix(_sized(docs), n_shards, max_repeats, seed)
-    return mix.dealt(mix.sizes).select("doc_id", "size", "source_size", "target", "taken", "shards")
+    return Mix(_sized(docs), n_shards, max_repeats, seed).dealt().select("doc_id", "size", "source_size", "target", "taken", "shards")
+
+
+def _with_copy_number(rows: DataFrame) -> DataFrame:
+    """rows with no, from 0 among those of one source_no, key and doc_id: rows are numbered inside the task that wrote them (pid), so many like rows are no hot group."""
+    same = ["source_no", "key", "doc_id"]
+    there = rows.groupBy(*same, "pid").agg(F.count("*").alias("here"))
+    before = F.coalesce(F.sum("here").over(W.partitionBy(*same).orderBy("pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each task
+    there = there.select(*[F.col(c).alias(f"_{c}") for c in (*same, "pid")], before.alias("_before"))
+    rows = rows.withColumn("_in", F.row_number().over(W.partitionBy(*same, "pid").orderBy("mid")) - 1)
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*same, "pid")]
+    rows = rows.join(there, on[0] & on[1] & on[2] & on[3])
+    return rows.withColumn("no", F.col("_before") + F.col("_in")).drop(*[f"_{c}" for c in (*same, "pid", "before", "in")])
 
 
 def mixed(docs: DataFrame, n_shards: int | None = None, max_repeats: int = 3, seed: int = 17) -> DataFrame:
     """The mix itself: docs' rows, once for each copy, with shard and place; each shard in its own shuffled order.
 
-    Every row travels with its own columns to its block and from there to its
-    shards, so rows that are alike but for their source stay apart. Empty
-    documents have no words to take and are not in the mix. Own columns named
+    Every row has its own number among those alike in source, id and text, and
+    gets the shards of the copy of that number; which of several such rows is
+    taken, where their other columns differ, follows from the order they are
+    read in. A shard is one task. Empty documents have no words to take and are not in the mix. Own columns named
     shard or place are replaced; others may have any name.
     """
     own = [c for c in docs.columns if c not in ("shard", "place")]
     row = F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row")
-    packed = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.col("text").alias("text"), row)
-    mix = Mix(_sized(docs), n_shards, max_repeats, seed)
-    rows = mix.dealt(_sized(packed, F.col("_row"))).select("_row", "key", "tie", F.posexplode("shards").alias("copy", "shard"))
+    packed = _sized(docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.col("text").alias("text"), row), F.col("_row"))
+    packed = stored(packed.withColumn("mid", F.monotonically_increasing_id()), work_folder(docs.sparkSession, "mixed"))
+    mix = Mix(packed, n_shards, max_repeats, seed)
+    rows = mix.numbered(packed.where("size > 0").select("doc_id", "source", "key", "mid", F.shiftright("mid", 33).alias("pid")))
+    rows = _with_copy_number(rows).select("mid", F.col("doc_id").alias("_id"), "source_no", "key", F.floor(F.col("no") / BLOCK_DOCS).alias("chunk"), (F.col("no") % BLOCK_DOCS).alias("copy"))
+    shards = mix.dealt().where(F.size("shards") > 0).select("source_no", "key", "chunk", "copy", "doc_id", "shards")
+    shards = shards.join(rows, ["source_no", "key", "chunk", "copy"]).where(F.col("doc_id").eqNullSafe(F.col("_id"))).select("mid", "shards")
+    rows = packed.select("mid", "key", "tie", "_row").join(shards, "mid").select("_row", "key", "tie", F.posexplode("shards").alias("copy", "shard"))
     rows = rows.select(*unpacked(own), "shard", F.xxhash64(F.lit(seed), "key", "tie", "copy").alias("place"))
-    return rows.repartition(mix.n_shards, "shard").sortWithinPartitions("shard", "place")
+    return rows.repartitionById(mix.n_shards, "shard").sortWithinPartitions("shard", "place")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

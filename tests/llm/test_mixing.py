@@ -55,5 +55,23 @@ def test_like_rows_of_two_sources_stay_apart(spark):
     assert got == want and set(got) == {"A", "B"}
 
 
+def test_like_rows_lie_in_many_blocks(spark):
+    """30,000 rows of one id and text among as many others: no block has 2,048 rows, all rows come out, the mix holds what the table says."""
+    docs = spark.range(60_000).select(F.when(F.col("id") < 30_000, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 30_000, "a b").otherwise(F.concat_ws(" ", F.lit("c d"), "id")).alias("text"), F.when(F.col("id") % 5 < 3, "A").otherwise("B").alias("source"))
+    mix = m.Mix(m._sized(docs), None, 3, 17)
+    blocks = mix.pieces.groupBy("source_no", "block", "part").agg(F.sum("m").alias("n"))
+    assert blocks.agg(F.max("n"), F.sum("n")).first() == (blocks.agg(F.max("n")).first()[0], 60_000) and blocks.agg(F.max("n")).first()[0] < 2048
+    table = m.mix_table(docs).groupBy("doc_id").agg(F.count("*").alias("rows"), F.sum(F.size("shards")).alias("copies"), F.sum("taken").alias("taken"))
+    assert table.agg(F.sum("rows")).first()[0] == 60_000 and table.where("doc_id = 7").first()["rows"] == 30_000
+    got = m.mixed(docs).groupBy("doc_id").agg(F.count("*").alias("n"))
+    assert table.where("copies > 0").join(got, "doc_id", "full").where("n IS NULL OR copies IS NULL OR n <> copies").count() == 0
+
+
+def test_each_of_some_like_rows_has_its_number(spark):
+    docs = spark.createDataFrame([(i % 3 or None, f"t{i % 3}", "s", i) for i in range(90)], "doc_id long, text string, source string, own long")
+    got = m.mixed(docs, max_repeats=1).collect()
+    assert sorted(r["own"] for r in got) == list(range(90))
+
+
 def test_equals_sql(against_sql):
     against_sql(QUERIES["op8_mixing"], ORACLES["op8_mixing"], "/root/testdata/sf0.001")
