@@ -16,8 +16,8 @@ from lakevec.operators import cluster
 NEAREST = 8
 
 
-def pack(ids: np.ndarray, a: np.ndarray, b: np.ndarray, rank: np.ndarray, capacity: int) -> np.ndarray:
-    """The page of each row, from 0: edges (a, b), nearest first, join groups while they fit a page; groups then fill pages, largest first."""
+def joined(ids: np.ndarray, a: np.ndarray, b: np.ndarray, rank: np.ndarray, capacity: int) -> np.ndarray:
+    """The group of each row, the place of its first row among ids (sorted): edges (a, b), nearest first, join groups while they fit a page."""
     place = {int(x): i for i, x in enumerate(ids)}
     root, size = list(range(len(ids))), [1] * len(ids)
 
@@ -36,10 +36,15 @@ def pack(ids: np.ndarray, a: np.ndarray, b: np.ndarray, rank: np.ndarray, capaci
             x, y = min(x, y), max(x, y)
             root[y] = x
             size[x] += size[y]
+    return np.array([find(x) for x in root], np.int64)
+
+
+def filled(group: np.ndarray, capacity: int) -> np.ndarray:
+    """The page of each row, from 0: groups of at most capacity rows fill pages, largest first."""
     groups: dict[int, list[int]] = {}
-    for i in range(len(ids)):
-        groups.setdefault(find(i), []).append(i)
-    page, room, at = np.zeros(len(ids), np.int64), [], {}  # at: the pages with so much room
+    for i, g in enumerate(group):
+        groups.setdefault(int(g), []).append(i)
+    page, room, at = np.zeros(len(group), np.int64), [], {}  # at: the pages with so much room
     for _, members in sorted(groups.items(), key=lambda g: (-len(g[1]), g[0])):
         need = len(members)
         free = next((r for r in range(need, capacity + 1) if at.get(r)), None)
@@ -54,17 +59,20 @@ def pack(ids: np.ndarray, a: np.ndarray, b: np.ndarray, rank: np.ndarray, capaci
     return page
 
 
+def _numbered(key: str, of: int, ids: np.ndarray, page: np.ndarray) -> pa.Table:
+    order = np.lexsort((ids, page))
+    ids, page = ids[order], page[order]
+    slot = np.arange(len(ids)) - np.searchsorted(page, page)
+    return pa.table({key: pa.array(np.full(len(ids), of, np.int64)), "id": ids, "page": page, "slot": slot.astype(np.int32)})
+
+
 def _packed(rows: DataFrame, edges: DataFrame, key: str, capacity: int) -> DataFrame:
     """(key, id, page, slot): the rows of each group in pages of their own, numbered from 0."""
 
     def run(members: pa.Table, near: pa.Table) -> pa.Table:
         ids = np.sort(members.column("id").to_numpy())
-        page = pack(ids, near.column("a").to_numpy(), near.column("b").to_numpy(), near.column("rank").to_numpy(), capacity)
-        order = np.lexsort((ids, page))
-        ids, page = ids[order], page[order]
-        slot = np.arange(len(ids)) - np.searchsorted(page, page)
-        of = members.column(key)[0].as_py() if len(ids) else 0
-        return pa.table({key: pa.array(np.full(len(ids), of, np.int64)), "id": ids, "page": page, "slot": slot.astype(np.int32)})
+        group = joined(ids, near.column("a").to_numpy(), near.column("b").to_numpy(), near.column("rank").to_numpy(), capacity)
+        return _numbered(key, members.column(key)[0].as_py() if len(ids) else 0, ids, filled(group, capacity))
 
     edges = edges.withColumn("group", F.col(key)).drop(key)
     return rows.groupBy(key).cogroup(edges.groupBy("group")).applyInArrow(run, f"{key} long, id long, page long, slot int")
@@ -74,18 +82,87 @@ def _nearest_edges(topology: DataFrame) -> DataFrame:
     return topology.select(F.col("id").alias("a"), F.posexplode(F.slice("nbrs", 1, NEAREST)).alias("rank", "b"))
 
 
-def pages(topology: DataFrame, vectors: DataFrame, capacity: int = 16, part: int = 4096) -> DataFrame:
+def _groups(rows: DataFrame, edges: DataFrame, capacity: int) -> DataFrame:
+    """(part, id, grp) of rows(part, id, alone): what the edges inside a part join there; grp is the least id. Rows that are to stay alone do."""
+
+    def run(members: pa.Table, near: pa.Table) -> pa.Table:
+        ids, alone = members.column("id").to_numpy(), members.column("alone").to_numpy(zero_copy_only=False).astype(bool)
+        alone, order = ids[alone], np.argsort(ids)
+        ids, a, b = ids[order], near.column("a").to_numpy(), near.column("b").to_numpy()
+        free = ~(np.isin(a, alone) | np.isin(b, alone))
+        group = joined(ids, a[free], b[free], near.column("rank").to_numpy()[free], capacity)
+        return pa.table({"part": pa.array(np.full(len(ids), members.column("part")[0].as_py() if len(ids) else 0, np.int64)), "id": ids, "grp": ids[group]})
+
+    return rows.groupBy("part").cogroup(edges.withColumnRenamed("part", "of").groupBy("of")).applyInArrow(run, "part long, id long, grp long")
+
+
+def matched(sizes: DataFrame, edges: DataFrame, capacity: int = 16, rounds: int = 8, folder: str | None = None) -> DataFrame:
+    """(grp, to): where each group of sizes(grp, size) goes when edges(x, y, rank, n), x < y and one row a pair, join groups that fit a page together.
+
+    In each round every group names its best edge that would fit: least rank,
+    then most edges n, then least x and y. Pairs that name each other become
+    one group, called by the lesser, and their edges are added up. The order is
+    the same from both ends, so the best edge of all is always taken. It ends when
+    nothing more fits, or after `rounds` rounds: groups are then still whole, with less
+    in them. Minimums and sums combine before each shuffle, so a group with
+    very many edges is no hot group.
+    """
+    spark = sizes.sparkSession
+    folder = folder or work_folder(spark, "matching")
+    went = sizes.select("grp", F.col("grp").alias("to"))
+    for r in range(rounds):
+        end = sizes.select(F.col("grp").alias("y"), F.col("size").alias("more"))
+        fit = edges.join(sizes.withColumnRenamed("grp", "x"), "x").join(end, "y").where(F.col("size") + F.col("more") <= capacity)
+        fit = stored(fit.select("x", "y", "rank", "n"), f"{folder}/fit-{r}")  # what doesn't fit now never will
+        edge = F.struct("rank", (-F.col("n")).alias("n"), "x", "y")
+        named = fit.select(F.explode(F.array("x", "y")).alias("grp"), edge.alias("edge")).groupBy("grp").agg(F.min("edge").alias("edge"))
+        merge = named.groupBy("edge.x", "edge.y").agg(F.count("*").alias("c")).where("c = 2")
+        merge = stored(merge.select(F.col("y").alias("grp"), F.col("x").alias("into")), f"{folder}/merge-{r}")
+        if not merge.limit(1).count():
+            break
+        sizes = sizes.join(merge, "grp", "left").groupBy(F.coalesce("into", "grp").alias("grp")).agg(F.sum("size").alias("size"))
+        sizes = stored(sizes, f"{folder}/sizes-{r}")
+        went = went.join(merge.withColumnRenamed("grp", "to"), "to", "left").select("grp", F.coalesce("into", "to").alias("to"))
+        went = stored(went, f"{folder}/went-{r}")
+        for c in ("x", "y"):
+            fit = fit.join(merge.select(F.col("grp").alias(c), "into"), c, "left").withColumn(c, F.coalesce("into", c)).drop("into")
+        fit = fit.where("x <> y").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        edges = fit.agg(F.min("rank").alias("rank"), F.sum("n").alias("n"))
+    return went
+
+
+def pages(topology: DataFrame, vectors: DataFrame, capacity: int = 16, part: int = 4096, rounds: int = 8) -> DataFrame:
     """(id, page, slot): near rows together, at most capacity on a page.
 
-    Rows lie in parts of near rows of bounded size (cluster.parts); inside a part
-    rows and their nearest neighbours are joined page by page. Parts are packed
-    apart from one another, so a table of any size is.
+    Rows lie in parts of near rows of bounded size (cluster.parts). Inside a
+    part rows and their nearest neighbours are joined group by group; a row
+    whose nearest neighbour lies in another part waits. Then groups of all parts
+    are matched over the edges that lead out of them (matched), and groups fill pages
+    with others whose least row lies in the same part. A part thus packs at most `capacity`
+    times its rows.
     """
     folder = work_folder(topology.sparkSession, "pages")
     rows = cluster.parts(vectors.select("id", "vec"), folder, part).select(F.col("part").alias("part"), "id")
-    rows = stored(topology.select("id").join(rows, "id", "left").select(F.coalesce("part", F.lit(0)).alias("part"), "id"), f"{folder}/rows")
-    ends = _nearest_edges(topology).join(rows.select("part", F.col("id").alias("a")), "a")
-    local = stored(_packed(rows, ends.select("part", "a", "b", "rank"), "part", capacity), f"{folder}/local")
+    rows = stored(topology.select("id").join(rows, "id", "left").select(F.coalesce("part", F.lit(0)).cast("long").alias("part"), "id"), f"{folder}/rows")
+    ends = _nearest_edges(topology).join(rows.select("part", F.col("id").alias("a")), "a").join(rows.select(F.col("part").alias("other"), F.col("id").alias("b")), "b")
+    ends = stored(ends.where("a <> b").select("part", "other", "a", "b", "rank"), f"{folder}/ends")
+    inside = ends.where("part = other").select("part", "a", "b", "rank")
+    if not ends.where("part <> other").limit(1).count():
+        local = stored(_packed(rows, inside, "part", capacity), f"{folder}/local")
+    else:
+        waiting = ends.where("part <> other AND rank = 0").select(F.col("a").alias("id"), F.lit(True).alias("alone"))
+        rows = rows.join(waiting, "id", "left").select("part", "id", F.coalesce("alone", F.lit(False)).alias("alone"))
+        groups = stored(_groups(rows, inside, capacity), f"{folder}/groups")
+        edges = ends.join(groups.select(F.col("id").alias("a"), F.col("grp").alias("x")), "a").join(groups.select(F.col("id").alias("b"), F.col("grp").alias("y")), "b").where("x <> y")
+        edges = edges.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("rank").alias("rank"), F.count("*").alias("n"))
+        to = matched(groups.groupBy("grp").agg(F.count("*").alias("size")), edges, capacity, rounds, folder)
+        groups = groups.join(to, "grp").select("id", F.col("to").alias("grp"))
+        groups = groups.join(rows.select(F.col("id").alias("grp"), "part"), "grp")  # a group is called by its least row
+
+        def fill(t: pa.Table) -> pa.Table:
+            return _numbered("part", t.column("part")[0].as_py(), t.column("id").to_numpy(), filled(t.column("grp").to_numpy(), capacity))
+
+        local = stored(groups.select("part", "id", "grp").groupBy("part").applyInArrow(fill, "part long, id long, page long, slot int"), f"{folder}/local")
     sizes = local.groupBy("part").agg((F.max("page") + 1).alias("n"))
     first = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("first"))  # a row for each part
     return local.join(first, "part").select("id", (F.col("first") + F.col("page")).alias("page"), "slot")

@@ -779,3 +779,16 @@ def page_growth(spark, sf_dir):
     where = layout.with_new_rows(where, topology, base.where("id % 10 = 1"), 16)
     full = where.groupBy("page").agg(F.count("*").alias("c")).agg(F.count_if(F.col("c") > 16).alias("over"))
     return where.agg(F.countDistinct("id").alias("n"), F.countDistinct("page", "slot").alias("places")).crossJoin(full)
+
+
+@query("SELECT count(*) AS n, count(*) AS places, CAST(0 AS BIGINT) AS over, true AS full, true AS nearer FROM embeddings")
+def page_reorder(spark, sf_dir):
+    """A layout of small parts whose groups are matched over ranked edges across parts: every row has one place, pages are over 0.7 full, more edges stay on a page than without the matching."""
+    base = base_of(spark, sf_dir).select("id", "vec")
+    topology, _ = graph.build(base)
+    topology = stored(topology, f"{work_folder(spark, 'reorder')}/topology")
+    where, apart = (stored(layout.pages(topology, base, 16, part=64, rounds=r), f"{work_folder(spark, 'reorder')}/pages") for r in (8, 0))
+    near = layout.locality(topology, where).select((F.col("fill") > 0.7).alias("full"), "same_page")
+    near = near.crossJoin(layout.locality(topology, apart).select(F.col("same_page").alias("before"))).select("full", (F.col("same_page") > F.col("before")).alias("nearer"))
+    over = where.groupBy("page").agg(F.count("*").alias("c")).agg(F.count_if(F.col("c") > 16).alias("over"))
+    return where.agg(F.countDistinct("id").alias("n"), F.countDistinct("page", "slot").alias("places")).crossJoin(over).crossJoin(near)  # one row each

@@ -158,6 +158,53 @@ def test_near_rows_share_pages_and_pages_are_full(spark):
     assert got["same_page"] > 0.6 and got["fill"] > 0.7
 
 
+def plainly_matched(size, edges, capacity, rounds):
+    """layout.matched on dicts: {group: size} and {(x, y): (rank, n)}."""
+    to = {g: g for g in size}
+    for _ in range(rounds):
+        edges = {e: v for e, v in edges.items() if size[e[0]] + size[e[1]] <= capacity}
+        best = {}
+        for (x, y), (rank, n) in edges.items():
+            for g in (x, y):
+                best[g] = min(best.get(g, (rank, -n, x, y)), (rank, -n, x, y))
+        into = {y: x for rank, n, x, y in best.values() if best[x] == best[y]}
+        for y, x in into.items():
+            size[x] += size.pop(y)
+        to = {g: into.get(t, t) for g, t in to.items()}
+        merged = {}
+        for (x, y), (rank, n) in edges.items():
+            x, y = sorted((into.get(x, x), into.get(y, y)))
+            if x != y:
+                r, m = merged.get((x, y), (rank, 0))
+                merged[x, y] = (min(r, rank), m + n)
+        edges = merged
+    return to
+
+
+def test_groups_are_matched_as_by_the_plain_rule(spark):
+    rng = np.random.default_rng(4)
+    size = {g: int(rng.integers(1, 6)) for g in range(120)}
+    edges = {(min(x, y), max(x, y)): (int(rng.integers(0, 4)), int(rng.integers(1, 5))) for x, y in rng.integers(0, 120, (400, 2)).tolist() if x != y}
+    sizes = spark.createDataFrame(list(size.items()), "grp long, size long")
+    got = layout.matched(sizes, spark.createDataFrame([(*e, *v) for e, v in edges.items()], "x long, y long, rank int, n long"), 16, 5)
+    want = plainly_matched(dict(size), edges, 16, 5)
+    assert {r["grp"]: r["to"] for r in got.collect()} == want and len(set(want.values())) < 70
+    none = layout.matched(sizes, spark.createDataFrame([], "x long, y long, rank int, n long"))
+    assert all(r["grp"] == r["to"] for r in none.collect())
+
+
+def test_edges_across_parts_share_pages(spark):
+    """Rows along a line, cut into parts: near rows of two parts come to one page, and pages stay full."""
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(int(i), [float(k), float(rng.random())]) for k, i in enumerate(rng.permutation(600))], "id long, vec array<double>")
+    topology, _ = graph.build(rows, graph.GraphParams(degree=8, candidates=20))
+    where = layout.pages(topology, rows, 8, part=40).cache()
+    assert where.select("id").distinct().count() == where.select("page", "slot").distinct().count() == 600
+    assert where.groupBy("page").count().where("count > 8").count() == 0
+    got, whole = layout.locality(topology, where).first(), layout.locality(topology, layout.pages(topology, rows, 8, part=4096)).first()
+    assert got["fill"] > 0.7 and got["same_page"] > 0.9 * whole["same_page"]
+
+
 def test_full_pages_are_split_and_others_stay(spark):
     rows = clusters(spark, 20, 18)
     topology, _ = graph.build(rows, graph.GraphParams(degree=8, candidates=20))
