@@ -7,8 +7,9 @@ varies. A byte that its longest context has seen costs
 -log2(distinct / (total + distinct)) and is coded in the next shorter context,
 at last evenly over 256 bytes. The statistics are frozen after training, so a
 text's code length under a language is an exact sum, and the language of the
-shortest code wins. Contexts are sorted keys with one row of costs for all
-languages, so memory follows the contexts that training saw.
+shortest code wins. Contexts are sorted keys, each with the languages that saw
+it alone, so memory follows the contexts that training saw and not their number times the
+languages.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ MAX_TRAIN_DOCS = 3000
 ORDER, MIN_SEEN = 3, 4
 #: Code lengths are divided by this before they are turned into a probability.
 TEMPERATURE = 8.0
-#: Bytes handled at once, and costs looked up at once.
+#: Bytes handled at once, and half as many costs.
 PIECE = 1 << 20
 #: Rows coded and handed on at once.
 SLICE_ROWS = 512
@@ -97,30 +98,42 @@ def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> pd.DataFrame:
     return every.withColumn("context", context).join(seen, ["lang", "k", "context"], "left_semi").select("lang", "k", "gram", "n").toPandas()
 
 
+@dataclass
+class Entries:
+    """Bits for pairs of a key and a language, by sorted key: those of key i are starts[i] to starts[i + 1]."""
+
+    keys: np.ndarray
+    starts: np.ndarray
+    langs: np.ndarray
+    bits: np.ndarray
+
+    def add_to(self, total: np.ndarray, key: np.ndarray) -> None:
+        """Add the bits of each row's key to the row's languages."""
+        at, hit = _find(self.keys, key)
+        row, at = np.flatnonzero(hit), at[hit]
+        size = self.starts[at + 1] - self.starts[at]
+        entry = np.repeat(self.starts[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        total[np.repeat(row, size), self.langs[entry]] += self.bits[entry]  # a pair comes once
+
+
 @dataclass
 class CodeTable:
-    """For each order: sorted grams with their costs and sorted contexts with their escapes, a row of bits for each with a column a language."""
-
-    grams: list[np.ndarray]
-    costs: list[np.ndarray]
-    contexts: list[np.ndarray]
-    escapes: list[np.ndarray]
-
-    def order_costs(self, gram: np.ndarray, k: int) -> np.ndarray:
-        """Bits of each byte in its context of k bytes, with escapes to shorter ones."""
-        out = np.zeros((len(gram), self.escapes[0].shape[1]), np.float32)
-        left = np.arange(len(gram))
-        for j in range(k, -1, -1):
-            own = gram[left] & ((1 << 8 * (j + 1)) - 1)
-            at, hit = _find(self.grams[j], own)
-            out[left[hit]] += self.costs[j][at[hit]]
-            left, own = left[~hit], own[~hit]
-            if not len(left):
-                return out
-            at, hit = _find(self.contexts[j], own >> 8)
-            out[left[hit]] += self.escapes[j][at[hit]]
-        out[left] += 8
-        return out
+    """For each order: what a context adds to the next shorter order's cost, its escape, and what a gram adds to that."""
+
+    n_langs: int
+    grams: list[Entries]
+    contexts: list[Entries]
+
+    def order_costs(self, gram: np.ndarray, orders: tuple[int, ...]) -> list[np.ndarray]:
+        """For each of the orders k: bits of each gram's last byte in its context of k bytes under each language, with escapes to shorter ones."""
+        total, found = np.full((len(gram), self.n_langs), 8.0), {}
+        for k in range(max(orders) + 1):
+            own = gram & ((1 << 8 * (k + 1)) - 1)
+            self.contexts[k].add_to(total, own >> 8)
+            self.grams[k].add_to(total, own)
+            if k in orders:
+                found[k] = total.copy()
+        return [found[k] for k in orders]
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,44 +141,58 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
 
 
+def _entries(pair: np.ndarray, bits: np.ndarray, n_langs: int) -> Entries:
+    """Entries of sorted pairs key * n_langs + language."""
+    keys, starts = np.unique(pair // n_langs, return_index=True)
+    return Entries(keys, np.append(starts, len(pair)), (pair % n_langs).astype(np.int32), bits)
+
+
 def code_table(model: pd.DataFrame, langs: list[str]) -> CodeTable:
-    table = CodeTable([], [], [], [])
+    n_langs, table = len(langs), CodeTable(len(langs), [], [])
+    code = model["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(dtype=np.int64)
+    known: list[tuple[np.ndarray, ...]] = []  # of each order: pairs of grams and their costs, pairs of contexts and their escapes
+
+    def cost(gram: np.ndarray, lang: np.ndarray, k: int) -> np.ndarray:
+        """Bits of each gram under its language, from order k down."""
+        out, left = np.zeros(len(gram)), np.arange(len(gram))
+        for grams, costs, contexts, escapes in known[k::-1] if k >= 0 else []:
+            own = gram[left] & ((1 << 8 * (k + 1)) - 1)
+            at, hit = _find(grams, own * n_langs + lang[left])
+            out[left[hit]] += costs[at[hit]]
+            left, own, k = left[~hit], own[~hit], k - 1
+            at, hit = _find(contexts, (own >> 8) * n_langs + lang[left])
+            out[left[hit]] += escapes[at[hit]]
+        out[left] += 8
+        return out
+
     for k in range(ORDER + 1):
-        m = model[model["k"] == k]
-        gram, lang, n = m["gram"].to_numpy(dtype=np.int64), m["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(dtype=int), m["n"].to_numpy(dtype=float)
-        grams, row = np.unique(gram, return_inverse=True)
-        contexts, of = np.unique(grams >> 8, return_inverse=True)
-        count = np.zeros((len(grams), len(langs)))
-        count[row, lang] = n
-        total, distinct = np.zeros((len(contexts), len(langs))), np.zeros((len(contexts), len(langs)))
-        np.add.at(total, of, count)
-        np.add.at(distinct, of, count > 0)
-        there = total > 0
-        base = np.maximum(total + distinct, 1)
-        escapes = np.where(there, -np.log2(np.where(there, distinct, 1) / base), 0).astype(np.float32)
-        shorter = table.order_costs(grams & ((1 << 8 * k) - 1), k - 1) if k else np.full((len(grams), len(langs)), 8, np.float32)
-        own = -np.log2(np.where(count > 0, count, 1) / base[of])
-        table.grams.append(grams)
-        table.costs.append(np.where(count > 0, own, escapes[of] + shorter).astype(np.float32))
-        table.contexts.append(contexts)
-        table.escapes.append(escapes)
+        there = (model["k"] == k).to_numpy()
+        gram, lang, n = model["gram"].to_numpy(dtype=np.int64)[there], code[there], model["n"].to_numpy(dtype=float)[there]
+        order = np.lexsort((lang, gram))
+        gram, lang, n = gram[order], lang[order], n[order]
+        contexts, of, distinct = np.unique((gram >> 8) * n_langs + lang, return_inverse=True, return_counts=True)
+        base = np.bincount(of, weights=n, minlength=len(contexts)) + distinct
+        escapes, own = -np.log2(distinct / base), -np.log2(n / base[of])
+        pair = gram * n_langs + lang
+        table.contexts.append(_entries(contexts, escapes, n_langs))
+        table.grams.append(_entries(pair, own - escapes[of] - cost(gram, lang, k - 1), n_langs))
+        known.append((pair, own, contexts, escapes))
     return table
 
 
 def code_lengths(data: np.ndarray, offsets: np.ndarray, table: CodeTable, orders: tuple[int, ...] = (ORDER,)) -> list[np.ndarray]:
-    """For each of the orders: bits of each text under each language."""
-    n_langs = table.escapes[0].shape[1]
-    out = [np.zeros((len(offsets) - 1, n_langs)) for _ in orders]
+    """For each of the orders: bits of each text under each language. A piece's different grams are looked up once; only they have a row for all languages."""
+    out = [np.zeros((len(offsets) - 1, table.n_langs)) for _ in orders]
     full = np.flatnonzero(np.diff(offsets) > 0)
     starts = offsets[:-1][full]
-    step = max(1, PIECE // (2 * n_langs))
+    step = max(1, PIECE // (2 * table.n_langs))
     for lo in range(0, len(data), step):
         hi = min(lo + step, len(data))
-        gram = grams_of(data, offsets, lo, hi)
+        gram, of = np.unique(grams_of(data, offsets, lo, hi), return_inverse=True)
         first, last = np.searchsorted(starts, lo, "right") - 1, np.searchsorted(starts, hi, "left")
         cuts = np.maximum(starts[first:last], lo) - lo
-        for bits, order in zip(out, orders, strict=True):
-            bits[full[first:last]] += np.add.reduceat(table.order_costs(gram, order), cuts, axis=0, dtype=np.float64)
+        for bits, costs in zip(out, table.order_costs(gram, orders), strict=True):
+            bits[full[first:last]] += np.add.reduceat(costs[of], cuts, axis=0)
     return out
 
 
@@ -188,13 +215,14 @@ def predict(docs: DataFrame, model: pd.DataFrame, names: tuple[str, str, str] =
     kept = [F.col("row").getField(c).alias(c) for c in own]
     if not langs:
         return packed.select(*kept, F.lit("und").alias(names[0]), F.lit(0.0).alias(names[1]), F.lit(False).alias(names[2]))
-    sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, langs, *(model[c].to_numpy() for c in ("lang", "k", "gram", "n"))))
+    coded = model["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(dtype=np.int32)
+    sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, langs, coded, *(model[c].to_numpy() for c in ("k", "gram", "n"))))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, known, *columns = sent.value
         if key not in _TABLES:
             _TABLES.clear()
-            _TABLES[key] = code_table(pd.DataFrame(dict(zip(("lang", "k", "gram", "n"), columns, strict=True))), known)
+            _TABLES[key] = code_table(pd.DataFrame(dict(zip(("lang", "k", "gram", "n"), columns, strict=True))), list(range(len(known))))
         for b in (whole.slice(lo, SLICE_ROWS) for whole in batches for lo in range(0, whole.num_rows, SLICE_ROWS)):
             data, offsets = flat_bytes(b.column("row").field("text"))
             bits, single = code_lengths(data, offsets, _TABLES[key], (ORDER, 0))

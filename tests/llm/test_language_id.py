@@ -52,6 +52,21 @@ def test_code_lengths_equal_a_plain_model(spark, monkeypatch):
             assert abs(got[0, i] - want) < 1e-3 and got[1, i] == 0 and abs(got[2, i] - want) < 1e-3
 
 
+def test_memory_follows_contexts_seen_and_not_languages():
+    """A hundred languages of grams of their own: as many entries as the model has rows."""
+    rng = np.random.default_rng(1)
+    langs = [f"l{i:03}" for i in range(100)]
+    kept = {lang: counted(lang, bytes(rng.integers(i, i + 9, 300).astype(np.uint8)) * 4) for i, lang in enumerate(langs)}
+    model = pd.DataFrame([r for _, rows in kept.values() for r in rows], columns=["lang", "k", "gram", "n"])
+    table = g.code_table(model, langs)
+    assert sum(len(e.bits) for e in table.grams) == len(model) and sum(len(e.bits) for e in table.contexts) <= len(model)
+    data = rng.integers(0, 110, 50).astype(np.uint8)
+    (got,) = g.code_lengths(data, np.array([0, 50]), table)
+    padded = b"\0" * g.ORDER + bytes(data)
+    for i in (0, 42, 99):
+        assert abs(got[0, i] - sum(plain_cost(kept[langs[i]][0], padded[j - g.ORDER : j], padded[j]) for j in range(g.ORDER, len(padded)))) < 1e-6
+
+
 def test_texts_of_no_learned_language_do_not_fit(spark):
     rng = random.Random(1)
     real = [(i, " ".join(rng.choice(["water", "under", "the", "bridge", "runs", "slowly"]) for _ in range(40)), "en") for i in range(60)]
