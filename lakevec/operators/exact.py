@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakevec.operators.metrics import SOUND, distances, matrix
 
-#: Bytes of the queries and of the base that one task holds; more make more blocks and parts.
-QUERY_BYTES, BASE_BYTES = 16 << 20, 64 << 20
+#: Bytes of the base that one task holds; more make more parts.
+BASE_BYTES = 64 << 20
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -39,15 +41,57 @@ def nearest(qid: np.ndarray, qvec: np.ndarray, ids: np.ndarray, vecs: np.ndarray
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def in_blocks(left: DataFrame, right: DataFrame, left_blocks: int, right_parts: int) -> tuple[DataFrame, DataFrame]:
-    """Both tables (with id) keyed by block and part, so that every block of one side meets every part of the other in one task."""
-    left = left.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(left_blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(right_parts - 1))))
-    right = right.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(right_parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(left_blocks - 1))))
-    return left, right
+def met_in_parts(known: DataFrame, asked: DataFrame, parts: int, answer: Callable[[dict, dict], tuple], schema: str) -> DataFrame:
+    """What answer(known, asked) gives for every part of one table and all rows of the other; both have id and columns of arrays.
+
+    known is dealt to parts by a hash of id and moves once; asked goes to every
+    part. A task holds one part as arrays, as rows are sorted by part and side,
+    and the asked rows stream past it in Arrow batches: neither side's size
+    bounds the other's. Rows of one id and the same values come once on either
+    side, so an id that repeats is never held. answer gets and gives numpy
+    arrays by name; asked rows that meet an empty part are passed over.
+    """
+
+    def sided(df: DataFrame, part: Column, side: int) -> DataFrame:
+        same = F.xxhash64(*[c for c in df.columns if c != "id"])
+        return df.withColumn("part", part).withColumn("side", F.lit(side)).withColumn("same", same)
+
+    values = [[c for c in df.columns if c != "id"] for df in (known, asked)]
+    left = sided(known, F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"), 0)
+    right = sided(asked, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))), 1)
+    rows = left.unionByName(right, allowMissingColumns=True).repartitionById(parts, F.col("part")).sortWithinPartitions("side", "id", "same")
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def first_ones(piece: pa.RecordBatch, columns: list[str], before: dict | None) -> tuple[dict, dict]:
+        """The piece as arrays without rows that equal the one before, and its last row."""
+        got = {"id": piece.column("id").to_numpy(), **{c: matrix(piece.column(c)) for c in columns}}
+        fresh = np.ones(piece.num_rows, bool)
+        if before is not None:
+            fresh[0] = any(not np.array_equal(got[c][0], before[c]) for c in got)
+        fresh[1:] = got["id"][1:] != got["id"][:-1]
+        for c in columns:
+            fresh[1:] |= (got[c][1:] != got[c][:-1]).any(1)
+        return {c: v[fresh] for c, v in got.items()}, {c: v[-1] for c, v in got.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, table, last = [], None, [None, None]
+        for batch in batches:
+            cut = int(np.searchsorted(batch.column("side").to_numpy(), 1))
+            for side, piece in ((0, batch.slice(0, cut)), (1, batch.slice(cut))):
+                if not piece.num_rows:
+                    continue
+                got, last[side] = first_ones(piece, values[side], last[side])
+                if side == 0:
+                    held.append(got)
+                elif held and len(got["id"]):
+                    table = table or {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in answer(table, got)], names=names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def blocks_of(rows: DataFrame, column: str, size: int) -> int:
-    """How many blocks of about that many bytes the vectors of a column fill."""
+    """How many parts of about that many bytes the vectors of a column fill."""
     shape = rows.agg(F.count("*").alias("n"), F.max(F.size(column)).alias("d")).first()
     return max(1, -(-shape["n"] * (shape["d"] or 0) * 8 // size))
 
@@ -55,21 +99,18 @@ def blocks_of(rows: DataFrame, column: str, size: int) -> int:
 def knn(queries: DataFrame, base: DataFrame, k: int = 10, metric: str = "l2", exclude_self: bool = False) -> DataFrame:
     """(qid, rank, id, dist): the k least distances of each query, ties by id.
 
-    queries has qid and qvec, base id and vec. Blocks of queries meet parts of
-    the base in tasks, as matrix products; k rows of a query leave a task, and a
-    ranking merges them. No vector comes to the driver. Null vectors, empty ones
-    and ones with nulls take no part; rows that repeat count once.
+    queries has qid and qvec, base id and vec. Queries stream past parts of the
+    base (met_in_parts), as matrix products; k rows of a query leave a task, and
+    a ranking merges them. No vector comes to the driver. Null vectors, empty
+    ones and ones with nulls take no part; rows that repeat count once.
     """
-    q = queries.where(SOUND.format("qvec")).select(F.col("qid").cast("long").alias("id"), F.col("qvec").alias("vec"))
+    q = queries.where(SOUND.format("qvec")).select(F.col("qid").cast("long").alias("id"), "qvec")
     rows = base.where(SOUND.format("vec")).select(F.col("id").cast("long").alias("id"), "vec")
-    left, right = in_blocks(q, rows, blocks_of(q, "vec", QUERY_BYTES), blocks_of(rows, "vec", BASE_BYTES))
 
-    def near(asked: pa.Table, known: pa.Table) -> pa.Table:
-        cols = nearest(asked.column("id").to_numpy(), matrix(asked.column("vec")), known.column("id").to_numpy(), matrix(known.column("vec")), k, metric, exclude_self) if asked.num_rows and known.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table(dict(zip(("qid", "id", "dist"), cols, strict=True)))
+    def near(known: dict, asked: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return nearest(asked["id"], asked["qvec"], known["id"], known["vec"], k, metric, exclude_self)
 
-    keys = ["block", "part"]
-    return ranked(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(near, "qid long, id long, dist double"), k)
+    return ranked(met_in_parts(rows, q, blocks_of(rows, "vec", BASE_BYTES), near, "qid long, id long, dist double"), k)
 
 
 def window_truth(truth: DataFrame, start: int, end: int, k: int) -> DataFrame:

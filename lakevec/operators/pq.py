@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakevec.operators.cluster import seeds
-from lakevec.operators.exact import in_blocks, ranked
+from lakevec.operators.exact import met_in_parts, ranked
 from lakevec.operators.metrics import SOUND, l2sq, matrix
 
 CODES, MAX_TRAIN = 256, 256_000
@@ -114,29 +114,24 @@ def adc(table: DataFrame, codes: DataFrame, k: int, n_codes: int) -> DataFrame:
     """(qid, rank, id, dist): of each query the k rows of the least table distances summed over their codes, ties by id.
 
     table is that of lookup() with n_codes codes a chunk, codes (id, chunk, code)
-    or of dual(); book is part of both or of neither. Queries and packed codes
-    meet in blocks, as in exact.knn: k rows of a query leave a task.
+    or of dual(); book is part of both or of neither. Queries stream past
+    parts of the packed codes, as in exact.knn: k rows of a query leave a task.
     """
     books = 2 if "book" in codes.columns else 1
     luts, rows = query_tables(table).withColumnRenamed("qid", "id"), packed(codes)
-    n_queries, n_rows = luts.count(), rows.count()
-    left, right = in_blocks(luts, rows, max(1, -(-n_queries // 4096)), max(1, -(-n_rows // 262_144)))
-
-    def near(asked: pa.Table, known: pa.Table) -> pa.Table:
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        if asked.num_rows and known.num_rows:
-            ids, code = known.column("id").to_numpy(), matrix(known.column("codes")).astype(int)
-            book = matrix(known.column("books")).astype(int) if books == 2 else 0
-            spot = (np.arange(code.shape[1]) * books + book) * n_codes + code
-            for q, lut in zip(asked.column("id").to_numpy(), matrix(asked.column("lut")), strict=True):
-                dist = lut[spot].sum(1)
-                top = np.lexsort((ids, dist))[:k] if len(ids) <= 4 * k else _least(dist, ids, k)
-                out.append((np.full(len(top), q), ids[top], dist[top]))
-        q, i, d = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pa.table({"qid": q, "id": i, "dist": d})
-
-    keys = ["block", "part"]
-    return ranked(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(near, "qid long, id long, dist double"), k)
+
+    def near(known: dict, asked: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        out = []
+        ids, code = known["id"], known["codes"].astype(int)
+        book = known["books"].astype(int) if books == 2 else 0
+        spot = (np.arange(code.shape[1]) * books + book) * n_codes + code
+        for q, lut in zip(asked["id"], asked["lut"], strict=True):
+            dist = lut[spot].sum(1)
+            top = np.lexsort((ids, dist))[:k] if len(ids) <= 4 * k else _least(dist, ids, k)
+            out.append((np.full(len(top), q), ids[top], dist[top]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    return ranked(met_in_parts(rows, luts, max(1, -(-rows.count() // 262_144)), near, "qid long, id long, dist double"), k)
 
 
 def _least(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:

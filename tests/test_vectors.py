@@ -55,6 +55,24 @@ def test_knn_of_odd_rows(spark):
     assert exact.knn(df.selectExpr("id AS qid", "vec AS qvec").where("qid = 1"), df.limit(0), 5).count() == 0
 
 
+def test_knn_in_parts(spark, base, points, monkeypatch):
+    monkeypatch.setattr(exact, "BASE_BYTES", 2000)
+    assert exact.blocks_of(base, "vec", exact.BASE_BYTES) > 3
+    near = exact.knn(asked(base), base, 7)
+    assert answers(near) == {q: brute(points, q, 7) for q in range(8)}
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and plan.count("explode") <= 2  # only the queries are copied
+    # a row that repeats more often than k hides no other row, as a query neither
+    many = base.unionByName(base.where("id = 3").crossJoin(spark.range(300).select()))
+    again = asked(base).unionByName(asked(base).where("qid = 3").crossJoin(spark.range(40).select()))
+    assert answers(exact.knn(again, many, 7)) == {q: brute(points, q, 7) for q in range(8)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert answers(exact.knn(again, many, 7, exclude_self=True)) == {q: brute(points, q, 7, {q}) for q in range(8)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_metrics_names():
     assert metrics.metric("l2") is metrics.l2sq
     with pytest.raises(ValueError):
