@@ -26,6 +26,13 @@ def test_stored_index_holds_the_nearest_rows(spark):
     assert got == {(i, n) for i, ns in zip(ids.tolist(), near.tolist(), strict=True) for n in ns}
 
 
+def test_percentiles_are_those_of_the_nearest_rows(spark):
+    ids, _, near = table(spark)
+    named = np.sort(np.unique(near, return_counts=True)[1])
+    want = {s: int(named[min(int(s * len(named)), len(named) - 1)]) for s in (0.5, 0.9, 0.99, 0.999)}
+    assert {r["share"]: r["value"] for r in catalog.QUERIES["percentiles"](spark, SF).collect()} == want
+
+
 def test_graph_in_cells(spark, monkeypatch):
     """Parts that meet parts give what one comparison of all rows gives; equal rows tie by id."""
     vecs = np.random.default_rng(4).standard_normal((150, 8)).astype(np.float32).astype(float)
