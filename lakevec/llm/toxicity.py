@@ -4,9 +4,10 @@ The same trainer makes, from windows of labelled texts, a dictionary of toxic
 and one of ordinary text, of one size; both go on top of a larger shared
 dictionary, which covers what all text has in common. A window is scored by
 how many bytes less it takes with the toxic dictionary than with the ordinary
-one. A toxic document holds mostly ordinary windows, so the toxic dictionary is
-trained in rounds: each half of the toxic rows picks the other half's windows
-that its dictionary shortens more than it shortens nearly all ordinary windows.
+one. A toxic document holds mostly ordinary text, so the toxic dictionary is
+trained on the places of toxic windows that tell: runs of bytes which both
+halves of the toxic rows hold far more often than ordinary rows do. So the signs
+of a language with few rows aren't crowded out by those of one with many.
 How many windows of a text pass which threshold turns into a probability that
 is calibrated on labelled rows that no dictionary was trained on.
 """
@@ -30,10 +31,10 @@ MAX_TOXIC, MAX_ORDINARY, MAX_WINDOWS = 1500, 3000, 30_000
 CALIBRATE = 3
 #: Bytes of a window and from one window to the next.
 WINDOW, STEP = 48, 16
-#: Bytes of the shared and of either class's dictionary, trainer's segment and match lengths, rounds of the toxic one.
-SHARED_BYTES, CLASS_BYTES, SEGMENT, MATCH, ROUNDS = 65_536, 1024, 20, 8, 3
-#: Share of ordinary windows that a toxic window must gain more than to train the next round.
-ABOVE = 0.98
+#: Bytes of the shared and of either class's dictionary, trainer's segment and match lengths.
+SHARED_BYTES, CLASS_BYTES, SEGMENT, MATCH = 65_536, 2048, 20, 8
+#: Bytes that tell stand in so many windows of each half, and so many times as often in toxic windows as in ordinary ones; bytes taken along on either side.
+GRAM, MIN_WINDOWS, ABOVE, AROUND = 6, 2, 16, 4
 #: Bytes gained that windows are counted by.
 GAINS = (2, 3, 4, 5, 7)
 LEVEL, FEATURES = 3, len(GAINS) + 3
@@ -60,12 +61,6 @@ def _compressor(dictionary: bytes):
     return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary.rjust(64), dict_type=kind), compression_params=p).compress
 
 
-def gains(found: list[bytes], ordinary: bytes, toxic: bytes) -> np.ndarray:
-    """How many bytes less each window takes with the toxic dictionary."""
-    a, b = _compressor(ordinary), _compressor(toxic)
-    return np.array([len(a(x)) - len(b(x)) for x in found], dtype=float)
-
-
 def features(texts: list[str], ordinary: bytes, toxic: bytes) -> np.ndarray:
     """Of each text: the largest gain, the mean of the three largest, how many windows gain how much over the root of their number, and that number."""
     a, b = _compressor(ordinary), _compressor(toxic)
@@ -90,21 +85,43 @@ def trained(samples: list[bytes], size: int) -> bytes:
         return b" ".join(samples)[-size:]
 
 
+def grams(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, text): the windows in a row, a zero after each, and the GRAM bytes from each place as a number, -1 where a zero is among them."""
+    text = np.frombuffer(b"".join(w + b"\0" for w in found) + b"\0" * GRAM, np.uint8)
+    flat, n = text.astype(np.int64), len(text) - GRAM
+    number = sum(flat[i : n + i] << 8 * i for i in range(GRAM))
+    cut = np.convolve(text == 0, np.ones(GRAM, int))[GRAM - 1 : GRAM - 1 + n] > 0
+    return np.where(cut, -1, number), text
+
+
+def telling(toxic: list[list[bytes]], ordinary: list[bytes]) -> np.ndarray:
+    """The grams that both halves' toxic windows hold, and toxic windows far more often than ordinary ones."""
+    usual, b = np.unique(np.r_[-1, grams(ordinary)[0]], return_counts=True)
+    (one, n), (two, m) = (np.unique(grams(half)[0], return_counts=True) for half in toxic)
+    both, i, j = np.intersect1d(one, two, return_indices=True)
+    at = np.minimum(np.searchsorted(usual, both), len(usual) - 1)
+    known = np.where(usual[at] == both, b[at], 0)
+    often = (n[i] + m[j]) * max(1, len(ordinary)) >= ABOVE * (known + 1) * sum(map(len, toxic))
+    return both[(both >= 0) & (np.minimum(n[i], m[j]) >= MIN_WINDOWS) & often]
+
+
+def pieces(found: list[bytes], told: np.ndarray) -> list[bytes]:
+    """The runs of telling grams in the windows, with AROUND bytes on either side."""
+    numbers, text = grams(found)
+    raw, at = text.tobytes(), np.flatnonzero(np.isin(numbers, told))
+    out = []
+    for run in np.split(at, np.flatnonzero(np.diff(at) > GRAM) + 1) if len(at) else []:
+        lo, hi = int(run[0]), int(run[-1]) + GRAM
+        out.append(raw[max(raw.rfind(b"\0", 0, lo) + 1, lo - AROUND) : min(raw.find(b"\0", hi), hi + AROUND)])
+    return out
+
+
 def dictionaries(found: dict[tuple[int, int], list[bytes]]) -> tuple[bytes, bytes]:
     """(ordinary, toxic) from the windows of each (label, half)."""
-    toxic, ordinary = [found.get((1, h), []) for h in (0, 1)], [found.get((0, h), []) for h in (0, 1)]
-    shared = trained(ordinary[0] + ordinary[1], SHARED_BYTES)
-    halves, picked = [shared + trained(x, CLASS_BYTES) for x in ordinary], toxic
-    for _ in range(ROUNDS):
-        known = [shared + trained(x, CLASS_BYTES) for x in picked]
-        fresh = []
-        for h in (0, 1):
-            usual = gains(ordinary[h], halves[1 - h], known[1 - h])
-            least = np.quantile(usual, ABOVE) if len(usual) else 0.0
-            g = gains(toxic[h], halves[1 - h], known[1 - h])
-            fresh.append([w for w, x in zip(toxic[h], g, strict=True) if x > least])
-        picked = [x if len(x) > 20 else y for x, y in zip(fresh, picked, strict=True)]
-    return shared + trained(ordinary[0] + ordinary[1], CLASS_BYTES), shared + trained(picked[0] + picked[1], CLASS_BYTES)
+    toxic, ordinary = [found.get((1, h), []) for h in (0, 1)], found.get((0, 0), []) + found.get((0, 1), [])
+    shared, every = trained(ordinary, SHARED_BYTES), toxic[0] + toxic[1]
+    picked = pieces(every, telling(toxic, ordinary))
+    return shared + trained(ordinary, CLASS_BYTES), shared + trained(picked if len(picked) > 20 else every, CLASS_BYTES)
 
 
 def calibrated(ordinary: bytes, toxic: bytes, f: np.ndarray, y: np.ndarray) -> ToxicModel:
