@@ -83,15 +83,21 @@ def probes_of(windows: DataFrame, counts: DataFrame, n_probes: int) -> DataFrame
 
 
 def intersect(index: DataFrame, probes: DataFrame, n_probes: int) -> DataFrame:
-    """(w, r1, r2, s): starts s at which all probes of window w stand at their offsets."""
-    first = small(probes.where("k = 1").select("w", "offset", "t"))
-    found = index.join(first, "t").select("w", "r1", "r2", (F.col("pos") - F.col("offset")).alias("s")).where("s >= 1").distinct()
+    """(w, r1, r2, s): starts s at which all probes of window w stand at their offsets.
+
+    Windows of fewer probes look their rarest up again, so that all take the
+    same steps: the index is read once a step, and what is left stays where it lies.
+    """
+
+    def there(k: int) -> DataFrame:
+        lacking = probes.groupBy("w").agg(F.max("k").alias("m")).where(F.col("m") < k).select("w")
+        asked = probes.where(F.col("k") == k).unionByName(probes.where("k = 1").join(lacking, "w", "left_semi"))
+        return index.join(small(asked.select("w", "offset", "t")), "t").select("w", "r1", "r2", (F.col("pos") - F.col("offset")).alias("s"))
+
+    found = there(1).where("s >= 1")
     for k in range(2, n_probes + 1):
-        nxt = small(probes.where(F.col("k") == k).select("w", "offset", "t"))
-        there = index.join(nxt, "t").select("w", "r1", "r2", (F.col("pos") - F.col("offset")).alias("s"))
-        lacking = small(probes.groupBy("w").agg(F.max("k").alias("m")).where(F.col("m") < k).select("w"))
-        found = found.join(there, ["w", "r1", "r2", "s"], "left_semi").unionByName(found.join(lacking, "w", "left_semi"))
-    return found
+        found = found.join(there(k), ["w", "r1", "r2", "s"], "left_semi")
+    return found.distinct()
 
 
 def proximity_matches(index: DataFrame, pairs: DataFrame, slop: int) -> DataFrame:
