@@ -15,12 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakevec.llm.common import WORD, discard, lower_ascii, packed_rows, stored, unpacked, work_folder
+from lakevec.llm.common import discard, lower_ascii, packed_rows, stored, unpacked, work_folder
 
 #: The benchmark side is broadcast up to so many rows and bytes of text; above that Spark shuffles it.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
-#: A word of the contracts before A-Z are lower-cased, for counting alone.
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A word of the contracts after and before A-Z are lower-cased, by what it may hold: Java matches that several times as fast as what it may not.
+WORD, ANY_WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+", r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
 def words(text: Column) -> Column:

@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+
+from lakevec.llm import common
 from lakevec.llm import decontaminate as d
 from lakevec.llm.common import stored, with_row_key, work_folder
 
@@ -16,3 +19,12 @@ def test_each_step_reads_the_index_once(spark):
     assert got == [("a b", 1, 1), ("a b", 2, 3), ("b c d e", 1, 2), ("d", 1, 4), ("d", 2, 2), ("d", 3, 1), ("d", 3, 2)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Relation" in line and "pos" in line for line in plan.splitlines()) == 3
+
+
+def test_words_are_those_of_the_contract(spark):
+    """Every character is part of a word, or isn't, as the contract's pattern has it."""
+    points = [*range(0x3000), *range(0xD7F0, 0xD800), *range(0xE000, 0xE010), *range(0xFFF0, 0x10010), 0x1F600, 0x10FFFF]
+    one = spark.createDataFrame([(chr(i),) for i in points], "c string")
+    for mine, theirs in ((d.WORD, common.WORD), (d.ANY_WORD, r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")):
+        assert one.where(F.regexp_count("c", F.lit(mine)) != F.regexp_count("c", F.lit(theirs))).count() == 0
+    assert mine != theirs
